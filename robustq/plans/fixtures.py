@@ -155,15 +155,17 @@ def adversarial(pairs: DataFrame) -> DataFrame:
         F.concat(F.array(F.get(wb, 1), F.get(wb, 0)), F.slice(wb, 3, F.size(wb) - 2)), " ")
     ).otherwise(F.col("sentence_b"))
     flipped = F.when(F.col("label") == "entailment", "contradiction").otherwise("entailment")
-    base = pairs.select("ex_id", "sentence_a", "sentence_b", "label")
-    orig = base.select(F.lit("original").alias("set"), "*")
-    noch = base.select(F.lit("no_change").alias("set"), "ex_id", "sentence_a",
-                       swapped.alias("sentence_b"), "label")
-    ch = (base.filter(hnum("ex_id") % ADV_DROP_MOD != 0)
-          .select(F.lit("change").alias("set"), "ex_id", "sentence_a",
-                  F.concat(F.lit("not "), F.col("sentence_b")).alias("sentence_b"),
-                  flipped.alias("label")))
-    return orig.unionByName(noch).unionByName(ch)
+    # one scan: every input row fans out to its three sets
+    d = pairs.select("ex_id", "sentence_a", "sentence_b", "label",
+                     F.explode(F.array(F.lit("original"), F.lit("no_change"), F.lit("change")))
+                     .alias("set"))
+    d = d.filter((F.col("set") != "change") | (hnum("ex_id") % ADV_DROP_MOD != 0))
+    st = F.col("set")
+    return d.select(
+        "set", "ex_id", "sentence_a",
+        F.when(st == "no_change", swapped).when(st == "change", F.concat(F.lit("not "), F.col("sentence_b")))
+        .otherwise(F.col("sentence_b")).alias("sentence_b"),
+        F.when(st == "change", flipped).otherwise(F.col("label")).alias("label"))
 
 
 def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
