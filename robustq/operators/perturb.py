@@ -122,7 +122,7 @@ def delete_subsets(df: DataFrame, col: str = "tokens") -> DataFrame:
     d = df.withColumn("_m", F.explode(F.when(F.size(col) > 0,
                                              F.sequence(F.lit(1), F.pow(F.lit(2), F.size(col)).cast("int") - 1))
                                       .otherwise(F.array().cast("array<int>"))))
-    bit = lambda i: F.shiftright(F.col("_m"), i).bitwiseAND(F.lit(1)) == 1
+    bit = lambda i: F.col("_m").bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0
     d = d.withColumn("_blank", F.filter(positions(col), bit))
     return (d.withColumn(col, F.transform(F.col(col), lambda t, i: F.when(bit(i), F.lit("")).otherwise(t)))
             .withColumn("del_idx", F.array_join(F.transform("_blank", lambda p: p.cast("string")), "-"))

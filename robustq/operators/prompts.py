@@ -81,3 +81,18 @@ def render_manual(filled_template, text_a: str = "sentence_a", text_b: str = "se
     return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(
         F.element_at(parts, i),
         F.when(i < n, F.coalesce(F.try_element_at(val, i), F.lit(""))).otherwise(F.lit("")))), "")
+
+
+def render_fields(template, fields: dict[str, str]) -> Column:
+    """C2 with a per-row template column: ``{name}`` placeholders -> row columns. The
+    template is cut on the placeholders and the values are concatenated (never re-scanned)."""
+    alt = "|".join(re.escape("{" + k + "}") for k in fields)
+    t = _c(template)
+    parts = F.split(t, alt, -1)
+    kinds = F.regexp_extract_all(t, F.lit("(" + alt + ")"), 1)
+    val = F.transform(kinds, lambda k: F.coalesce(*[F.when(k == "{" + name + "}", F.col(c)) for name, c in fields.items()],
+                                                  F.lit("")))
+    n = F.size(parts)
+    return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(
+        F.element_at(parts, i),
+        F.when(i < n, F.coalesce(F.try_element_at(val, i), F.lit(""))).otherwise(F.lit("")))), "")

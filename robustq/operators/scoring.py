@@ -81,23 +81,24 @@ class AdditiveScorer:
         return weights, priors.select("seed", "w0")
 
     # -- factors ----------------------------------------------------------------------
-    def example_scores(self, examples: DataFrame, weights: DataFrame, priors: DataFrame
-                       ) -> DataFrame:
-        """(seed, ex_id, gold, s array<bigint>): Σ over every word of sentence_a and
+    def example_scores(self, examples: DataFrame, weights: DataFrame, priors: DataFrame,
+                       key: Sequence[str] = ("ex_id",)) -> DataFrame:
+        """(seed, *key, gold, s array<bigint>): Σ over every word of sentence_a and
         sentence_b of w(word, y), unseen words weighing w0(y)."""
         k = len(self.labels)
-        ex = examples.select("ex_id", F.col("label").alias("gold"),
+        key = list(key)
+        ex = examples.select(*key, F.col("label").alias("gold"),
                              words(F.concat_ws(" ", "sentence_a", "sentence_b")).alias("ws"))
-        ex = ex.select(seeds_col(self.seeds).alias("seed"), "ex_id", "gold",
+        ex = ex.select(seeds_col(self.seeds).alias("seed"), *key, "gold",
                        F.explode_outer("ws").alias("token"))
         j = (ex.join(F.broadcast(priors), "seed")  # one row per seed
              .join(weights, ["seed", "token"], "left"))
         wv = F.when(F.col("token").isNull(), F.array(*[F.lit(0).cast("bigint")] * k)) \
             .otherwise(F.coalesce(F.col("w"), F.col("w0")))
-        j = j.select("seed", "ex_id", "gold", *[wv[i].alias(f"s{i}") for i in range(k)])
-        agg = j.groupBy("seed", "ex_id", "gold").agg(
+        j = j.select("seed", *key, "gold", *[wv[i].alias(f"s{i}") for i in range(k)])
+        agg = j.groupBy("seed", *key, "gold").agg(
             *[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)])
-        return agg.select("seed", "ex_id", "gold", F.array(*[F.col(f"s{i}") for i in range(k)])
+        return agg.select("seed", *key, "gold", F.array(*[F.col(f"s{i}") for i in range(k)])
                           .alias("s"))
 
     def variant_scores(self, variants: DataFrame, weights: DataFrame, priors: DataFrame,
@@ -120,15 +121,16 @@ class AdditiveScorer:
 
     # -- grid -------------------------------------------------------------------------
     def score_grid(self, examples: DataFrame, variants: DataFrame,
-                   train: DataFrame | None = None, col: str = "tokens") -> DataFrame:
-        """(variant columns..., ex_id, gold, score array<bigint>) for every example x
-        variant of the same seed. ``variants`` is a bounded table (a few dozen rows per
-        seed) and is broadcast; the example side streams."""
+                   train: DataFrame | None = None, col: str = "tokens",
+                   on: Sequence[str] = ("seed",), key: Sequence[str] = ("ex_id",)) -> DataFrame:
+        """(variant columns..., *key, gold, score array<bigint>) for every example x variant
+        agreeing on ``on`` (the seed, plus e.g. the example set). ``variants`` is a bounded
+        table (a few dozen rows per seed) and is broadcast; the example side streams."""
         weights, priors = self.fit(train if train is not None else examples)
-        ex = self.example_scores(examples, weights, priors)
+        ex = self.example_scores(examples, weights, priors, key)
         vs = self.variant_scores(variants, weights, priors, col)
         vt = variants.join(vs, "variant_id")
-        g = ex.join(F.broadcast(vt), "seed")
+        g = ex.join(F.broadcast(vt), list(on))
         return g.withColumn("score", F.zip_with("s", "t", lambda a, b: a + b)).drop("s", "t")
 
 
@@ -219,6 +221,11 @@ def negative_loss_metric(losses: DataFrame) -> DataFrame:
                                  F.count(F.lit(1)).alias("n"))
 
 
+def sorted_seeds(variants: DataFrame) -> list[int]:
+    """Seeds of a (bounded) variant table."""
+    return sorted({r[0] for r in variants.select("seed").distinct().collect()})
+
+
 def score_with_model(examples: DataFrame, variants: DataFrame, fn: Callable, schema: str
                      ) -> DataFrame:
     """E8 hook: score (example x variant) pairs with a user model in Arrow batches.
@@ -226,8 +233,9 @@ def score_with_model(examples: DataFrame, variants: DataFrame, fn: Callable, sch
     ``fn(pdf) -> pdf`` receives pandas frames with the example and variant columns and must
     return ``schema`` (e.g. ``variant_id string, ex_id long, label string, logit double``).
     Variants are a bounded table and are broadcast."""
-    pairs = examples.join(F.broadcast(variants), "seed") if "seed" in examples.columns \
-        else examples.crossJoin(F.broadcast(variants))
+    if "seed" not in examples.columns:
+        examples = examples.select(seeds_col(sorted_seeds(variants)).alias("seed"), "*")
+    pairs = examples.join(F.broadcast(variants), "seed")
 
     def run(it):
         for pdf in it:

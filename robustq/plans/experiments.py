@@ -76,20 +76,20 @@ def template_col(family: str) -> F.Column:
 
 
 def predictions(examples: DataFrame, variants: DataFrame, train: DataFrame | None = None,
-                scorer: AdditiveScorer | None = None) -> DataFrame:
+                scorer: AdditiveScorer | None = None, on=("seed",), key=("ex_id",)) -> DataFrame:
     """E8 + E2/E3: one row per (variant, example) with pred and correct."""
     scorer = scorer or AdditiveScorer()
-    grid = scorer.score_grid(examples, variants, train)
+    grid = scorer.score_grid(examples, variants, train, on=on, key=key)
     return predict_from_scores(grid)
 
 
 def evaluate(examples: DataFrame, variants: DataFrame, task: str, family: str = "ap",
              train: DataFrame | None = None, scorer: AdditiveScorer | None = None,
-             eps: float | None = 1e-13) -> DataFrame:
+             eps: float | None = 1e-13, on=("seed",), key=("ex_id",)) -> DataFrame:
     """results(exp_name, task, model, seed, template, acc, del_idx, n_del, n_examples)."""
-    preds = predictions(examples, variants, train, scorer)
+    preds = predictions(examples, variants, train, scorer, on, key)
     acc = accuracy(preds.select("variant_id", "correct"), ["variant_id"], eps)
-    v = variants.withColumn("template", template_col(family))
+    v = variants.drop(*[c for c in on if c != "seed"]).withColumn("template", template_col(family))
     return (F.broadcast(v).join(acc, "variant_id", "left")
             .select("exp_name", F.lit(task).alias("task"), F.lit(MODEL).alias("model"), "seed",
                     "template", F.coalesce(F.col("acc"), F.lit(0.0)).alias("acc"), "del_idx", "n_del",

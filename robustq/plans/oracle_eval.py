@@ -114,7 +114,8 @@ def _w(c: str, i: int) -> str:
 
 
 def scorer(p: str, examples: str, variants: str, train: str | None = None,
-           train_rows: int = 200) -> list[tuple[str, str]]:
+           train_rows: int = 200, key: tuple[str, ...] = ("ex_id",), on: tuple[str, ...] = (),
+           eps: bool = True) -> list[tuple[str, str]]:
     """Additive scorer CTEs ending in ``{p}_pr`` (variant_id, ex_id, gold, score, pred,
     correct) and ``{p}_acc`` (variant_id, acc, n_examples)."""
     train = train or examples
@@ -129,6 +130,12 @@ def scorer(p: str, examples: str, variants: str, train: str | None = None,
         f"ELSE coalesce(w.w[{i + 1}], p.w0[{i + 1}]) * (x.n - x.i) END), 0) AS t{i}" for i in range(K))
     score = ", ".join(f"e.s{i} + t.t{i}" for i in range(K))
     ge = " + ".join(f"CAST(score[{i + 1}] >= score[gi] AS INTEGER)" for i in range(K))
+    kl = ", ".join(key)
+    ek = ", ".join(f"e.{c}" for c in key)
+    vk = ", ".join(f"v.{c}" for c in key)
+    xk = " AND ".join(f"x.{c} = v.{c}" for c in key)
+    gon = "".join(f" AND v.{c} = e.{c}" for c in on)
+    denom = "(count(*) + 1e-13)" if eps else "count(*)"
     return [
         (f"{p}_tr", f"""SELECT * FROM (
             SELECT s.seed, t.ex_id, t.label, t.sentence_a, t.sentence_b,
@@ -141,14 +148,14 @@ def scorer(p: str, examples: str, variants: str, train: str | None = None,
         (f"{p}_wt", f"""SELECT c.seed, c.token, [{', '.join(_w('c' + str(i), i) for i in range(K))}] AS w
             FROM (SELECT seed, token, {cnt} FROM {p}_tw GROUP BY seed, token) c
             JOIN {p}_tot t ON t.seed = c.seed"""),
-        (f"{p}_exw", f"SELECT ex_id, unnest({W_AB}) AS token FROM {examples}"),
-        (f"{p}_exs", f"""SELECT s.seed, e.ex_id, {s_sum}
+        (f"{p}_exw", f"SELECT {kl}, unnest({W_AB}) AS token FROM {examples}"),
+        (f"{p}_exs", f"""SELECT s.seed, {ek}, {s_sum}
             FROM {p}_exw e CROSS JOIN seeds s JOIN {p}_pri p ON p.seed = s.seed
             LEFT JOIN {p}_wt w ON w.seed = s.seed AND w.token = e.token
-            GROUP BY s.seed, e.ex_id"""),
-        (f"{p}_es", f"""SELECT s.seed, v.ex_id, v.label AS gold, {s_co}
+            GROUP BY s.seed, {ek}"""),
+        (f"{p}_es", f"""SELECT s.seed, {vk}, v.label AS gold, {s_co}
             FROM {examples} v CROSS JOIN seeds s
-            LEFT JOIN {p}_exs x ON x.seed = s.seed AND x.ex_id = v.ex_id"""),
+            LEFT JOIN {p}_exs x ON x.seed = s.seed AND {xk}"""),
         (f"{p}_vw", f"""SELECT variant_id, seed, len(tokens) AS n, unnest(tokens) AS token,
                    generate_subscripts(tokens, 1) - 1 AS i FROM {variants}"""),
         (f"{p}_vs", f"""SELECT v.variant_id, {t_sum}
@@ -156,15 +163,15 @@ def scorer(p: str, examples: str, variants: str, train: str | None = None,
             LEFT JOIN {p}_pri p ON p.seed = v.seed
             LEFT JOIN {p}_wt w ON w.seed = v.seed AND w.token = x.token
             GROUP BY v.variant_id"""),
-        (f"{p}_g", f"""SELECT v.variant_id, e.ex_id, e.gold, [{score}] AS score,
+        (f"{p}_g", f"""SELECT v.variant_id, v.seed, {ek}, e.gold, [{score}] AS score,
                    list_position(['entailment', 'contradiction', 'neutral'], e.gold) AS gi
-            FROM {p}_es e JOIN {variants} v ON v.seed = e.seed
+            FROM {p}_es e JOIN {variants} v ON v.seed = e.seed{gon}
             JOIN {p}_vs t ON t.variant_id = v.variant_id"""),
-        (f"{p}_pr", f"""SELECT variant_id, ex_id, gold, score,
+        (f"{p}_pr", f"""SELECT variant_id, seed, {kl}, gold, score,
                    ['entailment', 'contradiction', 'neutral'][list_position(score, list_max(score))] AS pred,
                    coalesce(({ge}) <= 1, false) AS correct
             FROM {p}_g"""),
-        (f"{p}_acc", f"""SELECT variant_id, round(sum(CAST(correct AS INTEGER)) / (count(*) + 1e-13), 6) AS acc,
+        (f"{p}_acc", f"""SELECT variant_id, round(sum(CAST(correct AS INTEGER)) / {denom}, 6) AS acc,
                    count(*) AS n_examples FROM {p}_pr GROUP BY variant_id"""),
     ]
 
@@ -178,7 +185,8 @@ def results(p: str, variants: str, task: str, family: str = "ap") -> tuple[str,
 
 
 def experiment(p: str, examples: str, variants_body: str, task: str, family: str = "ap",
-               train: str | None = None) -> list[tuple[str, str]]:
+               train: str | None = None, key: tuple[str, ...] = ("ex_id",), on: tuple[str, ...] = (),
+               eps: bool = True) -> list[tuple[str, str]]:
     """Variants + scorer + results CTEs; the results CTE is ``{p}_res``."""
-    return [(f"{p}_v", variants_body), *scorer(p, examples, f"{p}_v", train),
+    return [(f"{p}_v", variants_body), *scorer(p, examples, f"{p}_v", train, key=key, on=on, eps=eps),
             results(p, f"{p}_v", task, family)]
