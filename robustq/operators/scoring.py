@@ -57,9 +57,10 @@ class AdditiveScorer:
         self.train_rows = train_rows
 
     # -- fitting ----------------------------------------------------------------------
-    def fit(self, examples: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Return (weights(seed, token, w array<bigint>), priors(seed, w0 array<bigint>))."""
-        tr = train_sample(examples, self.seeds, self.train_rows)
+    def fit(self, examples: DataFrame, sample: bool = True) -> tuple[DataFrame, DataFrame]:
+        """Return (weights(seed, token, w array<bigint>), priors(seed, w0 array<bigint>)).
+        ``sample=False`` trains on every row given (already one row set per seed)."""
+        tr = train_sample(examples, self.seeds, self.train_rows) if sample else examples
         k = len(self.labels)
         tw = tr.select("seed", class_id(F.col("label"), self.labels).alias("cid"),
                        F.explode(words(F.concat_ws(" ", "sentence_a", "sentence_b"))).alias("token"))
@@ -128,9 +129,14 @@ class AdditiveScorer:
         table (a few dozen rows per seed) and is broadcast; the example side streams."""
         weights, priors = self.fit(train if train is not None else examples)
         ex = self.example_scores(examples, weights, priors, key)
+        return self.grid_from(ex, variants, weights, priors, col, on)
+
+    def grid_from(self, ex_scores: DataFrame, variants: DataFrame, weights: DataFrame,
+                  priors: DataFrame, col: str = "tokens", on: Sequence[str] = ("seed",)) -> DataFrame:
+        """Grid from precomputed example scores (reused across search iterations)."""
         vs = self.variant_scores(variants, weights, priors, col)
         vt = variants.join(vs, "variant_id")
-        g = ex.join(F.broadcast(vt), list(on))
+        g = ex_scores.join(F.broadcast(vt), list(on))
         return g.withColumn("score", F.zip_with("s", "t", lambda a, b: a + b)).drop("s", "t")
 
 

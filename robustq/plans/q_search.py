@@ -1 +1,149 @@
-"""placeholder"""
+"""Queries G1-G9 (prompt search)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from robustq.functions.hashing import sql_hnum
+from robustq.operators import prepare as pr
+from robustq.operators import search as se
+from robustq.operators.scoring import AdditiveScorer, label_token_ids, predict_from_scores
+from robustq.plans import fixtures as fx
+from robustq.plans import oracle_eval as oe
+from robustq.plans.oracle_views import with_views
+from robustq.plans.q_scoring import OWNED_SQL
+from robustq.plans.registry import register
+
+# fixed values
+BSZ, STEPS = 16, 15          # gradient batches: size and accumulation steps
+N_CAND = 10                  # candidates per flip
+SPECIALS = fx.RESERVED
+
+SEQ = ("seq", "SELECT vec_id, embedding, label, vec_id // 10 AS ex, CAST(vec_id % 10 AS INTEGER) AS pos FROM v8")
+GRAD = ("grad", f"""SELECT CAST(pos AS INTEGER) AS slot, CAST(d AS INTEGER) AS d, sum(CAST(x AS DOUBLE)) / {STEPS} AS g
+    FROM (SELECT pos, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS d FROM seq
+          WHERE ex // {BSZ} < {STEPS}) t GROUP BY pos, d""")
+
+
+@register("label_projection")
+def label_projection(spark, sf):
+    """G1: multinomial logistic regression from V8 vectors to their labels (Spark ML)."""
+    return se.fit_projection(fx.vectors(spark, sf))
+
+
+@register("label_tokens_topk", with_views(["v8"], """
+    SELECT CAST(cls AS INTEGER) AS cls, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM (
+      SELECT *, row_number() OVER (PARTITION BY cls ORDER BY score DESC, vec_id) AS rank FROM (
+        SELECT vec_id, cls, exp(logit - mx) / sum(exp(logit - mx)) OVER (PARTITION BY vec_id) AS score
+        FROM (SELECT *, max(logit) OVER (PARTITION BY vec_id) AS mx FROM (SELECT v.vec_id, c.cls,
+                     list_sum(list_transform(range(len(c.centroid)), lambda i: c.centroid[i + 1] * CAST(v.embedding[i + 1] AS DOUBLE))) AS logit
+              FROM v8 v CROSS JOIN cent c) a0) a) b) c
+    WHERE rank <= 50""",
+    [("cent", """SELECT cls, list(m ORDER BY d) AS centroid FROM (
+        SELECT label AS cls, d, avg(CAST(x AS DOUBLE)) AS m FROM (
+          SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS d FROM v8) t
+        GROUP BY label, d) u GROUP BY cls""")]))
+def label_tokens_topk(spark, sf):
+    """Class-centroid weights; per class the 50 tokens with the largest softmax score."""
+    v = fx.vectors(spark, sf)
+    return se.top_label_tokens(se.class_centroids(v), v, k=50).withColumn("score", F.round("score", 6))
+
+
+@register("mean_slot_gradient", with_views(["v8"], "SELECT slot, d, round(g, 6) AS g FROM grad", [SEQ, GRAD]))
+def mean_slot_gradient(spark, sf):
+    """Per-slot vector sums over the first 15 batches of 16 sequences, divided by 15."""
+    return se.mean_slot(se.sequences(fx.vectors(spark, sf)), BSZ, STEPS).withColumn("g", F.round("g", 6))
+
+
+@register("hotflip_topk", with_views(["v8"], f"""
+    SELECT CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, round(score, 6) AS score
+    FROM (SELECT e.vec_id, -sum(CAST(e.x AS DOUBLE) * g.g) AS score
+          FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS d FROM v8
+                WHERE vec_id NOT IN (SELECT unnest(flatten({OWNED_SQL}))) AND vec_id NOT IN (0, 1, 2, 3, 4)) e
+          JOIN grad g ON g.d = e.d AND g.slot = 0 GROUP BY e.vec_id) t
+    ORDER BY score DESC, vec_id LIMIT {N_CAND}""", [SEQ, GRAD]))
+def hotflip_topk(spark, sf):
+    """Top-10 replacement candidates for slot 0 by -(E . g), label/special ids excluded."""
+    v = fx.vectors(spark, sf)
+    g = se.mean_slot(se.sequences(v), BSZ, STEPS).filter(F.col("slot") == 0)
+    excl = v.sparkSession.range(1).select(F.explode(F.array_union(
+        F.flatten(label_token_ids()), F.sequence(F.lit(0), F.lit(4)))).alias("vec_id")) \
+        .select(F.col("vec_id").cast("bigint"))
+    return se.hotflip(g, v, N_CAND, exclude=excl).select("rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+_ALLOWED = ("allowed", """SELECT token, token_id, freq FROM v4
+    WHERE (length(token) = 1 OR (token NOT IN ('<s>', '<pad>', '</s>', '<unk>', '<mask>')
+           AND NOT (upper(left(token, 1)) = left(token, 1) AND lower(left(token, 1)) <> left(token, 1))))
+      AND token NOT IN (SELECT token FROM v5l)""")
+
+
+def allowed(spark, sf):
+    return se.allowed_tokens(fx.vocab(spark, sf), fx.label_words(spark, sf), SPECIALS)
+
+
+@register("token_filter", with_views(["v4", "v5l"], "SELECT * FROM allowed", [_ALLOWED]))
+def token_filter(spark, sf):
+    """Vocabulary minus label, special and capitalised tokens (single characters kept)."""
+    return allowed(spark, sf)
+
+
+def candidates(spark, sf):
+    """Top-10 allowed tokens by frequency, for every seed (bounded: seeds x 10)."""
+    top = allowed(spark, sf).orderBy("token_id").limit(N_CAND)
+    top = top.withColumn("cand_rank", F.row_number().over(__import__("pyspark.sql").sql.Window.orderBy("token_id")))
+    return top.select(F.explode(F.array(*[F.lit(s) for s in fx.SEEDS])).alias("seed"), "cand_rank", "token")
+
+
+_CAND_VAR = ("c_v", f"""
+    SELECT seed, 'cand:' || CAST(seed AS VARCHAR) || ':0' AS variant_id, 0 AS cand_rank, CAST(NULL AS VARCHAR) AS token,
+           tokens FROM v5t
+    UNION ALL
+    SELECT t.seed, 'cand:' || CAST(t.seed AS VARCHAR) || ':' || CAST(c.cand_rank AS VARCHAR), c.cand_rank, c.token,
+           list_transform(t.tokens, lambda x, i: CASE WHEN i - 1 = {sql_hnum('t.seed', "'0'")} % 10 THEN c.token ELSE x END)
+    FROM v5t t CROSS JOIN (SELECT token, CAST(row_number() OVER (ORDER BY token_id) AS INTEGER) AS cand_rank
+                           FROM (SELECT * FROM allowed ORDER BY token_id LIMIT {N_CAND}) a) c
+    WHERE NOT list_contains(t.tokens, c.token)""")
+
+
+@register("candidate_scores", with_views(
+    ["v1", "v4", "v5l", "v5t", "seeds", "labels_c"], """
+    SELECT c.seed, c.cand_rank, c.token, c.n_correct, k.n_correct AS cur_correct,
+           (c.n_correct > k.n_correct AND row_number() OVER (PARTITION BY c.seed ORDER BY c.n_correct DESC, c.cand_rank) = 1)
+             AS accepted
+    FROM cnt c JOIN cnt k ON k.seed = c.seed AND k.cand_rank = 0 WHERE c.cand_rank > 0""",
+    [_ALLOWED, _CAND_VAR, *oe.scorer("c", "v1", "c_v"),
+     ("cnt", """SELECT v.seed, v.cand_rank, v.token, CAST(sum(CAST(p.correct AS INTEGER)) AS BIGINT) AS n_correct
+                FROM c_pr p JOIN c_v v ON v.variant_id = p.variant_id GROUP BY v.seed, v.cand_rank, v.token""")]))
+def candidate_scores(spark, sf):
+    """Correct-count of each candidate flip vs the current trigger over the same examples;
+    the best is accepted only if strictly better (first rank wins ties)."""
+    v1 = fx.docs_pairs(spark, sf)
+    var = se.candidate_variants(fx.triggers(spark, sf), candidates(spark, sf), 0)
+    preds = predict_from_scores(AdditiveScorer().score_grid(v1, var))
+    counts = preds.groupBy("seed", "cand_rank", "token").agg(F.sum(F.col("correct").cast("int")).alias("n_correct"))
+    return se.score_candidates(counts).select("seed", "cand_rank", "token", "n_correct", "cur_correct", "accepted")
+
+
+@register("greedy_trigger_search")
+def greedy_trigger_search(spark, sf):
+    """Three greedy flip iterations per seed (driver loop, one job per step)."""
+    train, dev = pr.holdout(fx.docs_pairs(spark, sf), 50, seed=0)
+    return se.greedy_search(train, dev, fx.triggers(spark, sf), candidates(spark, sf), iters=3)
+
+
+@register("linear_probe")
+def linear_probe(spark, sf):
+    """Mean-pooled sequences -> logistic regression; train/dev accuracy."""
+    seq = se.sequences(fx.vectors(spark, sf))
+    labels = seq.filter(F.col("pos") == 0).select("ex", "label")
+    return se.linear_probe(se.mean_pool(seq), labels)
+
+
+@register("mean_pool", with_views(["v8"], """
+    SELECT ex, CAST(d AS INTEGER) AS d, round(avg(CAST(x AS DOUBLE)), 6) AS value
+    FROM (SELECT ex, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS d FROM seq WHERE pos > 0) t
+    GROUP BY ex, d""", [SEQ]))
+def mean_pool(spark, sf):
+    """Mean of each sequence's vectors except position 0."""
+    return se.mean_pool(se.sequences(fx.vectors(spark, sf))).withColumn("value", F.round("value", 6))

@@ -1 +1,22 @@
-"""placeholder"""
+"""Query H1 (streaming accuracy)."""
+
+from __future__ import annotations
+
+from robustq.plans import experiments as ex
+from robustq.plans import fixtures as fx
+from robustq.plans.q_metrics import BASE, DEL
+from robustq.plans.oracle_views import with_views
+from robustq.plans.registry import register
+from robustq.sources.io import scratch_dir
+from robustq.streaming.accuracy import run_available
+
+
+@register("stream_accuracy", with_views(BASE, "SELECT variant_id, acc, n_examples FROM d_acc", DEL))
+def stream_accuracy(spark, sf):
+    """H1: deletion-grid predictions land as parquet files; a streaming aggregation
+    accumulates Σ correct and n per variant batch by batch. The final table equals F1."""
+    preds = ex.predictions(fx.docs_pairs(spark, sf), ex.ap_deletion_variants(fx.triggers(spark, sf)))
+    base = scratch_dir(spark, "stream")
+    preds.select("variant_id", "correct").repartition(4).write.mode("overwrite").parquet(f"{base}/in")
+    out = run_available(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", ["variant_id"])
+    return out.select("variant_id", "acc", "n_examples")
