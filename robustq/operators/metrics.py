@@ -22,9 +22,22 @@ def accuracy(preds: DataFrame, by: Sequence[str], eps: float | None = EPS) -> Da
     return preds.groupBy(*by).agg(F.round(acc, 6).alias("acc"), n.alias("n_examples"))
 
 
+def mean_pct(col: str = "acc") -> Column:
+    """Aggregate: mean of 6-decimal accuracies x 100, rounded half-up to 6 decimals with
+    exact integer arithmetic (sums of micro-units), so no engine's float rounding of a
+    tie can change the reported value. NULL when there are no rows."""
+    s = F.sum(F.round(F.col(col) * 1_000_000).cast("bigint"))
+    n = F.count(col)
+    return F.when(n > 0, F.floor((s * 200 + n) / (n * 2)) / 1_000_000)
+
+
+SQL_MEAN_PCT = ("CASE WHEN count({c}) > 0 THEN CAST((sum(CAST(round({c} * 1000000) AS BIGINT)) * 200 + count({c}))"
+                " // (count({c}) * 2) AS DOUBLE) / 1000000 END")
+
+
 def seed_mean(results: DataFrame, by: Sequence[str] = ("exp_name",)) -> DataFrame:
     """mean of per-run accuracies x 100 (not pooled over examples)."""
-    return results.groupBy(*by).agg(F.round(F.avg("acc") * 100, 6).alias("avg_acc"),
+    return results.groupBy(*by).agg(mean_pct("acc").alias("avg_acc"),
                                     F.count(F.lit(1)).alias("n_runs"))
 
 
@@ -38,7 +51,7 @@ def deletion_report(results: DataFrame, n_tokens: int = 10,
     (baseline n_del = 0 excluded): GROUPING SETS ((del_idx), (n_del))."""
     r = results.filter(F.col("n_del") > 0)
     g = (r.groupingSets([["del_idx"], ["n_del"]], "del_idx", "n_del")
-         .agg(F.avg("acc").alias("a"), F.grouping_id().alias("gid")))
+         .agg(mean_pct("acc").alias("a"), F.grouping_id().alias("gid")))
     by_idx = (g.filter((F.col("gid") == 1) & (F.col("del_idx").isin([str(i) for i in range(n_tokens)])))
               .select((F.col("del_idx").cast("int")).alias("row_no"),
                       F.concat(F.lit("Single token deletion (idx="), F.col("del_idx"), F.lit(")")).alias("method"),
@@ -48,7 +61,7 @@ def deletion_report(results: DataFrame, n_tokens: int = 10,
             .select((F.lit(n_tokens) + size_pos - 1).cast("int").alias("row_no"),
                     F.concat(F.lit("Multiple token deletion (n="), F.col("n_del").cast("string"), F.lit(")")).alias("method"),
                     "a"))
-    return by_idx.unionByName(by_n).select("row_no", "method", F.round(F.col("a") * 100, 6).alias("avg_acc"))
+    return by_idx.unionByName(by_n).select("row_no", "method", F.col("a").alias("avg_acc"))
 
 
 # fixed values: report rows of the perturbation report (exp_name suffix -> row label)
@@ -78,23 +91,22 @@ def perturbation_report(results: DataFrame, family: str = "ap") -> DataFrame:
     spark = results.sparkSession
     lab = spark.createDataFrame([(r, m, f"{family}-{s}") for r, m, s in PERTURBATION_ROWS],
                                 "row_no int, method string, exp_name string")
-    agg = results.groupBy("exp_name").agg(F.avg("acc").alias("a"))
+    agg = results.groupBy("exp_name").agg(mean_pct("acc").alias("a"))
     return (F.broadcast(lab).join(agg, "exp_name", "left")
-            .select("row_no", "method", F.round(F.col("a") * 100, 6).alias("avg_acc")))
+            .select("row_no", "method", F.col("a").alias("avg_acc")))
 
 
 def mp_deletion_report(results: DataFrame) -> DataFrame:
     """the ten MP deletion rows; each row is a predicate over (del_idx, n_del)."""
     spark = results.sparkSession
     lab = _label_table(spark, MP_DELETION_ROWS)
-    by_idx = results.groupBy("del_idx").agg(F.avg("acc").alias("a"))
-    by_n = results.groupBy("n_del").agg(F.avg("acc").alias("a"))
+    by_idx = results.groupBy("del_idx").agg(mean_pct("acc").alias("a"))
+    by_n = results.groupBy("n_del").agg(mean_pct("acc").alias("a"))
     rows_idx = F.broadcast(lab.filter(F.col("del_idx").isNotNull()).drop("n_del")) \
         .join(by_idx, "del_idx", "left").select("row_no", "method", "a")
     rows_n = F.broadcast(lab.filter(F.col("n_del").isNotNull()).drop("del_idx")) \
         .join(by_n, "n_del", "left").select("row_no", "method", "a")
-    return rows_idx.unionByName(rows_n).select(
-        "row_no", "method", F.round(F.col("a") * 100, 6).alias("avg_acc"))
+    return rows_idx.unionByName(rows_n).select("row_no", "method", F.col("a").alias("avg_acc"))
 
 
 def running_mean(log: DataFrame, partition: Sequence[str] = ("run", "epoch"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from robustq.operators import metrics as mt
+from robustq.operators.metrics import SQL_MEAN_PCT
 from robustq.plans import experiments as ex
 from robustq.plans import fixtures as fx
 from robustq.plans import oracle_eval as oe
@@ -28,7 +29,7 @@ def accuracy(spark, sf):
 
 
 @register("seed_mean", with_views(
-    BASE, """SELECT exp_name, round(avg(acc) * 100, 6) AS avg_acc, count(*) AS n_runs
+    BASE, f"""SELECT exp_name, {SQL_MEAN_PCT.format(c='acc')} AS avg_acc, count(*) AS n_runs
              FROM (SELECT * FROM r_res UNION ALL SELECT * FROM o_res) u GROUP BY exp_name""",
     oe.experiment("r", "v1", oe.reorder_variants("v5t"), "docs")
     + oe.experiment("o", "v1", oe.original_variants("v5t"), "docs")))
@@ -40,13 +41,13 @@ def seed_mean(spark, sf):
     return mt.seed_mean(ex.evaluate(fx.docs_pairs(spark, sf), var, "docs"))
 
 
-@register("deletion_report", with_views(BASE, """
+@register("deletion_report", with_views(BASE, f"""
     SELECT CAST(del_idx AS INTEGER) AS row_no, 'Single token deletion (idx=' || del_idx || ')' AS method,
-           round(avg(acc) * 100, 6) AS avg_acc
+           {SQL_MEAN_PCT.format(c='acc')} AS avg_acc
     FROM d_res WHERE n_del > 0 AND del_idx IN ('0','1','2','3','4','5','6','7','8','9') GROUP BY del_idx
     UNION ALL
     SELECT CAST(10 + list_position([1, 3, 5, 7], n_del) - 1 AS INTEGER),
-           'Multiple token deletion (n=' || CAST(n_del AS VARCHAR) || ')', round(avg(acc) * 100, 6)
+           'Multiple token deletion (n=' || CAST(n_del AS VARCHAR) || ')', {SQL_MEAN_PCT.format(c='acc')}
     FROM d_res WHERE n_del IN (1, 3, 5, 7) GROUP BY n_del""", DEL))
 def deletion_report(spark, sf):
     """the AP deletion report (14 rows)."""
@@ -59,8 +60,8 @@ _ADV_VAR = " UNION ALL ".join(
 
 
 @register("perturbation_report", with_views(
-    BASE + ["v6"], """
-    SELECT l.row_no, l.method, round(avg(r.acc) * 100, 6) AS avg_acc
+    BASE + ["v6"], f"""
+    SELECT l.row_no, l.method, {SQL_MEAN_PCT.format(c='r.acc')} AS avg_acc
     FROM (VALUES (1, 'Perturbation w/o label changes', 'ap-adv-label-no-change'),
                  (2, 'Perturbation w/ label changes', 'ap-adv-label-change'),
                  (3, 'Original (no perturbation)', 'ap-no-adv')) AS l(row_no, method, exp_name)
@@ -80,8 +81,8 @@ def perturbation_report(spark, sf):
 
 
 @register("mp_deletion_report", with_views(
-    BASE, """
-    SELECT l.row_no, l.method, round(avg(r.acc) * 100, 6) AS avg_acc
+    BASE, f"""
+    SELECT l.row_no, l.method, {SQL_MEAN_PCT.format(c='r.acc')} AS avg_acc
     FROM (VALUES (1, 'Single token deletion (idx=0)', '0', NULL), (2, 'Single token deletion (idx=1)', '1', NULL),
                  (3, 'Single token deletion (idx=2)', '2', NULL), (4, 'Multiple token deletion (n=1)', NULL, 1),
                  (5, 'Multiple token deletion (n=2)', NULL, 2), (6, 'Multiple token deletion (n=3)', NULL, 3),
