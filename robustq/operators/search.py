@@ -197,6 +197,10 @@ def greedy_search(train: DataFrame, dev: DataFrame, triggers: DataFrame, candida
     tr_scores = scorer.example_scores(train, weights, priors).checkpoint()
     dev_scores = scorer.example_scores(dev, weights, priors).checkpoint()
     current = {r["seed"]: list(r["tokens"]) for r in triggers.select("seed", "tokens").collect()}
+    # the candidate table is bounded (seeds x k); bring it once instead of recomputing
+    # its (whole-vocabulary) lineage at every step
+    cand_rows = [tuple(r) for r in candidates.select("seed", "cand_rank", "token").collect()]
+    candidates = spark.createDataFrame(cand_rows, "seed int, cand_rank int, token string")
 
     def dev_acc(trig: dict) -> dict:
         v = spark.createDataFrame([(s, f"dev:{s}", t) for s, t in trig.items()],
