@@ -118,14 +118,25 @@ def running_mean(log: DataFrame, partition: Sequence[str] = ("run", "epoch"),
 
 
 def strict_best(log: DataFrame, partition: Sequence[str], order: str, metric: str,
-                start: float | None = 0.0) -> DataFrame:
+                start: float | None = 0.0, block: int = 1024) -> DataFrame:
     """keep the rows whose metric strictly exceeds every earlier metric and ``start``
-    (0 for probe/fine-tune, None = -inf for trigger search)."""
-    w = Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    prev = F.max(metric).over(w)
+    (0 for probe/fine-tune, None = -inf for trigger search).
+
+    ``order`` is a dense 1-based step. The running maximum is computed in two levels so a
+    hot run never lands in one task: the maximum of every block of ``block`` steps
+    (partial aggregation), a prefix maximum over the blocks of a run (one row per block),
+    then a window inside each (run, block) pair, which is bounded by ``block`` rows."""
+    blk = F.floor((F.col(order) - 1) / block).cast("bigint")
+    d = log.withColumn("_blk", blk)
+    bmax = d.groupBy(*partition, "_blk").agg(F.max(metric).alias("_bm"))
+    wb = Window.partitionBy(*partition).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    bmax = bmax.select(*partition, "_blk", F.max("_bm").over(wb).alias("_before"))
+    wi = Window.partitionBy(*partition, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_inside", F.max(metric).over(wi)).join(bmax, [*partition, "_blk"])
     floor = F.lit(start) if start is not None else F.lit(float("-inf"))
-    best = F.greatest(F.coalesce(prev, floor), floor)
-    return log.withColumn("_best", best).filter(F.col(metric) > F.col("_best")).drop("_best")
+    best = F.greatest(F.coalesce(F.col("_before"), floor), F.coalesce(F.col("_inside"), floor), floor)
+    return (d.withColumn("_best", best).filter(F.col(metric) > F.col("_best"))
+            .drop("_best", "_blk", "_before", "_inside"))
 
 
 def eval_marks(log: DataFrame, interval: int, rows: int, bsz: int, partition: Sequence[str] = ("run",),

@@ -189,8 +189,10 @@ def greedy_search(train: DataFrame, dev: DataFrame, triggers: DataFrame, candida
     reference. Only k rows per seed come back to the driver per step; example scores are
     checkpointed once to the cluster's checkpoint folder so lineage stays short."""
     from robustq.operators.scoring import AdditiveScorer, predict_from_scores
+    from robustq.session import ensure_checkpoint_dir
     scorer = scorer or AdditiveScorer()
     spark = train.sparkSession
+    ensure_checkpoint_dir(spark)  # the cluster's shared folder; a scratch one only if unset
     weights, priors = scorer.fit(train)
     weights = weights.checkpoint()
     priors = priors.checkpoint()

@@ -183,6 +183,10 @@ def test_strict_best_and_running_mean(spark):
                                 "run long, epoch long, step long, loss double")
     assert [r.step for r in mt.strict_best(log, ["run"], "step", "loss", start=None).orderBy("step").collect()] == [1, 3, 5]
     assert [r.step for r in mt.strict_best(log, ["run"], "step", "loss", start=0.55).orderBy("step").collect()] == [3, 5]
+    # several blocks per run give the same answer as one block
+    for b in (1, 2, 3):
+        got = [r.step for r in mt.strict_best(log, ["run"], "step", "loss", start=None, block=b).orderBy("step").collect()]
+        assert got == [1, 3, 5]
     rm = [r.running_loss for r in mt.running_mean(log).orderBy("step").collect()]
     assert rm == [0.5, 0.45, 0.5, 0.525, 0.56]
 
