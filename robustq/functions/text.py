@@ -28,6 +28,13 @@ def words(c) -> Column:
     return F.filter(F.split(_col(c), WORD_SPLIT), lambda w: w != "")
 
 
+def split_pieces(c) -> Column:
+    """Raw split on the word separator; may contain '' pieces (at a leading separator).
+    ``explode(split_pieces(x))`` followed by a ``!= ''`` filter yields exactly the words of
+    ``words(x)`` and is cheaper than filtering inside a lambda before the explode."""
+    return F.split(_col(c), WORD_SPLIT)
+
+
 def normalize(c) -> Column:
     """Words joined by single spaces."""
     return F.array_join(words(c), " ")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from robustq.functions.hashing import hkey, hnum
 from robustq.functions.ranking import global_position, row_number_within
-from robustq.functions.text import words
+from robustq.functions.text import split_pieces, words
 
 # fixed values
 CLASSES = ["entailment", "contradiction", "neutral"]  # ClassLabel order = JSON map order
@@ -144,7 +144,8 @@ def swap_objects(facts: DataFrame, seed: int, fact_cols: Sequence[str] = ("sub_l
 def build_vocab(df: DataFrame, col: str = "text") -> DataFrame:
     """(token, token_id, freq): whitespace words ranked by (freq desc, token), ids after the
     reserved ones; numbering is skew-safe (no single-partition window)."""
-    wc = df.select(F.explode(words(col)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
+    wc = (df.select(F.explode(split_pieces(col)).alias("token")).filter(F.col("token") != "")
+          .groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
     pos = global_position(wc, [F.col("freq").desc(), F.col("token")], "_p")
     return pos.select("token", (F.col("_p") + len(SPECIAL_IDS)).alias("token_id"), "freq")
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from robustq.functions.hashing import hkey
-from robustq.functions.text import words
+from robustq.functions.text import split_pieces, words
 
 # fixed values
 LABELS = ["entailment", "contradiction", "neutral"]  # class ids 0, 1, 2
@@ -55,15 +55,26 @@ class AdditiveScorer:
         self.labels = list(labels)
         self.seeds = list(seeds)
         self.train_rows = train_rows
+        self._memo: dict = {}  # per fitted table: row count and prior literals
 
     # -- fitting ----------------------------------------------------------------------
     def fit(self, examples: DataFrame, sample: bool = True) -> tuple[DataFrame, DataFrame]:
-        """Return (weights(seed, token, w array<bigint>), priors(seed, w0 array<bigint>)).
-        ``sample=False`` trains on every row given (already one row set per seed)."""
+        """Return (weights, priors).
+
+        weights: one row per token seen in any seed's training sample, with ``w_<seed>``
+        (array<bigint> per label, NULL when that seed never saw the token); priors: one row
+        per seed with ``w0`` (the weight of an unseen word). Both are materialised once:
+        they are bounded by the training size, not by the data, and every scoring step
+        reads them. ``sample=False`` trains on the rows given (one row set per seed)."""
+        from robustq.functions.materialize import materialize
         tr = train_sample(examples, self.seeds, self.train_rows) if sample else examples
+        # the training rows (seeds x train_rows) are written once; weights and priors are
+        # small aggregates recomputed from them cheaply wherever they are read
+        tr = materialize(tr.select("seed", "label", "sentence_a", "sentence_b"))
         k = len(self.labels)
         tw = tr.select("seed", class_id(F.col("label"), self.labels).alias("cid"),
-                       F.explode(words(F.concat_ws(" ", "sentence_a", "sentence_b"))).alias("token"))
+                       F.explode(split_pieces(F.concat_ws(" ", "sentence_a", "sentence_b"))).alias("token")) \
+            .filter(F.col("token") != "")
         counts = tw.groupBy("seed", "token").agg(
             *[F.sum(F.when(F.col("cid") == i, 1).otherwise(0)).alias(f"c{i}") for i in range(k)])
         totals = tw.groupBy("seed").agg(
@@ -74,47 +85,75 @@ class AdditiveScorer:
             return F.round(F.lit(float(SCALE)) * F.log((c + 1) / (F.col(f"n{i}") + F.col("nf")))
                            ).cast("bigint")
 
-        priors = totals.select("seed", F.array(*[w(F.lit(0), i) for i in range(k)]).alias("w0"),
-                               *[F.col(f"n{i}") for i in range(k)], "nf")
-        weights = (counts.join(F.broadcast(totals), "seed")  # one row per seed
-                   .select("seed", "token", F.array(*[w(F.col(f"c{i}"), i) for i in range(k)])
-                           .alias("w")))
-        return weights, priors.select("seed", "w0")
+        priors = totals.select("seed", F.array(*[w(F.lit(0), i) for i in range(k)]).alias("w0"))
+        long_w = (counts.join(F.broadcast(totals), "seed")  # one row per seed
+                  .select("seed", "token", F.array(*[w(F.col(f"c{i}"), i) for i in range(k)]).alias("w")))
+        wide = long_w.groupBy("token").agg(
+            *[F.first(F.when(F.col("seed") == sd, F.col("w")), ignorenulls=True).alias(f"w_{sd}")
+              for sd in self.seeds])
+        return wide, priors
+
+    def _prior_lits(self, priors: DataFrame) -> dict[int, list[int]]:
+        # one row per seed (bounded): the unseen-word weights become literals of the plan
+        key = id(priors)
+        if key not in self._memo:
+            self._memo[key] = {r["seed"]: list(r["w0"]) for r in priors.collect()}
+        return self._memo[key]
+
+    def _weights_side(self, weights: DataFrame) -> DataFrame:
+        """Broadcast the weights only behind a row count (they are materialised, so the
+        count is cheap); beyond the limit the lookup is a shuffle join with AQE skew
+        splitting for hot tokens."""
+        from robustq.functions.materialize import BROADCAST_MAX_ROWS
+        key = ("n", id(weights))
+        if key not in self._memo:
+            self._memo[key] = weights.count()
+        return F.broadcast(weights) if self._memo[key] <= BROADCAST_MAX_ROWS else weights
 
     # -- factors ----------------------------------------------------------------------
     def example_scores(self, examples: DataFrame, weights: DataFrame, priors: DataFrame,
                        key: Sequence[str] = ("ex_id",)) -> DataFrame:
         """(seed, *key, gold, s array<bigint>): Σ over every word of sentence_a and
-        sentence_b of w(word, y), unseen words weighing w0(y)."""
+        sentence_b of w(word, y), unseen words weighing w0(y).
+
+        Each word is looked up once for all seeds (weights are one row per token), summed
+        per example with a map-side partial aggregate, and only then fanned out to seeds."""
         k = len(self.labels)
         key = list(key)
+        w0 = self._prior_lits(priors)
         ex = examples.select(*key, F.col("label").alias("gold"),
-                             words(F.concat_ws(" ", "sentence_a", "sentence_b")).alias("ws"))
-        ex = ex.select(seeds_col(self.seeds).alias("seed"), *key, "gold",
-                       F.explode_outer("ws").alias("token"))
-        j = (ex.join(F.broadcast(priors), "seed")  # one row per seed
-             .join(weights, ["seed", "token"], "left"))
-        wv = F.when(F.col("token").isNull(), F.array(*[F.lit(0).cast("bigint")] * k)) \
-            .otherwise(F.coalesce(F.col("w"), F.col("w0")))
-        j = j.select("seed", *key, "gold", *[wv[i].alias(f"s{i}") for i in range(k)])
-        agg = j.groupBy("seed", *key, "gold").agg(
-            *[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)])
-        return agg.select("seed", *key, "gold", F.array(*[F.col(f"s{i}") for i in range(k)])
-                          .alias("s"))
+                             F.explode_outer(words(F.concat_ws(" ", "sentence_a", "sentence_b"))).alias("token"))
+        j = ex.join(self._weights_side(weights), "token", "left")
+        vals = []
+        for sd in self.seeds:
+            for i in range(k):
+                v = F.coalesce(F.col(f"w_{sd}")[i], F.lit(w0[sd][i]).cast("bigint"))
+                vals.append(F.sum(F.when(F.col("token").isNull(), F.lit(0).cast("bigint")).otherwise(v))
+                            .alias(f"s{sd}_{i}"))
+        agg = j.groupBy(*key, "gold").agg(*vals)
+        per_seed = F.array(*[F.struct(F.lit(sd).alias("seed"),
+                                      F.array(*[F.col(f"s{sd}_{i}") for i in range(k)]).alias("s"))
+                             for sd in self.seeds])
+        return agg.select(*key, "gold", F.explode(per_seed).alias("_x")) \
+            .select(F.col("_x.seed").alias("seed"), *key, "gold", F.col("_x.s").alias("s"))
 
     def variant_scores(self, variants: DataFrame, weights: DataFrame, priors: DataFrame,
                        col: str = "tokens") -> DataFrame:
         """(variant_id, t array<bigint>): Σ_i (n - i) * w(t_i, y), i 0-based, n = number of
         tokens; empty tokens ('' from blanking) weigh 0."""
         k = len(self.labels)
+        w0 = self._prior_lits(priors)
         v = variants.select("seed", "variant_id", F.size(col).alias("n"),
                             F.posexplode_outer(col).alias("i", "token"))
-        j = (v.join(F.broadcast(priors), "seed")
-             .join(weights, ["seed", "token"], "left"))
+        j = v.join(self._weights_side(weights), "token", "left")
+        w0_col = F.lit(None).cast("array<bigint>")
+        seed_w = F.coalesce(*[F.when(F.col("seed") == sd, F.col(f"w_{sd}")) for sd in self.seeds])
+        for sd in self.seeds:
+            w0_col = F.when(F.col("seed") == sd, F.array(*[F.lit(x).cast("bigint") for x in w0[sd]])).otherwise(w0_col)
         factor = (F.col("n") - F.col("i")).cast("bigint")
         wv = F.when(F.col("token").isNull() | (F.col("token") == ""),
                     F.array(*[F.lit(0).cast("bigint")] * k)) \
-            .otherwise(F.coalesce(F.col("w"), F.col("w0")))
+            .otherwise(F.coalesce(seed_w, w0_col))
         j = j.select("variant_id", *[(wv[i] * factor).alias(f"t{i}") for i in range(k)])
         agg = j.groupBy("variant_id").agg(*[F.sum(f"t{i}").alias(f"t{i}") for i in range(k)])
         return agg.select("variant_id", F.array(*[F.coalesce(F.col(f"t{i}"), F.lit(0).cast("bigint"))
@@ -136,7 +175,7 @@ class AdditiveScorer:
         """Grid from precomputed example scores (reused across search iterations)."""
         vs = self.variant_scores(variants, weights, priors, col)
         vt = variants.join(vs, "variant_id")
-        g = ex_scores.join(F.broadcast(vt), list(on))
+        g = ex_scores.join(F.broadcast(vt), list(on))  # variants: bounded by configuration
         return g.withColumn("score", F.zip_with("s", "t", lambda a, b: a + b)).drop("s", "t")
 
 

@@ -193,9 +193,7 @@ def greedy_search(train: DataFrame, dev: DataFrame, triggers: DataFrame, candida
     scorer = scorer or AdditiveScorer()
     spark = train.sparkSession
     ensure_checkpoint_dir(spark)  # the cluster's shared folder; a scratch one only if unset
-    weights, priors = scorer.fit(train)
-    weights = weights.checkpoint()
-    priors = priors.checkpoint()
+    weights, priors = scorer.fit(train)  # materialised by fit
     tr_scores = scorer.example_scores(train, weights, priors).checkpoint()
     dev_scores = scorer.example_scores(dev, weights, priors).checkpoint()
     current = {r["seed"]: list(r["tokens"]) for r in triggers.select("seed", "tokens").collect()}

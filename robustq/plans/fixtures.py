@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from robustq.functions.hashing import hkey, hnum
+from robustq.functions.materialize import materialize
 from robustq.functions.ranking import global_position, next_row, row_number_within
-from robustq.functions.text import line, normalize, words
+from robustq.functions.text import line, normalize, split_pieces, words
 
 # fixed values
 LABELS = ["entailment", "contradiction", "neutral"]  # class ids 0, 1, 2
@@ -100,7 +101,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(token, freq) over every word of every document (partial aggregation per task)."""
     d = table(spark, sf_dir, "documents").select("text")
-    return (d.select(F.explode(words("text")).alias("token"))
+    return (d.select(F.explode(split_pieces("text")).alias("token")).filter(F.col("token") != "")
             .groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
 
 
@@ -121,9 +122,12 @@ def triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
     w = Window.partitionBy("seed").orderBy("h")
     s = s.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= TRIGGER_LEN)
-    return (s.groupBy("seed")
-            .agg(F.array_sort(F.collect_list(F.struct("h", "token"))).alias("ts"))
-            .select("seed", F.transform("ts", lambda x: x["token"]).alias("tokens")))
+    out = (s.groupBy("seed")
+           .agg(F.array_sort(F.collect_list(F.struct("h", "token"))).alias("ts"))
+           .select("seed", F.transform("ts", lambda x: x["token"]).alias("tokens")))
+    # four rows read by every branch of a variant grid: write once instead of re-running
+    # the whole-corpus word count per branch
+    return materialize(out)
 
 
 def label_words(spark: SparkSession, sf_dir: str, k: int = LABEL_TOKENS_K) -> DataFrame:
@@ -133,8 +137,8 @@ def label_words(spark: SparkSession, sf_dir: str, k: int = LABEL_TOKENS_K) -> Da
     from pyspark.sql import Window
     v1 = docs_pairs(spark, sf_dir)
     cid = F.array_position(F.array(*[F.lit(x) for x in LABELS]), F.col("label")) - 1
-    lw = (v1.select("label", F.explode(words(F.concat_ws(" ", "sentence_a", "sentence_b")))
-                    .alias("token"))
+    lw = (v1.select("label", F.explode(split_pieces(F.concat_ws(" ", "sentence_a", "sentence_b")))
+                    .alias("token")).filter(F.col("token") != "")
           .groupBy("label", "token").agg(F.count(F.lit(1)).alias("cnt"))
           .withColumn("class_id", cid.cast("int")))
     own = (lw.groupBy("token")
@@ -142,8 +146,8 @@ def label_words(spark: SparkSession, sf_dir: str, k: int = LABEL_TOKENS_K) -> Da
                 .alias("o"))
            .select("token", "o.label", "o.cnt"))
     w = Window.partitionBy("label").orderBy(F.col("cnt").desc(), F.col("token"))
-    return (own.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
-            .select("label", (F.col("rn") - 1).cast("int").alias("pos"), "token"))
+    return materialize(own.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
+                       .select("label", (F.col("rn") - 1).cast("int").alias("pos"), "token"))
 
 
 def adversarial(pairs: DataFrame) -> DataFrame:

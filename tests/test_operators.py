@@ -128,7 +128,7 @@ def test_factorised_equals_naive(spark):
     sc = scoring.AdditiveScorer()
     w, p = sc.fit(ex)
     grid = {(r.variant_id, r.ex_id): list(r.score) for r in sc.score_grid(ex, var).collect()}
-    wt = {(r.seed, r.token): list(r.w) for r in w.collect()}
+    wt = {(sd, r.token): list(r[f"w_{sd}"]) for r in w.collect() for sd in range(4) if r[f"w_{sd}"] is not None}
     w0 = {r.seed: list(r.w0) for r in p.collect()}
     exs = {r.ex_id: (r.sentence_a + " " + r.sentence_b).split() for r in ex.collect()}
     for v in var.collect():
