@@ -130,7 +130,7 @@ _WAB = sql_words("sentence_a || ' ' || sentence_b")
 
 
 @register("truncate_head", with_views(["v1"], f"""
-    SELECT ex_id, len({_WAB}) AS n_tokens,
+    SELECT ex_id, CAST(len({_WAB}) AS INTEGER) AS n_tokens,
            list_slice({_WAB}, greatest(len({_WAB}) - 255, 1), greatest(len({_WAB}) - 255, 1) + 255) AS tokens
     FROM v1"""))
 def truncate_head(spark, sf):
