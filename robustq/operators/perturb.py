@@ -140,3 +140,15 @@ def chunk_tokens(df: DataFrame, text_col: str, size: int, out: str = "tokens") -
                          .otherwise(F.array().cast("array<int>")),
                          lambda c: F.slice(w, c * size + 1, size))
     return df.select("*", F.posexplode(chunks).alias("chunk", out))
+
+
+def pair_perturbed(orig: DataFrame, pert: DataFrame, on: Sequence[str], label: str = "label") -> DataFrame:
+    """Pair each perturbed row with its original on a caller-given key (an id, or a
+    normalised text made unique upstream) and count label transitions
+    (label_from, label_to, n). Perturbed rows without an original are not paired; the
+    counts show what paired."""
+    o = orig.select(*on, F.col(label).alias("label_from"))
+    p = pert.select(*on, F.col(label).alias("label_to"), *[c for c in pert.columns if c == "pair"])
+    j = o.join(p, list(on))
+    keys = (["pair"] if "pair" in pert.columns else []) + ["label_from", "label_to"]
+    return j.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

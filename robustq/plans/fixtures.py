@@ -21,7 +21,6 @@ TRIGGER_LEN = 10
 TRIGGER_POOL = 500          # triggers are drawn from the most frequent words
 LABEL_TOKENS_K = 10         # ranked label tokens kept per label in the label map
 RESERVED = ["<s>", "<pad>", "</s>", "<unk>", "<mask>"]  # token ids 0..4
-ADV_DROP_MOD = 50           # label-change set lacks rows with hn(ex_id) % 50 = 0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -152,8 +151,8 @@ def label_words(spark: SparkSession, sf_dir: str, k: int = LABEL_TOKENS_K) -> Da
 
 def adversarial(pairs: DataFrame) -> DataFrame:
     """V6: (set, ex_id, sentence_a, sentence_b, label) - original, no label change (first two
-    words of sentence_b swapped) and label change ('not ' + sentence_b, e->c, c->e, n->e;
-    rows with hn(ex_id) % 50 = 0 absent, like the shipped label-change files)."""
+    words of sentence_b swapped) and label change ('not ' + sentence_b, e->c, c->e, n->e).
+    Every input row appears in all three sets."""
     wb = words("sentence_b")
     swapped = F.when(F.size(wb) >= 2, F.array_join(
         F.concat(F.array(F.get(wb, 1), F.get(wb, 0)), F.slice(wb, 3, F.size(wb) - 2)), " ")
@@ -163,7 +162,6 @@ def adversarial(pairs: DataFrame) -> DataFrame:
     d = pairs.select("ex_id", "sentence_a", "sentence_b", "label",
                      F.explode(F.array(F.lit("original"), F.lit("no_change"), F.lit("change")))
                      .alias("set"))
-    d = d.filter((F.col("set") != "change") | (hnum("ex_id") % ADV_DROP_MOD != 0))
     st = F.col("set")
     return d.select(
         "set", "ex_id", "sentence_a",

@@ -114,7 +114,7 @@ def adversarial_sql(src: str) -> str:
         UNION ALL
         SELECT 'change', ex_id, sentence_a, 'not ' || sentence_b,
                CASE WHEN label = 'entailment' THEN 'contradiction' ELSE 'entailment' END
-        FROM {src} WHERE {sql_hnum('ex_id')} % 50 <> 0"""
+        FROM {src}"""
 
 
 VIEWS["v6"] = (["v1"], adversarial_sql("v1"))

@@ -257,3 +257,41 @@ def test_next_row_matches_lead(spark):
     a = {r.k: r.next_v for r in next_row(df, ["k"], ["v"]).collect()}
     b = {r.k: r.nv for r in df.withColumn("nv", F.lead("v").over(Window.orderBy("k"))).collect()}
     assert a == b
+
+
+# -- C5 parity and the E8 model hook -------------------------------------------------------
+def test_scatter_fills_in_order_and_parity_mode(spark):
+    from robustq.plans.q_prompts import scatter, scatter_parity
+    df = spark.createDataFrame([(1, ["a", "[T]", "[T]", "b"], ["x", "y", "z"]),
+                                (2, ["[T]", "[T]", "[T]"], ["x", "y"])],
+                               "ex_id long, tokens array<string>, trig array<string>")
+    got = {r.ex_id: r.tokens for r in scatter(df).collect()}
+    assert got[1] == ["a", "x", "y", "b"]            # surplus trigger tokens ignored
+    assert got[2] == ["[T]", "[T]", "[T]"]           # too few tokens: unchanged
+    one = spark.createDataFrame([(i, ["s", "[T]", "e"], [f"t{j}" for j in range(10)]) for i in range(40)],
+                                "ex_id long, tokens array<string>, trig array<string>")
+    p = {r.ex_id: r.tokens[1] for r in scatter_parity(one, ["ex_id"]).collect()}
+    assert p[0] == "t0" and p[9] == "t9" and p[10] == "t0" and p[31] == "t1" and p[32] == "t0"
+
+
+def test_model_hook_scores_in_arrow_batches(spark):
+    import pandas as pd
+    ex = spark.createDataFrame([(i, "a b", "c", "entailment") for i in range(20)],
+                               "ex_id long, sentence_a string, sentence_b string, label string")
+    var = spark.createDataFrame([(s, f"v{s}", ["x"]) for s in range(2)], "seed int, variant_id string, tokens array<string>")
+
+    def model(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [(r.variant_id, r.ex_id, lab, float(len(r.sentence_a) + k))
+                for r in pdf.itertuples() for k, lab in enumerate(["entailment", "contradiction", "neutral"])]
+        return pd.DataFrame(rows, columns=["variant_id", "ex_id", "label", "logit"])
+
+    out = scoring.score_with_model(ex, var, model, "variant_id string, ex_id long, label string, logit double")
+    assert out.count() == 20 * 2 * 3
+
+
+def test_pair_perturbed_with_missing_rows(spark):
+    # The label-change set lacks a row of the original set; pairing is by key
+    orig = spark.createDataFrame([(1, "entailment"), (2, "contradiction"), (3, "neutral")], "ex_id long, label string")
+    pert = spark.createDataFrame([(1, "contradiction"), (3, "entailment")], "ex_id long, label string")
+    out = {(r.label_from, r.label_to): r.n for r in perturb.pair_perturbed(orig, pert, ["ex_id"]).collect()}
+    assert out == {("entailment", "contradiction"): 1, ("neutral", "entailment"): 1}
