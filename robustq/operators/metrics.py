@@ -92,7 +92,7 @@ def perturbation_report(results: DataFrame, family: str = "ap") -> DataFrame:
     lab = spark.createDataFrame([(r, m, f"{family}-{s}") for r, m, s in PERTURBATION_ROWS],
                                 "row_no int, method string, exp_name string")
     agg = results.groupBy("exp_name").agg(mean_pct("acc").alias("a"))
-    return (F.broadcast(lab).join(agg, "exp_name", "left")
+    return (lab.join(F.broadcast(agg), "exp_name", "left")  # one row per experiment
             .select("row_no", "method", F.col("a").alias("avg_acc")))
 
 
@@ -102,10 +102,11 @@ def mp_deletion_report(results: DataFrame) -> DataFrame:
     lab = _label_table(spark, MP_DELETION_ROWS)
     by_idx = results.groupBy("del_idx").agg(mean_pct("acc").alias("a"))
     by_n = results.groupBy("n_del").agg(mean_pct("acc").alias("a"))
-    rows_idx = F.broadcast(lab.filter(F.col("del_idx").isNotNull()).drop("n_del")) \
-        .join(by_idx, "del_idx", "left").select("row_no", "method", "a")
-    rows_n = F.broadcast(lab.filter(F.col("n_del").isNotNull()).drop("del_idx")) \
-        .join(by_n, "n_del", "left").select("row_no", "method", "a")
+    # the aggregates have one row per deletion pattern / count (bounded): broadcast them
+    rows_idx = lab.filter(F.col("del_idx").isNotNull()).drop("n_del") \
+        .join(F.broadcast(by_idx), "del_idx", "left").select("row_no", "method", "a")
+    rows_n = lab.filter(F.col("n_del").isNotNull()).drop("del_idx") \
+        .join(F.broadcast(by_n), "n_del", "left").select("row_no", "method", "a")
     return rows_idx.unionByName(rows_n).select("row_no", "method", F.col("a").alias("avg_acc"))
 
 

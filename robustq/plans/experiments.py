@@ -77,8 +77,15 @@ def template_col(family: str) -> F.Column:
 
 def predictions(examples: DataFrame, variants: DataFrame, train: DataFrame | None = None,
                 scorer: AdditiveScorer | None = None, on=("seed",), key=("ex_id",)) -> DataFrame:
-    """E8 + E2/E3: one row per (variant, example) with pred and correct."""
+    """E8 + E2/E3: one row per (variant, example) with pred and correct.
+
+    When the examples are also the training rows they are read twice (training sample and
+    example scores); they are then materialised once, so the source scan (the whole
+    documents text column for V1) runs once."""
+    from robustq.functions.materialize import materialize
     scorer = scorer or AdditiveScorer()
+    if train is None:
+        examples = materialize(examples)
     grid = scorer.score_grid(examples, variants, train, on=on, key=key)
     return predict_from_scores(grid)
 
@@ -90,7 +97,8 @@ def evaluate(examples: DataFrame, variants: DataFrame, task: str, family: str =
     preds = predictions(examples, variants, train, scorer, on, key)
     acc = accuracy(preds.select("variant_id", "correct"), ["variant_id"], eps)
     v = variants.drop(*[c for c in on if c != "seed"]).withColumn("template", template_col(family))
-    return (F.broadcast(v).join(acc, "variant_id", "left")
+    # one accuracy row per variant (bounded): broadcast as the build side of the outer join
+    return (v.join(F.broadcast(acc), "variant_id", "left")
             .select("exp_name", F.lit(task).alias("task"), F.lit(MODEL).alias("model"), "seed",
                     "template", F.coalesce(F.col("acc"), F.lit(0.0)).alias("acc"), "del_idx", "n_del",
                     F.coalesce(F.col("n_examples"), F.lit(0).cast("bigint")).alias("n_examples")))

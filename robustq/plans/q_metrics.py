@@ -70,7 +70,8 @@ _ADV_VAR = " UNION ALL ".join(
 def perturbation_report(spark, sf):
     """accuracy on the no-change, change and original sets (weights learnt on V1);
     the three sets are scored in one pass keyed by (set, ex_id)."""
-    v1 = fx.docs_pairs(spark, sf)
+    from robustq.functions.materialize import materialize
+    v1 = materialize(fx.docs_pairs(spark, sf))  # training rows and the base of the three sets
     trig = fx.triggers(spark, sf)
     var = None
     for s, e in _ADV_SETS:

@@ -92,7 +92,7 @@ def split_registry(spark, sf):
         F.count(F.lit(1)).alias("n_rows"),
         *[F.sum(F.when(F.col("label") == lab, 1).otherwise(0)).cast("bigint").alias(f"n_{lab}")
           for lab in ("entailment", "contradiction", "neutral")])
-    return F.broadcast(man).join(stats, "ds", "left").select(
+    return man.join(F.broadcast(stats), "ds", "left").select(  # one stats row per dataset
         "family", "task", "eval_type", "ds", "n_rows", "n_entailment", "n_contradiction", "n_neutral")
 
 

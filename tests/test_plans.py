@@ -43,3 +43,9 @@ def test_train_sample_uses_partial_topk(spark):
     from robustq.plans.fixtures import docs_pairs
     p = plan(train_sample(docs_pairs(spark, SF_SMALL)))
     assert "WindowGroupLimit" in p
+
+
+def test_flagship_has_no_sort_merge_join(spark):
+    # every join of the deletion report is against a bounded or counted table
+    p = plan(entry.queries()["deletion_report"](spark, SF_SMALL))
+    assert "SortMergeJoin" not in p
