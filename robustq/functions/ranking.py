@@ -6,8 +6,9 @@ rows on ``(g, o)`` across all partitions, numbers rows by partition offset and s
 group's start position. Only one row per *partition* (offsets) and one row per *group*
 (start positions, partially aggregated) ever meet in a small table.
 
-``order`` must be a total order (end it with a unique key): the result is then
-deterministic and identical on recomputation after executor loss.
+``order`` must be a total order (end it with a unique key). Partition and row ids are
+checkpointed once (range bounds come from sampling), so every read of the numbering agrees
+and a lost executor recomputes nothing upstream.
 """
 
 from __future__ import annotations
@@ -22,20 +23,33 @@ def _cols(cs) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cs]
 
 
-def global_position(df: DataFrame, order: Sequence, name: str = "_pos") -> DataFrame:
-    """Add a 0-based global position following ``order`` (a total order)."""
-    s = (df.orderBy(*_cols(order))
+def global_position(df: DataFrame, order: Sequence, name: str = "_pos",
+                    keys: Sequence[str] | None = None) -> DataFrame:
+    """Add a 0-based global position following ``order`` (a total order).
+
+    ``keys`` are the columns that make the order total (default: the column names in
+    ``order``). Only the keys are range-sorted; their partition ids and row ids are then
+    checkpointed once, because range bounds come from sampling and a second evaluation of
+    the sort could partition differently. Offsets per partition (one row each) come from
+    that fixed copy, and the positions are joined back to the rows on the keys."""
+    from robustq.functions.materialize import materialize
+    if keys is None:
+        if not all(isinstance(o, str) for o in order):
+            raise ValueError("pass keys= when the order contains expressions")
+        keys = list(order)
+    keys = list(keys)
+    s = (df.select(*keys).orderBy(*_cols(order))
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_mid", F.monotonically_increasing_id()))
-    # One row per partition: its size and first id. Both branches read the same sort
-    # exchange (reused), so partition contents agree.
+    s = materialize(s)
     parts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = parts.select("_pid", "_m0",
-                        F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    out = s.join(F.broadcast(offs), "_pid")
-    return (out.withColumn(name, F.col("_off") + F.col("_mid") - F.col("_m0"))
-            .drop("_pid", "_mid", "_m0", "_off"))
+    offs = parts.select("_pid", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    pos = (s.join(F.broadcast(offs), "_pid")  # one row per partition
+           .select(*keys, (F.col("_off") + F.col("_mid") - F.col("_m0")).alias(name)))
+    if set(df.columns) <= set(keys):
+        return pos.select(*df.columns, name)
+    return df.join(pos, keys)
 
 
 def row_number_within(df: DataFrame, partition: Sequence[str], order: Sequence,

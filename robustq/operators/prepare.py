@@ -146,7 +146,7 @@ def build_vocab(df: DataFrame, col: str = "text") -> DataFrame:
     reserved ones; numbering is skew-safe (no single-partition window)."""
     wc = (df.select(F.explode(split_pieces(col)).alias("token")).filter(F.col("token") != "")
           .groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
-    pos = global_position(wc, [F.col("freq").desc(), F.col("token")], "_p")
+    pos = global_position(wc, [F.col("freq").desc(), F.col("token")], "_p", keys=["freq", "token"])
     return pos.select("token", (F.col("_p") + len(SPECIAL_IDS)).alias("token_id"), "freq")
 
 

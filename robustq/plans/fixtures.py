@@ -107,7 +107,7 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4: (token, token_id, freq); ids by (freq desc, token) after the 5 reserved ids."""
     wc = word_counts(spark, sf_dir)
-    pos = global_position(wc, [F.col("freq").desc(), F.col("token")], "_pos")
+    pos = global_position(wc, [F.col("freq").desc(), F.col("token")], "_pos", keys=["freq", "token"])
     return pos.select("token", (F.col("_pos") + len(RESERVED)).alias("token_id"), "freq")
 
 
