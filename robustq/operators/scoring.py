@@ -243,8 +243,18 @@ def gold_label_lookup(vectors: DataFrame, n_labels: int = 10) -> DataFrame:
     table = label_token_ids(n_labels)
     lm = vectors.sparkSession.range(1).select(
         F.posexplode(table).alias("label_name", "ids"))  # 10-row label map
-    gold_ids = vectors.select("vec_id", F.element_at(table, F.col("label") + 1).alias("ids"))
-    return gold_ids.join(F.broadcast(lm), "ids").select("vec_id", "label_name")
+    gold_ids = vectors.select("vec_id", F.try_element_at(table, F.col("label") + 1).alias("ids"))
+    j = gold_ids.join(F.broadcast(lm), "ids", "left")
+    # every row must map back to a label (the reference asserts): fail the job otherwise
+    name = F.when(F.col("label_name").isNull(),
+                  F.raise_error(F.concat(F.lit("gold label ids match no label: vec_id "),
+                                         F.col("vec_id").cast("string")))).otherwise(F.col("label_name"))
+    return j.select("vec_id", name.cast("int").alias("label_name"))
+
+
+def confusion_counts(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """E7 companion: (by..., gold, pred, n) from a predictions table."""
+    return preds.groupBy(*by, "gold", "pred").agg(F.count(F.lit(1)).alias("n"))
 
 
 def verbalizer_argmax(vectors: DataFrame, n_labels: int = 10) -> DataFrame:

@@ -82,6 +82,19 @@ def write_facts(flat: DataFrame, path: str, chunk: int = 64, id_col: str = "ev_i
     out.write.mode("overwrite").json(path)
 
 
+# fixed values: input suffix -> reader (A3 dispatch)
+READERS = {".tsv": "pairs", ".jsonl": "facts", ".json": "facts"}
+
+
+def read_any(spark: SparkSession, path: str) -> DataFrame:
+    """Pick the reader from the file suffix (.tsv pairs, .jsonl/.json facts); an unknown
+    suffix is an error."""
+    for suffix, kind in READERS.items():
+        if path.rstrip("/").endswith(suffix):
+            return read_pairs(spark, path) if kind == "pairs" else read_facts(spark, path)
+    raise ValueError(f"no reader for {path}")
+
+
 # -- A4 / A6 ------------------------------------------------------------------------
 def label_map_json(labelmap: DataFrame) -> DataFrame:
     """(label, pos, token) -> one row with a JSON object {label: [tokens in rank order]}.

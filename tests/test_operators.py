@@ -295,3 +295,26 @@ def test_pair_perturbed_with_missing_rows(spark):
     pert = spark.createDataFrame([(1, "contradiction"), (3, "entailment")], "ex_id long, label string")
     out = {(r.label_from, r.label_to): r.n for r in perturb.pair_perturbed(orig, pert, ["ex_id"]).collect()}
     assert out == {("entailment", "contradiction"): 1, ("neutral", "entailment"): 1}
+
+
+def test_gold_lookup_fails_on_unknown_and_confusion(spark):
+    import pytest
+    ok = _vec(spark, [(0, [0.0] * 64, 3), (1, [0.0] * 64, 9)])
+    assert {r.vec_id: r.label_name for r in scoring.gold_label_lookup(ok).collect()} == {0: 3, 1: 9}
+    bad = _vec(spark, [(0, [0.0] * 64, 42)])
+    with pytest.raises(Exception):
+        scoring.gold_label_lookup(bad).collect()
+    p = spark.createDataFrame([("a", "a"), ("a", "b"), ("a", "a")], "gold string, pred string")
+    assert {(r.gold, r.pred): r.n for r in scoring.confusion_counts(p).collect()} == {("a", "a"): 2, ("a", "b"): 1}
+
+
+def test_read_any_dispatch(spark, tmp_path):
+    import pytest
+
+    from robustq.sources import io
+    d = tmp_path / "pairs.tsv"
+    df = spark.createDataFrame([(1, 'he said "hi"', "b", "neutral")], io.PAIRS_SCHEMA)
+    io.write_pairs(df, str(d))
+    assert [tuple(r) for r in io.read_any(spark, str(d)).collect()] == [(1, 'he said "hi"', "b", "neutral")]
+    with pytest.raises(ValueError):
+        io.read_any(spark, str(tmp_path / "x.csv"))
