@@ -153,14 +153,12 @@ def build_vocab(df: DataFrame, col: str = "text") -> DataFrame:
 def encode_tokens(df: DataFrame, col: str, vocab: DataFrame, key: str = "ex_id", out: str = "ids") -> DataFrame:
     """Words of ``col`` -> ids (unknown -> <unk>), in position order. The vocabulary grows
     with the data, so the join is left to AQE (broadcast only when it is small)."""
-    e = df.select(key, F.posexplode(words(col)).alias("pos", "token"))
+    e = df.select(key, F.posexplode_outer(words(col)).alias("pos", "token"))  # keeps word-less rows
     j = e.join(vocab.select("token", "token_id"), "token", "left")
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
-        "pos", F.coalesce(F.col("token_id"), F.lit(UNK_ID).cast("bigint")).alias("id")))).alias("_s"))
-    enc = g.select(key, F.transform("_s", lambda s: s["id"]).alias(out))
-    # rows whose text has no words still get an (empty) encoding
-    return df.select(key).join(enc, key, "left").select(
-        key, F.coalesce(F.col(out), F.array().cast("array<bigint>")).alias(out))
+    entry = F.when(F.col("pos").isNotNull(), F.struct(
+        "pos", F.coalesce(F.col("token_id"), F.lit(UNK_ID).cast("bigint")).alias("id")))
+    g = j.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_s"))  # NULLs are skipped
+    return g.select(key, F.transform("_s", lambda s: s["id"]).alias(out))
 
 
 # -- B11 ----------------------------------------------------------------------------

@@ -318,3 +318,10 @@ def test_read_any_dispatch(spark, tmp_path):
     assert [tuple(r) for r in io.read_any(spark, str(d)).collect()] == [(1, 'he said "hi"', "b", "neutral")]
     with pytest.raises(ValueError):
         io.read_any(spark, str(tmp_path / "x.csv"))
+
+
+def test_encode_tokens_keeps_wordless_rows(spark):
+    df = spark.createDataFrame([(1, "a b zz"), (2, "   "), (3, "b")], "ex_id long, t string")
+    voc = spark.createDataFrame([("a", 5), ("b", 6)], "token string, token_id long")
+    got = {r.ex_id: r.ids for r in prepare.encode_tokens(df, "t", voc).collect()}
+    assert got == {1: [5, 6, 3], 2: [], 3: [6]}
