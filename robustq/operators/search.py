@@ -218,10 +218,13 @@ def greedy_search(train: DataFrame, dev: DataFrame, triggers: DataFrame, candida
         trig_df = spark.createDataFrame([(s, t) for s, t in current.items()], "seed int, tokens array<string>")
         var = candidate_variants(trig_df, candidates, it, n_tokens)
         p = predict_from_scores(scorer.grid_from(tr_scores, var, weights, priors))
-        counts = (p.groupBy("seed", "cand_rank", "token").agg(F.sum(F.col("correct").cast("int")).alias("n_correct")))
-        dec = score_candidates(counts).filter(F.col("accepted")).select("seed", "token", "n_correct", "cur_correct")
-        slots = {r["seed"]: r["slot"] for r in var.select("seed", "slot").distinct().collect()}
-        accepted = {r["seed"]: (r["token"], r["n_correct"], r["cur_correct"]) for r in dec.collect()}
+        counts = (p.groupBy("seed", "slot", "cand_rank", "token")
+                  .agg(F.sum(F.col("correct").cast("int")).alias("n_correct")))
+        # one bounded collect per step: every candidate's count and the accept decision
+        rows = score_candidates(counts).select("seed", "slot", "token", "n_correct", "cur_correct",
+                                               "accepted").collect()
+        slots = {r["seed"]: r["slot"] for r in rows}
+        accepted = {r["seed"]: (r["token"], r["n_correct"], r["cur_correct"]) for r in rows if r["accepted"]}
         for s, (tok, n_c, _) in accepted.items():
             current[s][slots[s]] = tok
         devs = dev_acc({s: current[s] for s in accepted}) if accepted else {}

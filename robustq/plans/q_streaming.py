@@ -18,5 +18,5 @@ def stream_accuracy(spark, sf):
     preds = ex.predictions(fx.docs_pairs(spark, sf), ex.ap_deletion_variants(fx.triggers(spark, sf)))
     base = scratch_dir(spark, "stream")
     preds.select("variant_id", "correct").repartition(4).write.mode("overwrite").parquet(f"{base}/in")
-    out = run_available(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", ["variant_id"])
+    out = run_available(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", ["variant_id"], files_per_batch=2)
     return out.select("variant_id", "acc", "n_examples")
