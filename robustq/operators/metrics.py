@@ -141,23 +141,29 @@ def strict_best(log: DataFrame, partition: Sequence[str], order: str, metric: st
 
 
 def eval_marks(log: DataFrame, interval: int, rows: int, bsz: int, partition: Sequence[str] = ("run",),
-               order: str = "step", value: str = "loss") -> DataFrame:
+               order: str = "step", value: str = "loss", fanout: int = 1024) -> DataFrame:
     """F8: evaluation marks every ``interval`` steps (steps are 1-based and dense) with
     epoch = int(step / (rows / bsz)) and the cumulative loss up to the mark.
 
-    Losses are first summed per block of ``interval`` steps (partial aggregation), so the
-    running sum runs over one row per block, not per step: a hot run stays small."""
+    Two-level prefix sum so a hot run never sits in one task: losses are summed per block
+    of ``interval`` steps (partial aggregation), blocks per superblock of ``fanout``
+    blocks; the running sum is the sum of earlier superblocks (a window over one row per
+    superblock) plus the running sum inside the superblock (at most ``fanout`` rows)."""
     steps_per_epoch = rows / bsz
     blk = F.floor((F.col(order) - 1) / interval).cast("bigint")
     b = log.groupBy(*partition, blk.alias("_blk")).agg(F.sum(value).alias("_s"),
                                                        F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*partition).orderBy("_blk").rowsBetween(Window.unboundedPreceding, 0)
-    b = b.withColumn("cum_loss", F.round(F.sum("_s").over(w), 6))
+    b = b.withColumn("_sup", F.floor(F.col("_blk") / fanout).cast("bigint"))
+    sup = b.groupBy(*partition, "_sup").agg(F.sum("_s").alias("_ss"))
+    ws = Window.partitionBy(*partition).orderBy("_sup").rowsBetween(Window.unboundedPreceding, -1)
+    sup = sup.select(*partition, "_sup", F.coalesce(F.sum("_ss").over(ws), F.lit(0.0)).alias("_before"))
+    wi = Window.partitionBy(*partition, "_sup").orderBy("_blk").rowsBetween(Window.unboundedPreceding, 0)
+    b = b.withColumn("_inside", F.sum("_s").over(wi)).join(sup, [*partition, "_sup"])
     mark = ((F.col("_blk") + 1) * interval).cast("bigint")
     return (b.filter(F.col("_n") == interval)
             .select(*partition, mark.alias(order),
                     F.floor(mark / F.lit(steps_per_epoch)).cast("bigint").alias("epoch_no"),
-                    "cum_loss"))
+                    F.round(F.col("_before") + F.col("_inside"), 6).alias("cum_loss")))
 
 
 def round6(c: Column) -> Column:

@@ -325,3 +325,10 @@ def test_encode_tokens_keeps_wordless_rows(spark):
     voc = spark.createDataFrame([("a", 5), ("b", 6)], "token string, token_id long")
     got = {r.ex_id: r.ids for r in prepare.encode_tokens(df, "t", voc).collect()}
     assert got == {1: [5, 6, 3], 2: [], 3: [6]}
+
+
+def test_eval_marks_two_level_prefix(spark):
+    log = spark.createDataFrame([(1, i, float(i)) for i in range(1, 101)], "run long, step long, loss double")
+    for fanout in (1, 3, 1024):
+        got = {r.step: r.cum_loss for r in mt.eval_marks(log, 5, 200, 16, fanout=fanout).collect()}
+        assert got == {m: float(m * (m + 1) // 2) for m in range(5, 101, 5)}
