@@ -30,3 +30,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tup
     m = materialize(df)
     n = m.count()
     return (F.broadcast(m), True) if n <= max_rows else (m, False)
+
+
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Round-robin a scan whose input has fewer partitions than ``factor`` x the cluster's
+    parallelism (a few large row groups cannot be split by the reader, so one task would
+    do all per-row work). A no-op on large inputs, which already have many splits; column
+    pruning and filters still reach the scan below the repartition."""
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

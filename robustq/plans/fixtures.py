@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from robustq.functions.hashing import hkey, hnum
-from robustq.functions.materialize import materialize
+from robustq.functions.materialize import materialize, spread
 from robustq.functions.ranking import global_position, next_row, row_number_within
 from robustq.functions.text import line, normalize, split_pieces, words
 
@@ -23,8 +23,13 @@ LABEL_TOKENS_K = 10         # ranked label tokens kept per label in the label ma
 RESERVED = ["<s>", "<pad>", "</s>", "<unk>", "<mask>"]  # token ids 0..4
 
 
+# tables whose rows carry heavy per-row work (whole texts split into words)
+SPREAD = {"documents"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in SPREAD else df
 
 
 def label_case(toxic: str = "toxic", quality: str = "quality"):
