@@ -119,25 +119,30 @@ def running_mean(log: DataFrame, partition: Sequence[str] = ("run", "epoch"),
 
 
 def strict_best(log: DataFrame, partition: Sequence[str], order: str, metric: str,
-                start: float | None = 0.0, block: int = 1024) -> DataFrame:
+                start: float | None = 0.0, block: int = 1024, fanout: int = 1024) -> DataFrame:
     """keep the rows whose metric strictly exceeds every earlier metric and ``start``
     (0 for probe/fine-tune, None = -inf for trigger search).
 
-    ``order`` is a dense 1-based step. The running maximum is computed in two levels so a
-    hot run never lands in one task: the maximum of every block of ``block`` steps
-    (partial aggregation), a prefix maximum over the blocks of a run (one row per block),
-    then a window inside each (run, block) pair, which is bounded by ``block`` rows."""
+    ``order`` is a dense 1-based step. The running maximum is built in levels so a hot run
+    never lands in one task: block maxima of ``block`` steps and superblock maxima of
+    ``fanout`` blocks (partial aggregations); a prefix maximum over superblocks (one row
+    each), then over the blocks inside a superblock (at most ``fanout`` rows), then over
+    the steps inside a block (at most ``block`` rows)."""
     blk = F.floor((F.col(order) - 1) / block).cast("bigint")
-    d = log.withColumn("_blk", blk)
-    bmax = d.groupBy(*partition, "_blk").agg(F.max(metric).alias("_bm"))
-    wb = Window.partitionBy(*partition).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    bmax = bmax.select(*partition, "_blk", F.max("_bm").over(wb).alias("_before"))
+    d = log.withColumn("_blk", blk).withColumn("_sup", F.floor(F.col("_blk") / fanout).cast("bigint"))
+    bmax = d.groupBy(*partition, "_sup", "_blk").agg(F.max(metric).alias("_bm"))
+    smax = bmax.groupBy(*partition, "_sup").agg(F.max("_bm").alias("_sm"))
+    ws = Window.partitionBy(*partition).orderBy("_sup").rowsBetween(Window.unboundedPreceding, -1)
+    smax = smax.select(*partition, "_sup", F.max("_sm").over(ws).alias("_before_sup"))
+    wb = Window.partitionBy(*partition, "_sup").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    bmax = (bmax.select(*partition, "_sup", "_blk", F.max("_bm").over(wb).alias("_before_blk"))
+            .join(smax, [*partition, "_sup"]))
     wi = Window.partitionBy(*partition, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_inside", F.max(metric).over(wi)).join(bmax, [*partition, "_blk"])
+    d = d.withColumn("_inside", F.max(metric).over(wi)).join(bmax, [*partition, "_sup", "_blk"])
     floor = F.lit(start) if start is not None else F.lit(float("-inf"))
-    best = F.greatest(F.coalesce(F.col("_before"), floor), F.coalesce(F.col("_inside"), floor), floor)
+    best = F.greatest(*[F.coalesce(F.col(c), floor) for c in ("_before_sup", "_before_blk", "_inside")], floor)
     return (d.withColumn("_best", best).filter(F.col(metric) > F.col("_best"))
-            .drop("_best", "_blk", "_before", "_inside"))
+            .drop("_best", "_blk", "_sup", "_before_sup", "_before_blk", "_inside"))
 
 
 def eval_marks(log: DataFrame, interval: int, rows: int, bsz: int, partition: Sequence[str] = ("run",),

@@ -184,8 +184,9 @@ def test_strict_best_and_running_mean(spark):
     assert [r.step for r in mt.strict_best(log, ["run"], "step", "loss", start=None).orderBy("step").collect()] == [1, 3, 5]
     assert [r.step for r in mt.strict_best(log, ["run"], "step", "loss", start=0.55).orderBy("step").collect()] == [3, 5]
     # several blocks per run give the same answer as one block
-    for b in (1, 2, 3):
-        got = [r.step for r in mt.strict_best(log, ["run"], "step", "loss", start=None, block=b).orderBy("step").collect()]
+    for b, f in ((1, 1), (1, 2), (2, 1), (2, 2), (3, 1024)):
+        got = [r.step for r in mt.strict_best(log, ["run"], "step", "loss", start=None, block=b, fanout=f)
+               .orderBy("step").collect()]
         assert got == [1, 3, 5]
     rm = [r.running_loss for r in mt.running_mean(log).orderBy("step").collect()]
     assert rm == [0.5, 0.45, 0.5, 0.525, 0.56]
@@ -332,3 +333,19 @@ def test_eval_marks_two_level_prefix(spark):
     for fanout in (1, 3, 1024):
         got = {r.step: r.cum_loss for r in mt.eval_marks(log, 5, 200, 16, fanout=fanout).collect()}
         assert got == {m: float(m * (m + 1) // 2) for m in range(5, 101, 5)}
+
+
+def test_multilevel_windows_match_plain_windows(spark):
+    import random
+    rnd = random.Random(7)
+    rows = [(r, s, float(rnd.randint(0, 50))) for r in (1, 2) for s in range(1, 60)]
+    log = spark.createDataFrame(rows, "run long, step long, loss double")
+    w = Window.partitionBy("run").orderBy("step")
+    prev = F.max("loss").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    want = {(r.run, r.step) for r in log.withColumn("p", prev).filter(F.col("loss") > F.coalesce("p", F.lit(float("-inf")))).collect()}
+    got = {(r.run, r.step) for r in mt.strict_best(log, ["run"], "step", "loss", start=None, block=3, fanout=2).collect()}
+    assert got == want
+    cum = {(r.run, r.step): round(r.c, 6) for r in log.withColumn("c", F.sum("loss").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+           .filter(F.col("step") % 4 == 0).collect()}
+    marks = {(r.run, r.step): r.cum_loss for r in mt.eval_marks(log, 4, 200, 16, fanout=2).collect()}
+    assert marks == cum
