@@ -63,13 +63,13 @@ class AdditiveScorer:
 
         weights: one row per token seen in any seed's training sample, with ``w_<seed>``
         (array<bigint> per label, NULL when that seed never saw the token); priors: one row
-        per seed with ``w0`` (the weight of an unseen word). Both are materialised once:
-        they are bounded by the training size, not by the data, and every scoring step
-        reads them. ``sample=False`` trains on the rows given (one row set per seed)."""
+        per seed with ``w0`` (the weight of an unseen word). Both are bounded by the
+        training size, not by the data: the weights are materialised once, the priors are
+        built from the per-seed totals (one row per seed) as plan literals. ``sample=False`` trains on the rows given (one row set per seed)."""
         from robustq.functions.materialize import materialize
         tr = train_sample(examples, self.seeds, self.train_rows) if sample else examples
-        # the training rows (seeds x train_rows) are written once; weights and priors are
-        # small aggregates recomputed from them cheaply wherever they are read
+        # the training rows (seeds x train_rows) are written once: the totals and the
+        # weights below both read them
         tr = materialize(tr.select("seed", "label", "sentence_a", "sentence_b"))
         k = len(self.labels)
         tw = tr.select("seed", class_id(F.col("label"), self.labels).alias("cid"),
@@ -77,20 +77,26 @@ class AdditiveScorer:
             .filter(F.col("token") != "")
         counts = tw.groupBy("seed", "token").agg(
             *[F.sum(F.when(F.col("cid") == i, 1).otherwise(0)).alias(f"c{i}") for i in range(k)])
-        totals = tw.groupBy("seed").agg(
+        # one row per seed: the denominators N_y + F become literals of the weight plan
+        totals = {r["seed"]: [r[f"n{i}"] + r["nf"] for i in range(k)] for r in tw.groupBy("seed").agg(
             F.countDistinct("token").alias("nf"),
-            *[F.sum(F.when(F.col("cid") == i, 1).otherwise(0)).alias(f"n{i}") for i in range(k)])
+            *[F.sum(F.when(F.col("cid") == i, 1).otherwise(0)).alias(f"n{i}") for i in range(k)]).collect()}
 
         def w(c: Column, i: int) -> Column:
-            return F.round(F.lit(float(SCALE)) * F.log((c + 1) / (F.col(f"n{i}") + F.col("nf")))
-                           ).cast("bigint")
-
-        priors = totals.select("seed", F.array(*[w(F.lit(0), i) for i in range(k)]).alias("w0"))
-        long_w = (counts.join(F.broadcast(totals), "seed")  # one row per seed
-                  .select("seed", "token", F.array(*[w(F.col(f"c{i}"), i) for i in range(k)]).alias("w")))
-        wide = long_w.groupBy("token").agg(
+            den = F.lit(None).cast("bigint")
+            for sd, d in totals.items():
+                den = F.when(F.col("seed") == sd, F.lit(d[i])).otherwise(den)
+            return F.round(F.lit(float(SCALE)) * F.log((c + 1) / den)).cast("bigint")
+
+        spark = examples.sparkSession
+        seed_rows = spark.createDataFrame([(sd,) for sd in sorted(totals)], "seed int")
+        priors = seed_rows.select("seed", F.array(*[w(F.lit(0), i) for i in range(k)]).alias("w0"))
+        long_w = counts.select("seed", "token", F.array(*[w(F.col(f"c{i}"), i) for i in range(k)]).alias("w"))
+        # bounded by the training sample, not the data, and read by every scoring step
+        # (example side, variant side, search iterations): written once
+        wide = materialize(long_w.groupBy("token").agg(
             *[F.first(F.when(F.col("seed") == sd, F.col("w")), ignorenulls=True).alias(f"w_{sd}")
-              for sd in self.seeds])
+              for sd in self.seeds]))
         return wide, priors
 
     def _prior_lits(self, priors: DataFrame) -> dict[int, list[int]]:

@@ -89,9 +89,15 @@ def token_filter(spark, sf):
 
 
 def candidates(spark, sf):
-    """Top-10 allowed tokens by frequency, for every seed (bounded: seeds x 10)."""
-    top = allowed(spark, sf).orderBy("token_id").limit(N_CAND)
-    top = top.withColumn("cand_rank", F.row_number().over(__import__("pyspark.sql").sql.Window.orderBy("token_id")))
+    """Top-10 allowed tokens by frequency, for every seed (bounded: seeds x 10).
+
+    Vocabulary ids follow (freq desc, token), so the first ids are a top-k over the word
+    counts: no global numbering of the whole vocabulary is needed for them."""
+    from pyspark.sql import Window
+    order = [F.col("freq").desc(), F.col("token")]
+    top = (se.allowed_tokens(fx.word_counts(spark, sf), fx.label_words(spark, sf), SPECIALS)
+           .orderBy(*order).limit(N_CAND))  # TakeOrderedAndProject
+    top = top.withColumn("cand_rank", F.row_number().over(Window.orderBy(*order)))  # k rows
     return top.select(F.explode(F.array(*[F.lit(s) for s in fx.SEEDS])).alias("seed"), "cand_rank", "token")
 
 
