@@ -116,10 +116,12 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pos.select("token", (F.col("_pos") + len(RESERVED)).alias("token_id"), "freq")
 
 
-def triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def triggers(spark: SparkSession, sf_dir: str, wc: DataFrame | None = None) -> DataFrame:
     """(seed, tokens[10]) - per seed, the 10 words of the 500 most frequent words with
-    the smallest md5(seed:token), in that order."""
-    top = (word_counts(spark, sf_dir).orderBy(F.col("freq").desc(), F.col("token"))
+    the smallest md5(seed:token), in that order. ``wc``: the word counts, when a query has
+    already materialised them for another use."""
+    wc = wc if wc is not None else word_counts(spark, sf_dir)
+    top = (wc.orderBy(F.col("freq").desc(), F.col("token"))
            .limit(TRIGGER_POOL))  # top-k report: TakeOrderedAndProject
     s = top.select(F.explode(F.array(*[F.lit(x) for x in SEEDS])).alias("seed"), "token")
     s = s.withColumn("h", hkey("seed", "token"))
@@ -134,12 +136,13 @@ def triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(out)
 
 
-def label_words(spark: SparkSession, sf_dir: str, k: int = LABEL_TOKENS_K) -> DataFrame:
+def label_words(spark: SparkSession, sf_dir: str, k: int = LABEL_TOKENS_K,
+                pairs: DataFrame | None = None) -> DataFrame:
     """Ranked label tokens (label, pos, token). Each word belongs to the label where it
     is most frequent in V1 (ties: lower class id); per label the top k by (count desc,
-    token), pos 0-based."""
+    token), pos 0-based. ``pairs``: V1, when a query has already materialised it."""
     from pyspark.sql import Window
-    v1 = docs_pairs(spark, sf_dir)
+    v1 = pairs if pairs is not None else docs_pairs(spark, sf_dir)
     cid = F.array_position(F.array(*[F.lit(x) for x in LABELS]), F.col("label")) - 1
     lw = (v1.select("label", F.explode(split_pieces(F.concat_ws(" ", "sentence_a", "sentence_b")))
                     .alias("token")).filter(F.col("token") != "")

@@ -88,14 +88,17 @@ def token_filter(spark, sf):
     return allowed(spark, sf)
 
 
-def candidates(spark, sf):
+def candidates(spark, sf, wc=None, lw=None):
     """Top-10 allowed tokens by frequency, for every seed (bounded: seeds x 10).
 
     Vocabulary ids follow (freq desc, token), so the first ids are a top-k over the word
-    counts: no global numbering of the whole vocabulary is needed for them."""
+    counts: no global numbering of the whole vocabulary is needed for them. ``wc``/``lw``:
+    word counts and label words a query has already materialised."""
     from pyspark.sql import Window
     order = [F.col("freq").desc(), F.col("token")]
-    top = (se.allowed_tokens(fx.word_counts(spark, sf), fx.label_words(spark, sf), SPECIALS)
+    wc = wc if wc is not None else fx.word_counts(spark, sf)
+    lw = lw if lw is not None else fx.label_words(spark, sf)
+    top = (se.allowed_tokens(wc, lw, SPECIALS)
            .orderBy(*order).limit(N_CAND))  # TakeOrderedAndProject
     top = top.withColumn("cand_rank", F.row_number().over(Window.orderBy(*order)))  # k rows
     return top.select(F.explode(F.array(*[F.lit(s) for s in fx.SEEDS])).alias("seed"), "cand_rank", "token")
@@ -112,6 +115,16 @@ _CAND_VAR = ("c_v", f"""
     WHERE NOT list_contains(t.tokens, c.token)""")
 
 
+def search_inputs(spark, sf):
+    """V1 and the corpus word counts, each written once: the search reads V1 for training,
+    dev and label words, and the word counts for both the triggers and the candidates
+    (one whole-corpus count instead of two)."""
+    from robustq.functions.materialize import materialize
+    v1 = materialize(fx.docs_pairs(spark, sf))
+    wc = materialize(fx.word_counts(spark, sf))
+    return v1, wc, fx.label_words(spark, sf, pairs=v1)
+
+
 @register("candidate_scores", with_views(
     ["v1", "v4", "v5l", "v5t", "seeds", "labels_c"], """
     SELECT c.seed, c.cand_rank, c.token, c.n_correct, k.n_correct AS cur_correct,
@@ -124,8 +137,8 @@ _CAND_VAR = ("c_v", f"""
 def candidate_scores(spark, sf):
     """Correct-count of each candidate flip vs the current trigger over the same examples;
     the best is accepted only if strictly better (first rank wins ties)."""
-    v1 = fx.docs_pairs(spark, sf)
-    var = se.candidate_variants(fx.triggers(spark, sf), candidates(spark, sf), 0)
+    v1, wc, lw = search_inputs(spark, sf)
+    var = se.candidate_variants(fx.triggers(spark, sf, wc), candidates(spark, sf, wc, lw), 0)
     preds = predict_from_scores(AdditiveScorer().score_grid(v1, var))
     counts = preds.groupBy("seed", "cand_rank", "token").agg(F.sum(F.col("correct").cast("int")).alias("n_correct"))
     return se.score_candidates(counts).select("seed", "cand_rank", "token", "n_correct", "cur_correct", "accepted")
@@ -134,8 +147,9 @@ def candidate_scores(spark, sf):
 @register("greedy_trigger_search")
 def greedy_trigger_search(spark, sf):
     """Three greedy flip iterations per seed (driver loop, one job per step)."""
-    train, dev = pr.holdout(fx.docs_pairs(spark, sf), 50, seed=0)
-    return se.greedy_search(train, dev, fx.triggers(spark, sf), candidates(spark, sf), iters=3)
+    v1, wc, lw = search_inputs(spark, sf)
+    train, dev = pr.holdout(v1, 50, seed=0)
+    return se.greedy_search(train, dev, fx.triggers(spark, sf, wc), candidates(spark, sf, wc, lw), iters=3)
 
 
 @register("linear_probe")
