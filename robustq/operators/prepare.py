@@ -127,12 +127,16 @@ def swap_objects(facts: DataFrame, seed: int, fact_cols: Sequence[str] = ("sub_l
     surf = row_number_within(facts.select("obj_label", "obj_surface", id_col), ["obj_label"],
                              [id_col], "sidx")
     n_surf = facts.groupBy("obj_label").agg(F.count(F.lit(1)).alias("n_surf"))
-    f = facts.join(F.broadcast(labels), "obj_label")  # k rows (distinct labels)
+    # both label tables have k rows (counted above): broadcast only within the limit,
+    # otherwise shuffle joins on the label
+    from robustq.functions.materialize import BROADCAST_MAX_ROWS
+    small = F.broadcast if k <= BROADCAST_MAX_ROWS else (lambda d: d)
+    f = facts.join(small(labels), "obj_label")
     h = hnum(F.lit(str(seed)), *fact_cols)
     f = f.withColumn("new_lidx", (F.col("lidx") + 1 + h % (k - 1)) % k)
-    f = f.join(F.broadcast(labels.select(F.col("lidx").alias("new_lidx"),
-                                         F.col("obj_label").alias("new_label"))), "new_lidx")
-    f = f.join(F.broadcast(n_surf.withColumnRenamed("obj_label", "new_label")), "new_label")
+    f = f.join(small(labels.select(F.col("lidx").alias("new_lidx"),
+                                   F.col("obj_label").alias("new_label"))), "new_lidx")
+    f = f.join(small(n_surf.withColumnRenamed("obj_label", "new_label")), "new_label")
     f = f.withColumn("sidx", hnum(F.lit(str(seed)), id_col) % F.col("n_surf") + 1)
     s = surf.select(F.col("obj_label").alias("new_label"), "sidx", F.col("obj_surface").alias("new_surface"))
     f = f.join(s, ["new_label", "sidx"])
