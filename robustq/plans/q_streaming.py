@@ -17,6 +17,10 @@ def stream_accuracy(spark, sf):
     accumulates Σ correct and n per variant batch by batch. The final table equals F1."""
     preds = ex.predictions(fx.docs_pairs(spark, sf), ex.ap_deletion_variants(fx.triggers(spark, sf)))
     base = scratch_dir(spark, "stream")
-    preds.select("variant_id", "correct").repartition(4).write.mode("overwrite").parquet(f"{base}/in")
-    out = run_available(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", ["variant_id"], files_per_batch=2)
+    # as many files as the cluster's shuffle width (round robin, so no task carries more
+    # than its share of the examples x variants rows); two micro-batches over them
+    n_files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    preds.select("variant_id", "correct").repartition(n_files).write.mode("overwrite").parquet(f"{base}/in")
+    out = run_available(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", ["variant_id"],
+                        files_per_batch=max(1, (n_files + 1) // 2))
     return out.select("variant_id", "acc", "n_examples")
