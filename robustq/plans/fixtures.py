@@ -23,13 +23,8 @@ LABEL_TOKENS_K = 10         # ranked label tokens kept per label in the label ma
 RESERVED = ["<s>", "<pad>", "</s>", "<unk>", "<mask>"]  # token ids 0..4
 
 
-# tables whose rows carry heavy per-row work (whole texts split into words)
-SPREAD = {"documents"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in SPREAD else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def label_case(toxic: str = "toxic", quality: str = "quality"):
@@ -49,7 +44,9 @@ def docs_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         normalize(line("text", 1)).alias("sentence_a"),
         normalize(F.coalesce(line("text", 2), F.lit(""))).alias("sentence_b"),
         label_case().alias("label"))
-    return out.filter((F.col("sentence_a") != "") & (F.col("sentence_b") != ""))
+    # the lines are cut in the scan task (cheap, no shuffle of whole texts); the short
+    # pairs are then spread when the scan had few splits, for the per-word work downstream
+    return spread(out.filter((F.col("sentence_a") != "") & (F.col("sentence_b") != "")))
 
 
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +101,9 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(token, freq) over every word of every document (partial aggregation per task)."""
-    d = table(spark, sf_dir, "documents").select("text")
+    # whole texts split into words: heavy per-row work, so a scan with few splits is spread
+    # over the cluster first (reading only the first lines, as V1 does, is not worth it)
+    d = spread(table(spark, sf_dir, "documents").select("text"))
     return (d.select(F.explode(split_pieces("text")).alias("token")).filter(F.col("token") != "")
             .groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
 
