@@ -68,19 +68,19 @@ class AdditiveScorer:
         built from the per-seed totals (one row per seed) as plan literals. ``sample=False`` trains on the rows given (one row set per seed)."""
         from robustq.functions.materialize import materialize
         tr = train_sample(examples, self.seeds, self.train_rows) if sample else examples
-        # the training rows (seeds x train_rows) are written once: the totals and the
-        # weights below both read them
-        tr = materialize(tr.select("seed", "label", "sentence_a", "sentence_b"))
         k = len(self.labels)
         tw = tr.select("seed", class_id(F.col("label"), self.labels).alias("cid"),
                        F.explode(split_pieces(F.concat_ws(" ", "sentence_a", "sentence_b"))).alias("token")) \
             .filter(F.col("token") != "")
-        counts = tw.groupBy("seed", "token").agg(
-            *[F.sum(F.when(F.col("cid") == i, 1).otherwise(0)).alias(f"c{i}") for i in range(k)])
-        # one row per seed: the denominators N_y + F become literals of the weight plan
-        totals = {r["seed"]: [r[f"n{i}"] + r["nf"] for i in range(k)] for r in tw.groupBy("seed").agg(
-            F.countDistinct("token").alias("nf"),
-            *[F.sum(F.when(F.col("cid") == i, 1).otherwise(0)).alias(f"n{i}") for i in range(k)]).collect()}
+        # (seed, token) counts per class, written once: the totals and the weights below
+        # both read them (bounded by the training sample, not the data)
+        counts = materialize(tw.groupBy("seed", "token").agg(
+            *[F.sum(F.when(F.col("cid") == i, 1).otherwise(0)).alias(f"c{i}") for i in range(k)]))
+        # one row per seed: distinct tokens F and words per class N_y; the denominators
+        # N_y + F become literals of the weight plan
+        tot = counts.groupBy("seed").agg(F.count(F.lit(1)).alias("nf"),
+                                         *[F.sum(f"c{i}").alias(f"n{i}") for i in range(k)]).collect()
+        totals = {r["seed"]: [r[f"n{i}"] + r["nf"] for i in range(k)] for r in tot}
 
         def w(c: Column, i: int) -> Column:
             den = F.lit(None).cast("bigint")
@@ -92,11 +92,14 @@ class AdditiveScorer:
         seed_rows = spark.createDataFrame([(sd,) for sd in sorted(totals)], "seed int")
         priors = seed_rows.select("seed", F.array(*[w(F.lit(0), i) for i in range(k)]).alias("w0"))
         long_w = counts.select("seed", "token", F.array(*[w(F.col(f"c{i}"), i) for i in range(k)]).alias("w"))
-        # bounded by the training sample, not the data, and read by every scoring step
-        # (example side, variant side, search iterations): written once
+        # read by every scoring step (example side, variant side, search iterations):
+        # written once
         wide = materialize(long_w.groupBy("token").agg(
             *[F.first(F.when(F.col("seed") == sd, F.col("w")), ignorenulls=True).alias(f"w_{sd}")
               for sd in self.seeds]))
+        # one row per token of any seed: at most the sum of the per-seed distinct counts,
+        # which is the size bound the broadcast check uses (no extra count job)
+        self._memo[("n", id(wide))] = sum(r["nf"] for r in tot)
         return wide, priors
 
     def _prior_lits(self, priors: DataFrame) -> dict[int, list[int]]:
