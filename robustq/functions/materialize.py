@@ -32,10 +32,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tup
     return (F.broadcast(m), True) if n <= max_rows else (m, False)
 
 
-def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Round-robin a scan whose input has fewer partitions than ``factor`` x the cluster's
+def spread(df: DataFrame, factor: int = 2, source: DataFrame | None = None) -> DataFrame:
+    """Round-robin ``df`` when its input scan has fewer splits than ``factor`` x the cluster's
     parallelism (a few large row groups cannot be split by the reader, so one task would
     do all per-row work). A no-op on large inputs, which already have many splits; column
-    pruning and filters still reach the scan below the repartition."""
+    pruning and filters still reach the scan below the repartition.
+
+    ``source`` is the plain file scan whose split count decides (default: ``df`` itself,
+    which must then be a scan with narrow operations only). Counting the partitions of a
+    plan with a shuffle or broadcast would run those stages, so a joined ``df`` passes
+    its scan here."""
     target = df.sparkSession.sparkContext.defaultParallelism * factor
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    src = source if source is not None else df
+    return df.repartition(target) if src.rdd.getNumPartitions() < target else df

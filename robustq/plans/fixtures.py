@@ -36,7 +36,8 @@ def docs_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1: (ex_id, sentence_a, sentence_b, label) from documents x labels.
 
     sentence_a/b are the whitespace-normalised first and second lines."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scan = table(spark, sf_dir, "documents")
+    d = scan.select("doc_id", "text")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     j = d.join(lab, "doc_id")
     out = j.select(
@@ -46,7 +47,7 @@ def docs_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         label_case().alias("label"))
     # the lines are cut in the scan task (cheap, no shuffle of whole texts); the short
     # pairs are then spread when the scan had few splits, for the per-word work downstream
-    return spread(out.filter((F.col("sentence_a") != "") & (F.col("sentence_b") != "")))
+    return spread(out.filter((F.col("sentence_a") != "") & (F.col("sentence_b") != "")), source=scan)
 
 
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,3 +49,20 @@ def test_flagship_has_no_sort_merge_join(spark):
     # every join of the deletion report is against a bounded or counted table
     p = plan(entry.queries()["deletion_report"](spark, SF_SMALL))
     assert "SortMergeJoin" not in p
+
+
+def test_spread_decides_without_running_the_plan(spark):
+    """The spread decision reads the scan's split count only: deciding on a joined plan
+    would run its shuffle stages once more just to count partitions."""
+    from robustq.functions.materialize import spread
+    scan = spark.range(0, 1000, 1, 1)                       # one split
+    joined = scan.join(spark.range(0, 1000, 1, 4).repartition(3, "id"), "id")
+    sc = spark.sparkContext
+    sc.setJobGroup("spread-decision", "plan only")
+    try:
+        out = spread(joined, source=scan)
+        assert list(sc.statusTracker().getJobIdsForGroup("spread-decision")) == []
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert "Repartition" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 1000
