@@ -183,60 +183,77 @@ def greedy_search(train: DataFrame, dev: DataFrame, triggers: DataFrame, candida
 
     Per iteration and seed: flip one hash-chosen slot to each candidate, count correct
     training predictions (same example scores for the current trigger and every candidate),
-    accept the best only if strictly better; evaluate on dev only after an accepted flip and
-    keep a trigger as best only if its dev accuracy strictly improves. The first accepted
-    flip always becomes best (the initial dev metric is logged, not compared), as in the
-    reference. Only k rows per seed come back to the driver per step; example scores are
-    checkpointed once to the cluster's checkpoint folder so lineage stays short."""
+    accept the best only if strictly better; keep a trigger as best only if its dev
+    accuracy strictly improves. The first accepted flip always becomes best (the initial
+    dev metric is logged, not compared), as in the reference.
+
+    The reference runs a dev evaluation only after an accepted flip. Here the dev rows are
+    scored in the same job as the training rows, for the current trigger and every
+    candidate: dev accuracy depends only on the trigger, so the log is the same, and each
+    step is one job with one bounded collect (seeds x (k + 1) rows) instead of two. The
+    initial dev metric is the current trigger's row of the first step. Example scores of
+    both splits are checkpointed once to the cluster's checkpoint folder, so lineage stays
+    short."""
     from robustq.operators.scoring import AdditiveScorer, predict_from_scores
     from robustq.session import ensure_checkpoint_dir
     scorer = scorer or AdditiveScorer()
     spark = train.sparkSession
     ensure_checkpoint_dir(spark)  # the cluster's shared folder; a scratch one only if unset
     weights, priors = scorer.fit(train)  # materialised by fit
-    tr_scores = scorer.example_scores(train, weights, priors).checkpoint()
-    dev_scores = scorer.example_scores(dev, weights, priors).checkpoint()
+    both = (train.withColumn("split", F.lit("train"))
+            .unionByName(dev.withColumn("split", F.lit("dev"))))
+    scores = scorer.example_scores(both, weights, priors, key=("ex_id", "split")).checkpoint()
     current = {r["seed"]: list(r["tokens"]) for r in triggers.select("seed", "tokens").collect()}
     # the candidate table is bounded (seeds x k); bring it once instead of recomputing
     # its (whole-vocabulary) lineage at every step
     cand_rows = [tuple(r) for r in candidates.select("seed", "cand_rank", "token").collect()]
     candidates = spark.createDataFrame(cand_rows, "seed int, cand_rank int, token string")
-
-    def dev_acc(trig: dict) -> dict:
-        v = spark.createDataFrame([(s, f"dev:{s}", t) for s, t in trig.items()],
-                                  "seed int, variant_id string, tokens array<string>")
-        p = predict_from_scores(scorer.grid_from(dev_scores, v, weights, priors))
-        a = p.groupBy("seed").agg((F.sum(F.col("correct").cast("int")) / (F.count(F.lit(1)) + F.lit(1e-13))).alias("acc"))
-        return {r["seed"]: float(r["acc"]) for r in a.collect()}
+    is_dev = F.col("split") == "dev"
+
+    def step(trig: dict, it: int, cands: DataFrame) -> list:
+        """One job: per (seed, candidate) train correct count and dev accuracy, plus the
+        accept decision; the current trigger is cand_rank 0."""
+        trig_df = spark.createDataFrame([(s, t) for s, t in trig.items()], "seed int, tokens array<string>")
+        var = candidate_variants(trig_df, cands, it, n_tokens)
+        p = predict_from_scores(scorer.grid_from(scores, var, weights, priors))
+        c = F.col("correct").cast("int")
+        counts = p.groupBy("seed", "slot", "cand_rank", "token").agg(
+            F.sum(F.when(~is_dev, c).otherwise(0)).alias("n_correct"),
+            (F.sum(F.when(is_dev, c).otherwise(0)) /
+             (F.sum(is_dev.cast("int")) + F.lit(1e-13))).alias("dev_acc"))
+        cur = counts.filter(F.col("cand_rank") == 0).select(
+            "seed", F.col("dev_acc").alias("cur_dev_acc"))
+        decided = score_candidates(counts).join(cur, "seed", "right")  # seeds without candidates too
+        return decided.select("seed", "slot", "token", "n_correct", "cur_correct", "accepted",
+                              "dev_acc", "cur_dev_acc").collect()
 
     log = []
-    init = dev_acc(current)
     best = {s: None for s in current}
-    for s, a in init.items():
-        log.append((s, -1, None, None, None, None, round(a, 6), False))
+    if iters == 0:
+        rows = step(current, 0, candidates.limit(0))
+        for r in sorted(rows, key=lambda r: r["seed"]):
+            if r["cur_dev_acc"] is not None:
+                log.append((r["seed"], -1, None, None, None, None, round(r["cur_dev_acc"], 6), False))
     for it in range(iters):
-        trig_df = spark.createDataFrame([(s, t) for s, t in current.items()], "seed int, tokens array<string>")
-        var = candidate_variants(trig_df, candidates, it, n_tokens)
-        p = predict_from_scores(scorer.grid_from(tr_scores, var, weights, priors))
-        counts = (p.groupBy("seed", "slot", "cand_rank", "token")
-                  .agg(F.sum(F.col("correct").cast("int")).alias("n_correct")))
-        # one bounded collect per step: every candidate's count and the accept decision
-        rows = score_candidates(counts).select("seed", "slot", "token", "n_correct", "cur_correct",
-                                               "accepted").collect()
-        slots = {r["seed"]: r["slot"] for r in rows}
-        accepted = {r["seed"]: (r["token"], r["n_correct"], r["cur_correct"]) for r in rows if r["accepted"]}
-        for s, (tok, n_c, _) in accepted.items():
-            current[s][slots[s]] = tok
-        devs = dev_acc({s: current[s] for s in accepted}) if accepted else {}
+        rows = step(current, it, candidates)
+        slot = {r["seed"]: r["slot"] for r in rows if r["slot"] is not None}
+        if it == 0:
+            init = {r["seed"]: r["cur_dev_acc"] for r in rows if r["cur_dev_acc"] is not None}
+            for s in sorted(init):
+                log.append((s, -1, None, None, None, None, round(init[s], 6), False))
+        accepted = {r["seed"]: r for r in rows if r["accepted"]}
         for s in sorted(current):
             if s in accepted:
-                tok, n_c, cur_c = accepted[s]
-                d = devs[s]
+                r = accepted[s]
+                current[s][slot[s]] = r["token"]  # a seed with an accepted flip has a slot
+                d = r["dev_acc"]
                 improved = best[s] is None or d > best[s]
                 if improved:
                     best[s] = d
-                log.append((s, it, slots[s], tok, int(cur_c), int(n_c), round(d, 6), improved))
+                log.append((s, it, slot[s], r["token"], int(r["cur_correct"]), int(r["n_correct"]),
+                            round(d, 6), improved))
             else:
-                log.append((s, it, slots.get(s), None, None, None, None, False))
+                log.append((s, it, slot.get(s), None, None, None, None, False))
     return spark.createDataFrame(log, "seed int, iter int, slot int, token string, cur_correct int, "
                                       "new_correct int, dev_acc double, new_best boolean")
+

@@ -378,3 +378,30 @@ def n_commits(spark, ckpt):
     """Committed micro-batches of a streaming checkpoint (one commit file per batch id)."""
     files = spark.read.text(f"{ckpt}/commits/[0-9]*").select(F.input_file_name().alias("f")).distinct()
     return files.count()
+
+
+def test_greedy_search_log_invariants(spark):
+    """G7 log: accepted flips strictly improve the training count; the current trigger's
+    count is the last accepted count; after the first, bests strictly increase; one
+    initial dev row per seed."""
+    import __spark_entry__ as entry
+    from tests.conftest import SF_SMALL
+    rows = sorted(entry.queries()["greedy_trigger_search"](spark, SF_SMALL).collect(),
+                  key=lambda r: (r.seed, r.iter))
+    seeds = {r.seed for r in rows}
+    assert sorted(r.seed for r in rows if r.iter == -1) == sorted(seeds)
+    for s in seeds:
+        last_new, best = None, None
+        for r in [r for r in rows if r.seed == s and r.iter >= 0]:
+            if r.token is None:
+                assert r.dev_acc is None and not r.new_best
+                continue
+            assert r.new_correct > r.cur_correct
+            if last_new is not None:
+                assert r.cur_correct == last_new
+            last_new = r.new_correct
+            if r.new_best:
+                assert best is None or r.dev_acc > best
+                best = r.dev_acc
+            else:
+                assert best is not None and r.dev_acc <= best
