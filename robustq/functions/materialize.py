@@ -24,6 +24,34 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialize_all(*dfs: DataFrame) -> list[DataFrame]:
+    """Materialise independent DataFrames at the same time: each is its own Spark job,
+    submitted from its own driver thread (``InheritableThread`` keeps the caller's job
+    group and scheduler properties), so the scheduler interleaves their tasks instead of
+    running the jobs one after the other."""
+    from pyspark import InheritableThread
+    if len(dfs) == 1:
+        return [materialize(dfs[0])]
+    ensure_checkpoint_dir(dfs[0].sparkSession)
+    out: list = [None] * len(dfs)
+    errors: list = []
+
+    def run(i: int, d: DataFrame) -> None:
+        try:
+            out[i] = materialize(d)
+        except BaseException as e:  # re-raised on the caller's thread
+            errors.append(e)
+
+    threads = [InheritableThread(target=run, args=(i, d)) for i, d in enumerate(dfs)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    if errors:
+        raise errors[0]
+    return out
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
     """Materialise ``df``, count it, and mark it for broadcast only when it has at most
     ``max_rows`` rows; otherwise it is returned as is (shuffle join, AQE skew handling)."""

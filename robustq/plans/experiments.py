@@ -76,15 +76,16 @@ def template_col(family: str) -> F.Column:
 
 
 def predictions(examples: DataFrame, variants: DataFrame, train: DataFrame | None = None,
-                scorer: AdditiveScorer | None = None, on=("seed",), key=("ex_id",)) -> DataFrame:
+                scorer: AdditiveScorer | None = None, on=("seed",), key=("ex_id",),
+                materialized: bool = False) -> DataFrame:
     """E8 + E2/E3: one row per (variant, example) with pred and correct.
 
     When the examples are also the training rows they are read twice (training sample and
-    example scores); they are then materialised once, so the source scan (the whole
-    documents text column for V1) runs once."""
+    example scores); they are then materialised once (unless ``materialized`` says the
+    caller has), so the source scan (the whole documents text column for V1) runs once."""
     from robustq.functions.materialize import materialize
     scorer = scorer or AdditiveScorer()
-    if train is None:
+    if train is None and not materialized:
         examples = materialize(examples)
     grid = scorer.score_grid(examples, variants, train, on=on, key=key)
     return predict_from_scores(grid)
@@ -92,9 +93,10 @@ def predictions(examples: DataFrame, variants: DataFrame, train: DataFrame | Non
 
 def evaluate(examples: DataFrame, variants: DataFrame, task: str, family: str = "ap",
              train: DataFrame | None = None, scorer: AdditiveScorer | None = None,
-             eps: float | None = 1e-13, on=("seed",), key=("ex_id",)) -> DataFrame:
+             eps: float | None = 1e-13, on=("seed",), key=("ex_id",),
+             materialized: bool = False) -> DataFrame:
     """results(exp_name, task, model, seed, template, acc, del_idx, n_del, n_examples)."""
-    preds = predictions(examples, variants, train, scorer, on, key)
+    preds = predictions(examples, variants, train, scorer, on, key, materialized)
     acc = accuracy(preds.select("variant_id", "correct"), ["variant_id"], eps)
     v = variants.drop(*[c for c in on if c != "seed"]).withColumn("template", template_col(family))
     # one accuracy row per variant (bounded): broadcast as the build side of the outer join

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from robustq.functions.hashing import hkey, hnum
-from robustq.functions.materialize import materialize, spread
+from robustq.functions.materialize import materialize, materialize_all, spread
 from robustq.functions.ranking import global_position, next_row, row_number_within
 from robustq.functions.text import line, normalize, split_pieces, words
 
@@ -119,7 +119,22 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 def triggers(spark: SparkSession, sf_dir: str, wc: DataFrame | None = None) -> DataFrame:
     """(seed, tokens[10]) - per seed, the 10 words of the 500 most frequent words with
     the smallest md5(seed:token), in that order. ``wc``: the word counts, when a query has
-    already materialised them for another use."""
+    already materialised them for another use.
+
+    Four rows read by every branch of a variant grid: written once instead of re-running
+    the whole-corpus word count per branch."""
+    return materialize(triggers_plan(spark, sf_dir, wc))
+
+
+def grid_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(V1, triggers), both materialised, at the same time: the V1 scan and the corpus
+    word count behind the triggers are independent jobs."""
+    v1, trig = materialize_all(docs_pairs(spark, sf_dir), triggers_plan(spark, sf_dir))
+    return v1, trig
+
+
+def triggers_plan(spark: SparkSession, sf_dir: str, wc: DataFrame | None = None) -> DataFrame:
+    """The plan behind :func:`triggers` (not materialised)."""
     wc = wc if wc is not None else word_counts(spark, sf_dir)
     top = (wc.orderBy(F.col("freq").desc(), F.col("token"))
            .limit(TRIGGER_POOL))  # top-k report: TakeOrderedAndProject
@@ -131,9 +146,7 @@ def triggers(spark: SparkSession, sf_dir: str, wc: DataFrame | None = None) -> D
     out = (s.groupBy("seed")
            .agg(F.array_sort(F.collect_list(F.struct("h", "token"))).alias("ts"))
            .select("seed", F.transform("ts", lambda x: x["token"]).alias("tokens")))
-    # four rows read by every branch of a variant grid: write once instead of re-running
-    # the whole-corpus word count per branch
-    return materialize(out)
+    return out
 
 
 def label_words(spark: SparkSession, sf_dir: str, k: int = LABEL_TOKENS_K,

@@ -17,14 +17,15 @@ DEL = oe.experiment("d", "v1", oe.deletion_variants("v5t"), "docs")
 
 
 def deletion_results(spark, sf):
-    return ex.evaluate(fx.docs_pairs(spark, sf), ex.ap_deletion_variants(fx.triggers(spark, sf)), "docs")
+    v1, trig = fx.grid_inputs(spark, sf)
+    return ex.evaluate(v1, ex.ap_deletion_variants(trig), "docs", materialized=True)
 
 
 @register("accuracy", with_views(BASE, "SELECT variant_id, acc, n_examples FROM d_acc", DEL))
 def accuracy(spark, sf):
     """Σ correct / (n + 1e-13) per deletion variant."""
-    v1 = fx.docs_pairs(spark, sf)
-    preds = ex.predictions(v1, ex.ap_deletion_variants(fx.triggers(spark, sf)))
+    v1, trig = fx.grid_inputs(spark, sf)
+    preds = ex.predictions(v1, ex.ap_deletion_variants(trig), materialized=True)
     return mt.accuracy(preds, ["variant_id"])
 
 
@@ -36,9 +37,9 @@ def accuracy(spark, sf):
 def seed_mean(spark, sf):
     """mean of per-run accuracies x 100 for the reordering and original experiments
     (both grids scored in one pass: the variant tables are unioned)."""
-    trig = fx.triggers(spark, sf)
+    v1, trig = fx.grid_inputs(spark, sf)
     var = ex.ap_reorder_variants(trig).unionByName(ex.original_variants(trig))
-    return mt.seed_mean(ex.evaluate(fx.docs_pairs(spark, sf), var, "docs"))
+    return mt.seed_mean(ex.evaluate(v1, var, "docs", materialized=True))
 
 
 @register("deletion_report", with_views(BASE, f"""
@@ -70,9 +71,7 @@ _ADV_VAR = " UNION ALL ".join(
 def perturbation_report(spark, sf):
     """accuracy on the no-change, change and original sets (weights learnt on V1);
     the three sets are scored in one pass keyed by (set, ex_id)."""
-    from robustq.functions.materialize import materialize
-    v1 = materialize(fx.docs_pairs(spark, sf))  # training rows and the base of the three sets
-    trig = fx.triggers(spark, sf)
+    v1, trig = fx.grid_inputs(spark, sf)  # V1: training rows and the base of the three sets
     var = None
     for s, e in _ADV_SETS:
         v = ex.original_variants(trig, e).withColumn("set", F.lit(s))
@@ -95,8 +94,9 @@ def perturbation_report(spark, sf):
     oe.experiment("m", "v1", oe.mp_deletion_variants("v5t"), "docs", family="mp", eps=False)))
 def mp_deletion_report(spark, sf):
     """the MP deletion report (10 rows) over the 7 blanking variants per seed."""
-    var = ex.mp_deletion_variants(fx.triggers(spark, sf))
-    return mt.mp_deletion_report(ex.evaluate(fx.docs_pairs(spark, sf), var, "docs", family="mp", eps=None))
+    v1, trig = fx.grid_inputs(spark, sf)
+    var = ex.mp_deletion_variants(trig)
+    return mt.mp_deletion_report(ex.evaluate(v1, var, "docs", family="mp", eps=None, materialized=True))
 
 
 @register("running_loss", with_views(["v7"], """

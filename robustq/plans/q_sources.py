@@ -111,7 +111,8 @@ def label_token_map(spark, sf):
     oe.experiment("d", "v1", oe.deletion_variants("v5t"), "docs")))
 def summary_sink(spark, sf):
     """Deletion results written as TSV summaries (per task/model) and re-read."""
-    res = ex.evaluate(fx.docs_pairs(spark, sf), ex.ap_deletion_variants(fx.triggers(spark, sf)), "docs")
+    v1, trig = fx.grid_inputs(spark, sf)
+    res = ex.evaluate(v1, ex.ap_deletion_variants(trig), "docs", materialized=True)
     path = io.scratch_dir(spark, "summary")
     io.write_summary(res, path)
     return io.read_summary(spark, path)

@@ -15,7 +15,8 @@ from robustq.streaming.accuracy import run_available
 def stream_accuracy(spark, sf):
     """H1: deletion-grid predictions land as parquet files; a streaming aggregation
     accumulates Σ correct and n per variant batch by batch. The final table equals F1."""
-    preds = ex.predictions(fx.docs_pairs(spark, sf), ex.ap_deletion_variants(fx.triggers(spark, sf)))
+    v1, trig = fx.grid_inputs(spark, sf)
+    preds = ex.predictions(v1, ex.ap_deletion_variants(trig), materialized=True)
     base = scratch_dir(spark, "stream")
     # as many files as the cluster's shuffle width (round robin, so no task carries more
     # than its share of the examples x variants rows); two micro-batches over them
