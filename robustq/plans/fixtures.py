@@ -151,6 +151,12 @@ def triggers_plan(spark: SparkSession, sf_dir: str, wc: DataFrame | None = None)
 
 def label_words(spark: SparkSession, sf_dir: str, k: int = LABEL_TOKENS_K,
                 pairs: DataFrame | None = None) -> DataFrame:
+    """V5b, materialised (see :func:`label_words_plan`): read by several branches."""
+    return materialize(label_words_plan(spark, sf_dir, k, pairs))
+
+
+def label_words_plan(spark: SparkSession, sf_dir: str, k: int = LABEL_TOKENS_K,
+                     pairs: DataFrame | None = None) -> DataFrame:
     """Ranked label tokens (label, pos, token). Each word belongs to the label where it
     is most frequent in V1 (ties: lower class id); per label the top k by (count desc,
     token), pos 0-based. ``pairs``: V1, when a query has already materialised it."""
@@ -166,8 +172,8 @@ def label_words(spark: SparkSession, sf_dir: str, k: int = LABEL_TOKENS_K,
                 .alias("o"))
            .select("token", "o.label", "o.cnt"))
     w = Window.partitionBy("label").orderBy(F.col("cnt").desc(), F.col("token"))
-    return materialize(own.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
-                       .select("label", (F.col("rn") - 1).cast("int").alias("pos"), "token"))
+    return (own.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
+            .select("label", (F.col("rn") - 1).cast("int").alias("pos"), "token"))
 
 
 def adversarial(pairs: DataFrame) -> DataFrame:

@@ -116,13 +116,14 @@ _CAND_VAR = ("c_v", f"""
 
 
 def search_inputs(spark, sf):
-    """V1 and the corpus word counts, each written once: the search reads V1 for training,
-    dev and label words, and the word counts for both the triggers and the candidates
-    (one whole-corpus count instead of two)."""
-    from robustq.functions.materialize import materialize
-    v1 = materialize(fx.docs_pairs(spark, sf))
-    wc = materialize(fx.word_counts(spark, sf))
-    return v1, wc, fx.label_words(spark, sf, pairs=v1)
+    """(V1, word counts, label words, triggers), each written once: the search reads V1
+    for training, dev and label words, and the word counts for both the triggers and the
+    candidates (one whole-corpus count instead of two). Independent tables are written at
+    the same time (V1 with the word counts, then the label words with the triggers)."""
+    from robustq.functions.materialize import materialize_all
+    v1, wc = materialize_all(fx.docs_pairs(spark, sf), fx.word_counts(spark, sf))
+    lw, trig = materialize_all(fx.label_words_plan(spark, sf, pairs=v1), fx.triggers_plan(spark, sf, wc))
+    return v1, wc, lw, trig
 
 
 @register("candidate_scores", with_views(
@@ -137,8 +138,8 @@ def search_inputs(spark, sf):
 def candidate_scores(spark, sf):
     """Correct-count of each candidate flip vs the current trigger over the same examples;
     the best is accepted only if strictly better (first rank wins ties)."""
-    v1, wc, lw = search_inputs(spark, sf)
-    var = se.candidate_variants(fx.triggers(spark, sf, wc), candidates(spark, sf, wc, lw), 0)
+    v1, wc, lw, trig = search_inputs(spark, sf)
+    var = se.candidate_variants(trig, candidates(spark, sf, wc, lw), 0)
     preds = predict_from_scores(AdditiveScorer().score_grid(v1, var))
     counts = preds.groupBy("seed", "cand_rank", "token").agg(F.sum(F.col("correct").cast("int")).alias("n_correct"))
     return se.score_candidates(counts).select("seed", "cand_rank", "token", "n_correct", "cur_correct", "accepted")
@@ -147,9 +148,9 @@ def candidate_scores(spark, sf):
 @register("greedy_trigger_search")
 def greedy_trigger_search(spark, sf):
     """Three greedy flip iterations per seed (driver loop, one job per step)."""
-    v1, wc, lw = search_inputs(spark, sf)
+    v1, wc, lw, trig = search_inputs(spark, sf)
     train, dev = pr.holdout(v1, 50, seed=0)
-    return se.greedy_search(train, dev, fx.triggers(spark, sf, wc), candidates(spark, sf, wc, lw), iters=3)
+    return se.greedy_search(train, dev, trig, candidates(spark, sf, wc, lw), iters=3)
 
 
 @register("linear_probe")
