@@ -83,7 +83,10 @@ FROM (SELECT 'docs' AS ds, label FROM v1 UNION ALL SELECT 'turns', label FROM v2
 def split_registry(spark, sf):
     """(family, task, eval_type) -> dataset with its row and label counts."""
     man = spark.createDataFrame(manifest_rows(), "family string, task string, eval_type string, ds string")
-    v1, v2 = fx.docs_pairs(spark, sf), fx.turn_pairs(spark, sf)
+    from robustq.functions.materialize import materialize_all
+    # each task is read twice (its own rows and its adversarial sets): written once,
+    # the two tasks at the same time
+    v1, v2 = materialize_all(fx.docs_pairs(spark, sf), fx.turn_pairs(spark, sf))
     parts = [v1.select(F.lit("docs").alias("ds"), "label"), v2.select(F.lit("turns").alias("ds"), "label"),
              fx.adversarial(v1).select(F.concat(F.lit("docs_adv_"), "set").alias("ds"), "label"),
              fx.adversarial(v2).select(F.concat(F.lit("turns_adv_"), "set").alias("ds"), "label")]
