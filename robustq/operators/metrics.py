@@ -118,16 +118,29 @@ def running_mean(log: DataFrame, partition: Sequence[str] = ("run", "epoch"),
     return log.withColumn("running_loss", F.round(F.avg(value).over(w), 6))
 
 
+def dense_steps(log: DataFrame, partition: Sequence[str], order: str, name: str) -> DataFrame:
+    """Number the rows of each partition 1, 2, ... along ``order`` (which must be unique
+    within a partition), skew-safe: a hot partition is numbered across many tasks."""
+    from robustq.functions.ranking import row_number_within
+    return row_number_within(log, list(partition), [order], name)
+
+
 def strict_best(log: DataFrame, partition: Sequence[str], order: str, metric: str,
-                start: float | None = 0.0, block: int = 1024, fanout: int = 1024) -> DataFrame:
+                start: float | None = 0.0, block: int = 1024, fanout: int = 1024,
+                dense: bool = True) -> DataFrame:
     """keep the rows whose metric strictly exceeds every earlier metric and ``start``
     (0 for probe/fine-tune, None = -inf for trigger search).
 
-    ``order`` is a dense 1-based step. The running maximum is built in levels so a hot run
+    ``order`` is a dense 1-based step; with ``dense=False`` it is any column unique within
+    a partition (gaps allowed), and rows are numbered first. The running maximum is built in levels so a hot run
     never lands in one task: block maxima of ``block`` steps and superblock maxima of
     ``fanout`` blocks (partial aggregations); a prefix maximum over superblocks (one row
     each), then over the blocks inside a superblock (at most ``fanout`` rows), then over
     the steps inside a block (at most ``block`` rows)."""
+    if not dense:
+        numbered = dense_steps(log, partition, order, "_step")
+        out = strict_best(numbered, partition, "_step", metric, start, block, fanout)
+        return out.drop("_step")
     blk = F.floor((F.col(order) - 1) / block).cast("bigint")
     d = log.withColumn("_blk", blk).withColumn("_sup", F.floor(F.col("_blk") / fanout).cast("bigint"))
     bmax = d.groupBy(*partition, "_sup", "_blk").agg(F.max(metric).alias("_bm"))
@@ -146,14 +159,21 @@ def strict_best(log: DataFrame, partition: Sequence[str], order: str, metric: st
 
 
 def eval_marks(log: DataFrame, interval: int, rows: int, bsz: int, partition: Sequence[str] = ("run",),
-               order: str = "step", value: str = "loss", fanout: int = 1024) -> DataFrame:
+               order: str = "step", value: str = "loss", fanout: int = 1024,
+               dense: bool = True) -> DataFrame:
     """F8: evaluation marks every ``interval`` steps (steps are 1-based and dense) with
-    epoch = int(step / (rows / bsz)) and the cumulative loss up to the mark.
+    epoch = int(step / (rows / bsz)) and the cumulative loss up to the mark. With
+    ``dense=False``, ``order`` is any column unique within a partition: rows are numbered
+    first and a mark is the step count (the global step of a training loop).
 
     Two-level prefix sum so a hot run never sits in one task: losses are summed per block
     of ``interval`` steps (partial aggregation), blocks per superblock of ``fanout``
     blocks; the running sum is the sum of earlier superblocks (a window over one row per
     superblock) plus the running sum inside the superblock (at most ``fanout`` rows)."""
+    if not dense:
+        numbered = dense_steps(log.select(*partition, order, value), partition, order, "_step")
+        return eval_marks(numbered.drop(order).withColumnRenamed("_step", order), interval, rows,
+                          bsz, partition, order, value, fanout)
     steps_per_epoch = rows / bsz
     blk = F.floor((F.col(order) - 1) / interval).cast("bigint")
     b = log.groupBy(*partition, blk.alias("_blk")).agg(F.sum(value).alias("_s"),

@@ -405,3 +405,30 @@ def test_greedy_search_log_invariants(spark):
                 best = r.dev_acc
             else:
                 assert best is not None and r.dev_acc <= best
+
+
+def test_step_windows_on_a_gapped_order_column(spark):
+    """F7/F8 with dense=False: any unique order column (gaps allowed) gives the answer of
+    plain windows over row positions."""
+    import random
+    rnd = random.Random(11)
+    rows, t = [], 0
+    for r in (1, 2):
+        for _ in range(40):
+            t += rnd.randint(1, 9)
+            rows.append((r, t, float(rnd.randint(0, 30))))
+    log = spark.createDataFrame(rows, "run long, ts long, loss double")
+    w = Window.partitionBy("run").orderBy("ts")
+    prev = F.max("loss").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    want = {(r.run, r.ts) for r in log.withColumn("p", prev)
+            .filter(F.col("loss") > F.coalesce("p", F.lit(float("-inf")))).collect()}
+    got = {(r.run, r.ts) for r in mt.strict_best(log, ["run"], "ts", "loss", start=None, block=3,
+                                                 fanout=2, dense=False).collect()}
+    assert got == want
+    cum = {(r.run, r.n): round(r.c, 6) for r in
+           log.withColumn("n", F.row_number().over(w))
+              .withColumn("c", F.sum("loss").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+              .filter(F.col("n") % 4 == 0).collect()}
+    marks = {(r.run, r.ts): r.cum_loss for r in
+             mt.eval_marks(log, 4, 200, 16, order="ts", fanout=2, dense=False).collect()}
+    assert marks == cum
