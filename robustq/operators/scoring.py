@@ -51,10 +51,12 @@ class AdditiveScorer:
     """Per-seed integer log weights w(f, y) = round(1e6 * ln((c(f,y) + 1) / (N_y + F)))."""
 
     def __init__(self, labels: Sequence[str] = LABELS, seeds: Sequence[int] = SEEDS,
-                 train_rows: int = TRAIN_ROWS):
+                 train_rows: int = TRAIN_ROWS, broadcast_max_rows: int | None = None):
+        from robustq.functions.materialize import BROADCAST_MAX_ROWS
         self.labels = list(labels)
         self.seeds = list(seeds)
         self.train_rows = train_rows
+        self.broadcast_max_rows = broadcast_max_rows or BROADCAST_MAX_ROWS
         self._memo: dict = {}  # per fitted table: row count and prior literals
 
     # -- fitting ----------------------------------------------------------------------
@@ -113,11 +115,10 @@ class AdditiveScorer:
         """Broadcast the weights only behind a row count (they are materialised, so the
         count is cheap); beyond the limit the lookup is a shuffle join with AQE skew
         splitting for hot tokens."""
-        from robustq.functions.materialize import BROADCAST_MAX_ROWS
         key = ("n", id(weights))
         if key not in self._memo:
             self._memo[key] = weights.count()
-        return F.broadcast(weights) if self._memo[key] <= BROADCAST_MAX_ROWS else weights
+        return F.broadcast(weights) if self._memo[key] <= self.broadcast_max_rows else weights
 
     # -- factors ----------------------------------------------------------------------
     def example_scores(self, examples: DataFrame, weights: DataFrame, priors: DataFrame,
@@ -180,11 +181,28 @@ class AdditiveScorer:
         return self.grid_from(ex, variants, weights, priors, col, on)
 
     def grid_from(self, ex_scores: DataFrame, variants: DataFrame, weights: DataFrame,
-                  priors: DataFrame, col: str = "tokens", on: Sequence[str] = ("seed",)) -> DataFrame:
-        """Grid from precomputed example scores (reused across search iterations)."""
+                  priors: DataFrame, col: str = "tokens", on: Sequence[str] = ("seed",),
+                  n_variants: int | None = None) -> DataFrame:
+        """Grid from precomputed example scores (reused across search iterations).
+
+        The variant table is bounded by configuration (41 per seed for deletion) and is
+        broadcast after a row count (cheap: it derives from a few checkpointed rows).
+        Beyond the limit, variants are split into hash buckets and each example row is
+        replicated once per bucket; the join on (``on``, bucket) then spreads the examples x
+        variants product over at least the cluster's parallelism instead of one task per
+        seed. ``n_variants``: a bound the caller has proven (e.g. rows it built on the
+        driver), which saves the count."""
         vs = self.variant_scores(variants, weights, priors, col)
         vt = variants.join(vs, "variant_id")
-        g = ex_scores.join(F.broadcast(vt), list(on))  # variants: bounded by configuration
+        n = n_variants if n_variants is not None else variants.count()
+        if n <= self.broadcast_max_rows:
+            g = ex_scores.join(F.broadcast(vt), list(on))
+        else:
+            b = max(ex_scores.sparkSession.sparkContext.defaultParallelism,
+                    -(-n // self.broadcast_max_rows))
+            vb = vt.withColumn("_b", F.pmod(F.xxhash64("variant_id"), F.lit(b)).cast("int"))
+            eb = ex_scores.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+            g = eb.join(vb, [*on, "_b"]).drop("_b")
         return g.withColumn("score", F.zip_with("s", "t", lambda a, b: a + b)).drop("s", "t")
 
 

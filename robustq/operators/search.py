@@ -210,12 +210,14 @@ def greedy_search(train: DataFrame, dev: DataFrame, triggers: DataFrame, candida
     candidates = spark.createDataFrame(cand_rows, "seed int, cand_rank int, token string")
     is_dev = F.col("split") == "dev"
 
-    def step(trig: dict, it: int, cands: DataFrame) -> list:
+    def step(trig: dict, it: int, cands: DataFrame, n_cands: int) -> list:
         """One job: per (seed, candidate) train correct count and dev accuracy, plus the
         accept decision; the current trigger is cand_rank 0."""
         trig_df = spark.createDataFrame([(s, t) for s, t in trig.items()], "seed int, tokens array<string>")
         var = candidate_variants(trig_df, cands, it, n_tokens)
-        p = predict_from_scores(scorer.grid_from(scores, var, weights, priors))
+        # at most one variant per seed (current trigger) plus one per candidate row
+        p = predict_from_scores(scorer.grid_from(scores, var, weights, priors,
+                                                 n_variants=len(trig) + n_cands))
         c = F.col("correct").cast("int")
         counts = p.groupBy("seed", "slot", "cand_rank", "token").agg(
             F.sum(F.when(~is_dev, c).otherwise(0)).alias("n_correct"),
@@ -230,12 +232,12 @@ def greedy_search(train: DataFrame, dev: DataFrame, triggers: DataFrame, candida
     log = []
     best = {s: None for s in current}
     if iters == 0:
-        rows = step(current, 0, candidates.limit(0))
+        rows = step(current, 0, candidates.limit(0), 0)
         for r in sorted(rows, key=lambda r: r["seed"]):
             if r["cur_dev_acc"] is not None:
                 log.append((r["seed"], -1, None, None, None, None, round(r["cur_dev_acc"], 6), False))
     for it in range(iters):
-        rows = step(current, it, candidates)
+        rows = step(current, it, candidates, len(cand_rows))
         slot = {r["seed"]: r["slot"] for r in rows if r["slot"] is not None}
         if it == 0:
             init = {r["seed"]: r["cur_dev_acc"] for r in rows if r["cur_dev_acc"] is not None}

@@ -432,3 +432,23 @@ def test_step_windows_on_a_gapped_order_column(spark):
     marks = {(r.run, r.ts): r.cum_loss for r in
              mt.eval_marks(log, 4, 200, 16, order="ts", fanout=2, dense=False).collect()}
     assert marks == cum
+
+
+def test_grid_without_broadcast_matches(spark):
+    """Past the broadcast limit the grid joins hash buckets of variants with replicated
+    example rows, and the weights are a shuffle join: same predictions as the broadcast
+    plan."""
+    from robustq.plans import experiments as ex
+    from robustq.plans import fixtures as fx
+    from tests.conftest import SF_SMALL
+    v1, trig = fx.grid_inputs(spark, SF_SMALL)
+    var = ex.ap_deletion_variants(trig)
+
+    def preds(scorer):
+        return {tuple(r) for r in ex.predictions(v1, var, scorer=scorer, materialized=True)
+                .select("variant_id", "ex_id", "pred", "correct").collect()}
+
+    small = scoring.AdditiveScorer(broadcast_max_rows=10)
+    base = preds(scoring.AdditiveScorer())
+    assert len(base) == 164 * v1.count()
+    assert preds(small) == base
