@@ -195,17 +195,24 @@ class AdditiveScorer:
         vs = self.variant_scores(variants, weights, priors, col)
         vt = variants.join(vs, "variant_id")
         n = n_variants if n_variants is not None else variants.count()
-        if n <= self.broadcast_max_rows:
-            g = ex_scores.join(F.broadcast(vt), list(on))
-        else:
-            b = max(ex_scores.sparkSession.sparkContext.defaultParallelism,
-                    -(-n // self.broadcast_max_rows))
-            vb = vt.withColumn("_b", F.pmod(F.xxhash64("variant_id"), F.lit(b)).cast("int"))
-            eb = ex_scores.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-            g = eb.join(vb, [*on, "_b"]).drop("_b")
+        g = grid_join(ex_scores, vt, on, n, self.broadcast_max_rows)
         return g.withColumn("score", F.zip_with("s", "t", lambda a, b: a + b)).drop("s", "t")
 
 
+def grid_join(examples: DataFrame, variants: DataFrame, on: Sequence[str], n_variants: int,
+              max_rows: int) -> DataFrame:
+    """Every example row with every variant agreeing on ``on``. Variants within
+    ``max_rows`` are broadcast. Beyond it, variants are split into hash buckets of
+    ``variant_id`` and each example row is replicated once per bucket, so the join on
+    (``on``, bucket) spreads the product over at least the cluster's parallelism."""
+    if n_variants <= max_rows:
+        return examples.join(F.broadcast(variants), list(on))
+    b = max(examples.sparkSession.sparkContext.defaultParallelism, -(-n_variants // max_rows))
+    vb = variants.withColumn("_b", F.pmod(F.xxhash64("variant_id"), F.lit(b)).cast("int"))
+    eb = examples.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+    return eb.join(vb, [*on, "_b"]).drop("_b")
+
+
 def predict_from_scores(grid: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
     """E2/E3 on class scores (higher = more likely): pred = argmax (ties -> lowest class id);
     correct iff the gold score is strictly the largest (a tie with gold counts as wrong)."""
@@ -308,16 +315,18 @@ def sorted_seeds(variants: DataFrame) -> list[int]:
     return sorted({r[0] for r in variants.select("seed").distinct().collect()})
 
 
-def score_with_model(examples: DataFrame, variants: DataFrame, fn: Callable, schema: str
-                     ) -> DataFrame:
+def score_with_model(examples: DataFrame, variants: DataFrame, fn: Callable, schema: str,
+                     max_rows: int | None = None) -> DataFrame:
     """E8 hook: score (example x variant) pairs with a user model in Arrow batches.
 
     ``fn(pdf) -> pdf`` receives pandas frames with the example and variant columns and must
     return ``schema`` (e.g. ``variant_id string, ex_id long, label string, logit double``).
-    Variants are a bounded table and are broadcast."""
+    Variants are counted and broadcast within ``max_rows``, bucketed beyond it
+    (:func:`grid_join`)."""
+    from robustq.functions.materialize import BROADCAST_MAX_ROWS
     if "seed" not in examples.columns:
         examples = examples.select(seeds_col(sorted_seeds(variants)).alias("seed"), "*")
-    pairs = examples.join(F.broadcast(variants), "seed")
+    pairs = grid_join(examples, variants, ["seed"], variants.count(), max_rows or BROADCAST_MAX_ROWS)
 
     def run(it):
         for pdf in it:

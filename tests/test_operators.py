@@ -286,8 +286,12 @@ def test_model_hook_scores_in_arrow_batches(spark):
                 for r in pdf.itertuples() for k, lab in enumerate(["entailment", "contradiction", "neutral"])]
         return pd.DataFrame(rows, columns=["variant_id", "ex_id", "label", "logit"])
 
-    out = scoring.score_with_model(ex, var, model, "variant_id string, ex_id long, label string, logit double")
+    schema = "variant_id string, ex_id long, label string, logit double"
+    out = scoring.score_with_model(ex, var, model, schema)
     assert out.count() == 20 * 2 * 3
+    # past the broadcast limit the pairs come from the bucketed join: same rows
+    bucketed = scoring.score_with_model(ex, var, model, schema, max_rows=1)
+    assert sorted(map(tuple, bucketed.collect())) == sorted(map(tuple, out.collect()))
 
 
 def test_pair_perturbed_with_missing_rows(spark):
