@@ -456,3 +456,17 @@ def test_grid_without_broadcast_matches(spark):
     base = preds(scoring.AdditiveScorer())
     assert len(base) == 164 * v1.count()
     assert preds(small) == base
+
+
+def test_materialize_all_keeps_order_and_raises(spark):
+    import pytest
+
+    from robustq.functions.materialize import materialize_all
+    a = spark.range(0, 100, 1, 3).withColumn("k", F.col("id") * 2)
+    b = spark.createDataFrame([("x", 1), ("y", 2)], "s string, n int")
+    ma, mb = materialize_all(a, b)
+    assert sorted(r.k for r in ma.collect()) == [2 * i for i in range(100)]
+    assert sorted(map(tuple, mb.collect())) == [("x", 1), ("y", 2)]
+    bad = spark.range(3).select(F.raise_error(F.lit("boom")).alias("x"))
+    with pytest.raises(Exception, match="boom"):
+        materialize_all(a, bad)
