@@ -29,20 +29,27 @@ def materialize_all(*dfs: DataFrame) -> list[DataFrame]:
     submitted from its own driver thread (``InheritableThread`` keeps the caller's job
     group and scheduler properties), so the scheduler interleaves their tasks instead of
     running the jobs one after the other."""
-    from pyspark import InheritableThread
     if len(dfs) == 1:
         return [materialize(dfs[0])]
     ensure_checkpoint_dir(dfs[0].sparkSession)
-    out: list = [None] * len(dfs)
+    return concurrently(*[(lambda d=d: materialize(d)) for d in dfs])
+
+
+def concurrently(*fns) -> list:
+    """Call functions that submit independent Spark jobs (materialisations, or builders
+    that materialise inside) from separate driver threads; results in argument order,
+    the first error re-raised on the caller's thread."""
+    from pyspark import InheritableThread
+    out: list = [None] * len(fns)
     errors: list = []
 
-    def run(i: int, d: DataFrame) -> None:
+    def run(i: int, fn) -> None:
         try:
-            out[i] = materialize(d)
+            out[i] = fn()
         except BaseException as e:  # re-raised on the caller's thread
             errors.append(e)
 
-    threads = [InheritableThread(target=run, args=(i, d)) for i, d in enumerate(dfs)]
+    threads = [InheritableThread(target=run, args=(i, fn)) for i, fn in enumerate(fns)]
     for t in threads:
         t.start()
     for t in threads:

@@ -79,7 +79,10 @@ _ALLOWED = ("allowed", """SELECT token, token_id, freq FROM v4
 
 
 def allowed(spark, sf):
-    return se.allowed_tokens(fx.vocab(spark, sf), fx.label_words(spark, sf), SPECIALS)
+    from robustq.functions.materialize import concurrently
+    # the vocabulary numbering and the label words are independent jobs
+    voc, lw = concurrently(lambda: fx.vocab(spark, sf), lambda: fx.label_words(spark, sf))
+    return se.allowed_tokens(voc, lw, SPECIALS)
 
 
 @register("token_filter", with_views(["v4", "v5l"], "SELECT * FROM allowed", [_ALLOWED]))
