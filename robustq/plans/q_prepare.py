@@ -155,10 +155,16 @@ def truncate_head(spark, sf):
           LEFT JOIN v4 ON v4.token = w.token) j GROUP BY ex_id) e ON e.ex_id = v.ex_id) b) c"""))
 def batch_pad(spark, sf):
     """Encoded sentence_a in hash-shuffled batches of 32, padded to the batch maximum."""
+    from robustq.functions.materialize import concurrently
     v1 = fx.docs_pairs(spark, sf)
-    enc = pr.encode_tokens(v1, "sentence_a", fx.vocab(spark, sf))
-    pos = global_position(enc.withColumn("_h", hkey(F.lit("0"), "ex_id")), ["_h", "ex_id"], "_p")
-    b = pos.withColumn("batch", F.floor(F.col("_p") / 32).cast("int")).drop("_h", "_p")
+    # the batch order depends on ex_id only: number V1's ids while the vocabulary is
+    # numbered (independent jobs), then join the positions to the encoded rows
+    ids = v1.select("ex_id", hkey(F.lit("0"), "ex_id").alias("_h"))
+    voc, pos = concurrently(lambda: fx.vocab(spark, sf),
+                            lambda: global_position(ids, ["_h", "ex_id"], "_p"))
+    enc = pr.encode_tokens(v1, "sentence_a", voc)
+    b = (enc.join(pos.select("ex_id", "_p"), "ex_id")
+         .withColumn("batch", F.floor(F.col("_p") / 32).cast("int")).drop("_p"))
     return pr.pad_batches(b, "ids", ["batch"]).select("batch", "ex_id", "ids", "attention_mask")
 
 
