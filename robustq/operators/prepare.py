@@ -118,14 +118,20 @@ def swap_objects(facts: DataFrame, seed: int, fact_cols: Sequence[str] = ("sub_l
     """Per fact a random *different* object label, then per evidence a random surface of
     that label (surfaces weighted by occurrence: the list is not de-duplicated); fill
     ``[MASK]`` and overwrite obj_label."""
-    labels = facts.select("obj_label").distinct()
-    labels = global_position(labels, ["obj_label"], "lidx")  # one row per object label
-    k = labels.count()
+    from robustq.functions.materialize import concurrently
+
+    def numbered_labels():
+        lab = global_position(facts.select("obj_label").distinct(), ["obj_label"], "lidx")
+        return lab, lab.count()  # one row per object label
+
+    # surfaces ranked within their label, skew-safe (a label may own a third of all rows);
+    # independent of the label numbering, so both run at the same time
+    (labels, k), surf = concurrently(
+        numbered_labels,
+        lambda: row_number_within(facts.select("obj_label", "obj_surface", id_col), ["obj_label"],
+                                  [id_col], "sidx"))
     if k < 2:
         raise ValueError("swap_objects needs at least two object labels")
-    # surfaces ranked within their label, skew-safe (a label may own a third of all rows)
-    surf = row_number_within(facts.select("obj_label", "obj_surface", id_col), ["obj_label"],
-                             [id_col], "sidx")
     n_surf = facts.groupBy("obj_label").agg(F.count(F.lit(1)).alias("n_surf"))
     # both label tables have k rows (counted above): broadcast only within the limit,
     # otherwise shuffle joins on the label
