@@ -71,11 +71,17 @@ def sample_exact(df: DataFrame, n: int, seed: int, key: str = "ex_id", check: bo
     distributed top-n). n larger than the population is an error; n = 0/None = all rows."""
     if not n:
         return df
-    if check:
-        total = df.count()
-        if n > total:
-            raise ValueError(f"sample larger than population: {n} > {total}")
-    return df.orderBy(hkey(F.lit(str(seed)), key), F.col(key)).limit(n)
+    top = df.orderBy(hkey(F.lit(str(seed)), key), F.col(key)).limit(n)
+    if not check:
+        return top
+    # one pass over the data: the n-row sample is written once and counted; fewer rows
+    # than asked means the population was smaller (no separate count of the whole table)
+    from robustq.functions.materialize import materialize
+    top = materialize(top)
+    got = top.count()
+    if got < n:
+        raise ValueError(f"sample larger than population: {n} > {got}")
+    return top
 
 
 # -- B6 -----------------------------------------------------------------------------
