@@ -100,8 +100,12 @@ def nested_subsets(df: DataFrame, seeds: Sequence[int], sizes: Sequence[int] = N
 def holdout(df: DataFrame, n: int, seed: int, key: str = "ex_id") -> tuple[DataFrame, DataFrame]:
     """(train, dev): dev = the ``n`` rows first in md5(seed:key) order; train = the rest
     (left anti join, disjoint by construction)."""
-    dev = df.orderBy(hkey(F.lit(str(seed)), key), F.col(key)).limit(n)
-    train = df.join(dev.select(key), key, "left_anti")
+    from robustq.functions.materialize import BROADCAST_MAX_ROWS, materialize
+    # the n dev rows (bounded by the parameter) are written once: dev and the anti join
+    # behind train both read them, so the top-n pass over the data runs once
+    dev = materialize(df.orderBy(hkey(F.lit(str(seed)), key), F.col(key)).limit(n))
+    keys = dev.select(key)
+    train = df.join(F.broadcast(keys) if n <= BROADCAST_MAX_ROWS else keys, key, "left_anti")
     return train, dev
 
 
