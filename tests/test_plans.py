@@ -66,3 +66,16 @@ def test_spread_decides_without_running_the_plan(spark):
         sc.setLocalProperty("spark.jobGroup.id", None)
     assert "Repartition" in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.count() == 1000
+
+
+def test_grid_buckets_only_past_the_limit(spark):
+    """The variant grid is a broadcast within the limit and a bucketed join beyond it."""
+    from robustq.operators.scoring import AdditiveScorer
+    from robustq.plans import experiments as ex
+    from robustq.plans import fixtures as fx
+    v1, trig = fx.grid_inputs(spark, SF_SMALL)
+    var = ex.ap_deletion_variants(trig)
+    normal = ex.predictions(v1, var, scorer=AdditiveScorer(), materialized=True)
+    forced = ex.predictions(v1, var, scorer=AdditiveScorer(broadcast_max_rows=10), materialized=True)
+    assert "xxhash64" not in plan(normal)
+    assert "xxhash64" in plan(forced)
