@@ -7,12 +7,16 @@ import __spark_entry__ as entry
 from tests.conftest import SF_SMALL
 from tests.oracle_check import compare
 
-ORACLE = entry.oracle_sql()
-QUERIES = entry.queries()
+from robustq.plans import registry
+
+registry.load_all()
+ORACLE = dict(registry.ORACLE)
+QUERIES = dict(registry.QUERIES)
 
 
 def test_every_query_has_an_entry():
     assert set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
     assert len(QUERIES) == 61
     assert set(QUERIES) - set(ORACLE) == {"label_projection", "greedy_trigger_search", "linear_probe"}
 
