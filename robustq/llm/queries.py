@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from robustq.llm import bpe_stream as _bpe
 from robustq.llm import decontaminate as _decon
+from robustq.llm import language_id as _lang
 from robustq.llm import line_dedup as _lines
 from robustq.llm import simhash_dedup as _simhash
 from robustq.llm.common import documents
@@ -19,6 +21,16 @@ def _query(fn):
     return fn
 
 
+def part_of(n: int, id_col: str = "doc_id"):
+    """crc32 of the id as text, modulo n (null: null)."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def _sha(c):
     return F.sha2(c, 256)
 
@@ -67,3 +79,17 @@ SELECT doc_id, count(*)::BIGINT AS n_lines,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id
 """
+
+
+@_query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = _lang.fit(docs, F.coalesce(part_of(4) != 2, F.lit(False)))
+    found = _lang.identify(docs, model, carry=["doc_id"])
+    return found.select("doc_id", F.coalesce(part_of(4) == 2, F.lit(False)).alias("held_out"),
+                        "lang_pred", "score")
+
+
+@_query
+def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bpe.bpe_digest(documents(spark, sf_dir), tokenizer_path())
