@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from robustq.llm import bpe_stream as _bpe
+from robustq.llm import chat_format as _chat
 from robustq.llm import decontaminate as _decon
 from robustq.llm import language_id as _lang
 from robustq.llm import line_dedup as _lines
@@ -93,3 +94,33 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bpe.bpe_digest(documents(spark, sf_dir), tokenizer_path())
+
+
+@_query
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
+        "conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"  # fixed value of the contract
+    extra = spark.range(1).select(
+        F.lit(-7).cast("bigint").alias("conv_id"),
+        F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role"),
+        F.lit(said).alias("text")).withColumn("turn", F.col("turn").cast("bigint"))
+    return _chat.read_back(_chat.format_conversations(rows.unionByName(extra)))
+
+
+ORACLE["op7_chat_formatting"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text))
+         AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text)
+                       FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<|turn|>') + length(role) + 1 + length(text)
+           + length(text) - length(replace(replace(replace(text, chr(92), ''), '<', ''), '[', ''))
+           + length('<|end|>') + 1)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
