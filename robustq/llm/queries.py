@@ -9,6 +9,7 @@ from robustq.llm import bpe_stream as _bpe
 from robustq.llm import chat_format as _chat
 from robustq.llm import decontaminate as _decon
 from robustq.llm import language_id as _lang
+from robustq.llm import license_scan as _licence
 from robustq.llm import line_dedup as _lines
 from robustq.llm import simhash_dedup as _simhash
 from robustq.llm.common import documents
@@ -36,6 +37,17 @@ def _sha(c):
     return F.sha2(c, 256)
 
 
+@_query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _licence.scan(documents(spark, sf_dir))
+    return d.select("doc_id", "n_sentences",
+                    *[F.array_join(c, ",").alias(c)
+                      for c in ("sentence_ids", "licences", "unmatched")])
+
+
+ORACLE["op1_license_scan"] = _licence.oracle_sql()
+
+
 @_query
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     nd = _simhash.near_duplicates(documents(spark, sf_dir))
