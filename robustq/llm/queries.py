@@ -11,6 +11,7 @@ from robustq.llm import decontaminate as _decon
 from robustq.llm import language_id as _lang
 from robustq.llm import license_scan as _licence
 from robustq.llm import line_dedup as _lines
+from robustq.llm import quality_llr as _llr
 from robustq.llm import simhash_dedup as _simhash
 from robustq.llm.common import documents
 
@@ -48,6 +49,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op1_license_scan"] = _licence.oracle_sql()
 
 
+@_query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
+    return _llr.score(documents(spark, sf_dir), good)
+
+
 @_query
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     nd = _simhash.near_duplicates(documents(spark, sf_dir))
