@@ -13,6 +13,7 @@ from robustq.llm import license_scan as _licence
 from robustq.llm import line_dedup as _lines
 from robustq.llm import quality_llr as _llr
 from robustq.llm import simhash_dedup as _simhash
+from robustq.llm import suffix_dedup as _suffix
 from robustq.llm.common import documents
 
 QUERIES: dict = {}
@@ -61,6 +62,13 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nd.select("doc_id", _simhash.hex_fp().alias("fingerprint"), "component_id")
 
 
+@_query
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _suffix.remove_repeats(documents(spark, sf_dir))
+    return d.select("doc_id", "n_bytes", "n_removed",
+                    (F.size("spans") / 2).cast("bigint").alias("n_spans"), "kept_sha256")
+
+
 @_query
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _decon.decontaminate(documents(spark, sf_dir),
