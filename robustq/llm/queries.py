@@ -11,6 +11,7 @@ from robustq.llm import decontaminate as _decon
 from robustq.llm import language_id as _lang
 from robustq.llm import license_scan as _licence
 from robustq.llm import line_dedup as _lines
+from robustq.llm import mil_quality as _mil
 from robustq.llm import quality_llr as _llr
 from robustq.llm import simhash_dedup as _simhash
 from robustq.llm import suffix_dedup as _suffix
@@ -151,3 +152,13 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
            + length('<|end|>') + 1)::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+
+@_query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    model = _mil.fit(docs, labels, F.coalesce(part_of(5) != 0, F.lit(False)))
+    d = _mil.score(docs, model, carry=["doc_id"])
+    return d.select("doc_id", F.coalesce(part_of(5) == 0, F.lit(False)).alias("held_out"),
+                    "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
