@@ -295,18 +295,19 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id",
     return map_texts(docs, text, [id_col], [("ids", "array<int>"), ("decoded", "string")], fn)
 
 
-def bpe_digest(docs: DataFrame, path: str, id_col: str = "doc_id",
+def bpe_digest(docs: DataFrame, path: str, carry: list[str] | None = None,
                text: str = "text") -> DataFrame:
-    """DataFrame (id, n_tokens, ids_sha256, decoded_sha256): the encoding of every text
-    hashed while it streams, so that no text's ids are held at once."""
+    """The ``carry`` columns (default: all), n_tokens, ids_sha256 and decoded_sha256: the
+    encoding of every text hashed while it streams, so that no text's ids are held at once."""
     vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
     def fn(col):
         enc = encoder(vocab)
         rows = [digest(enc, t) for t in col.to_pylist()]
         return [list(x) for x in zip(*rows)] if rows else [[], [], []]
-    return map_texts(docs, text, [id_col], [("n_tokens", "bigint"), ("ids_sha256", "string"),
-                                            ("decoded_sha256", "string")], fn)
+    carry = list(docs.columns) if carry is None else carry
+    return map_texts(docs, text, carry, [("n_tokens", "bigint"), ("ids_sha256", "string"),
+                                          ("decoded_sha256", "string")], fn)
 
 
 def digest(enc: Encoder, text: str | None) -> tuple[int, str, str]:

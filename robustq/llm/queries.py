@@ -31,6 +31,11 @@ def part_of(n: int, id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
+def language_model(docs: DataFrame) -> _lang.Model:
+    """Learnt from the documents that are not held out."""
+    return _lang.fit(docs, F.coalesce(part_of(4) != 2, F.lit(False)))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
@@ -113,7 +118,7 @@ FROM m GROUP BY doc_id
 @_query
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = _lang.fit(docs, F.coalesce(part_of(4) != 2, F.lit(False)))
+    model = language_model(docs)
     found = _lang.identify(docs, model, carry=["doc_id"])
     return found.select("doc_id", F.coalesce(part_of(4) == 2, F.lit(False)).alias("held_out"),
                         "lang_pred", "score")
@@ -121,7 +126,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bpe.bpe_digest(documents(spark, sf_dir), tokenizer_path())
+    return _bpe.bpe_digest(documents(spark, sf_dir), tokenizer_path(), carry=["doc_id"])
 
 
 @_query
