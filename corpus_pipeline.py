@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from robustq.llm.common import documents, shared_folder
+from robustq.llm.bpe_stream import bpe_digest
+from robustq.llm.common import broadcast_if_bounded, documents, saved, shared_folder
 from robustq.llm.decontaminate import decontaminate
+from robustq.llm.language_id import identify
 from robustq.llm.line_dedup import drop_repeated_lines
+from robustq.llm.queries import language_model, tokenizer_path
 from robustq.llm.simhash_dedup import keep_first
 
 
@@ -21,6 +24,12 @@ def _as_documents(df: DataFrame, like: DataFrame) -> DataFrame:
                        for c in like.columns])
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (null, or no letter) go."""
+    found = identify(docs, language_model(docs))
+    return found.where("lang_pred <> 'und'").select(*docs.columns)
+
+
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _as_documents(drop_repeated_lines(docs), docs)
 
@@ -32,12 +41,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    bad = saved(found.where("n_hit > 0").select("doc_id").distinct())
+    return docs.join(broadcast_if_bounded(bad, 16), "doc_id", "left_anti").select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with the digests of their encoding and decoding."""
+    return bpe_digest(docs, tokenizer_path())
 
 
-STAGES = [("line_dedup", lines), ("simhash_near_dedup", near_duplicates),
-          ("benchmark_decontamination", benchmark)]
+STAGES = [("language_id", language), ("line_dedup", lines), ("simhash_near_dedup", near_duplicates),
+          ("benchmark_decontamination", benchmark), ("bpe_encode_decode", tokens)]
 
 #: Language ID, SimHash components and the tokenizer have no SQL form.
 ORACLE_SQL = None
