@@ -3,8 +3,8 @@
 For each language a bounded sample of labelled text (whole texts in hash order while they fit
 into ``sample_chars``) becomes a suffix automaton. A text is cross-parsed against every
 language: from each phrase start the longest match in the sample is one phrase, an unseen
-character is a phrase of its own. H(l) = phrases * log2(sample length) / characters; the
-smallest H wins (ties: the smallest language name).
+character is a phrase of its own. The language with the fewest phrases per character wins
+(ties: the smallest name).
 
 Letters are lower-cased and mapped to classes, everything else between letters is one
 separator. Parsing restarts every ``block`` characters (a parameter; whole texts are parsed),
@@ -49,7 +49,6 @@ class Model:
     letter: np.ndarray    # code point -> is a letter
     table: np.ndarray     # (state, class) -> next state * 2 + 1 if a phrase ended there
     roots: np.ndarray     # root state of each language
-    bits: np.ndarray      # log2 of each sample's length
 
 
 def sequence(points: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -98,7 +97,8 @@ def suffix_automaton(seq: np.ndarray, n_classes: int) -> np.ndarray:
 def build(samples: dict[str, list[str]], n_classes: int = CLASSES) -> Model:
     """Model of whole sample texts per language."""
     letter = letters()
-    langs = sorted(samples)
+    langs = sorted(x for x, texts in samples.items()
+                   if any(c.isalpha() for t in texts for c in t))
     lowered = {lang: code_points("\n".join(samples[lang]).lower()) for lang in langs}
     seen = np.unique(np.concatenate([p[letter[p]] for p in lowered.values()])) if langs \
         else np.zeros(0, np.uint32)
@@ -112,19 +112,20 @@ def build(samples: dict[str, list[str]], n_classes: int = CLASSES) -> Model:
         classes[every] = 1 + low % (n_classes - 1)
     used = int(classes.max()) + 1 if len(seen) > n_classes - 2 else len(seen) + 2
     classes = np.where(classes == n_classes - 1, used - 1, classes).astype(np.uint8)
-    parts, roots, bits, at = [], [], [], 0
+    parts, roots, at = [], [], 0
     for lang in langs:
-        seq = sequence(lowered[lang], classes)
-        t = suffix_automaton(seq, used)
-        root = np.where(t[0] < 0, 0, t[0])
-        dead = t < 0
-        t = np.where(dead, root[None, :], t) + at
+        t = suffix_automaton(sequence(lowered[lang], classes), used)
+        # one more state: after an unseen character, where any character opens a phrase
+        unseen = len(t)
+        opening = np.where(t[0] < 0, unseen, t[0])
+        dead = np.vstack((t < 0, np.ones((1, used), bool)))
+        dead[0] = False  # the root is only left by a lane's first character
+        t = np.where(np.vstack((t, t[:1])) < 0, opening[None, :], np.vstack((t, t[:1]))) + at
         parts.append((t * 2 + dead).astype(np.int32))
         roots.append(at)
-        bits.append(np.log2(len(seq) + 2))
         at += len(t)
     table = np.concatenate(parts) if parts else np.zeros((0, used), np.int32)
-    return Model(langs, classes, letter, table, np.array(roots, np.int64), np.array(bits))
+    return Model(langs, classes, letter, table, np.array(roots, np.int64))
 
 
 def fit(docs: DataFrame, train: Column, lang: str = "lang", text: str = "text",
@@ -200,7 +201,7 @@ def predict(model: Model, texts: list[str | None], block: int = BLOCK) -> tuple[
     counts, chars, has = phrases(model, texts, block)
     if not model.langs:
         return ["und"] * len(texts), [0.0] * len(texts)
-    h = counts * model.bits[None, :] / np.maximum(chars, 1)[:, None]
+    h = counts / np.maximum(chars, 1)[:, None]
     best = h.argmin(axis=1)
     low = np.sort(h, axis=1)
     second = low[:, 1] if low.shape[1] > 1 else np.full(len(texts), np.inf)

@@ -1,7 +1,7 @@
 """Licence scan by sentence rules.
 
 Texts are cut into sentences; each is normalised (lower case, comment leaders, quotes and
-asterisks removed, white space collapsed, end punctuation stripped). A known licence sentence
+asterisks removed, white space collapsed, end punctuation stripped). Blank lines end sentences too. A known licence sentence
 may begin at any line of a text sentence (a line above need not end in a full stop), so each
 sentence offers its line suffixes up to the length of the longest known one. Normalised
 sentences are mapped to identifiers by a map of the known sentences (a parameter), and the
@@ -29,8 +29,8 @@ SENTENCES: dict[str, str] = {
     "apache2-short": "Licensed under the Apache License, Version 2.0.",
     "apache2-grant": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may "
                      "not use this file except in compliance with the License.",
-    "apache2-copy": "You may obtain a copy of the License at "
-                    "http://www.apache.org/licenses/LICENSE-2.0",
+    "apache2-copy": "You may obtain a copy of the License at",
+    "apache2-url": "http://www.apache.org/licenses/LICENSE-2.0",
     "apache2-asis": "Unless required by applicable law or agreed to in writing, software "
                     "distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT "
                     "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
@@ -67,15 +67,15 @@ SENTENCES: dict[str, str] = {
     "cc-by-nc4": "Licensed under CC BY-NC 4.0.",
     "cc-by4": "Licensed under CC BY 4.0.",
     "cc-by-sa4": "Licensed under CC BY-SA 4.0.",
-    "mpl2": "This Source Code Form is subject to the terms of the Mozilla Public License, "
-            "v. 2.0.",
+    "mpl2": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
 }
 
 # fixed values: rules in order; each maps a sequence of identifiers to a licence
 RULES: list[tuple[str, tuple[str, ...]]] = [
-    ("Apache-2.0", ("apache2-grant", "apache2-copy", "apache2-asis", "apache2-see")),
-    ("Apache-2.0", ("apache2-grant", "apache2-copy", "apache2-asis")),
-    ("Apache-2.0", ("apache2-grant", "apache2-copy")),
+    ("Apache-2.0", ("apache2-grant", "apache2-copy", "apache2-url", "apache2-asis",
+                    "apache2-see")),
+    ("Apache-2.0", ("apache2-grant", "apache2-copy", "apache2-url", "apache2-asis")),
+    ("Apache-2.0", ("apache2-grant", "apache2-copy", "apache2-url")),
     ("MIT", ("mit-grant", "mit-notice", "mit-asis")),
     ("MIT", ("mit-grant", "mit-notice")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-see")),
@@ -94,9 +94,10 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
 
 # fixed values: how sentences are cut and normalised (valid for Java and RE2 alike)
 LEADER = r"(^|\n)[ \t\x0B\f\r]*(//+|--+|[*#;]+)?[ \t\x0B\f\r]*"  # white space and comment marks
-CUT = r"([.!?;:])[ \t\n\x0B\f\r]+"                                # after end punctuation
+CUT = r"([.!?][ \n]|:\n)"         # after a full stop, or a colon at the end of a line
 SPACES = r"[ \t\x0B\f\r]+"
-LINES = r" ?\n[ \n]*"
+PARAGRAPH = r" ?\n ?\n[ \n]*"
+LINES = r" ?\n ?"
 TAIL = r"[.!?;:, \n]+$"
 DROP = "*\"'`\x01"
 _BREAK = "\x01"
@@ -108,14 +109,15 @@ def normalise(sentence: str) -> str:
     s = re.sub(LEADER, "\n", sentence).lower()
     s = "".join(c for c in s if c not in DROP)
     s = re.sub(SPACES, " ", s)
-    s = re.sub(TAIL, "", re.sub(LINES, "\n", s).strip(" \n"))
+    s = re.sub(TAIL, "", re.sub(LINES, "\n", re.sub(PARAGRAPH, "\n", s)).strip(" \n"))
     return s.replace("\n", " ")
 
 
 def _sentences(text: Column) -> Column:
     """Array of normalised sentences; line breaks inside them are kept as \\n."""
     s = F.translate(F.lower(F.regexp_replace(text, LEADER, "\n")), DROP, "")
-    s = F.regexp_replace(F.regexp_replace(s, SPACES, " "), LINES, "\n")
+    s = F.regexp_replace(F.regexp_replace(s, SPACES, " "), PARAGRAPH, _BREAK)
+    s = F.regexp_replace(s, LINES, "\n")
     parts = F.split(F.regexp_replace(s, CUT, "$1" + _BREAK), _BREAK)
     return F.transform(parts, lambda x: F.btrim(F.regexp_replace(x, TAIL, ""), F.lit(" \n")))
 
@@ -182,9 +184,9 @@ def oracle_sql(sentences: Mapping[str, str] = SENTENCES,
     def q(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({q(i)}, {q(s)})" for i, s in sentences.items())
-    norm = (f"regexp_replace(regexp_replace(translate(lower(regexp_replace({{x}}, {q(LEADER)}, "
-            f"chr(10), 'g')), '*\"''`' || chr(1), ''), {q(SPACES)}, ' ', 'g'), {q(LINES)}, "
-            f"chr(10), 'g')")
+    norm = (f"regexp_replace(regexp_replace(regexp_replace(translate(lower(regexp_replace({{x}}, "
+            f"{q(LEADER)}, chr(10), 'g')), '*\"''`' || chr(1), ''), {q(SPACES)}, ' ', 'g'), "
+            f"{q(PARAGRAPH)}, chr(1), 'g'), {q(LINES)}, chr(10), 'g')")
     tidy = f"trim(regexp_replace({{x}}, {q(TAIL)}, ''), ' ' || chr(10))"
     done = "ids"
     for licence, seq in rules:
@@ -192,7 +194,7 @@ def oracle_sql(sentences: Mapping[str, str] = SENTENCES,
     cut = q(CUT)
     return f"""
 WITH known AS (
-  SELECT id, replace({tidy.format(x="trim(" + norm.format(x="s") + ", ' ' || chr(10))")},
+  SELECT id, replace({tidy.format(x="trim(" + norm.format(x="s") + ", ' ' || chr(10) || chr(1))")},
                      chr(10), ' ') AS norm
   FROM (VALUES {values}) v(id, s)),
 s AS (

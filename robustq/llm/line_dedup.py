@@ -35,6 +35,7 @@ from robustq.llm.common import broadcast_if_bounded, saved, shared_folder
 # fixed value of the contract: characters stripped at both ends of a line
 STRIP = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+RUN_SCHEMA = "h1 bigint, h2 bigint, n_docs bigint, owner bigint"
 SALTS = 16  # parameter: copies of the frequent keys when they are joined by a shuffle
 
 
@@ -77,7 +78,7 @@ class LineRuns:
     def union(self, tables: list[str]) -> DataFrame:
         """All rows of some runs, read as plain files (a union of bucketed scans must not be
         taken for one bucketed table)."""
-        return self.spark.read.parquet(*[f"{self.folder}/{t}" for t in tables])
+        return self.spark.read.schema(RUN_SCHEMA).parquet(*[f"{self.folder}/{t}" for t in tables])
 
     def add(self, batch: DataFrame) -> None:
         """Merge-anti-join ``batch`` (h1, h2, n_docs, owner) with every run, then add it: keys
