@@ -29,10 +29,6 @@ def hnum(*parts) -> Column:
     return F.conv(F.substring(hkey(*parts), 1, 15), 16, 10).cast("bigint")
 
 
-def lit_part(v) -> Column:
-    return F.lit(str(v))
-
-
 def sql_hkey(*parts: str) -> str:
     """DuckDB twin; parts are SQL expressions."""
     inner = ", ".join(f"CAST({p} AS VARCHAR)" for p in parts)

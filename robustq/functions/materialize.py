@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 
 from robustq.session import ensure_checkpoint_dir
 
-# fixed value: largest table broadcast after a runtime row count (a few hundred MB of
-# executor memory at most for the narrow tables it is used on)
-BROADCAST_MAX_ROWS = 2_000_000
+# parameter: estimated bytes up to which a table is broadcast
+BROADCAST_MAX_BYTES = 64 << 20
+
+
+def rows_within(row_bytes: int) -> int:
+    """Rows of about ``row_bytes`` each that may be broadcast."""
+    return max(1, BROADCAST_MAX_BYTES // row_bytes)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -59,14 +63,6 @@ def concurrently(*fns) -> list:
     return out
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
-    """Materialise ``df``, count it, and mark it for broadcast only when it has at most
-    ``max_rows`` rows; otherwise it is returned as is (shuffle join, AQE skew handling)."""
-    m = materialize(df)
-    n = m.count()
-    return (F.broadcast(m), True) if n <= max_rows else (m, False)
-
-
 def spread(df: DataFrame, factor: int = 2, source: DataFrame | None = None) -> DataFrame:
     """Round-robin ``df`` when its input scan has fewer splits than ``factor`` x the cluster's
     parallelism (a few large row groups cannot be split by the reader, so one task would

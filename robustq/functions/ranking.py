@@ -3,7 +3,7 @@
 ``Window.partitionBy(g).orderBy(o)`` puts a whole group into one task; with a hot group (a
 third of all rows) that task becomes the job. ``row_number_within`` instead range-sorts the
 rows on ``(g, o)`` across all partitions, numbers rows by partition offset and subtracts the
-group's start position. Only one row per *partition* (offsets) and one row per *group*
+group's start position. Only one row per *partition* (offsets) and one row per *group and partition*
 (start positions, partially aggregated) ever meet in a small table.
 
 ``order`` must be a total order (end it with a unique key). Partition and row ids are
@@ -23,51 +23,57 @@ def _cols(cs) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cs]
 
 
+def _positions(df: DataFrame, order: Sequence, keys: Sequence[str], name: str) -> DataFrame:
+    """(keys, _pid, name): 0-based global positions of the range-sorted keys, with the sort's
+    partition. Partition and row ids are checkpointed once, because range bounds come from
+    sampling and a second evaluation of the sort could partition differently."""
+    from robustq.functions.materialize import materialize
+    s = (df.select(*keys).orderBy(*_cols(order))
+         .withColumn("_pid", F.spark_partition_id())
+         .withColumn("_mid", F.monotonically_increasing_id()))
+    s = materialize(s)
+    parts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = parts.select("_pid", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    return (s.join(F.broadcast(offs), "_pid")  # one row per partition
+            .select(*keys, "_pid", (F.col("_off") + F.col("_mid") - F.col("_m0")).alias(name)))
+
+
 def global_position(df: DataFrame, order: Sequence, name: str = "_pos",
                     keys: Sequence[str] | None = None) -> DataFrame:
     """Add a 0-based global position following ``order`` (a total order).
 
     ``keys`` are the columns that make the order total (default: the column names in
-    ``order``). Only the keys are range-sorted; their partition ids and row ids are then
-    checkpointed once, because range bounds come from sampling and a second evaluation of
-    the sort could partition differently. Offsets per partition (one row each) come from
-    that fixed copy, and the positions are joined back to the rows on the keys."""
-    from robustq.functions.materialize import materialize
+    ``order``). Only the keys are range-sorted; offsets per partition (one row each) come
+    from that fixed copy, and the positions are joined back to the rows on the keys."""
     if keys is None:
         if not all(isinstance(o, str) for o in order):
             raise ValueError("pass keys= when the order contains expressions")
         keys = list(order)
     keys = list(keys)
-    s = (df.select(*keys).orderBy(*_cols(order))
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id()))
-    s = materialize(s)
-    parts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = parts.select("_pid", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    pos = (s.join(F.broadcast(offs), "_pid")  # one row per partition
-           .select(*keys, (F.col("_off") + F.col("_mid") - F.col("_m0")).alias(name)))
+    pos = _positions(df, order, keys, name).drop("_pid")
     if set(df.columns) <= set(keys):
         return pos.select(*df.columns, name)
     return df.join(pos, keys)
 
 
-def row_number_within(df: DataFrame, partition: Sequence[str], order: Sequence,
+def row_number_within(df: DataFrame, partition: Sequence[str], order: Sequence[str],
                       name: str = "rn") -> DataFrame:
-    """1-based row number per group, skew-safe (see module doc)."""
-    pos = global_position(df, [*partition, *order], "_gpos")
-    starts = pos.groupBy(*partition).agg(F.min("_gpos").alias("_g0"))
-    return (pos.join(starts, list(partition))
-            .withColumn(name, F.col("_gpos") - F.col("_g0") + 1)
-            .drop("_gpos", "_g0"))
-
-
-def window_row_number(df: DataFrame, partition: Sequence[str], order: Sequence,
-                      name: str = "rn") -> DataFrame:
-    """Plain window row number, for groups whose size is bounded by construction
-    (e.g. ``rn <= k`` filters, which Spark turns into a partial per-task top-k)."""
-    w = Window.partitionBy(*partition).orderBy(*_cols(order))
-    return df.withColumn(name, F.row_number().over(w))
+    """1-based row number per group, skew-safe (see module doc).
+
+    The group's start is looked up per (sort partition, group): the rows of a hot group stay
+    with the partitions that sorted them, no join ever gathers them by the group alone. The
+    table of starts has one row per group and sort partition."""
+    partition, keys = list(partition), [*partition, *order]
+    pos = _positions(df, keys, keys, "_gpos")
+    seen = pos.groupBy("_pid", *partition).agg(F.min("_gpos").alias("_g"))
+    first = seen.groupBy(*partition).agg(F.min("_g").alias("_g0"))
+    starts = seen.drop("_g").join(first, partition)
+    rn = (pos.join(starts, ["_pid", *partition])
+          .select(*keys, (F.col("_gpos") - F.col("_g0") + 1).alias(name)))
+    if set(df.columns) <= set(keys):
+        return rn.select(*df.columns, name)
+    return df.join(rn, keys)
 
 
 def next_row(df: DataFrame, order: Sequence, cols: Sequence[str],

@@ -65,6 +65,8 @@ def deletion_report(results: DataFrame, n_tokens: int = 10,
 
 
 # fixed values: report rows of the perturbation report (exp_name suffix -> row label)
+REORDERING_ROW = "Reordering (random)"
+CROSS_ROW = "Accuracy on the other task"
 PERTURBATION_ROWS = [
     (1, "Perturbation w/o label changes", "adv-label-no-change"),
     (2, "Perturbation w/ label changes", "adv-label-change"),
@@ -96,6 +98,11 @@ def perturbation_report(results: DataFrame, family: str = "ap") -> DataFrame:
             .select("row_no", "method", F.col("a").alias("avg_acc")))
 
 
+def experiment_report(results: DataFrame, method: str) -> DataFrame:
+    """One-row report: mean accuracy x 100 over all runs of an experiment."""
+    return results.groupBy(F.lit(method).alias("method")).agg(mean_pct("acc").alias("avg_acc"))
+
+
 def mp_deletion_report(results: DataFrame) -> DataFrame:
     """the ten MP deletion rows; each row is a predicate over (del_idx, n_del)."""
     spark = results.sparkSession
@@ -159,37 +166,26 @@ def strict_best(log: DataFrame, partition: Sequence[str], order: str, metric: st
 
 
 def eval_marks(log: DataFrame, interval: int, rows: int, bsz: int, partition: Sequence[str] = ("run",),
-               order: str = "step", value: str = "loss", fanout: int = 1024,
+               order: str = "step", value: str = "loss", iters: int | None = None,
                dense: bool = True) -> DataFrame:
-    """F8: evaluation marks every ``interval`` steps (steps are 1-based and dense) with
-    epoch = int(step / (rows / bsz)) and the cumulative loss up to the mark. With
-    ``dense=False``, ``order`` is any column unique within a partition: rows are numbered
-    first and a mark is the step count (the global step of a training loop).
+    """F8: evaluation marks every ``interval`` global steps (1-based, dense) with epoch =
+    int(step / (rows / bsz)) and the average loss of the data pass the mark falls in, up to
+    the mark: the sum restarts with every pass of ceil(rows / bsz) steps. ``iters``: only the
+    int(iters / (rows / bsz)) passes of the schedule are run.
 
-    Two-level prefix sum so a hot run never sits in one task: losses are summed per block
-    of ``interval`` steps (partial aggregation), blocks per superblock of ``fanout``
-    blocks; the running sum is the sum of earlier superblocks (a window over one row per
-    superblock) plus the running sum inside the superblock (at most ``fanout`` rows)."""
+    The window is one pass of one run, a set number of steps, so a hot run is spread. With
+    ``dense=False``, ``order`` is any column unique within a partition: rows are numbered
+    first."""
     if not dense:
         numbered = dense_steps(log.select(*partition, order, value), partition, order, "_step")
         return eval_marks(numbered.drop(order).withColumnRenamed("_step", order), interval, rows,
-                          bsz, partition, order, value, fanout)
-    steps_per_epoch = rows / bsz
-    blk = F.floor((F.col(order) - 1) / interval).cast("bigint")
-    b = log.groupBy(*partition, blk.alias("_blk")).agg(F.sum(value).alias("_s"),
-                                                       F.count(F.lit(1)).alias("_n"))
-    b = b.withColumn("_sup", F.floor(F.col("_blk") / fanout).cast("bigint"))
-    sup = b.groupBy(*partition, "_sup").agg(F.sum("_s").alias("_ss"))
-    ws = Window.partitionBy(*partition).orderBy("_sup").rowsBetween(Window.unboundedPreceding, -1)
-    sup = sup.select(*partition, "_sup", F.coalesce(F.sum("_ss").over(ws), F.lit(0.0)).alias("_before"))
-    wi = Window.partitionBy(*partition, "_sup").orderBy("_blk").rowsBetween(Window.unboundedPreceding, 0)
-    b = b.withColumn("_inside", F.sum("_s").over(wi)).join(sup, [*partition, "_sup"])
-    mark = ((F.col("_blk") + 1) * interval).cast("bigint")
-    return (b.filter(F.col("_n") == interval)
-            .select(*partition, mark.alias(order),
-                    F.floor(mark / F.lit(steps_per_epoch)).cast("bigint").alias("epoch_no"),
-                    F.round(F.col("_before") + F.col("_inside"), 6).alias("cum_loss")))
-
-
-def round6(c: Column) -> Column:
-    return F.round(c, 6)
+                          bsz, partition, order, value, iters)
+    per_epoch, per_pass = rows / bsz, -(-rows // bsz)
+    d = log.withColumn("_pass", F.floor((F.col(order) - 1) / per_pass).cast("bigint"))
+    if iters is not None:
+        d = d.filter(F.col("_pass") < int(iters / per_epoch))
+    w = Window.partitionBy(*partition, "_pass").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_avg", F.avg(value).over(w)).filter(F.col(order) % interval == 0)
+    return d.select(*partition, F.col(order).cast("bigint").alias(order),
+                    F.floor(F.col(order) / F.lit(per_epoch)).cast("bigint").alias("epoch_no"),
+                    F.round("_avg", 6).alias("avg_loss"))

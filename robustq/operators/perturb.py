@@ -8,7 +8,6 @@ functions): no shuffle.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 DELETE_SIZES = (3, 5, 7)
 DELETE_REPS = 10
 REORDER_REPS = 10
-PERMUTE_MAX = 5  # reorder_all enumerates n! - 1 orders: inputs longer than this are refused
+_BLOCK = 1 << 16  # permutation numbers per exploded array
 
 
 def positions(c: str | Column) -> Column:
@@ -40,9 +39,9 @@ def drop_positions(col: str, drop: Column) -> Column:
 
 
 def delete_each(df: DataFrame, col: str = "tokens") -> DataFrame:
-    """D3: one variant per position with that token removed (n >= 2 tokens)."""
-    d = df.withColumn("_del", F.explode(F.when(F.size(col) >= 2, positions(col))
-                                        .otherwise(F.array().cast("array<int>"))))
+    """D3: one variant per position with that token removed (the only token of a row leaves
+    an empty variant)."""
+    d = df.withColumn("_del", F.explode(positions(col)))
     return (d.withColumn(col, F.filter(F.col(col), lambda t, i: i != F.col("_del")))
             .withColumn("del_idx", F.col("_del").cast("string"))
             .withColumn("n_del", F.lit(1))
@@ -52,11 +51,10 @@ def delete_each(df: DataFrame, col: str = "tokens") -> DataFrame:
 def delete_random(df: DataFrame, col: str = "tokens", key: Sequence[str] = ("seed",),
                   ns: Sequence[int] = DELETE_SIZES, reps: int = DELETE_REPS) -> DataFrame:
     """``reps`` x ``ns`` variants, each deleting n distinct random positions; del_idx
-    lists the positions in draw order joined by '-'. Sizes n >= len(tokens) would leave no
-    token and are not generated."""
+    lists the positions in draw order joined by '-'. A size n >= len(tokens) deletes all
+    tokens: the variant is empty and n_del says how many were there."""
     d = (df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-         .withColumn("n_del", F.explode(F.array(*[F.lit(n) for n in ns])))
-         .filter(F.col("n_del") < F.size(col)))
+         .withColumn("n_del", F.explode(F.array(*[F.lit(n) for n in ns]))))
     order = F.transform(
         F.array_sort(F.transform(positions(col), lambda p: F.struct(
             _hash_in(key, F.col("rep"), F.col("n_del"), p).alias("h"), p.alias("p")))),
@@ -64,6 +62,7 @@ def delete_random(df: DataFrame, col: str = "tokens", key: Sequence[str] = ("see
     d = d.withColumn("_drawn", F.slice(order, 1, F.col("n_del")))
     return (d.withColumn(col, drop_positions(col, F.col("_drawn")))
             .withColumn("del_idx", F.array_join(F.transform("_drawn", lambda p: p.cast("string")), "-"))
+            .withColumn("n_del", F.size("_drawn"))
             .drop("_drawn"))
 
 
@@ -91,29 +90,44 @@ def reorder_random(df: DataFrame, col: str = "tokens", key: Sequence[str] = ("se
         .drop("_perm")
 
 
-def permutation_table(max_len: int = PERMUTE_MAX) -> Column:
-    """Literal array indexed by length n (1-based) of all non-identity permutations of
-    range(n), in lexicographic order; generated by rule, not listed by hand."""
-    per_len = []
-    for n in range(1, max_len + 1):
-        perms = list(itertools.permutations(range(n)))[1:]
-        per_len.append(F.array(*[F.array(*[F.lit(i) for i in p]) for p in perms])
-                       if perms else F.array().cast("array<array<int>>"))
-    return F.array(*per_len)
+def _factorial(n: Column) -> Column:
+    return F.aggregate(F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>")),
+                       F.lit(1).cast("bigint"), lambda a, x: a * x)
 
 
-def reorder_all(df: DataFrame, col: str = "tokens", max_len: int = PERMUTE_MAX) -> DataFrame:
+def nth_permutation(col: str, index: Column) -> Column:
+    """Positions of the ``index``-th permutation (0 = identity) in lexicographic order, by the
+    factorial number system: digit k picks among the positions that are left."""
+    n = F.size(col)
+    start = F.struct(positions(col).alias("left"), F.array().cast("array<int>").alias("out"),
+                     index.cast("bigint").alias("rest"))
+
+    def step(acc: Column, k: Column) -> Column:
+        f = _factorial(n - 1 - k)
+        d = F.floor(acc["rest"] / f).cast("int")
+        return F.struct(F.filter(acc["left"], lambda x, i: i != d).alias("left"),
+                        F.concat(acc["out"], F.array(F.get(acc["left"], d))).alias("out"),
+                        (acc["rest"] % f).alias("rest"))
+
+    return F.aggregate(positions(col), start, step, lambda acc: acc["out"])
+
+
+def reorder_all(df: DataFrame, col: str = "tokens") -> DataFrame:
     """Every order except the original (n! - 1 variants; 5 for 3 tokens). ``perm_id``
-    numbers the permutations in lexicographic order from 1."""
-    table = permutation_table(max_len)
-    guarded = F.when(F.size(col) <= max_len,
-                     F.when(F.size(col) > 0, F.element_at(table, F.size(col)))
-                     .otherwise(F.array().cast("array<array<int>>"))) \
-        .otherwise(F.raise_error(F.lit(f"reorder_all: more than {max_len} tokens")))
-    d = df.select("*", F.posexplode(guarded).alias("perm_id", "_perm"))
-    return (d.withColumn("perm_id", F.col("perm_id") + 1)
-            .withColumn(col, F.transform("_perm", lambda p: F.get(F.col(col), p)))
-            .drop("_perm"))
+    numbers the permutations in lexicographic order from 1; each is built from its number, so
+    no length is refused (n! rows come out as a stream, up to 20 tokens fit a 64-bit
+    number)."""
+    last = _factorial(F.size(col)) - 1
+    ids = F.when(last > 0, F.sequence(F.lit(1).cast("bigint"), F.least(last, F.lit(_BLOCK)))) \
+        .otherwise(F.array().cast("array<bigint>"))
+    # numbers come in blocks, so that no row holds an array of n! numbers
+    blocks = F.when(last > 0, F.sequence(F.lit(0).cast("bigint"), F.floor((last - 1) / _BLOCK).cast("bigint"))) \
+        .otherwise(F.array().cast("array<bigint>"))
+    d = df.select("*", F.explode(blocks).alias("_b")).select("*", F.explode(ids).alias("_i"))
+    d = d.withColumn("perm_id", F.col("_b") * _BLOCK + F.col("_i")).filter(F.col("perm_id") <= last)
+    d = d.withColumn("_perm", nth_permutation(col, F.col("perm_id")))
+    return d.withColumn(col, F.transform("_perm", lambda p: F.get(F.col(col), p))) \
+        .drop("_perm", "_b", "_i")
 
 
 def delete_subsets(df: DataFrame, col: str = "tokens") -> DataFrame:

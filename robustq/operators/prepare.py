@@ -28,10 +28,10 @@ MAX_SEQ = 256
 
 # -- B1 -----------------------------------------------------------------------------
 def standardize(pairs: DataFrame) -> DataFrame:
-    """sentence_a -> premise, sentence_b -> hypothesis, ex_id -> idx; four columns.
-    idx stays 64-bit: document ids outgrow int32 at scale."""
+    """sentence_a -> premise, sentence_b -> hypothesis, ex_id -> idx; four columns. idx is
+    the example's key as it is (int32 would not hold the keys of a large table)."""
     return pairs.select(F.col("sentence_a").alias("premise"), F.col("sentence_b").alias("hypothesis"),
-                        F.col("ex_id").cast("bigint").alias("idx"), "label")
+                        F.col("ex_id").alias("idx"), "label")
 
 
 # -- B2 -----------------------------------------------------------------------------
@@ -100,12 +100,12 @@ def nested_subsets(df: DataFrame, seeds: Sequence[int], sizes: Sequence[int] = N
 def holdout(df: DataFrame, n: int, seed: int, key: str = "ex_id") -> tuple[DataFrame, DataFrame]:
     """(train, dev): dev = the ``n`` rows first in md5(seed:key) order; train = the rest
     (left anti join, disjoint by construction)."""
-    from robustq.functions.materialize import BROADCAST_MAX_ROWS, materialize
+    from robustq.functions.materialize import materialize, rows_within
     # the n dev rows (bounded by the parameter) are written once: dev and the anti join
     # behind train both read them, so the top-n pass over the data runs once
     dev = materialize(df.orderBy(hkey(F.lit(str(seed)), key), F.col(key)).limit(n))
     keys = dev.select(key)
-    train = df.join(F.broadcast(keys) if n <= BROADCAST_MAX_ROWS else keys, key, "left_anti")
+    train = df.join(F.broadcast(keys) if n <= rows_within(64) else keys, key, "left_anti")
     return train, dev
 
 
@@ -123,11 +123,14 @@ def pick_context(facts: DataFrame, seed: int, max_words: int | None = None,
 
 
 # -- B9 -----------------------------------------------------------------------------
-def swap_objects(facts: DataFrame, seed: int, fact_cols: Sequence[str] = ("sub_label",),
-                 id_col: str = "ev_id") -> DataFrame:
-    """Per fact a random *different* object label, then per evidence a random surface of
-    that label (surfaces weighted by occurrence: the list is not de-duplicated); fill
-    ``[MASK]`` and overwrite obj_label."""
+MAX_CONTEXT = 50  # fixed value: words of a fact's context
+
+
+def swap_objects(facts: DataFrame, seed: int, fact_cols: Sequence[str] = ("sub_label", "obj_label"),
+                 id_col: str = "ev_id", max_words: int | None = MAX_CONTEXT) -> DataFrame:
+    """One row per fact: its picked evidence (B8's draw, at most ``max_words`` words) with a
+    random *different* object label and a random surface of that label in place of
+    ``[MASK]``. Surfaces are drawn by occurrence (over all evidences, not de-duplicated)."""
     from robustq.functions.materialize import concurrently
 
     def numbered_labels():
@@ -145,9 +148,15 @@ def swap_objects(facts: DataFrame, seed: int, fact_cols: Sequence[str] = ("sub_l
     n_surf = facts.groupBy("obj_label").agg(F.count(F.lit(1)).alias("n_surf"))
     # both label tables have k rows (counted above): broadcast only within the limit,
     # otherwise shuffle joins on the label
-    from robustq.functions.materialize import BROADCAST_MAX_ROWS
-    small = F.broadcast if k <= BROADCAST_MAX_ROWS else (lambda d: d)
-    f = facts.join(small(labels), "obj_label")
+    from robustq.functions.materialize import rows_within
+    small = F.broadcast if k <= rows_within(128) else (lambda d: d)
+    pick = facts.groupBy(*fact_cols).agg(F.min_by(
+        F.struct(id_col, "masked_sentence"), hkey(F.lit(str(seed)), id_col)).alias("e"))
+    masked = F.col("e.masked_sentence")
+    if max_words:
+        masked = F.array_join(F.slice(words(masked), 1, max_words), " ")
+    f = pick.select(*fact_cols, F.col(f"e.{id_col}").alias(id_col), masked.alias("masked_sentence"))
+    f = f.join(small(labels), "obj_label")
     h = hnum(F.lit(str(seed)), *fact_cols)
     f = f.withColumn("new_lidx", (F.col("lidx") + 1 + h % (k - 1)) % k)
     f = f.join(small(labels.select(F.col("lidx").alias("new_lidx"),
@@ -156,8 +165,8 @@ def swap_objects(facts: DataFrame, seed: int, fact_cols: Sequence[str] = ("sub_l
     f = f.withColumn("sidx", hnum(F.lit(str(seed)), id_col) % F.col("n_surf") + 1)
     s = surf.select(F.col("obj_label").alias("new_label"), "sidx", F.col("obj_surface").alias("new_surface"))
     f = f.join(s, ["new_label", "sidx"])
-    return f.select(*fact_cols, F.col("new_label").alias("obj_label"), id_col,
-                    F.replace(F.col("masked_sentence"), F.lit("[MASK]"), F.col("new_surface")).alias("sentence"))
+    return f.select(*[c for c in fact_cols if c != "obj_label"], F.col("new_label").alias("obj_label"),
+                    F.replace(F.col("masked_sentence"), F.lit("[MASK]"), F.col("new_surface")).alias("context"))
 
 
 # -- B10 ----------------------------------------------------------------------------
@@ -188,15 +197,21 @@ def truncate_head(df: DataFrame, col: str, max_len: int = MAX_SEQ) -> DataFrame:
 
 
 # -- B13 ----------------------------------------------------------------------------
-def epoch_batches(df: DataFrame, epochs: Sequence[int], size: int, max_batches: int,
+def epoch_batches(df: DataFrame, epochs: Sequence[int], size: int, max_batches: int | None = None,
                   key: str = "ex_id") -> DataFrame:
     """(epoch, batch, row...): per epoch shuffle by md5(epoch:key), cut into batches of
-    ``size`` (last partial kept), keep at most ``max_batches`` batches. The rank filter
-    becomes a per-task partial top-(size*max_batches) before the shuffle."""
+    ``size`` (last partial kept). All batches by default, numbered across all partitions
+    (:func:`row_number_within`); with ``max_batches`` only the first ones, by a rank filter
+    that becomes a per-task partial top-(size*max_batches) before the shuffle."""
     s = df.select(F.explode(F.array(*[F.lit(e) for e in epochs])).alias("epoch"), "*")
-    w = Window.partitionBy("epoch").orderBy(hkey("epoch", key), F.col(key))
-    s = s.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= size * max_batches)
-    return s.withColumn("batch", ((F.col("_rn") - 1) / size).cast("int")).drop("_rn")
+    if max_batches is None:
+        s = s.withColumn("_h", hkey("epoch", key))
+        rn = row_number_within(s.select("epoch", "_h", key), ["epoch"], ["_h", key], "_rn")
+        s = s.drop("_h").join(rn.select("epoch", key, "_rn"), ["epoch", key])
+    else:
+        w = Window.partitionBy("epoch").orderBy(hkey("epoch", key), F.col(key))
+        s = s.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= size * max_batches)
+    return s.withColumn("batch", F.floor((F.col("_rn") - 1) / size).cast("bigint")).drop("_rn")
 
 
 # -- B12 ----------------------------------------------------------------------------

@@ -15,6 +15,7 @@ examples x variants x tokens. A real model plugs in through :func:`score_with_mo
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,27 +48,36 @@ def train_sample(examples: DataFrame, seeds: Sequence[int] = SEEDS, n: int = TRA
     return s.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
+@dataclass(frozen=True)
+class Fitted:
+    """What one fit learnt: the materialised weights (token, w_<seed>...), the bound of their
+    rows, and the weight of an unseen word per seed."""
+
+    weights: DataFrame
+    rows: int
+    priors: dict[int, list[int]]
+
+
 class AdditiveScorer:
     """Per-seed integer log weights w(f, y) = round(1e6 * ln((c(f,y) + 1) / (N_y + F)))."""
 
     def __init__(self, labels: Sequence[str] = LABELS, seeds: Sequence[int] = SEEDS,
                  train_rows: int = TRAIN_ROWS, broadcast_max_rows: int | None = None):
-        from robustq.functions.materialize import BROADCAST_MAX_ROWS
+        from robustq.functions.materialize import rows_within
         self.labels = list(labels)
         self.seeds = list(seeds)
         self.train_rows = train_rows
-        self.broadcast_max_rows = broadcast_max_rows or BROADCAST_MAX_ROWS
-        self._memo: dict = {}  # per fitted table: row count and prior literals
+        # a weight row: the token and one array of class weights per seed
+        self.weight_rows = broadcast_max_rows or rows_within(64 + len(self.seeds) * (32 + 8 * len(self.labels)))
+        # a variant row: its token array, names and class scores
+        self.variant_rows = broadcast_max_rows or rows_within(1024)
 
     # -- fitting ----------------------------------------------------------------------
-    def fit(self, examples: DataFrame, sample: bool = True) -> tuple[DataFrame, DataFrame]:
-        """Return (weights, priors).
-
-        weights: one row per token seen in any seed's training sample, with ``w_<seed>``
-        (array<bigint> per label, NULL when that seed never saw the token); priors: one row
-        per seed with ``w0`` (the weight of an unseen word). Both are bounded by the
-        training size, not by the data: the weights are materialised once, the priors are
-        built from the per-seed totals (one row per seed) as plan literals. ``sample=False`` trains on the rows given (one row set per seed)."""
+    def fit(self, examples: DataFrame, sample: bool = True) -> Fitted:
+        """Learn from the training sample (``sample=False``: from the rows given, one row set
+        per seed). The weights have one row per token seen in any seed's sample, ``w_<seed>``
+        NULL where that seed never saw it; they and the priors are bounded by the training
+        size, not by the data."""
         from robustq.functions.materialize import materialize
         tr = train_sample(examples, self.seeds, self.train_rows) if sample else examples
         k = len(self.labels)
@@ -90,9 +100,12 @@ class AdditiveScorer:
                 den = F.when(F.col("seed") == sd, F.lit(d[i])).otherwise(den)
             return F.round(F.lit(float(SCALE)) * F.log((c + 1) / den)).cast("bigint")
 
-        spark = examples.sparkSession
-        seed_rows = spark.createDataFrame([(sd,) for sd in sorted(totals)], "seed int")
-        priors = seed_rows.select("seed", F.array(*[w(F.lit(0), i) for i in range(k)]).alias("w0"))
+        import math
+
+        def w0(d: int) -> int:  # round half away from zero, as the weight expression does
+            x = SCALE * math.log(1 / d)
+            return int(math.floor(abs(x) + 0.5)) * (1 if x >= 0 else -1)
+
         long_w = counts.select("seed", "token", F.array(*[w(F.col(f"c{i}"), i) for i in range(k)]).alias("w"))
         # read by every scoring step (example side, variant side, search iterations):
         # written once
@@ -101,27 +114,15 @@ class AdditiveScorer:
               for sd in self.seeds]))
         # one row per token of any seed: at most the sum of the per-seed distinct counts,
         # which is the size bound the broadcast check uses (no extra count job)
-        self._memo[("n", id(wide))] = sum(r["nf"] for r in tot)
-        return wide, priors
-
-    def _prior_lits(self, priors: DataFrame) -> dict[int, list[int]]:
-        # one row per seed (bounded): the unseen-word weights become literals of the plan
-        key = id(priors)
-        if key not in self._memo:
-            self._memo[key] = {r["seed"]: list(r["w0"]) for r in priors.collect()}
-        return self._memo[key]
-
-    def _weights_side(self, weights: DataFrame) -> DataFrame:
-        """Broadcast the weights only behind a row count (they are materialised, so the
-        count is cheap); beyond the limit the lookup is a shuffle join with AQE skew
-        splitting for hot tokens."""
-        key = ("n", id(weights))
-        if key not in self._memo:
-            self._memo[key] = weights.count()
-        return F.broadcast(weights) if self._memo[key] <= self.broadcast_max_rows else weights
+        return Fitted(wide, sum(r["nf"] for r in tot), {sd: [w0(d) for d in ds] for sd, ds in totals.items()})
+
+    def _weights_side(self, fitted: Fitted) -> DataFrame:
+        """Broadcast the weights only within the size bound; beyond it the lookup is a shuffle
+        join with AQE skew splitting for hot tokens."""
+        return F.broadcast(fitted.weights) if fitted.rows <= self.weight_rows else fitted.weights
 
     # -- factors ----------------------------------------------------------------------
-    def example_scores(self, examples: DataFrame, weights: DataFrame, priors: DataFrame,
+    def example_scores(self, examples: DataFrame, fitted: Fitted,
                        key: Sequence[str] = ("ex_id",)) -> DataFrame:
         """(seed, *key, gold, s array<bigint>): Σ over every word of sentence_a and
         sentence_b of w(word, y), unseen words weighing w0(y).
@@ -130,10 +131,10 @@ class AdditiveScorer:
         per example with a map-side partial aggregate, and only then fanned out to seeds."""
         k = len(self.labels)
         key = list(key)
-        w0 = self._prior_lits(priors)
+        w0 = fitted.priors
         ex = examples.select(*key, F.col("label").alias("gold"),
                              F.explode_outer(words(F.concat_ws(" ", "sentence_a", "sentence_b"))).alias("token"))
-        j = ex.join(self._weights_side(weights), "token", "left")
+        j = ex.join(self._weights_side(fitted), "token", "left")
         vals = []
         for sd in self.seeds:
             for i in range(k):
@@ -147,15 +148,14 @@ class AdditiveScorer:
         return agg.select(*key, "gold", F.explode(per_seed).alias("_x")) \
             .select(F.col("_x.seed").alias("seed"), *key, "gold", F.col("_x.s").alias("s"))
 
-    def variant_scores(self, variants: DataFrame, weights: DataFrame, priors: DataFrame,
-                       col: str = "tokens") -> DataFrame:
+    def variant_scores(self, variants: DataFrame, fitted: Fitted, col: str = "tokens") -> DataFrame:
         """(variant_id, t array<bigint>): Σ_i (n - i) * w(t_i, y), i 0-based, n = number of
         tokens; empty tokens ('' from blanking) weigh 0."""
         k = len(self.labels)
-        w0 = self._prior_lits(priors)
+        w0 = fitted.priors
         v = variants.select("seed", "variant_id", F.size(col).alias("n"),
                             F.posexplode_outer(col).alias("i", "token"))
-        j = v.join(self._weights_side(weights), "token", "left")
+        j = v.join(self._weights_side(fitted), "token", "left")
         w0_col = F.lit(None).cast("array<bigint>")
         seed_w = F.coalesce(*[F.when(F.col("seed") == sd, F.col(f"w_{sd}")) for sd in self.seeds])
         for sd in self.seeds:
@@ -176,12 +176,12 @@ class AdditiveScorer:
         """(variant columns..., *key, gold, score array<bigint>) for every example x variant
         agreeing on ``on`` (the seed, plus e.g. the example set). ``variants`` is a bounded
         table (a few dozen rows per seed) and is broadcast; the example side streams."""
-        weights, priors = self.fit(train if train is not None else examples)
-        ex = self.example_scores(examples, weights, priors, key)
-        return self.grid_from(ex, variants, weights, priors, col, on)
+        fitted = self.fit(train if train is not None else examples)
+        ex = self.example_scores(examples, fitted, key)
+        return self.grid_from(ex, variants, fitted, col, on)
 
-    def grid_from(self, ex_scores: DataFrame, variants: DataFrame, weights: DataFrame,
-                  priors: DataFrame, col: str = "tokens", on: Sequence[str] = ("seed",),
+    def grid_from(self, ex_scores: DataFrame, variants: DataFrame, fitted: Fitted,
+                  col: str = "tokens", on: Sequence[str] = ("seed",),
                   n_variants: int | None = None) -> DataFrame:
         """Grid from precomputed example scores (reused across search iterations).
 
@@ -192,10 +192,10 @@ class AdditiveScorer:
         variants product over at least the cluster's parallelism instead of one task per
         seed. ``n_variants``: a bound the caller has proven (e.g. rows it built on the
         driver), which saves the count."""
-        vs = self.variant_scores(variants, weights, priors, col)
+        vs = self.variant_scores(variants, fitted, col)
         vt = variants.join(vs, "variant_id")
         n = n_variants if n_variants is not None else variants.count()
-        g = grid_join(ex_scores, vt, on, n, self.broadcast_max_rows)
+        g = grid_join(ex_scores, vt, on, n, self.variant_rows)
         return g.withColumn("score", F.zip_with("s", "t", lambda a, b: a + b)).drop("s", "t")
 
 
@@ -237,38 +237,45 @@ def label_token_ids(n_labels: int = 10) -> Column:
     return F.array(*[F.array(*[F.lit(t) for t in ts]) for ts in owned])
 
 
+def class_losses(vectors: DataFrame, n_labels: int = 10) -> DataFrame:
+    """(vec_id, gold, losses array<double>): E1 per class, row-local. The loss of a class is
+    -logsumexp over its tokens of log_softmax(logits); the normaliser runs over all logits,
+    and token 0 (the pad label) is masked to -1e32 only among the class's own tokens."""
+    lg = F.transform("embedding", lambda x: x.cast("double"))
+
+    def from_logits(lg: Column) -> Column:
+        mx = F.array_max(lg)
+        lse = mx + F.log(F.aggregate(lg, F.lit(0.0), lambda acc, x: acc + F.exp(x - mx)))
+
+        def loss(toks: Column) -> Column:
+            lp = F.transform(toks, lambda t: F.when(t == 0, F.lit(MASKED)).otherwise(F.get(lg, t) - lse))
+            m = F.array_max(lp)
+            return -(m + F.log(F.aggregate(lp, F.lit(0.0), lambda acc, x: acc + F.exp(x - m))))
+        return F.transform(label_token_ids(n_labels), loss)
+
+    return vectors.select("vec_id", F.col("label").alias("gold"),
+                          F.get(F.transform(F.array(lg), from_logits), 0).alias("losses"))
+
+
 def label_loss(vectors: DataFrame, n_labels: int = 10) -> DataFrame:
-    """(vec_id, gold, cls, loss) with loss = -logsumexp over the class's tokens of
-    log_softmax(logits); token 0 is masked to -1e32 (never scores). Row-local: the whole
-    vocabulary of a row is one array, so the normaliser needs no shuffle."""
-    lg = F.transform("embedding", lambda x, d: F.when(d == 0, F.lit(MASKED)).otherwise(x.cast("double")))
-    d = vectors.select("vec_id", F.col("label").alias("gold"), lg.alias("lg"))
-    mx = F.array_max("lg")
-    lse = mx + F.log(F.aggregate("lg", F.lit(0.0), lambda acc, x: acc + F.exp(x - mx)))
-    d = d.select("vec_id", "gold", "lg", lse.alias("lse"),
-                 F.posexplode(label_token_ids(n_labels)).alias("cls", "toks"))
-    lp = F.transform("toks", lambda t: F.get(F.col("lg"), t) - F.col("lse"))
-    m2 = F.array_max(lp)
-    loss = -(m2 + F.log(F.aggregate(lp, F.lit(0.0), lambda acc, x: acc + F.exp(x - m2))))
-    return d.select("vec_id", "gold", "cls", loss.alias("loss"))
+    """(vec_id, gold, cls, loss), one row per class."""
+    return class_losses(vectors, n_labels).select("vec_id", "gold", F.posexplode("losses").alias("cls", "loss"))
 
 
 def predict_label(losses: DataFrame, parity: bool = False) -> DataFrame:
-    """Predicted class per example = argmin loss (ties -> lowest class). ``parity=True``
-    reproduces the reference quirk of taking the argmax of the loss."""
-    key = F.struct(F.col("loss"), F.col("cls")) if not parity \
-        else F.struct(-F.col("loss"), F.col("cls"))
-    return losses.groupBy("vec_id", "gold").agg(F.min_by("cls", key).alias("pred"))
+    """Predicted class per example = argmin loss (ties -> lowest class), row-local over
+    :func:`class_losses`. ``parity=True`` reproduces the reference quirk of taking the argmax
+    of the loss."""
+    best = F.array_max("losses") if parity else F.array_min("losses")
+    return losses.select("vec_id", "gold", (F.array_position("losses", best) - 1).cast("int").alias("pred"))
 
 
 def unique_min_correct(losses: DataFrame) -> DataFrame:
-    """Correct iff #{classes with loss <= gold loss} <= 1 (a tie with gold is wrong)."""
-    g = losses.groupBy("vec_id", "gold").agg(
-        F.collect_list(F.struct("cls", "loss")).alias("ls"))  # one row per class (bounded)
-    gl = F.filter("ls", lambda s: s["cls"] == F.col("gold"))
-    gold_loss = F.get(gl, 0)["loss"]
-    n_le = F.size(F.filter("ls", lambda s: s["loss"] <= gold_loss))
-    return g.select("vec_id", "gold", ((n_le <= 1) & gold_loss.isNotNull()).alias("correct"))
+    """Correct iff #{classes with loss <= gold loss} <= 1 (a tie with gold is wrong),
+    row-local over :func:`class_losses`."""
+    gold_loss = F.get("losses", F.col("gold").cast("int"))
+    n_le = F.size(F.filter("losses", lambda x: x <= gold_loss))
+    return losses.select("vec_id", "gold", ((n_le <= 1) & gold_loss.isNotNull()).alias("correct"))
 
 
 def gold_label_lookup(vectors: DataFrame, n_labels: int = 10) -> DataFrame:
@@ -286,11 +293,6 @@ def gold_label_lookup(vectors: DataFrame, n_labels: int = 10) -> DataFrame:
     return j.select("vec_id", name.cast("int").alias("label_name"))
 
 
-def confusion_counts(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """E7 companion: (by..., gold, pred, n) from a predictions table."""
-    return preds.groupBy(*by, "gold", "pred").agg(F.count(F.lit(1)).alias("n"))
-
-
 def verbalizer_argmax(vectors: DataFrame, n_labels: int = 10) -> DataFrame:
     """E5 (manual verbalizer): class logit = mean of its label words' logits; argmax, ties to
     the lowest class id. No masking (the fine-tuned path has no pad label)."""
@@ -323,10 +325,10 @@ def score_with_model(examples: DataFrame, variants: DataFrame, fn: Callable, sch
     return ``schema`` (e.g. ``variant_id string, ex_id long, label string, logit double``).
     Variants are counted and broadcast within ``max_rows``, bucketed beyond it
     (:func:`grid_join`)."""
-    from robustq.functions.materialize import BROADCAST_MAX_ROWS
+    from robustq.functions.materialize import rows_within
     if "seed" not in examples.columns:
         examples = examples.select(seeds_col(sorted_seeds(variants)).alias("seed"), "*")
-    pairs = grid_join(examples, variants, ["seed"], variants.count(), max_rows or BROADCAST_MAX_ROWS)
+    pairs = grid_join(examples, variants, ["seed"], variants.count(), max_rows or rows_within(1024))
 
     def run(it):
         for pdf in it:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from robustq.functions.hashing import hnum
+from robustq.functions.hashing import hkey, hnum
 
 
 def dot(a, b) -> Column:
@@ -32,38 +32,66 @@ def class_centroids(vectors: DataFrame, label: str = "label", emb: str = "embedd
                                             lambda s: s["m"]).alias("centroid"))
 
 
-# -- G1 -----------------------------------------------------------------------------
-def fit_projection(vectors: DataFrame, label: str = "label", emb: str = "embedding",
-                   max_iter: int = 50) -> DataFrame:
-    """Multinomial logistic regression (cross entropy) from vectors to classes; returns the
-    (cls, weights array<double>, intercept double) rows of the fitted projection."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-    d = vectors.select(array_to_vector(F.col(emb).cast("array<double>")).alias("features"),
-                       F.col(label).cast("double").alias("label"))
-    model = LogisticRegression(family="multinomial", maxIter=max_iter, regParam=0.0).fit(d)
-    coef = model.coefficientMatrix.toArray()
-    inter = model.interceptVector.toArray()
-    spark = vectors.sparkSession
-    # the fitted model is classes x dims numbers (bounded by the label set, not the data)
-    rows = [(i, [float(x) for x in coef[i]], float(inter[i])) for i in range(coef.shape[0])]
-    return spark.createDataFrame(rows, "cls int, weights array<double>, intercept double")
+# -- G1 / G8 ------------------------------------------------------------------------
+def _array(values) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
+
+
+def softmax(logits: Column) -> Column:
+    """Softmax of an array (shifted by its maximum)."""
+    def scaled(lg: Column) -> Column:
+        e = F.transform(lg, lambda x: F.exp(x - F.array_max(lg)))
+        return F.transform(F.array(e), lambda v: F.transform(
+            v, lambda x: x / F.aggregate(v, F.lit(0.0), lambda a, y: a + y)))[0]
+    return F.transform(F.array(logits), scaled)[0]
+
+
+def fit_softmax(vectors: DataFrame, classes: Sequence[int], dims: int, steps: int, rate: float,
+                label: str = "label", emb: str = "embedding") -> list[list[float]]:
+    """Multinomial logistic regression by ``steps`` full-batch gradient steps from zero:
+    classes x (dims + 1) numbers, the intercept last. Each step is one aggregation over all
+    rows (one partial sum per dimension and task); what reaches the driver is the gradient,
+    whose size is that of the model."""
+    k = len(classes)
+    weights = [[0.0] * (dims + 1) for _ in classes]
+    x = F.concat(F.transform(F.col(emb), lambda v: v.cast("double")), F.array(F.lit(1.0)))
+    data = vectors.select(x.alias("x"), F.col(label).alias("y"))
+    n = data.count()
+    for _ in range(steps if n else 0):
+        lits = F.array(*[_array(w) for w in weights])
+        prob = softmax(F.transform(lits, lambda w: dot(w, F.col("x"))))
+        d = data.select("x", "y", prob.alias("p")).select("y", "p", F.posexplode("x").alias("d", "v"))
+        grad = d.groupBy("d").agg(*[
+            F.sum((F.get("p", i) - F.when(F.col("y") == c, 1.0).otherwise(0.0)) * F.col("v")).alias(f"g{i}")
+            for i, c in enumerate(classes)]).collect()
+        for r in grad:
+            for i in range(k):
+                weights[i][r["d"]] -= rate * r[f"g{i}"] / n
+    return weights
+
+
+def fit_projection(vectors: DataFrame, classes: Sequence[int], dims: int, steps: int = 100,
+                   rate: float = 1.0, label: str = "label", emb: str = "embedding") -> DataFrame:
+    """G1: the fitted projection from vectors to classes as (cls, weights array<double>,
+    intercept double) rows."""
+    w = fit_softmax(vectors, classes, dims, steps, rate, label, emb)
+    rows = [(int(c), r[:-1], r[-1]) for c, r in zip(classes, w)]
+    return vectors.sparkSession.createDataFrame(rows, "cls int, weights array<double>, intercept double")
 
 
 # -- G2 -----------------------------------------------------------------------------
 def top_label_tokens(weights: DataFrame, vectors: DataFrame, k: int = 50, w_col: str = "centroid",
                      id_col: str = "vec_id", emb: str = "embedding") -> DataFrame:
     """(cls, rank, vec_id, score): for every token vector, softmax over classes of W_c . e,
-    then the k best tokens per class (ties -> smaller id). The class table is broadcast
-    (one row per class); the per-class top-k is a partial top-k per task."""
-    classes = [r[0] for r in weights.select("cls").collect()]  # class ids only (bounded)
-    v = vectors.select(id_col, emb, F.explode(F.array(*[F.lit(c) for c in classes])).alias("cls"))
-    j = v.join(F.broadcast(weights.select("cls", F.col(w_col).alias("_w"))), "cls")
-    s = j.select(id_col, "cls", dot("_w", emb).alias("logit"))
-    w = Window.partitionBy(id_col)  # the classes of one token: bounded
-    s = s.withColumn("_mx", F.max("logit").over(w))
-    s = s.withColumn("_e", F.exp(F.col("logit") - F.col("_mx")))
-    s = s.withColumn("score", F.col("_e") / F.sum("_e").over(w))
+    then the k best tokens per class (ties -> smaller id). The class vectors (classes x dims
+    numbers, whatever the data) become literals, so the softmax is row-local; the per-class
+    top-k is a partial top-k per task before the only shuffle."""
+    rows = sorted((r["cls"], list(r[w_col])) for r in weights.select("cls", w_col).collect())
+    ids = F.array(*[F.lit(c) for c, _ in rows])
+    lits = F.array(*[_array(w) for _, w in rows])
+    p = softmax(F.transform(lits, lambda w: dot(w, F.col(emb))))
+    s = vectors.select(id_col, F.posexplode(p).alias("i", "score")) \
+        .select(id_col, F.get(ids, F.col("i")).alias("cls"), "score")
     r = Window.partitionBy("cls").orderBy(F.col("score").desc(), F.col(id_col))
     return (s.withColumn("rank", F.row_number().over(r)).filter(F.col("rank") <= k)
             .select("cls", "rank", id_col, "score"))
@@ -76,25 +104,34 @@ def sequences(vectors: DataFrame, width: int = 10, id_col: str = "vec_id") -> Da
         .withColumn("pos", (F.col(id_col) % width).cast("int"))
 
 
-def mean_slot(seq: DataFrame, bsz: int, steps: int, emb: str = "embedding") -> DataFrame:
-    """(slot, d, g): per-slot vector sum over the first ``steps`` batches of ``bsz``
-    examples, divided by ``steps`` even when fewer batches exist."""
-    s = seq.filter(F.floor(F.col("ex") / bsz) < steps)
-    e = s.select(F.col("pos").alias("slot"), F.posexplode(emb).alias("d", "x"))
-    return e.groupBy("slot", "d").agg((F.sum(F.col("x").cast("double")) / steps).alias("g"))
+def mean_slot(seq: DataFrame, bsz: int, steps: int | None = None, emb: str = "embedding",
+              seed: int = 0) -> DataFrame:
+    """(slot, d, g): per-slot vector sum over the batches of ``bsz`` examples, divided by the
+    number of batches. All examples by default; with ``steps`` only the first batches of the
+    hash-shuffled examples, divided by ``steps`` even when fewer exist."""
+    if steps is None:
+        n = seq.agg(F.countDistinct("ex").alias("n")).first()["n"]
+        parts = max(1, -(-n // bsz))
+    else:
+        parts = steps
+        drawn = seq.select("ex").distinct().orderBy(hkey(F.lit(str(seed)), "ex"), "ex").limit(bsz * steps)
+        seq = seq.join(drawn, "ex", "left_semi")
+    e = seq.select(F.col("pos").alias("slot"), F.posexplode(emb).alias("d", "x"))
+    return e.groupBy("slot", "d").agg((F.sum(F.col("x").cast("double")) / parts).alias("g"))
 
 
 # -- G4 -----------------------------------------------------------------------------
 def hotflip(grad: DataFrame, vectors: DataFrame, k: int, increase_loss: bool = False,
             exclude: DataFrame | None = None, id_col: str = "vec_id", emb: str = "embedding") -> DataFrame:
     """(rank, vec_id, score): top-k of -(E . g) (or +(E . g) when increasing the loss) over
-    token vectors not in ``exclude``. ``grad`` is (d, g) for one slot, joined on d."""
-    e = vectors.select(id_col, F.posexplode(emb).alias("d", "x"))
+    token vectors not in ``exclude``. ``grad`` is (d, g) for one slot (one row per dimension):
+    it becomes a literal array, the products are row-local, the top-k is the only exchange."""
+    g = [r["g"] for r in grad.select("d", "g").orderBy("d").collect()]
+    v = vectors
     if exclude is not None:
-        e = e.join(F.broadcast(exclude.select(id_col)), id_col, "left_anti")
-    j = e.join(F.broadcast(grad.select("d", "g")), "d")  # one row per dimension
+        v = v.join(exclude.select(id_col), id_col, "left_anti")
     sign = 1.0 if increase_loss else -1.0
-    sc = j.groupBy(id_col).agg((F.lit(sign) * F.sum(F.col("x").cast("double") * F.col("g"))).alias("score"))
+    sc = v.select(id_col, (F.lit(sign) * dot(_array(g), F.col(emb))).alias("score"))
     top = sc.orderBy(F.col("score").desc(), F.col(id_col)).limit(k)  # the top-k report
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), F.col(id_col))))
 
@@ -109,7 +146,7 @@ def allowed_tokens(vocab: DataFrame, labelmap: DataFrame, specials: Sequence[str
     special = F.col(token).isin(list(specials))
     single = F.length(token) == 1
     v = vocab.filter(single | (~special & ~capital))
-    return v.join(F.broadcast(labelmap.select(token).distinct()), token, "left_anti")
+    return v.join(labelmap.select(token).distinct(), token, "left_anti")
 
 
 # -- G6 -----------------------------------------------------------------------------
@@ -121,11 +158,11 @@ def slot_for(seed_col: str, iteration: int, n: int) -> Column:
 def candidate_variants(triggers: DataFrame, candidates: DataFrame, iteration: int = 0,
                        n_tokens: int = 10) -> DataFrame:
     """Current trigger (cand_rank 0) plus one variant per candidate token (ranked 1..k) at
-    the iteration's slot, per seed. Both inputs are bounded (seeds x k rows)."""
+    the iteration's slot, per seed; a candidate the trigger already holds is tried like any
+    other. Both inputs are bounded (seeds x k rows)."""
     t = triggers.withColumn("slot", slot_for("seed", iteration, n_tokens))
     cur = t.select("seed", "slot", F.lit(0).alias("cand_rank"), F.lit(None).cast("string").alias("token"), "tokens")
-    c = t.join(F.broadcast(candidates), "seed")
-    c = c.filter(~F.array_contains("tokens", F.col("token")))
+    c = t.join(candidates, "seed")
     c = c.select("seed", "slot", "cand_rank", "token",
                  F.transform("tokens", lambda x, i: F.when(i == F.col("slot"), F.col("token")).otherwise(x)).alias("tokens"))
     return cur.unionByName(c).withColumn(
@@ -152,110 +189,120 @@ def mean_pool(seq: DataFrame, emb: str = "embedding", skip_first: bool = True) -
 
 
 # -- G8 -----------------------------------------------------------------------------
-def linear_probe(pooled: DataFrame, labels: DataFrame, dev_fraction_mod: int = 5, seed: int = 0,
-                 max_iter: int = 50) -> DataFrame:
-    """Frozen mean-pooled vectors -> multinomial logistic regression; (split, accuracy) on
-    train and dev (dev = hash bucket 0 of ``dev_fraction_mod``)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.functions import array_to_vector
+def linear_probe(pooled: DataFrame, labels: DataFrame, classes: Sequence[int], dims: int,
+                 dev_fraction_mod: int = 5, seed: int = 0, steps: int = 100, rate: float = 1.0) -> DataFrame:
+    """Frozen mean-pooled vectors -> multinomial logistic regression (:func:`fit_softmax`);
+    (split, n, n_correct) on train and dev (dev = hash bucket 0 of ``dev_fraction_mod``)."""
+    from robustq.functions.materialize import materialize
     vec = pooled.groupBy("ex").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "value"))),
                                                lambda s: s["value"]).alias("v"))  # one vector per example
-    d = vec.join(labels, "ex").select("ex", array_to_vector("v").alias("features"),
-                                      F.col("label").cast("double").alias("label"))
-    d = d.withColumn("split", F.when(hnum(F.lit(str(seed)), "ex") % dev_fraction_mod == 0, "dev").otherwise("train"))
-    train = d.filter(F.col("split") == "train")
-    model = LogisticRegression(family="multinomial", maxIter=max_iter).fit(train)
-    pred = model.transform(d)
-    ev = MulticlassClassificationEvaluator(metricName="accuracy")
-    rows = [(s, float(ev.evaluate(pred.filter(F.col("split") == s)))) for s in ("train", "dev")]
-    return vectors_session(pooled).createDataFrame(rows, "split string, accuracy double")
-
-
-def vectors_session(df: DataFrame):
-    return df.sparkSession
+    d = vec.join(labels, "ex").select("ex", "v", "label")
+    split = F.when(hnum(F.lit(str(seed)), "ex") % dev_fraction_mod == 0, "dev").otherwise("train")
+    d = materialize(d.withColumn("split", split))
+    w = fit_softmax(d.filter(F.col("split") == "train"), classes, dims, steps, rate, "label", "v")
+    x = F.concat(F.col("v"), F.array(F.lit(1.0)))
+    logits = F.transform(F.array(*[_array(r) for r in w]), lambda r: dot(r, x))
+    pred = F.get(F.array(*[F.lit(int(c)) for c in classes]),
+                 (F.array_position("lg", F.array_max("lg")) - 1).cast("int"))
+    return (d.withColumn("lg", logits).withColumn("ok", (pred == F.col("label")).cast("int"))
+            .groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("ok").alias("n_correct")))
 
 
 # -- G7 -----------------------------------------------------------------------------
-def greedy_search(train: DataFrame, dev: DataFrame, triggers: DataFrame, candidates: DataFrame,
-                  iters: int, scorer=None, n_tokens: int = 10) -> DataFrame:
-    """Greedy trigger search, one Spark job per step, the loop on the driver.
-
-    Per iteration and seed: flip one hash-chosen slot to each candidate, count correct
-    training predictions (same example scores for the current trigger and every candidate),
-    accept the best only if strictly better; keep a trigger as best only if its dev
-    accuracy strictly improves. The first accepted flip always becomes best (the initial
-    dev metric is logged, not compared), as in the reference.
-
-    The reference runs a dev evaluation only after an accepted flip. Here the dev rows are
-    scored in the same job as the training rows, for the current trigger and every
-    candidate: dev accuracy depends only on the trigger, so the log is the same, and each
-    step is one job with one bounded collect (seeds x (k + 1) rows) instead of two. The
-    initial dev metric is the current trigger's row of the first step. Example scores of
-    both splits are checkpointed once to the cluster's checkpoint folder, so lineage stays
-    short."""
-    from robustq.operators.scoring import AdditiveScorer, predict_from_scores
-    from robustq.session import ensure_checkpoint_dir
+def search_space(fitted, allowed: DataFrame, seeds: Sequence[int], k: int) -> DataFrame:
+    """(token, w_<seed>...) of every allowed token that can be among the k best of any seed:
+    the allowed tokens with learnt weights, and the k first of the others, which all weigh the
+    same and are ranked by name."""
+    known = fitted.weights.join(allowed.select("token"), "token", "left_semi")
+    rest = (allowed.select("token").join(fitted.weights.select("token"), "token", "left_anti")
+            .orderBy("token").limit(k))
+    return known.unionByName(rest, allowMissingColumns=True).select("token", *[f"w_{s}" for s in seeds])
+
+
+def gradient_candidates(space: DataFrame, push: dict[int, list[int]], priors: dict[int, list[int]],
+                        k: int) -> DataFrame:
+    """Per seed the k tokens with the largest first-order gain (seed, cand_rank, token).
+
+    The additive score of class y grows with w(token, y) at the flipped slot, so the gain is
+    the sum over classes of ``push`` (examples of the class minus examples predicted as it, at
+    the current trigger) times the token's weight; unseen tokens weigh the prior. Integer
+    sums; ties go to the smaller token."""
+    rows = []
+    for s, g in sorted(push.items()):
+        w = F.coalesce(F.col(f"w_{s}"), F.array(*[F.lit(x).cast("bigint") for x in priors[s]]))
+        gain = sum((F.get(w, i) * F.lit(g[i]) for i in range(1, len(g))), F.get(w, 0) * F.lit(g[0]))
+        rows.append(F.struct(F.lit(s).alias("seed"), gain.cast("bigint").alias("gain")))
+    d = space.select("token", F.explode(F.array(*rows)).alias("r")).select("token", "r.seed", "r.gain")
+    w = Window.partitionBy("seed").orderBy(F.col("gain").desc(), F.col("token"))
+    return (d.withColumn("cand_rank", F.row_number().over(w)).filter(F.col("cand_rank") <= k)
+            .select("seed", "cand_rank", "token"))
+
+
+def greedy_search(train: DataFrame, dev: DataFrame, triggers: DataFrame, allowed: DataFrame,
+                  iters: int, scorer=None, n_tokens: int = 10, k: int = 10,
+                  mask: str = "<mask>") -> DataFrame:
+    """Greedy trigger search; the loop is on the driver, every step is Spark jobs.
+
+    Per iteration and seed: rank the allowed vocabulary by first-order gain at one hash-chosen
+    slot (:func:`gradient_candidates`), score the k best against the current trigger on the
+    training rows, accept the best only if strictly better; keep a trigger as best only if its
+    dev accuracy strictly improves. The first accepted flip always becomes best (the initial
+    dev metric is logged, not compared), and a trigger that still holds ``mask`` never does,
+    as in the reference.
+
+    Dev rows are scored in the same job as the training rows: dev accuracy depends only on the
+    trigger, so the log is that of a separate dev evaluation after each accepted flip. What
+    reaches the driver per step is one row per (seed, candidate). Example scores of both
+    splits are written once, so lineage stays short."""
+    from robustq.functions.materialize import materialize
+    from robustq.operators.scoring import AdditiveScorer, class_id, predict_from_scores
     scorer = scorer or AdditiveScorer()
     spark = train.sparkSession
-    ensure_checkpoint_dir(spark)  # the cluster's shared folder; a scratch one only if unset
-    weights, priors = scorer.fit(train)  # materialised by fit
+    fitted = scorer.fit(train)
+    n_labels = len(scorer.labels)
     both = (train.withColumn("split", F.lit("train"))
             .unionByName(dev.withColumn("split", F.lit("dev"))))
-    scores = scorer.example_scores(both, weights, priors, key=("ex_id", "split")).checkpoint()
+    scores = materialize(scorer.example_scores(both, fitted, key=("ex_id", "split")))
+    space = materialize(search_space(fitted, allowed, scorer.seeds, k))
     current = {r["seed"]: list(r["tokens"]) for r in triggers.select("seed", "tokens").collect()}
-    # the candidate table is bounded (seeds x k); bring it once instead of recomputing
-    # its (whole-vocabulary) lineage at every step
-    cand_rows = [tuple(r) for r in candidates.select("seed", "cand_rank", "token").collect()]
-    candidates = spark.createDataFrame(cand_rows, "seed int, cand_rank int, token string")
     is_dev = F.col("split") == "dev"
 
-    def step(trig: dict, it: int, cands: DataFrame, n_cands: int) -> list:
-        """One job: per (seed, candidate) train correct count and dev accuracy, plus the
-        accept decision; the current trigger is cand_rank 0."""
-        trig_df = spark.createDataFrame([(s, t) for s, t in trig.items()], "seed int, tokens array<string>")
-        var = candidate_variants(trig_df, cands, it, n_tokens)
-        # at most one variant per seed (current trigger) plus one per candidate row
-        p = predict_from_scores(scorer.grid_from(scores, var, weights, priors,
-                                                 n_variants=len(trig) + n_cands))
+    def step(it: int, cands: list[tuple]) -> dict[int, list]:
+        """One job: the counts of the current trigger (rank 0) and of every candidate."""
+        trig = spark.createDataFrame(sorted(current.items()), "seed int, tokens array<string>")
+        cand = spark.createDataFrame(cands, "seed int, cand_rank int, token string")
+        var = candidate_variants(trig, cand, it, n_tokens)
+        p = predict_from_scores(scorer.grid_from(scores, var, fitted, n_variants=len(current) + len(cands)))
         c = F.col("correct").cast("int")
-        counts = p.groupBy("seed", "slot", "cand_rank", "token").agg(
-            F.sum(F.when(~is_dev, c).otherwise(0)).alias("n_correct"),
-            (F.sum(F.when(is_dev, c).otherwise(0)) /
-             (F.sum(is_dev.cast("int")) + F.lit(1e-13))).alias("dev_acc"))
-        cur = counts.filter(F.col("cand_rank") == 0).select(
-            "seed", F.col("dev_acc").alias("cur_dev_acc"))
-        decided = score_candidates(counts).join(cur, "seed", "right")  # seeds without candidates too
-        return decided.select("seed", "slot", "token", "n_correct", "cur_correct", "accepted",
-                              "dev_acc", "cur_dev_acc").collect()
-
-    log = []
-    best = {s: None for s in current}
-    if iters == 0:
-        rows = step(current, 0, candidates.limit(0), 0)
-        for r in sorted(rows, key=lambda r: r["seed"]):
-            if r["cur_dev_acc"] is not None:
-                log.append((r["seed"], -1, None, None, None, None, round(r["cur_dev_acc"], 6), False))
+        push = [F.sum(F.when(~is_dev, (class_id(F.col("gold"), scorer.labels) == i).cast("int")
+                             - (class_id(F.col("pred"), scorer.labels) == i).cast("int")).otherwise(0)).alias(f"g{i}")
+                for i in range(n_labels)]
+        out: dict[int, list] = {}
+        for r in p.groupBy("seed", "slot", "cand_rank", "token").agg(
+                F.sum(F.when(~is_dev, c).otherwise(0)).alias("n_correct"),
+                (F.sum(F.when(is_dev, c).otherwise(0)) / (F.sum(is_dev.cast("int")) + F.lit(1e-13)))
+                .alias("dev_acc"), *push).collect():
+            out.setdefault(r["seed"], []).append(r)
+        return {s: sorted(rs, key=lambda r: r["cand_rank"]) for s, rs in out.items()}
+
+    first = {s: rs[0] for s, rs in step(0, []).items()}
+    log = [(s, -1, None, None, None, None, round(r["dev_acc"], 6), False) for s, r in sorted(first.items())]
+    push = {s: [r[f"g{i}"] for i in range(n_labels)] for s, r in first.items()}
+    best: dict[int, float | None] = {s: None for s in current}
     for it in range(iters):
-        rows = step(current, it, candidates, len(cand_rows))
-        slot = {r["seed"]: r["slot"] for r in rows if r["slot"] is not None}
-        if it == 0:
-            init = {r["seed"]: r["cur_dev_acc"] for r in rows if r["cur_dev_acc"] is not None}
-            for s in sorted(init):
-                log.append((s, -1, None, None, None, None, round(init[s], 6), False))
-        accepted = {r["seed"]: r for r in rows if r["accepted"]}
-        for s in sorted(current):
-            if s in accepted:
-                r = accepted[s]
-                current[s][slot[s]] = r["token"]  # a seed with an accepted flip has a slot
-                d = r["dev_acc"]
-                improved = best[s] is None or d > best[s]
-                if improved:
-                    best[s] = d
-                log.append((s, it, slot[s], r["token"], int(r["cur_correct"]), int(r["n_correct"]),
-                            round(d, 6), improved))
-            else:
-                log.append((s, it, slot.get(s), None, None, None, None, False))
+        ranked = [tuple(r) for r in gradient_candidates(space, push, fitted.priors, k).collect()] if push else []
+        for s, rs in sorted(step(it, ranked).items()):
+            cur, others = rs[0], rs[1:]
+            top = max(others, key=lambda r: (r["n_correct"], -r["cand_rank"]), default=None)
+            if top is None or top["n_correct"] <= cur["n_correct"]:
+                log.append((s, it, cur["slot"], None, None, None, None, False))
+                continue
+            current[s][cur["slot"]] = top["token"]
+            push[s] = [top[f"g{i}"] for i in range(n_labels)]
+            improved = mask not in current[s] and (best[s] is None or top["dev_acc"] > best[s])
+            if improved:
+                best[s] = top["dev_acc"]
+            log.append((s, it, cur["slot"], top["token"], int(cur["n_correct"]), int(top["n_correct"]),
+                        round(top["dev_acc"], 6), improved))
     return spark.createDataFrame(log, "seed int, iter int, slot int, token string, cur_correct int, "
                                       "new_correct int, dev_acc double, new_best boolean")
-

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from robustq.operators import perturb
 from robustq.operators.metrics import accuracy
 from robustq.operators.prompts import AP_TEMPLATE, MP_TEMPLATE, MP_TOKENS, fill_prompt, manual_template
-from robustq.operators.scoring import AdditiveScorer, predict_from_scores
+from robustq.operators.scoring import TRAIN_ROWS, AdditiveScorer, predict_from_scores
 
 MODEL = "additive"  # fixed value: name of the built-in scorer in result rows
 
@@ -69,6 +69,17 @@ def mp_reorder_variants(triggers: DataFrame, exp_name: str = "mp-reordering") ->
     return _finish(v, exp_name)
 
 
+def mp_original_variants(triggers: DataFrame, exp_name: str) -> DataFrame:
+    """The manual prompt as it is, one row per seed."""
+    v = mp_base(triggers).withColumn("method", F.lit("original")).withColumn("rep", F.lit(0))
+    return _finish(v, exp_name)
+
+
+def with_datapoints(results: DataFrame, dp: int = TRAIN_ROWS) -> DataFrame:
+    """Result rows of the MP family also name the training size they were learnt from."""
+    return results.withColumn("dp", F.lit(dp))
+
+
 def template_col(family: str) -> F.Column:
     if family == "mp":
         return manual_template(F.col("tokens"), MP_TEMPLATE)
@@ -99,8 +110,9 @@ def evaluate(examples: DataFrame, variants: DataFrame, task: str, family: str =
     preds = predictions(examples, variants, train, scorer, on, key, materialized)
     acc = accuracy(preds.select("variant_id", "correct"), ["variant_id"], eps)
     v = variants.drop(*[c for c in on if c != "seed"]).withColumn("template", template_col(family))
-    # one accuracy row per variant (bounded): broadcast as the build side of the outer join
-    return (v.join(F.broadcast(acc), "variant_id", "left")
+    # one accuracy row per variant; Spark broadcasts it where it is small (a grid beyond the
+    # broadcast limit has as many rows here)
+    return (v.join(acc, "variant_id", "left")
             .select("exp_name", F.lit(task).alias("task"), F.lit(MODEL).alias("model"), "seed",
                     "template", F.coalesce(F.col("acc"), F.lit(0.0)).alias("acc"), "del_idx", "n_del",
                     F.coalesce(F.col("n_examples"), F.lit(0).cast("bigint")).alias("n_examples")))

@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from robustq.functions.hashing import hkey
 from robustq.functions.materialize import materialize, materialize_all, spread
 from robustq.functions.ranking import global_position, next_row, row_number_within
-from robustq.functions.text import line, normalize, split_pieces, words
+from robustq.functions.text import normalize, split_pieces, words
 
 # fixed values
 LABELS = ["entailment", "contradiction", "neutral"]  # class ids 0, 1, 2
 SEEDS = [0, 1, 2, 3]
 TRIGGER_LEN = 10
-TRIGGER_POOL = 500          # triggers are drawn from the most frequent words
+TRIGGER_POOL = 500          # parameter: triggers are drawn from the most frequent words
 LABEL_TOKENS_K = 10         # ranked label tokens kept per label in the label map
 RESERVED = ["<s>", "<pad>", "</s>", "<unk>", "<mask>"]  # token ids 0..4
 
@@ -32,27 +32,42 @@ def label_case(toxic: str = "toxic", quality: str = "quality"):
             .when(F.col(quality) == 1, "entailment").otherwise("neutral"))
 
 
-def docs_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V1: (ex_id, sentence_a, sentence_b, label) from documents x labels.
+def docs_lines(spark: SparkSession, sf_dir: str, scan: DataFrame | None = None) -> DataFrame:
+    """(doc_id, lines): the non-empty whitespace-normalised lines of every document."""
+    d = scan if scan is not None else table(spark, sf_dir, "documents")
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), normalize),
+                     lambda x: x != "")
+    return d.select("doc_id", lines.alias("lines"))
 
-    sentence_a/b are the whitespace-normalised first and second lines."""
+
+def docs_pairs(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:
+    """V1: (ex_id, sentence_a, sentence_b, label), every two consecutive non-empty lines of
+    every document; ``ex_id`` is 'doc_id:position'. ``labelled=False`` keeps the documents
+    without a label (label NULL) for the operators that need none."""
+    scan = table(spark, sf_dir, "documents")
+    lab = table(spark, sf_dir, "labels").select("doc_id", label_case().alias("label"))
+    # the label is joined to the lines before they are fanned out to pairs
+    j = docs_lines(spark, sf_dir, scan).filter(F.size("lines") > 1) \
+        .join(lab, "doc_id", "inner" if labelled else "left")
+    out = j.select("doc_id", "label", "lines", F.explode(F.sequence(
+        F.lit(0), F.size("lines") - 2)).alias("pos")) \
+        .select(F.concat_ws(":", "doc_id", "pos").alias("ex_id"),
+                F.get("lines", F.col("pos")).alias("sentence_a"),
+                F.get("lines", F.col("pos") + 1).alias("sentence_b"), "label")
+    return spread(out, source=scan)
+
+
+def docs_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1t: (ex_id, text), the whole normalised text of every document."""
     scan = table(spark, sf_dir, "documents")
-    d = scan.select("doc_id", "text")
-    lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    j = d.join(lab, "doc_id")
-    out = j.select(
-        F.col("doc_id").alias("ex_id"),
-        normalize(line("text", 1)).alias("sentence_a"),
-        normalize(F.coalesce(line("text", 2), F.lit(""))).alias("sentence_b"),
-        label_case().alias("label"))
-    # the lines are cut in the scan task (cheap, no shuffle of whole texts); the short
-    # pairs are then spread when the scan had few splits, for the per-word work downstream
-    return spread(out.filter((F.col("sentence_a") != "") & (F.col("sentence_b") != "")), source=scan)
+    return spread(scan.select(F.col("doc_id").alias("ex_id"),
+                              normalize(F.coalesce("text", F.lit(""))).alias("text")), source=scan)
 
 
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2: conversation turn pairs (user->assistant entailment, user->next user neutral,
-    first pair of a conversation vs the next conversation's first reply contradiction)."""
+    first pair of a conversation vs the next conversation's first reply contradiction);
+    ``ex_id`` is 'conv_id:turn:kind', unique whatever the number of turns."""
     c = (table(spark, sf_dir, "conversations")
          .select("conv_id", "turn", "role", normalize("text").alias("text")))
     u = c.filter(F.col("role") == "user").alias("u")
@@ -75,7 +90,7 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
            .select("conv_id", "turn", "sentence_a", F.col("next_reply").alias("sentence_b")))
 
     def tag(df, k, label):
-        return df.select((F.col("conv_id") * 1000 + F.col("turn") * 10 + k).alias("ex_id"),
+        return df.select(F.concat_ws(":", "conv_id", "turn", F.lit(str(k))).alias("ex_id"),
                          "sentence_a", "sentence_b", F.lit(label).alias("label"))
 
     return tag(ent, 1, "entailment").unionByName(tag(neu, 2, "neutral")) \
@@ -133,11 +148,12 @@ def grid_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return v1, trig
 
 
-def triggers_plan(spark: SparkSession, sf_dir: str, wc: DataFrame | None = None) -> DataFrame:
+def triggers_plan(spark: SparkSession, sf_dir: str, wc: DataFrame | None = None,
+                  pool: int = TRIGGER_POOL) -> DataFrame:
     """The plan behind :func:`triggers` (not materialised)."""
     wc = wc if wc is not None else word_counts(spark, sf_dir)
     top = (wc.orderBy(F.col("freq").desc(), F.col("token"))
-           .limit(TRIGGER_POOL))  # top-k report: TakeOrderedAndProject
+           .limit(pool))  # top-k report: TakeOrderedAndProject
     s = top.select(F.explode(F.array(*[F.lit(x) for x in SEEDS])).alias("seed"), "token")
     s = s.withColumn("h", hkey("seed", "token"))
     from pyspark.sql import Window
@@ -176,22 +192,23 @@ def label_words_plan(spark: SparkSession, sf_dir: str, k: int = LABEL_TOKENS_K,
             .select("label", (F.col("rn") - 1).cast("int").alias("pos"), "token"))
 
 
-def adversarial(pairs: DataFrame) -> DataFrame:
+def adversarial(pairs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """V6: (set, ex_id, sentence_a, sentence_b, label) - original, no label change (first two
     words of sentence_b swapped) and label change ('not ' + sentence_b, e->c, c->e, n->e).
-    Every input row appears in all three sets."""
+    Every input row appears in all three sets. ``carry``: further columns to keep."""
+    carry = carry or []
     wb = words("sentence_b")
     swapped = F.when(F.size(wb) >= 2, F.array_join(
         F.concat(F.array(F.get(wb, 1), F.get(wb, 0)), F.slice(wb, 3, F.size(wb) - 2)), " ")
     ).otherwise(F.col("sentence_b"))
     flipped = F.when(F.col("label") == "entailment", "contradiction").otherwise("entailment")
     # one scan: every input row fans out to its three sets
-    d = pairs.select("ex_id", "sentence_a", "sentence_b", "label",
+    d = pairs.select(*carry, "ex_id", "sentence_a", "sentence_b", "label",
                      F.explode(F.array(F.lit("original"), F.lit("no_change"), F.lit("change")))
                      .alias("set"))
     st = F.col("set")
     return d.select(
-        "set", "ex_id", "sentence_a",
+        *carry, "set", "ex_id", "sentence_a",
         F.when(st == "no_change", swapped).when(st == "change", F.concat(F.lit("not "), F.col("sentence_b")))
         .otherwise(F.col("sentence_b")).alias("sentence_b"),
         F.when(st == "change", flipped).otherwise(F.col("label")).alias("label"))

@@ -37,14 +37,13 @@ def deletion_variants(trig: str, exp_name: str = "ap-deletion") -> str:
         FROM {trig}
         UNION ALL
         SELECT seed, 'single', 0, CAST(d AS VARCHAR), 1, list_filter(tokens, lambda t, i: i - 1 <> d)
-        FROM (SELECT seed, tokens, unnest(range(len(tokens))) AS d FROM {trig} WHERE len(tokens) >= 2) e
+        FROM (SELECT seed, tokens, unnest(range(len(tokens))) AS d FROM {trig}) e
         UNION ALL
-        SELECT seed, 'multiple', rep, array_to_string(drawn, '-'), n,
+        SELECT seed, 'multiple', rep, array_to_string(drawn, '-'), len(drawn),
                list_filter(tokens, lambda t, i: NOT list_contains(drawn, i - 1))
         FROM (SELECT seed, tokens, rep, n, {_drawn('seed', 'n')} AS drawn
               FROM {trig} CROSS JOIN (SELECT unnest(range(10)) AS rep) r
-              CROSS JOIN (SELECT unnest([3, 5, 7]) AS n) ns
-              WHERE n < len(tokens)) x"""
+              CROSS JOIN (SELECT unnest([3, 5, 7]) AS n) ns) x"""
     return _finish(body, exp_name)
 
 
@@ -83,6 +82,12 @@ def mp_deletion_variants(trig: str, exp_name: str = "mp-deletion") -> str:
     return _finish(body, exp_name)
 
 
+def mp_original_variants(trig: str, exp_name: str) -> str:
+    body = f"""SELECT seed, 'original' AS method, 0 AS rep, CAST(NULL AS VARCHAR) AS del_idx,
+               0 AS n_del, {MP_LIST} AS tokens FROM {trig}"""
+    return _finish(body, exp_name)
+
+
 def mp_reorder_variants(trig: str, exp_name: str = "mp-reordering") -> str:
     import itertools
     perms = list(itertools.permutations(range(len(MP_TOKENS))))[1:]

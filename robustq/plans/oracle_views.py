@@ -7,7 +7,7 @@ The oracle registers only base tables, so every oracle SQL text carries the CTEs
 from __future__ import annotations
 
 from robustq.functions.hashing import sql_hkey, sql_hnum
-from robustq.functions.text import sql_line, sql_normalize, sql_words
+from robustq.functions.text import sql_normalize, sql_words
 
 _W_AB = sql_words("sentence_a || ' ' || sentence_b")
 
@@ -17,15 +17,18 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         SELECT * FROM (VALUES ('entailment', 0), ('contradiction', 1), ('neutral', 2))
             AS t(label, class_id)"""),
     "seeds": ([], "SELECT CAST(unnest(range(4)) AS INTEGER) AS seed"),
-    "v1": ([], f"""
-        SELECT * FROM (
-          SELECT d.doc_id AS ex_id,
-                 {sql_normalize(sql_line('d.text', 1))} AS sentence_a,
-                 {sql_normalize("coalesce(" + sql_line('d.text', 2) + ", '')")} AS sentence_b,
-                 CASE WHEN l.toxic = 1 THEN 'contradiction'
-                      WHEN l.quality = 1 THEN 'entailment' ELSE 'neutral' END AS label
-          FROM documents d JOIN labels l ON d.doc_id = l.doc_id) t
-        WHERE sentence_a <> '' AND sentence_b <> ''"""),
+    "v1l": ([], f"""
+        SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)),
+                 lambda ln: {sql_normalize('ln')}), lambda ln: ln <> '') AS lines
+        FROM documents"""),
+    "v1a": (["v1l"], """
+        SELECT doc_id || ':' || i AS ex_id, lines[i + 1] AS sentence_a, lines[i + 2] AS sentence_b, label
+        FROM (SELECT d.doc_id, d.lines, unnest(range(len(d.lines) - 1)) AS i,
+                     CASE WHEN l.doc_id IS NULL THEN NULL WHEN l.toxic = 1 THEN 'contradiction'
+                          WHEN l.quality = 1 THEN 'entailment' ELSE 'neutral' END AS label
+              FROM v1l d LEFT JOIN labels l ON d.doc_id = l.doc_id) t"""),
+    "v1": (["v1a"], "SELECT * FROM v1a WHERE label IS NOT NULL"),
+    "v1t": ([], f"SELECT doc_id AS ex_id, {sql_normalize("coalesce(text, '')")} AS text FROM documents"),
     "v2c": ([], f"SELECT conv_id, turn, role, {sql_normalize('text')} AS text FROM conversations"),
     "v2e": (["v2c"], """
         SELECT u.conv_id, u.turn, u.text AS sentence_a, a.text AS sentence_b
@@ -50,11 +53,11 @@ VIEWS: dict[str, tuple[list[str], str]] = {
           FROM v2f) t
         WHERE nc IS NOT NULL"""),
     "v2": (["v2e", "v2n", "v2x"], """
-        SELECT conv_id * 1000 + turn * 10 + 1 AS ex_id, sentence_a, sentence_b,
+        SELECT conv_id || ':' || turn || ':1' AS ex_id, sentence_a, sentence_b,
                'entailment' AS label FROM v2e
-        UNION ALL SELECT conv_id * 1000 + turn * 10 + 2, sentence_a, sentence_b, 'neutral'
+        UNION ALL SELECT conv_id || ':' || turn || ':2', sentence_a, sentence_b, 'neutral'
         FROM v2n
-        UNION ALL SELECT conv_id * 1000 + turn * 10 + 3, sentence_a, sentence_b,
+        UNION ALL SELECT conv_id || ':' || turn || ':3', sentence_a, sentence_b,
                'contradiction' FROM v2x"""),
     "v3": ([], """
         SELECT c.c_name AS sub_label, n.n_name AS obj_label, o.o_orderkey AS ev_id,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from robustq.functions.materialize import concurrently, materialize_all
 from robustq.operators import metrics as mt
 from robustq.operators.metrics import SQL_MEAN_PCT
 from robustq.plans import experiments as ex
@@ -120,10 +121,67 @@ def best_checkpoint(spark, sf):
 
 
 @register("eval_schedule", with_views(["v7"], """
-    SELECT run, step, CAST(floor(step / 12.5) AS BIGINT) AS epoch_no, round(cum, 6) AS cum_loss FROM (
-      SELECT run, step, sum(loss) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+    SELECT run, step, CAST(floor(step / 12.5) AS BIGINT) AS epoch_no, round(cum, 6) AS avg_loss FROM (
+      SELECT run, step, avg(loss) OVER (PARTITION BY run, (step - 1) // 13 ORDER BY step
+                                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
       FROM v7) t
     WHERE step % 5 = 0"""))
 def eval_schedule(spark, sf):
-    """F8: evaluation every 5 steps; epoch = int(step / (200 rows / 16 per batch))."""
+    """F8: evaluation every 5 steps; epoch = int(step / (200 rows / 16 per batch)); the
+    average loss restarts with every pass of 13 batches."""
     return mt.eval_marks(fx.step_log(spark, sf), interval=5, rows=200, bsz=16)
+
+
+# -- the MP family --------------------------------------------------------------------
+_MPR = oe.experiment("mr", "v1", oe.mp_reorder_variants("v5t"), "docs", family="mp", eps=False)
+
+
+@register("mp_reordering_report", with_views(BASE, f"""
+    SELECT 'Reordering (random)' AS method, {SQL_MEAN_PCT.format(c='acc')} AS avg_acc FROM mr_res""", _MPR))
+def mp_reordering_report(spark, sf):
+    """F2 of the MP family: every other order of the manual prompt tokens."""
+    v1, trig = fx.grid_inputs(spark, sf)
+    res = ex.evaluate(v1, ex.mp_reorder_variants(trig), "docs", family="mp", eps=None, materialized=True)
+    return mt.experiment_report(res, mt.REORDERING_ROW)
+
+
+_MP_SETS = [("no_change", "mp-adv-label-no-change"), ("change", "mp-adv-label-change"), ("original", "mp-no-adv")]
+_MP_VAR = " UNION ALL ".join(
+    f"SELECT *, '{s}' AS set FROM ({oe.mp_original_variants('v5t', e)}) q{i}" for i, (s, e) in enumerate(_MP_SETS))
+
+
+@register("mp_perturbation_report", with_views(
+    BASE + ["v6"], f"""
+    SELECT l.row_no, l.method, {SQL_MEAN_PCT.format(c='r.acc')} AS avg_acc
+    FROM (VALUES (1, 'Perturbation w/o label changes', 'mp-adv-label-no-change'),
+                 (2, 'Perturbation w/ label changes', 'mp-adv-label-change'),
+                 (3, 'Original (no perturbation)', 'mp-no-adv')) AS l(row_no, method, exp_name)
+    LEFT JOIN ma_res r ON r.exp_name = l.exp_name GROUP BY l.row_no, l.method""",
+    oe.experiment("ma", "v6", _MP_VAR, "docs", family="mp", train="v1", key=("set", "ex_id"), on=("set",), eps=False)))
+def mp_perturbation_report(spark, sf):
+    """F4 of the MP family: the manual prompt on the three adversarial sets."""
+    v1, trig = fx.grid_inputs(spark, sf)
+    var = None
+    for s, e in _MP_SETS:
+        v = ex.mp_original_variants(trig, e).withColumn("set", F.lit(s))
+        var = v if var is None else var.unionByName(v)
+    res = ex.evaluate(fx.adversarial(v1), var, "docs", family="mp", train=v1, eps=None,
+                      on=("seed", "set"), key=("set", "ex_id"))
+    return mt.perturbation_report(res, family="mp")
+
+
+@register("mp_cross_dataset", with_views(
+    ["v1", "v2", "v5t", "seeds", "labels_c"], """
+    SELECT exp_name, task, model, seed, dp, template, acc FROM (
+      SELECT *, 200 AS dp FROM y1_res UNION ALL SELECT *, 200 FROM y2_res) u""",
+    oe.experiment("y1", "v2", oe.mp_original_variants("v5t", "mp-cross-dataset"), "turns", family="mp", train="v1", eps=False)
+    + oe.experiment("y2", "v1", oe.mp_original_variants("v5t", "mp-cross-dataset"), "docs", family="mp", train="v2", eps=False)))
+def mp_cross_dataset(spark, sf):
+    """D8 of the MP family, both directions, with the training size (dp) of each run."""
+    v1, v2, trig = materialize_all(fx.docs_pairs(spark, sf), fx.turn_pairs(spark, sf), fx.triggers_plan(spark, sf))
+    var = ex.mp_original_variants(trig, "mp-cross-dataset")
+    to_turns, to_docs = concurrently(
+        lambda: ex.evaluate(v2, var, "turns", family="mp", train=v1, eps=None),
+        lambda: ex.evaluate(v1, var, "docs", family="mp", train=v2, eps=None))
+    return ex.with_datapoints(to_turns.unionByName(to_docs)).select(
+        "exp_name", "task", "model", "seed", "dp", "template", "acc")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from robustq.functions.hashing import sql_hnum
+from robustq.functions.hashing import sql_hkey, sql_hnum
 from robustq.operators import prepare as pr
 from robustq.operators import search as se
 from robustq.operators.scoring import AdditiveScorer, label_token_ids, predict_from_scores
@@ -15,20 +15,55 @@ from robustq.plans.q_scoring import OWNED_SQL
 from robustq.plans.registry import register
 
 # fixed values
-BSZ, STEPS = 16, 15          # gradient batches: size and accumulation steps
+BSZ = 16                     # gradient batches
+CLASSES, DIMS = list(range(10)), 64   # of the vector table
+FIT_STEPS, RATE = 3, 1.0     # full-batch steps of the registered fits
 N_CAND = 10                  # candidates per flip
 SPECIALS = fx.RESERVED
 
 SEQ = ("seq", "SELECT vec_id, embedding, label, vec_id // 10 AS ex, CAST(vec_id % 10 AS INTEGER) AS pos FROM v8")
-GRAD = ("grad", f"""SELECT CAST(pos AS INTEGER) AS slot, CAST(d AS INTEGER) AS d, sum(CAST(x AS DOUBLE)) / {STEPS} AS g
-    FROM (SELECT pos, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS d FROM seq
-          WHERE ex // {BSZ} < {STEPS}) t GROUP BY pos, d""")
-
-
-@register("label_projection")
+GRAD = ("grad", f"""SELECT CAST(pos AS INTEGER) AS slot, CAST(d AS INTEGER) AS d, sum(CAST(x AS DOUBLE))
+           / (SELECT greatest(1, ceil(count(DISTINCT ex) / {BSZ})) FROM seq) AS g
+    FROM (SELECT pos, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS d FROM seq) t GROUP BY pos, d""")
+
+
+def _softmax_fit(p: str, src: str) -> list[tuple[str, str]]:
+    """CTEs of ``FIT_STEPS`` unrolled gradient steps over ``src`` (id, x[], y); the last one,
+    ``{p}_w{FIT_STEPS}``, has one row with w, a list of class weight lists."""
+    k = len(CLASSES)
+    out = [(f"{p}_w0", f"SELECT list_transform(range({k}), lambda c: list_transform(range({DIMS + 1}), "
+                       f"lambda i: CAST(0 AS DOUBLE))) AS w")]
+    for t in range(FIT_STEPS):
+        out.append((f"{p}_p{t}", f"""
+            SELECT x, y, list_transform(e, lambda v: v / list_sum(e)) AS p FROM (
+              SELECT x, y, list_transform(lg, lambda v: exp(v - list_max(lg))) AS e FROM (
+                SELECT x, y, list_transform(w, lambda c: list_sum(list_transform(range({DIMS + 1}),
+                         lambda i: c[i + 1] * x[i + 1]))) AS lg
+                FROM {src}, {p}_w{t}) a) b"""))
+        grads = ", ".join(f"sum((p[{i + 1}] - CASE WHEN y = {c} THEN 1 ELSE 0 END) * v) AS g{i}"
+                          for i, c in enumerate(CLASSES))
+        new = ", ".join(f"list(w[{i + 1}][d] - {RATE} * g{i} / n ORDER BY d)" for i in range(k))
+        out.append((f"{p}_w{t + 1}", f"""
+            SELECT [{new}] AS w FROM (
+              SELECT d, {grads} FROM (SELECT p, y, unnest(x) AS v, generate_subscripts(x, 1) AS d
+                                      FROM {p}_p{t}) q GROUP BY d) g, {p}_w{t}, (SELECT count(*) AS n FROM {src}) c"""))
+    return out
+
+
+_G1 = [("g1x", "SELECT list_concat(list_transform(embedding, lambda v: CAST(v AS DOUBLE)), [CAST(1 AS DOUBLE)]) AS x, "
+               "label AS y FROM v8"), *_softmax_fit("g1", "g1x")]
+
+
+@register("label_projection", with_views(["v8"], f"""
+    SELECT CAST(c AS INTEGER) AS cls, list_transform(list_slice(w[c + 1], 1, {DIMS}), lambda v: round(v, 6)) AS weights,
+           round(w[c + 1][{DIMS + 1}], 6) AS intercept
+    FROM (SELECT w, unnest(range({len(CLASSES)})) AS c FROM g1_w{FIT_STEPS}) t""", _G1))
 def label_projection(spark, sf):
-    """G1: multinomial logistic regression from V8 vectors to their labels (Spark ML)."""
-    return se.fit_projection(fx.vectors(spark, sf))
+    """G1: multinomial logistic regression from V8 vectors to their labels, by a set number of
+    full-batch gradient steps."""
+    w = se.fit_projection(fx.vectors(spark, sf), CLASSES, DIMS, FIT_STEPS, RATE)
+    return w.select("cls", F.transform("weights", lambda v: F.round(v, 6)).alias("weights"),
+                    F.round("intercept", 6).alias("intercept"))
 
 
 @register("label_tokens_topk", with_views(["v8"], """
@@ -51,8 +86,8 @@ def label_tokens_topk(spark, sf):
 
 @register("mean_slot_gradient", with_views(["v8"], "SELECT slot, d, round(g, 6) AS g FROM grad", [SEQ, GRAD]))
 def mean_slot_gradient(spark, sf):
-    """Per-slot vector sums over the first 15 batches of 16 sequences, divided by 15."""
-    return se.mean_slot(se.sequences(fx.vectors(spark, sf)), BSZ, STEPS).withColumn("g", F.round("g", 6))
+    """Per-slot vector sums over all batches of 16 sequences, divided by their number."""
+    return se.mean_slot(se.sequences(fx.vectors(spark, sf)), BSZ).withColumn("g", F.round("g", 6))
 
 
 @register("hotflip_topk", with_views(["v8"], f"""
@@ -65,7 +100,7 @@ def mean_slot_gradient(spark, sf):
 def hotflip_topk(spark, sf):
     """Top-10 replacement candidates for slot 0 by -(E . g), label/special ids excluded."""
     v = fx.vectors(spark, sf)
-    g = se.mean_slot(se.sequences(v), BSZ, STEPS).filter(F.col("slot") == 0)
+    g = se.mean_slot(se.sequences(v), BSZ).filter(F.col("slot") == 0)
     excl = v.sparkSession.range(1).select(F.explode(F.array_union(
         F.flatten(label_token_ids()), F.sequence(F.lit(0), F.lit(4)))).alias("vec_id")) \
         .select(F.col("vec_id").cast("bigint"))
@@ -114,8 +149,7 @@ _CAND_VAR = ("c_v", f"""
     SELECT t.seed, 'cand:' || CAST(t.seed AS VARCHAR) || ':' || CAST(c.cand_rank AS VARCHAR), c.cand_rank, c.token,
            list_transform(t.tokens, lambda x, i: CASE WHEN i - 1 = {sql_hnum('t.seed', "'0'")} % 10 THEN c.token ELSE x END)
     FROM v5t t CROSS JOIN (SELECT token, CAST(row_number() OVER (ORDER BY token_id) AS INTEGER) AS cand_rank
-                           FROM (SELECT * FROM allowed ORDER BY token_id LIMIT {N_CAND}) a) c
-    WHERE NOT list_contains(t.tokens, c.token)""")
+                           FROM (SELECT * FROM allowed ORDER BY token_id LIMIT {N_CAND}) a) c""")
 
 
 def search_inputs(spark, sf):
@@ -148,20 +182,101 @@ def candidate_scores(spark, sf):
     return se.score_candidates(counts).select("seed", "cand_rank", "token", "n_correct", "cur_correct", "accepted")
 
 
-@register("greedy_trigger_search")
+ITERS = 3
+HELD = f"""SELECT ex_id FROM (SELECT ex_id, row_number() OVER (ORDER BY {sql_hkey("'0'", 'ex_id')}, ex_id) AS r
+           FROM v1) h WHERE r <= 50"""
+
+
+def _search_sql() -> list[tuple[str, str]]:
+    """The greedy search unrolled: per iteration the gains, the candidates, their counts and
+    the accepted flips. ``gs{i}`` has the state after i iterations."""
+    lab = "['entailment', 'contradiction', 'neutral']"
+    push = ", ".join(f"sum(CASE WHEN p.split = 'train' THEN CAST(p.gold = {lab}[{i}] AS INTEGER) "
+                     f"- CAST(p.pred = {lab}[{i}] AS INTEGER) ELSE 0 END) AS g{i}" for i in (1, 2, 3))
+    count = (f"count(*) FILTER (p.correct AND p.split = 'train') AS n_correct, "
+             f"count(*) FILTER (p.correct AND p.split = 'dev') / (count(*) FILTER (p.split = 'dev') + 1e-13) AS dev, {push}")
+
+    def score(p: str, variants: str) -> list[tuple[str, str]]:
+        return oe.scorer(p, "gboth", variants, train="gtrain", key=("ex_id", "split"))
+
+    out = [("gheld", HELD), ("gtrain", "SELECT * FROM v1 WHERE ex_id NOT IN (SELECT ex_id FROM gheld)"),
+           ("gboth", "SELECT *, CASE WHEN ex_id IN (SELECT ex_id FROM gheld) THEN 'dev' ELSE 'train' END AS split FROM v1"),
+           ("gi_v", "SELECT seed, 'cand:' || seed || ':0' AS variant_id, tokens FROM v5t"), *score("gi", "gi_v"),
+           ("gs0", f"""SELECT v.seed, any_value(v.tokens) AS tokens, CAST(NULL AS DOUBLE) AS best, -1 AS iter,
+                  CAST(NULL AS INTEGER) AS slot, CAST(NULL AS VARCHAR) AS token, CAST(NULL AS INTEGER) AS cur_correct,
+                  CAST(NULL AS INTEGER) AS new_correct, round(any_value(c.dev), 6) AS dev_acc, false AS new_best,
+                  any_value(c.g1) AS g1, any_value(c.g2) AS g2, any_value(c.g3) AS g3
+                FROM gi_v v JOIN (SELECT variant_id, {count} FROM gi_pr p GROUP BY variant_id) c
+                  ON c.variant_id = v.variant_id GROUP BY v.seed""")]
+    for it in range(ITERS):
+        s, q = f"gs{it}", f"g{it}x"
+        slot = f"CAST({sql_hnum('s.seed', chr(39) + str(it) + chr(39))} % 10 AS INTEGER)"
+        w = " + ".join(f"s.g{i} * coalesce(w.w[{i}], p.w0[{i}])" for i in (1, 2, 3))
+        out += [
+            (f"{q}_c", f"""SELECT * FROM (SELECT seed, token, CAST(row_number() OVER (PARTITION BY seed
+                      ORDER BY gain DESC, token) AS INTEGER) AS cand_rank
+                    FROM (SELECT s.seed, a.token, {w} AS gain FROM {s} s CROSS JOIN allowed a
+                          JOIN gi_pri p ON p.seed = s.seed
+                          LEFT JOIN gi_wt w ON w.seed = s.seed AND w.token = a.token) g) r WHERE cand_rank <= {N_CAND}"""),
+            (f"{q}_v", f"""SELECT seed, 'cand:' || seed || ':0' AS variant_id, 0 AS cand_rank,
+                      CAST(NULL AS VARCHAR) AS token, tokens FROM {s}
+                    UNION ALL SELECT s.seed, 'cand:' || s.seed || ':' || c.cand_rank, c.cand_rank, c.token,
+                      list_transform(s.tokens, lambda x, i: CASE WHEN i - 1 = {slot} THEN c.token ELSE x END)
+                    FROM {s} s JOIN {q}_c c ON c.seed = s.seed"""),
+            *score(q, f"{q}_v"),
+            (f"{q}_n", f"""SELECT v.seed, v.cand_rank, v.token, any_value(v.tokens) AS tokens, {count}
+                    FROM {q}_pr p JOIN {q}_v v ON v.variant_id = p.variant_id GROUP BY v.seed, v.cand_rank, v.token"""),
+            (f"gs{it + 1}", f"""SELECT s.seed, CASE WHEN ok THEN b.tokens ELSE s.tokens END AS tokens,
+                      CASE WHEN ok AND better THEN b.dev ELSE s.best END AS best, {it} AS iter, {slot} AS slot,
+                      CASE WHEN ok THEN b.token END AS token,
+                      CAST(CASE WHEN ok THEN cur END AS INTEGER) AS cur_correct,
+                      CAST(CASE WHEN ok THEN b.n_correct END AS INTEGER) AS new_correct,
+                      CASE WHEN ok THEN round(b.dev, 6) END AS dev_acc, (ok AND better) AS new_best,
+                      CASE WHEN ok THEN b.g1 ELSE s.g1 END AS g1, CASE WHEN ok THEN b.g2 ELSE s.g2 END AS g2,
+                      CASE WHEN ok THEN b.g3 ELSE s.g3 END AS g3
+                    FROM (SELECT s.*, b.n_correct > k.n_correct AS ok, k.n_correct AS cur,
+                                 NOT list_contains(b.tokens, '<mask>') AND (s.best IS NULL OR b.dev > s.best) AS better,
+                                 b AS b
+                          FROM {s} s JOIN {q}_n k ON k.seed = s.seed AND k.cand_rank = 0
+                          JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed
+                                  ORDER BY n_correct DESC, cand_rank) AS r FROM {q}_n WHERE cand_rank > 0) z
+                                WHERE r = 1) b ON b.seed = s.seed) s"""),
+        ]
+    return out
+
+
+_LOG = "SELECT seed, CAST(iter AS INTEGER) AS iter, slot, token, cur_correct, new_correct, dev_acc, new_best FROM "
+
+
+@register("greedy_trigger_search", with_views(
+    ["v1", "v4", "v5l", "v5t", "seeds", "labels_c"],
+    " UNION ALL ".join(f"{_LOG} gs{i}" for i in range(ITERS + 1)), [_ALLOWED, *_search_sql()]))
 def greedy_trigger_search(spark, sf):
-    """Three greedy flip iterations per seed (driver loop, one job per step)."""
+    """Three greedy iterations per seed with gradient-ranked candidates."""
     v1, wc, lw, trig = search_inputs(spark, sf)
     train, dev = pr.holdout(v1, 50, seed=0)
-    return se.greedy_search(train, dev, trig, candidates(spark, sf, wc, lw), iters=3)
+    return se.greedy_search(train, dev, trig, se.allowed_tokens(wc, lw, SPECIALS), iters=ITERS, k=N_CAND)
+
+
+_PROBE = [SEQ, ("pool", """SELECT ex, list(m ORDER BY d) AS v FROM (
+        SELECT ex, d, avg(CAST(x AS DOUBLE)) AS m FROM (
+          SELECT ex, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM seq WHERE pos > 0) t
+        GROUP BY ex, d) u GROUP BY ex"""),
+    ("prb", f"""SELECT p.ex, list_concat(p.v, [CAST(1 AS DOUBLE)]) AS x, s.label AS y,
+              CASE WHEN {sql_hnum("'0'", 'p.ex')} % 5 = 0 THEN 'dev' ELSE 'train' END AS split
+            FROM pool p JOIN seq s ON s.ex = p.ex AND s.pos = 0"""),
+    ("prt", "SELECT x, y FROM prb WHERE split = 'train'"), *_softmax_fit("g8", "prt")]
 
 
-@register("linear_probe")
+@register("linear_probe", with_views(["v8"], f"""
+    SELECT split, count(*) AS n, CAST(sum(CAST(list_position(lg, list_max(lg)) - 1 = y AS INTEGER)) AS BIGINT) AS n_correct
+    FROM (SELECT split, y, list_transform(w, lambda c: list_sum(list_transform(range({DIMS + 1}),
+                   lambda i: c[i + 1] * x[i + 1]))) AS lg FROM prb, g8_w{FIT_STEPS}) t GROUP BY split""", _PROBE))
 def linear_probe(spark, sf):
-    """Mean-pooled sequences -> logistic regression; train/dev accuracy."""
+    """Mean-pooled sequences -> logistic regression; train/dev correct counts."""
     seq = se.sequences(fx.vectors(spark, sf))
     labels = seq.filter(F.col("pos") == 0).select("ex", "label")
-    return se.linear_probe(se.mean_pool(seq), labels)
+    return se.linear_probe(se.mean_pool(seq), labels, CLASSES, DIMS, steps=FIT_STEPS, rate=RATE)
 
 
 @register("mean_pool", with_views(["v8"], """

@@ -14,11 +14,11 @@ from robustq.sources import io
 # -- A1 -----------------------------------------------------------------------------
 
 
-@register("tsv_pairs", with_views(["v1"], "SELECT * FROM v1"))
+@register("tsv_pairs", with_views(["v1a"], "SELECT * FROM v1a"))
 def tsv_pairs(spark, sf):
     """V1 written as TSV (header, doubled quotes) and read back whole."""
     path = io.scratch_dir(spark, "pairs")
-    io.write_pairs(fx.docs_pairs(spark, sf), path)
+    io.write_pairs(fx.docs_pairs(spark, sf, labelled=False), path)
     return io.read_pairs(spark, path)
 
 
@@ -58,9 +58,19 @@ def manifest_rows():
     return rows
 
 
-def _manifest_sql() -> str:
-    vals = ", ".join(f"('{a}', '{b}', '{c}', '{d}')" for a, b, c, d in manifest_rows())
-    return f"SELECT * FROM (VALUES {vals}) AS m(family, task, eval_type, ds)"
+# the manifest spelled out for the SQL side (not built from the list above)
+_MANIFEST_SQL = """
+    SELECT family, task, eval_type,
+           CASE WHEN eval_type = 'cross_dataset' THEN CASE task WHEN 'docs' THEN 'turns' ELSE 'docs' END
+                WHEN eval_type LIKE 'adversarial%no_change' THEN task || '_adv_no_change'
+                WHEN eval_type LIKE 'adversarial%change' THEN task || '_adv_change'
+                WHEN eval_type = 'no_adversarial_perturbation' THEN task || '_adv_original'
+                ELSE task END AS ds
+    FROM (VALUES ('ap'), ('mp')) f(family), (VALUES ('docs'), ('turns')) t(task),
+         (VALUES ('token_reordering'), ('token_deletion'), ('original-acc'),
+                 ('adversarial_perturbation_label_no_change'), ('adversarial_perturbation_label_change'),
+                 ('no_adversarial_perturbation'), ('cross_dataset')) e(eval_type)
+    WHERE NOT (family = 'mp' AND eval_type = 'original-acc')"""
 
 
 _STATS = """SELECT ds, count(*) AS n_rows,
@@ -79,7 +89,7 @@ FROM (SELECT 'docs' AS ds, label FROM v1 UNION ALL SELECT 'turns', label FROM v2
               CAST(s.n_contradiction AS BIGINT) AS n_contradiction,
               CAST(s.n_neutral AS BIGINT) AS n_neutral
        FROM m LEFT JOIN s ON s.ds = m.ds""",
-    [("m", _manifest_sql()), ("s", _STATS)]))
+    [("m", _MANIFEST_SQL), ("s", _STATS)]))
 def split_registry(spark, sf):
     """(family, task, eval_type) -> dataset with its row and label counts."""
     man = spark.createDataFrame(manifest_rows(), "family string, task string, eval_type string, ds string")
@@ -95,7 +105,7 @@ def split_registry(spark, sf):
         F.count(F.lit(1)).alias("n_rows"),
         *[F.sum(F.when(F.col("label") == lab, 1).otherwise(0)).cast("bigint").alias(f"n_{lab}")
           for lab in ("entailment", "contradiction", "neutral")])
-    return man.join(F.broadcast(stats), "ds", "left").select(  # one stats row per dataset
+    return man.join(stats, "ds", "left").select(
         "family", "task", "eval_type", "ds", "n_rows", "n_entailment", "n_contradiction", "n_neutral")
 
 
@@ -127,5 +137,7 @@ def label_token_sink(spark, sf):
     """Ranked label tokens written one folder per class (+ JSON map) and re-read."""
     path = io.scratch_dir(spark, "labels")
     io.write_label_tokens(fx.label_words(spark, sf), path)
-    per, _ = io.read_label_tokens(spark, path)
-    return per.select("label", F.col("pos").cast("int").alias("pos"), "token")
+    per, js = io.read_label_tokens(spark, path)
+    both = io.label_tokens(js, n=fx.LABEL_TOKENS_K).select("label", F.col("pos").cast("int").alias("pos"), "token")
+    # rows are returned only if the folders and the JSON map agree on them
+    return per.select("label", F.col("pos").cast("int").alias("pos"), "token").join(both, ["label", "pos", "token"])

@@ -37,14 +37,22 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+def is_local(master: str) -> bool:
+    """Driver and executors are one process (``local-cluster`` is not)."""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; set a scratch one only when unset (tests)."""
+    """Return the cluster's checkpoint folder. A scratch folder is set only where none is named
+    and the whole session runs in one process (tests); a cluster must name a shared one."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not conf:
-        # Only reached in tests/local runs: a cluster names a shared folder itself.
+        if not is_local(spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder "
+                               "that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="robustq-ckpt-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(conf)
     return conf

@@ -14,17 +14,21 @@ from pyspark.sql import types as T
 
 from robustq.session import ensure_checkpoint_dir
 
-# fixed values: the TSV dialect of the shipped pair files
-TSV_OPTIONS = dict(sep="\t", header=True, quote='"', escape='"', multiLine=True)
+# fixed values: the TSV dialect of the shipped pair files. White space and empty strings stay
+# as they are (an empty string is written quoted, a null as ``NULL_MARK``).
+NULL_MARK = "\\N"
+TSV_OPTIONS = dict(sep="\t", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False,
+                   ignoreTrailingWhiteSpace=False, nullValue=NULL_MARK)
 NA = "n/a"  # del_idx of the unperturbed variant in summaries
 
 PAIRS_SCHEMA = T.StructType([
-    T.StructField("ex_id", T.LongType()),
+    T.StructField("ex_id", T.StringType()),
     T.StructField("sentence_a", T.StringType()),
     T.StructField("sentence_b", T.StringType()),
     T.StructField("label", T.StringType()),
 ])
 
+# fixed values: record and column names of the facts and result files
 EVIDENCE = T.StructType([T.StructField("obj_surface", T.StringType()),
                          T.StructField("masked_sentence", T.StringType())])
 FACTS_SCHEMA = T.StructType([
@@ -40,6 +44,9 @@ SUMMARY_SCHEMA = T.StructType([
     T.StructField("del_idx", T.StringType()), T.StructField("n_del", T.IntegerType()),
     T.StructField("n_examples", T.LongType()),
 ])
+# the MP family also names the training size of each run
+MP_SUMMARY_SCHEMA = T.StructType([*SUMMARY_SCHEMA.fields[:4], T.StructField("dp", T.IntegerType()),
+                                  *SUMMARY_SCHEMA.fields[4:]])
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -49,15 +56,17 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 
 # -- A1 -----------------------------------------------------------------------------
-def read_pairs(spark: SparkSession, path: str, schema: T.StructType = PAIRS_SCHEMA) -> DataFrame:
+def read_pairs(spark: SparkSession, path: str, schema: T.StructType = PAIRS_SCHEMA,
+               multi_line: bool = False) -> DataFrame:
     """Read tab-separated pairs with a header and doubled-quote escaping; columns not in
-    ``schema`` (stray index columns) are ignored by name."""
-    raw = spark.read.options(**TSV_OPTIONS).option("inferSchema", False).csv(path)
+    ``schema`` (stray index columns) are ignored by name. ``multi_line``: fields may hold line
+    breaks; a file is then read by one task."""
+    raw = spark.read.options(**TSV_OPTIONS, multiLine=multi_line).option("inferSchema", False).csv(path)
     return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def write_pairs(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").options(**TSV_OPTIONS).csv(path)
+    df.write.mode("overwrite").options(**TSV_OPTIONS, emptyValue='""').csv(path)
 
 
 # -- A2 -----------------------------------------------------------------------------
@@ -125,23 +134,26 @@ def read_label_tokens(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     return per, js
 
 
-def best_trigger_json(triggers: DataFrame, metric: str = "best_dev_metric") -> DataFrame:
-    """Best-trigger records {best_dev_metric, best_trigger_tokens} as JSON text."""
-    return triggers.select("seed", F.to_json(F.struct(F.col(metric).alias("best_dev_metric"),
-                                                      F.col("tokens").alias("best_trigger_tokens")))
-                           .alias("json"))
-
-
 # -- A5 -----------------------------------------------------------------------------
 def write_summary(results: DataFrame, path: str) -> None:
     """Result rows as TSV with header, one folder per (task, model); NULL del_idx is written
     as 'n/a' like the reference summaries."""
     (results.write.mode("overwrite").partitionBy("task", "model")
-     .options(**TSV_OPTIONS).option("nullValue", NA).csv(path))
+     .options(**TSV_OPTIONS | {"nullValue": NA}).csv(path))
 
 
-def read_summary(spark: SparkSession, path: str) -> DataFrame:
+def read_summary(spark: SparkSession, path: str, schema: T.StructType = SUMMARY_SCHEMA) -> DataFrame:
     """Re-read summaries; 'n/a' becomes NULL (so the baseline drops out of del_idx groups)."""
-    raw = (spark.read.options(**TSV_OPTIONS).option("nullValue", NA)
-           .option("inferSchema", False).csv(path))
-    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SUMMARY_SCHEMA.fields])
+    raw = (spark.read.options(**TSV_OPTIONS | {"nullValue": NA}).option("inferSchema", False).csv(path))
+    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+# -- A3 -----------------------------------------------------------------------------
+def resolve_split(registry: DataFrame, family: str, task: str, eval_type: str) -> str:
+    """Dataset of an evaluation type in a split registry (family, task, eval_type, ds); an
+    unknown combination is an error."""
+    rows = (registry.filter((F.col("family") == family) & (F.col("task") == task)
+                            & (F.col("eval_type") == eval_type)).select("ds").distinct().limit(2).collect())
+    if len(rows) != 1:
+        raise ValueError(f"eval_type:{eval_type}, args.task:{task} ({family}): {len(rows)} datasets")
+    return rows[0]["ds"]

@@ -1,8 +1,9 @@
 """Streaming accuracy (H1): numerator and denominator accumulated batch by batch.
 
 Predictions arrive as parquet files; a Structured Streaming aggregation keeps per-variant
-(Σ correct, n) in its state store and rewrites the result table on every micro-batch
-(complete mode through ``foreachBatch``, so the sink is an ordinary parquet table). With
+(Σ correct, n) in its state store and writes the whole result of every micro-batch to a new
+folder ``epoch=<n>`` (complete mode through ``foreachBatch``): a failure while writing leaves the
+earlier results as they are, and a repeated batch overwrites only its own folder. With
 ``availableNow`` the query processes what is there and stops, which is how tests and
 batch re-runs drive it; on a cluster the same query runs continuously.
 """
@@ -32,9 +33,17 @@ def run_available(spark: SparkSession, source: str, sink: str, checkpoint: str,
     agg = stream_accuracy(stream, by)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(sink)
+        batch.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
 
     q = (agg.writeStream.outputMode("complete").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(sink)
+    return latest_result(spark, sink)
+
+
+def latest_result(spark: SparkSession, sink: str) -> DataFrame:
+    """The result of the last written micro-batch (the epoch is a partition column, so only
+    that folder is read)."""
+    table = spark.read.parquet(sink)
+    last = table.select(F.max("epoch").alias("e")).first()["e"]
+    return table.filter(F.col("epoch") == F.lit(last)).drop("epoch")
