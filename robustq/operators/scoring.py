@@ -172,13 +172,14 @@ class AdditiveScorer:
     # -- grid -------------------------------------------------------------------------
     def score_grid(self, examples: DataFrame, variants: DataFrame,
                    train: DataFrame | None = None, col: str = "tokens",
-                   on: Sequence[str] = ("seed",), key: Sequence[str] = ("ex_id",)) -> DataFrame:
+                   on: Sequence[str] = ("seed",), key: Sequence[str] = ("ex_id",),
+                   n_variants: int | None = None) -> DataFrame:
         """(variant columns..., *key, gold, score array<bigint>) for every example x variant
         agreeing on ``on`` (the seed, plus e.g. the example set). ``variants`` is a bounded
         table (a few dozen rows per seed) and is broadcast; the example side streams."""
         fitted = self.fit(train if train is not None else examples)
         ex = self.example_scores(examples, fitted, key)
-        return self.grid_from(ex, variants, fitted, col, on)
+        return self.grid_from(ex, variants, fitted, col, on, n_variants)
 
     def grid_from(self, ex_scores: DataFrame, variants: DataFrame, fitted: Fitted,
                   col: str = "tokens", on: Sequence[str] = ("seed",),

@@ -88,7 +88,7 @@ def template_col(family: str) -> F.Column:
 
 def predictions(examples: DataFrame, variants: DataFrame, train: DataFrame | None = None,
                 scorer: AdditiveScorer | None = None, on=("seed",), key=("ex_id",),
-                materialized: bool = False) -> DataFrame:
+                materialized: bool = False, n_variants: int | None = None) -> DataFrame:
     """E8 + E2/E3: one row per (variant, example) with pred and correct.
 
     When the examples are also the training rows they are read twice (training sample and
@@ -98,7 +98,7 @@ def predictions(examples: DataFrame, variants: DataFrame, train: DataFrame | Non
     scorer = scorer or AdditiveScorer()
     if train is None and not materialized:
         examples = materialize(examples)
-    grid = scorer.score_grid(examples, variants, train, on=on, key=key)
+    grid = scorer.score_grid(examples, variants, train, on=on, key=key, n_variants=n_variants)
     return predict_from_scores(grid)
 
 
@@ -107,12 +107,14 @@ def evaluate(examples: DataFrame, variants: DataFrame, task: str, family: str =
              eps: float | None = 1e-13, on=("seed",), key=("ex_id",),
              materialized: bool = False) -> DataFrame:
     """results(exp_name, task, model, seed, template, acc, del_idx, n_del, n_examples)."""
-    preds = predictions(examples, variants, train, scorer, on, key, materialized)
+    from robustq.functions.materialize import rows_within
+    n = variants.count()
+    preds = predictions(examples, variants, train, scorer, on, key, materialized, n)
     acc = accuracy(preds.select("variant_id", "correct"), ["variant_id"], eps)
     v = variants.drop(*[c for c in on if c != "seed"]).withColumn("template", template_col(family))
-    # one accuracy row per variant; Spark broadcasts it where it is small (a grid beyond the
-    # broadcast limit has as many rows here)
-    return (v.join(acc, "variant_id", "left")
+    # one accuracy row per variant: broadcast as the build side within the limit
+    side = F.broadcast(acc) if n <= rows_within(128) else acc
+    return (v.join(side, "variant_id", "left")
             .select("exp_name", F.lit(task).alias("task"), F.lit(MODEL).alias("model"), "seed",
                     "template", F.coalesce(F.col("acc"), F.lit(0.0)).alias("acc"), "del_idx", "n_del",
                     F.coalesce(F.col("n_examples"), F.lit(0).cast("bigint")).alias("n_examples")))
