@@ -84,6 +84,39 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                     (F.col("n_hit") > 0).alias("contaminated"))
 
 
+ORACLE["op5_benchmark_decontamination"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+iw AS (
+  SELECT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(10, len(w)) AS n,
+               unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM i WHERE len(w) > 0) t),
+ns AS (SELECT DISTINCT n FROM iw),
+dw AS (
+  SELECT r, p, n, array_to_string(w[p:p + n - 1], ' ') AS g
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, ns WHERE len(w) >= n) t),
+h AS (SELECT DISTINCT dw.r, dw.p, dw.n, iw.item_id FROM dw JOIN iw ON iw.g = dw.g AND iw.n = dw.n),
+hw AS (
+  SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM h) t
+  GROUP BY r),
+hi AS (
+  SELECT r, count(DISTINCT item_id) AS n_items,
+         array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS items
+  FROM h WHERE item_id IS NOT NULL GROUP BY r)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(hw.n_hit, 0)::BIGINT AS n_hit,
+       coalesce(hi.n_items, 0)::BIGINT AS n_items, sha256(coalesce(hi.items, '')) AS items_sha256,
+       coalesce(hw.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hw ON hw.r = d.r LEFT JOIN hi ON hi.r = d.r
+"""
+
+
 @_query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _lines.drop_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"))
