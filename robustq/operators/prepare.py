@@ -65,6 +65,17 @@ def split_valid(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Dat
     return tagged.filter(F.col("reason").isNull()).drop("reason"), tagged.filter(F.col("reason").isNotNull())
 
 
+def split_facts(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nested fact records: those without evidences are set aside with a reason."""
+    return split_valid(facts, {"no_evidences": F.coalesce(F.size("evidences"), F.lit(-1)) <= 0})
+
+
+def require_label(df: DataFrame, col: str = "label") -> DataFrame:
+    """A null label is fatal: the job fails when such a row is read."""
+    bad = F.raise_error(F.concat(F.lit("Bad data: null label in "), F.to_json(F.struct(*df.columns))))
+    return df.withColumn(col, F.when(F.col(col).isNull(), bad).otherwise(F.col(col)).cast("string"))
+
+
 # -- B5 -----------------------------------------------------------------------------
 def sample_exact(df: DataFrame, n: int, seed: int, key: str = "ex_id", check: bool = True) -> DataFrame:
     """Uniform sample of exactly ``n`` rows without replacement (md5 order + limit, a

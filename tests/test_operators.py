@@ -192,6 +192,19 @@ def test_eval_schedule_restarts_every_pass(spark):
     assert mt.eval_marks(log, 2, 32, 10, iters=7).count() == 4  # int(7 / 3.2) = 2 passes
 
 
+def test_bad_facts_and_null_labels(spark):
+    f = spark.createDataFrame([("s", "o", [("x", "[MASK] a")]), ("t", "o", []), ("u", "o", None)],
+                              "sub_label string, obj_label string, "
+                              "evidences array<struct<obj_surface string, masked_sentence string>>")
+    ok, bad = prepare.split_facts(f)
+    assert [r.sub_label for r in ok.collect()] == ["s"]
+    assert {(r.sub_label, r.reason) for r in bad.collect()} == {("t", "no_evidences"), ("u", "no_evidences")}
+    d = spark.createDataFrame([(1, "neutral"), (2, None)], "ex_id long, label string")
+    assert prepare.require_label(d.filter("ex_id = 1")).first().label == "neutral"
+    with pytest.raises(Exception, match="Bad data"):
+        prepare.require_label(d).collect()
+
+
 def test_split_resolution(spark):
     from robustq.plans.q_sources import manifest_rows
     from robustq.sources.io import resolve_split
