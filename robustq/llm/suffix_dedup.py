@@ -11,7 +11,8 @@ all three steps are exact.
    run carries the hash of all bytes its windows cover. Rows: one per run, ~2 / (length - k)
    of the bytes.
 2. Runs are sorted by (anchor, run hash) and read as a stream. Runs of equal bytes repeat as a
-   whole: their bytes go, and one of them stands for all. If an anchor has runs of different
+   whole: their bytes go, and one of them stands for all (within a slice of texts before
+   anything is shuffled). If an anchor has runs of different
    bytes, one of each is doubtful.
 3. Prefix doubling on the windows of doubtful runs. Ranks of strings of ``length / 2**rounds``
    bytes start as hashes; each round pairs the ranks at p and p + offset, Spark sorts the
@@ -35,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -122,23 +124,42 @@ def _pieces(col: pa.Array, length: int) -> Iterator[tuple]:
             yield (part, np.array([r]), np.array([0]), np.array([len(part)]), np.array([at]))
 
 
-_RUN_SCHEMA = "id bigint, th int, lo int, n int, kh bigint, xh bigint"
+_RUN_SCHEMA = "id bigint, th int, lo int, n int, known boolean, kh bigint, xh bigint"
 
 
 def _anchor_runs(docs: DataFrame, length: int, k: int) -> DataFrame:
+    """Runs, pre-aggregated per slice of texts: runs of equal bytes within a slice are known to
+    repeat (``known``, dealt out by a hash of their place, since nothing is left to decide) and
+    send one run in their name. A string that a large share of all documents holds thus sends
+    one row per slice to its anchor's task, not one per occurrence."""
     names = [f.split()[0] for f in _RUN_SCHEMA.split(", ")]
 
     def run(batches):
         for rb in row_slices(batches, "text", SLICE_BYTES):
             ids, th = rb.column(0), rb.column(1)
+            parts = []
             for data, rows, st, en, at in _pieces(rb.column(2), length):
                 t, lo, n, kh, xh = _runs(data, st, en, length, k)
-                if len(t):
-                    row = pa.array(rows[t])
+                parts.append((rows[t], lo - st[t] + at[t], n, kh, xh))
+            if not parts:
+                continue
+            row, lo, n, kh, xh = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((xh, kh))
+            row, lo, n, kh, xh = row[order], lo[order], n[order], kh[order], xh[order]
+            first = np.ones(len(kh), bool)
+            first[1:] = (kh[1:] != kh[:-1]) | (xh[1:] != xh[:-1])
+            group = np.cumsum(first) - 1
+            many = np.bincount(group)[group] > 1
+            place = mix(row.astype(np.uint64) * np.uint64(BASE) + lo.astype(np.uint64) + kh)
+            for pick, known, key in ((np.flatnonzero(first), False, kh),
+                                     (np.flatnonzero(many), True, place)):
+                if len(pick):
+                    at = pa.array(row[pick])
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(row), th.take(row),
-                         pa.array(lo - st[t] + at[t], pa.int32()), pa.array(n, pa.int32()),
-                         pa.array(kh.view(np.int64)), pa.array(xh.view(np.int64))], names=names)
+                        [ids.take(at), th.take(at), pa.array(lo[pick], pa.int32()),
+                         pa.array(n[pick], pa.int32()), pa.array(np.full(len(pick), known)),
+                         pa.array(key[pick].view(np.int64)), pa.array(xh[pick].view(np.int64))],
+                        names=names)
     return docs.mapInArrow(run, _RUN_SCHEMA)
 
 
@@ -180,11 +201,26 @@ def _sorted_runs(runs: DataFrame) -> DataFrame:
     names = [f.split()[0] for f in _SORTED_SCHEMA.split(", ")]
     shuffle = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    def result(part, flag):
+        return pa.RecordBatch.from_arrays(
+            [*part.columns[:4], pa.array(np.full(part.num_rows, flag))], names=names)
+
+    def undecided(batches, known):
+        for rb in batches:
+            if rb.num_rows and rb.column(4)[rb.num_rows - 1].as_py():  # sorted: known ones last
+                known.append(rb.filter(rb.column(4)))
+                rb = rb.filter(pc.invert(rb.column(4)))
+            if rb.num_rows:
+                yield rb
+
     def run(batches):
         group = None     # anchor of the open group
         opener = None    # its first run, not yet known to be doubtful
-        for rb, same, after in _neighbours(batches, 2):
-            kh = rb.column(4).to_numpy()
+        known = []
+        for rb, same, after in _neighbours(undecided(batches, known), 2):
+            while known:
+                yield result(known.pop(), False)
+            kh = rb.column(5).to_numpy()
             start = np.ones(len(kh), bool)       # first row of an anchor
             start[1:] = kh[1:] != kh[:-1]
             start[0] = group is None or kh[0] != group
@@ -210,10 +246,11 @@ def _sorted_runs(runs: DataFrame) -> DataFrame:
             group = kh[-1]
             for part, flag in out:
                 if part.num_rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [*part.columns[:4], pa.array(np.full(part.num_rows, flag))], names=names)
+                    yield result(part, flag)
+        for part in known:
+            yield result(part, False)
 
-    ordered = runs.repartition(shuffle, "kh").sortWithinPartitions("kh", "xh")
+    ordered = runs.repartition(shuffle, "kh").sortWithinPartitions("known", "kh", "xh")
     return ordered.mapInArrow(run, _SORTED_SCHEMA)
 
 
