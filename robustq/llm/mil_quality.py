@@ -188,10 +188,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
         .where(F.length("__x").between(1, SAMPLE_CHARS))
     share = rated.agg(F.avg("__y").alias("s")).first()["s"]
     w = Window.partitionBy("__y").orderBy("__h", id_col)
-    # twice the size, since some of the chosen ids may have no text that fits
-    chosen = saved(rated.withColumn("__h", F.xxhash64(F.lit(10), F.col(id_col)))
-                   .withColumn("rn", F.row_number().over(w))
-                   .where(F.col("rn") <= 2 * SAMPLE_PER_CLASS).drop("rn"))
+    # twice the size, since some of the chosen ids may have no text that fits; each class is a
+    # top-n of its own (what a task keeps is bounded, whatever the share of the class)
+    rated = rated.withColumn("__h", F.xxhash64(F.lit(10), F.col(id_col)))
+    top = [rated.where(F.col("__y") == y).orderBy("__h", id_col).limit(2 * SAMPLE_PER_CLASS)
+           for y in (0, 1)]
+    chosen = saved(top[0].unionByName(top[1]))
     picked = texts.join(broadcast_if_bounded(chosen, 40), id_col) \
         .dropDuplicates([id_col])
     picked = picked.withColumn("rn", F.row_number().over(w)) \
