@@ -8,6 +8,7 @@ functions): no shuffle.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ DELETE_SIZES = (3, 5, 7)
 DELETE_REPS = 10
 REORDER_REPS = 10
 _BLOCK = 1 << 16  # permutation numbers per exploded array
+_TABLE_LEN = 4    # up to this length the permutations come from a literal table
 
 
 def positions(c: str | Column) -> Column:
@@ -112,11 +114,26 @@ def nth_permutation(col: str, index: Column) -> Column:
     return F.aggregate(positions(col), start, step, lambda acc: acc["out"])
 
 
+def _permutation_table() -> Column:
+    """Array by length (0 first) of all orders of range(n) but the identity, lexicographic."""
+    none = F.array().cast("array<array<int>>")
+    return F.array(none, none, *[
+        F.array(*[F.array(*[F.lit(i) for i in p]) for p in list(itertools.permutations(range(n)))[1:]])
+        for n in range(2, _TABLE_LEN + 1)])
+
+
 def reorder_all(df: DataFrame, col: str = "tokens") -> DataFrame:
     """Every order except the original (n! - 1 variants; 5 for 3 tokens). ``perm_id``
     numbers the permutations in lexicographic order from 1; each is built from its number, so
     no length is refused (n! rows come out as a stream, up to 20 tokens fit a 64-bit
     number)."""
+    # rows of a few tokens take their orders from a literal table, row-local and cheap
+    short = F.size(col) <= _TABLE_LEN
+    few = df.filter(short).select("*", F.posexplode(F.element_at(
+        _permutation_table(), F.size(col) + 1)).alias("_i", "_perm"))
+    few = few.withColumn("perm_id", (F.col("_i") + 1).cast("bigint")) \
+        .withColumn(col, F.transform("_perm", lambda p: F.get(F.col(col), p))).drop("_perm", "_i")
+    df = df.filter(~short)
     last = _factorial(F.size(col)) - 1
     ids = F.when(last > 0, F.sequence(F.lit(1).cast("bigint"), F.least(last, F.lit(_BLOCK)))) \
         .otherwise(F.array().cast("array<bigint>"))
@@ -126,8 +143,9 @@ def reorder_all(df: DataFrame, col: str = "tokens") -> DataFrame:
     d = df.select("*", F.explode(blocks).alias("_b")).select("*", F.explode(ids).alias("_i"))
     d = d.withColumn("perm_id", F.col("_b") * _BLOCK + F.col("_i")).filter(F.col("perm_id") <= last)
     d = d.withColumn("_perm", nth_permutation(col, F.col("perm_id")))
-    return d.withColumn(col, F.transform("_perm", lambda p: F.get(F.col(col), p))) \
+    many = d.withColumn(col, F.transform("_perm", lambda p: F.get(F.col(col), p))) \
         .drop("_perm", "_b", "_i")
+    return few.unionByName(many)
 
 
 def delete_subsets(df: DataFrame, col: str = "tokens") -> DataFrame:
@@ -136,7 +154,7 @@ def delete_subsets(df: DataFrame, col: str = "tokens") -> DataFrame:
     d = df.withColumn("_m", F.explode(F.when(F.size(col) > 0,
                                              F.sequence(F.lit(1), F.pow(F.lit(2), F.size(col)).cast("int") - 1))
                                       .otherwise(F.array().cast("array<int>"))))
-    bit = lambda i: F.col("_m").bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0
+    bit = lambda i: F.call_function("shiftright", F.col("_m"), i).bitwiseAND(F.lit(1)) != 0
     d = d.withColumn("_blank", F.filter(positions(col), bit))
     return (d.withColumn(col, F.transform(F.col(col), lambda t, i: F.when(bit(i), F.lit("")).otherwise(t)))
             .withColumn("del_idx", F.array_join(F.transform("_blank", lambda p: p.cast("string")), "-"))
