@@ -43,7 +43,7 @@ BYTE_CHAR = {b: chr(b) for b in _PRINT}
 BYTE_CHAR |= {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINT)}
 CHAR_BYTE = {c: b for b, c in BYTE_CHAR.items()}
 
-CACHE_ENTRIES = 200_000  # parameter: chunks per cache generation
+CACHE_ENTRIES = 150_000  # parameter: chunks per cache generation
 SEGMENT_CHARS = 1 << 19   # parameter: characters normalised and cut into chunks at a time
 SPACE = regex.compile(r"\s+")
 
