@@ -29,6 +29,7 @@ from robustq.llm.common import map_texts
 
 SAMPLE_CHARS = 32_768   # parameter: labelled characters per language
 SAMPLE_TEXTS = 64       # parameter: labelled texts looked at per language
+SALTS = 16              # parameter: shares a language's texts are ranked in first
 CLASSES = 96            # parameter: letter classes (more letters share classes)
 BLOCK = 512             # parameter: characters after which the parse restarts
 
@@ -137,11 +138,17 @@ def fit(docs: DataFrame, train: Column, lang: str = "lang", text: str = "text",
                        & (F.length(text) <= sample_chars) & (F.length(text) > 0))
             .select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"),
                     F.xxhash64(F.col(text)).alias("h")))
-    # hashes first: the texts of the chosen few are fetched by a second, filtered scan
+    # hashes first: the texts of the chosen few are fetched by a second, filtered scan. The
+    # first ones of a language are among the first ones of each of its ``SALTS`` shares, so no
+    # task meets more of a frequent language than its share
+    salt = F.pmod("h", F.lit(SALTS))
+    share = Window.partitionBy("lang", salt).orderBy("h")
     w = Window.partitionBy("lang").orderBy("h")
-    chosen = (rows.select("lang", "h").groupBy("lang", "h").count()
-              .withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= SAMPLE_TEXTS)
-              .select("lang", "h"))
+    chosen = rows.select("lang", "h").groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n"))
+    for part in (share, w):
+        chosen = (chosen.withColumn("rn", F.row_number().over(part))
+                  .where(F.col("rn") <= SAMPLE_TEXTS).drop("rn"))
+    chosen = chosen.select("lang", "h")
     picked = (rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h")
               .agg(F.min("text").alias("text")).collect())  # SAMPLE_TEXTS a language at most
     samples: dict[str, list[str]] = {}
