@@ -20,7 +20,7 @@ from robustq.session import ensure_checkpoint_dir
 # by a shuffle instead; both ways give the same rows.
 BROADCAST_BYTES = 48 << 20
 # Parameter: text bytes handled at a time inside a Python task (bounds its memory).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,16 +78,19 @@ def map_texts(df: DataFrame, text: str, carry: Sequence[str], out: Sequence[tupl
     name of a new one is replaced by it."""
     names = [n for n, _ in out]
     carry = [c for c in carry if c not in names]
-    cols = [F.col(f"`{c}`") for c in carry] + [F.col(f"`{text}`").cast("string").alias("__text")]
-    inp = df.select(*cols)
+    # a carried text is sent to the task once
+    own = text not in carry
+    cols = [F.col(f"`{c}`").cast("string").alias(c) if c == text else F.col(f"`{c}`") for c in carry]
+    inp = df.select(*cols, *([F.col(f"`{text}`").cast("string").alias("__text")] if own else []))
+    source = "__text" if own else text
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}"
-                        for f in inp.schema.fields[:-1]] + [f"`{n}` {t}" for n, t in out])
+                        for f in inp.schema.fields[:len(carry)]] + [f"`{n}` {t}" for n, t in out])
     probe = inp.select(*[F.lit(None).cast(t).alias(n) for n, t in out])
     types = [_arrow_type(f.dataType.simpleString()) for f in probe.schema.fields]
 
     def run(batches):
-        for rb in row_slices(batches, "__text"):
-            new = fn(rb.column(rb.num_columns - 1))
+        for rb in row_slices(batches, source):
+            new = fn(rb.column(rb.schema.get_field_index(source)))
             arrays = [rb.column(i) for i in range(len(carry))]
             arrays += [a if isinstance(a, pa.Array) else pa.array(a, t)
                        for a, t in zip(new, types)]
