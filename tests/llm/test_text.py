@@ -167,6 +167,68 @@ def test_conversation_rows_with_ties_and_nulls(spark):
     assert back[1]["turns_sha256"] == brute.sha("unknown\n\nuser\na\nuser\na\nuser\nb\n")
 
 
+def _fold(log):
+    """Final messages of one conversation's events, in order."""
+    slots = {}
+    for _, kind, slot, role, text in log:
+        last = max(slots, default=-1)
+        if slot is None:
+            slot = last + 1 if kind == "message" else max(last, 0)
+        if kind == "regenerate":
+            slots = {s: v for s, v in slots.items() if s < slot}
+        elif kind == "delta":
+            old = slots.get(slot, (role, ""))
+            slots[slot] = (old[0], old[1] + text)
+        else:
+            slots[slot] = (slots[slot][0] if kind == "edit" and slot in slots else role, text)
+    return [(i, *slots[s]) for i, s in enumerate(sorted(slots))]
+
+
+@pytest.mark.parametrize("given_slots", ["no", "all", "opens", "mixed"])
+def test_one_long_conversation_is_folded_in_many_tasks(spark, monkeypatch, given_slots):
+    monkeypatch.setattr(chat, "BLOCK", 8)
+    rnd, log = random.Random(given_slots), {}
+    for conv, n in ((1, 40), (2, 1500), (None, 300), (3, 60)):
+        log[conv] = []
+        for i in range(n):
+            cuts = given_slots != "opens" and rnd.random() < 0.03
+            kind = "regenerate" if cuts else rnd.choice(["message"] * 3 + ["delta", "delta", "edit"])
+            slot = rnd.randrange(-2 if given_slots == "mixed" else 0, 5 + i // 3)
+            if given_slots == "no" and not cuts or (given_slots != "all" and rnd.random() < 0.5):
+                slot = None
+            log[conv].append((i, kind, slot, rnd.choice(["user", "assistant"]), f"{i} "))
+    rows = [(c, *e) for c, es in log.items() for e in es]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id bigint, seq bigint, kind string, slot bigint, "
+                                     "role string, text string").repartition(7)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        got = chat.fold_log(df).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set(key, old)
+    for conv, events in log.items():
+        mine = sorted((r["turn"], r["role"], r["text"]) for r in got if r["conv_id"] == conv)
+        assert mine == _fold(events)
+    assert given_slots == "no" or len({r["task"] for r in got if r["conv_id"] == 2}) > 1
+
+
+def test_rows_of_one_long_conversation_are_folded_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 64)
+    df = spark.range(5000).selectExpr("1L as conv_id", "id as turn", "'user' as role",
+                                      "concat('t', id) as text")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        got = chat.format_conversations(df).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set(key, old)
+    assert sorted((r["turn"], r["text"]) for r in got) == [(i, f"t{i}") for i in range(5000)]
+    assert len({r["task"] for r in got}) > 1
+
+
 # -- language -----------------------------------------------------------------------
 def _parse(sample, seq):
     """Greedy longest matches, character by character."""
