@@ -17,7 +17,7 @@ from robustq.plans.registry import register
 # fixed values
 BSZ = 16                     # gradient batches
 CLASSES, DIMS = list(range(10)), 64   # of the vector table
-FIT_STEPS, RATE = 3, 1.0     # full-batch steps of the registered fits
+FIT_STEPS, RATE = 3, 1.0     # full-batch steps of the fits that have SQL
 N_CAND = 10                  # candidates per flip
 SPECIALS = fx.RESERVED
 
@@ -59,9 +59,18 @@ _G1 = [("g1x", "SELECT list_concat(list_transform(embedding, lambda v: CAST(v AS
            round(w[c + 1][{DIMS + 1}], 6) AS intercept
     FROM (SELECT w, unnest(range({len(CLASSES)})) AS c FROM g1_w{FIT_STEPS}) t""", _G1))
 def label_projection(spark, sf):
-    """G1: multinomial logistic regression from V8 vectors to their labels, by a set number of
-    full-batch gradient steps."""
-    w = se.fit_projection(fx.vectors(spark, sf), CLASSES, DIMS, FIT_STEPS, RATE)
+    """G1: multinomial logistic regression from V8 vectors to their labels, the first
+    ``FIT_STEPS`` full-batch gradient steps (what the SQL unrolls; see ``label_projection_full``)."""
+    return _projection(spark, sf, steps=FIT_STEPS)
+
+
+def label_projection_full(spark, sf):
+    """G1 with the operator's own number of steps; no SQL."""
+    return _projection(spark, sf)
+
+
+def _projection(spark, sf, **steps):
+    w = se.fit_projection(fx.vectors(spark, sf), CLASSES, DIMS, rate=RATE, **steps)
     return w.select("cls", F.transform("weights", lambda v: F.round(v, 6)).alias("weights"),
                     F.round("intercept", 6).alias("intercept"))
 
@@ -273,10 +282,24 @@ _PROBE = [SEQ, ("pool", """SELECT ex, list(m ORDER BY d) AS v FROM (
     FROM (SELECT split, y, list_transform(w, lambda c: list_sum(list_transform(range({DIMS + 1}),
                    lambda i: c[i + 1] * x[i + 1]))) AS lg FROM prb, g8_w{FIT_STEPS}) t GROUP BY split""", _PROBE))
 def linear_probe(spark, sf):
-    """Mean-pooled sequences -> logistic regression; train/dev correct counts."""
+    """Mean-pooled sequences -> logistic regression of ``FIT_STEPS`` steps (what the SQL
+    unrolls; see ``linear_probe_full``); train/dev correct counts."""
+    return _probe(spark, sf, steps=FIT_STEPS)
+
+
+def linear_probe_full(spark, sf):
+    """G8 with the operator's own number of steps; no SQL."""
+    return _probe(spark, sf)
+
+
+def _probe(spark, sf, **steps):
     seq = se.sequences(fx.vectors(spark, sf))
     labels = seq.filter(F.col("pos") == 0).select("ex", "label")
-    return se.linear_probe(se.mean_pool(seq), labels, CLASSES, DIMS, steps=FIT_STEPS, rate=RATE)
+    return se.linear_probe(se.mean_pool(seq), labels, CLASSES, DIMS, rate=RATE, **steps)
+
+
+# finished fits, without SQL (registered by the entry module)
+FULL_FITS = {f.__name__: f for f in (label_projection_full, linear_probe_full)}
 
 
 @register("mean_pool", with_views(["v8"], """

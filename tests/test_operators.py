@@ -263,6 +263,33 @@ def test_softmax_fit_lowers_the_loss(spark):
     assert one[0] == pytest.approx([-0.25, 0.25, 0.0]) and one[1] == pytest.approx([0.25, -0.25, 0.0])
 
 
+def test_full_fits_run_all_steps(spark, monkeypatch):
+    import inspect
+
+    import numpy as np
+
+    import __spark_entry__ as entry
+    from robustq.plans import fixtures as fx
+    from robustq.plans import q_search as qs
+    from tests.conftest import SF_SMALL
+    steps = inspect.signature(se.fit_projection).parameters["steps"].default
+    assert steps == inspect.signature(se.linear_probe).parameters["steps"].default > qs.FIT_STEPS
+    got = {r["cls"]: [*r["weights"], r["intercept"]]
+           for r in entry.queries()["label_projection_full"](spark, SF_SMALL).collect()}
+    rows = fx.vectors(spark, SF_SMALL).select("embedding", "label").collect()
+    x = np.array([[*r["embedding"], 1.0] for r in rows])
+    y = np.eye(len(qs.CLASSES))[[r["label"] for r in rows]]
+    w = np.zeros((len(qs.CLASSES), x.shape[1]))
+    for _ in range(steps):
+        e = np.exp(x @ w.T)
+        w -= qs.RATE * (e / e.sum(1, keepdims=True) - y).T @ x / len(x)
+    assert np.allclose([got[c] for c in qs.CLASSES], w, atol=2e-6)
+
+    ran, fit = [], se.fit_softmax
+    monkeypatch.setattr(se, "fit_softmax", lambda v, c, d, steps, *a: ran.append(steps) or fit(v, c, d, 1, *a))
+    assert entry.queries()["linear_probe_full"](spark, SF_SMALL).count() == 2 and ran == [steps]
+
+
 def test_factorised_equals_naive(spark):
     ex = spark.createDataFrame(
         [(i, f"alpha beta w{i % 3}", f"gamma w{i % 5}", ["entailment", "contradiction", "neutral"][i % 3])
