@@ -101,6 +101,23 @@ def test_bigrams_do_not_leave_a_text(spark):
     assert n == {1: 3, 2: 1, 3: 0}
 
 
+def test_buckets_grow_with_the_corpus(spark, monkeypatch):
+    assert [llr.bucket_count(n) for n in (0, 32 << 15, (32 << 15) + 1, 10 ** 9)] == \
+        [1 << 15, 1 << 15, 1 << 16, 1 << 25]
+    monkeypatch.setattr(llr, "BUCKETS", 16)
+    df = spark.createDataFrame([(i % 90, " ".join(f"w{i * j % 997}" for j in range(40)) if i else None)
+                                for i in range(100)], "doc_id bigint, text string")
+    good = df.where("doc_id % 3 = 0").select("doc_id")
+    seen = df.select(F.explode(llr.ngram_hashes(F.col("text")))).distinct().count()
+    table, buckets = llr.log_ratios(df, good)
+    assert 16 < buckets and 0.8 * seen <= 32 * buckets
+    one = sorted(map(str, llr.score(df, good).collect()))
+    monkeypatch.setattr(llr, "ARRAY_BYTES", 0)
+    assert sorted(map(str, llr.score(df, good).collect())) == one
+    monkeypatch.setattr(llr, "broadcast_if_bounded", lambda d, width: d)
+    assert sorted(map(str, llr.score(df, good).collect())) == one
+
+
 def test_quality_edge_cases(spark, edge):
     good = spark.createDataFrame([(1,), (1,), (None,)], "doc_id bigint")
     rows = llr.score(edge, good).collect()
