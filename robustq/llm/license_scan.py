@@ -92,8 +92,79 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("MPL-2.0", ("mpl2",)),
 ]
 
+# more known sentences and rules of the operator; the SQL twin has the ones above only
+_HOPE = ("This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+         "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.")
+_FREE = ("This {0} is free software{1} you can redistribute it and/or modify it under the terms of the "
+         "GNU {2} General Public License as published by the Free Software Foundation{3} either version "
+         "{4} of the License, or (at your option) any later version.")
+SPDX = ("Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "CC0-1.0", "CC-BY-4.0",
+        "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Unlicense", "0BSD",
+        *(f"{n}-{k}" for n in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
+          for k in ("only", "or-later")))
+MORE_SENTENCES: dict[str, str] = {
+    "apache2-asf": "The ASF licenses this file to You under the Apache License, Version 2.0 (the "
+                   "\"License\"); you may not use this file except in compliance with the License.",
+    "apache2-url-https": "https://www.apache.org/licenses/LICENSE-2.0",
+    "bsd-source": "Redistributions of source code must retain the above copyright notice, this list "
+                  "of conditions and the following disclaimer.",
+    "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this "
+                  "list of conditions and the following disclaimer in the documentation and/or other "
+                  "materials provided with the distribution.",
+    "bsd-names": "Neither the name of the copyright holder nor the names of its contributors may be "
+                 "used to endorse or promote products derived from this software without specific "
+                 "prior written permission.",
+    "bsd-asis": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY "
+                "EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES "
+                "OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "lgpl21-free": _FREE.format("library", ";", "Lesser", ";", "2.1"),
+    "lgpl3-free": _FREE.format("program", ":", "Lesser", ",", "3"),
+    "lgpl-hope": _HOPE.format("library"),
+    "lgpl-see": "See the GNU Lesser General Public License for more details.",
+    "agpl-free": _FREE.format("program", ":", "Affero", ",", "3"),
+    "agpl-see": "See the GNU Affero General Public License for more details.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose "
+                 "with or without fee is hereby granted, provided that the above copyright notice and "
+                 "this permission notice appear in all copies.",
+    "isc-asis": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD "
+                "TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "cc0-grant": "To the extent possible under law, the author(s) have dedicated all copyright and "
+                 "related and neighboring rights to this software to the public domain worldwide.",
+    "cc0-short": "Licensed under CC0 1.0.",
+    **{f"spdx-{i}": f"SPDX-License-Identifier: {i}" for i in SPDX},
+}
+MORE_RULES: list[tuple[str, tuple[str, ...]]] = [
+    *(("Apache-2.0", (g, "apache2-copy", u, "apache2-asis", "apache2-see")[:n])
+      for n in (5, 4, 3) for g, u in (("apache2-grant", "apache2-url-https"),
+                                      ("apache2-asf", "apache2-url"),
+                                      ("apache2-asf", "apache2-url-https"))),
+    ("Apache-2.0", ("apache2-asf",)),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-asis")),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-asis")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("LGPL-2.1-or-later", ("lgpl21-free", "lgpl-hope", "lgpl-see")),
+    ("LGPL-3.0-or-later", ("lgpl3-free", "gpl-hope", "lgpl-see")),
+    ("AGPL-3.0-or-later", ("agpl-free", "gpl-hope", "agpl-see")),
+    ("LGPL-2.1-or-later", ("lgpl21-free",)),
+    ("LGPL-3.0-or-later", ("lgpl3-free",)),
+    ("AGPL-3.0-or-later", ("agpl-free",)),
+    ("ISC", ("isc-grant", "isc-asis")),
+    ("ISC", ("isc-grant",)),
+    ("CC0-1.0", ("cc0-grant",)),
+    ("CC0-1.0", ("cc0-short",)),
+    *((i, (f"spdx-{i}",)) for i in SPDX),
+]
+ALL_SENTENCES = {**SENTENCES, **MORE_SENTENCES}
+ALL_RULES = [*RULES, *MORE_RULES]
+
 # fixed values: how sentences are cut and normalised (valid for Java and RE2 alike)
 LEADER = r"(^|\n)[ \t\x0B\f\r]*(//+|--+|[*#;]+)?[ \t\x0B\f\r]*"  # white space and comment marks
+# not in the SQL twin: marks that open and close a block comment on the line of a sentence (the
+# closing one ends it), and SPDX lines, which end with their line
+SPDX_LINE = r"(SPDX-License-Identifier:[^\n]*)\n"
+OPENS = r"(^|\n)[ \t\x0B\f\r]*(/\*+|<!--+)"
+CLOSES = r"[ \t\x0B\f\r]*(\*+/|--+>)[ \t\x0B\f\r]*(\n|$)"
 CUT = r"([.!?][ \n]|:\n)"         # after a full stop, or a colon at the end of a line
 SPACES = r"[ \t\x0B\f\r]+"
 PARAGRAPH = r" ?\n ?\n[ \n]*"
@@ -115,6 +186,11 @@ def normalise(sentence: str) -> str:
 
 def _sentences(text: Column) -> Column:
     """Array of normalised sentences; line breaks inside them are kept as \\n."""
+    text = F.when(F.contains(text, F.lit("/*")) | F.contains(text, F.lit("*/")) | F.contains(text, F.lit("<!--"))
+                  | F.contains(text, F.lit("-->")),
+                  F.regexp_replace(F.regexp_replace(text, OPENS, "$1"), CLOSES, "\n\n")).otherwise(text)
+    text = F.when(F.contains(text, F.lit("SPDX-License-Identifier:")),
+                  F.regexp_replace(text, SPDX_LINE, "$1\n\n")).otherwise(text)
     s = F.translate(F.lower(F.regexp_replace(text, LEADER, "\n")), DROP, "")
     s = F.regexp_replace(F.regexp_replace(s, SPACES, " "), PARAGRAPH, _BREAK)
     s = F.regexp_replace(s, LINES, "\n")
@@ -157,8 +233,8 @@ def apply_rules(sequence: Column, rules: Sequence[tuple[str, tuple[str, ...]]])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
-         sentences: Mapping[str, str] = SENTENCES,
-         rules: Sequence[tuple[str, tuple[str, ...]]] = RULES) -> DataFrame:
+         sentences: Mapping[str, str] = ALL_SENTENCES,
+         rules: Sequence[tuple[str, tuple[str, ...]]] = ALL_RULES) -> DataFrame:
     """One row per document row: id, n_sentences (known ones), sentence_ids (in text order),
     licences (sorted distinct), unmatched (identifiers that no rule took, in order)."""
     none = F.array().cast("array<string>")

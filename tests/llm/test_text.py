@@ -61,6 +61,23 @@ import x"""
     assert got[7] == (["cc-by-nc4"] * 2, ["CC-BY-NC-4.0"], [])
 
 
+def test_one_text_of_each_licence(spark):
+    k = lic.ALL_SENTENCES
+    want = {tuple(ids): licence for licence, ids in lic.ALL_RULES}
+    texts = ["Some words.\n" + "\n\n".join(k[i] for i in ids) + "\n\nOther words." for ids in want]
+    more = [("/* Released under the MIT License. */\nint x;", ["MIT"]),
+            ("<!-- SPDX-License-Identifier: BSD-3-Clause -->\n<p>", ["BSD-3-Clause"]),
+            ("#!/bin/sh\n# SPDX-License-Identifier: MIT\nset -e", ["MIT"]),
+            ("/* SPDX-License-Identifier: GPL-2.0-only */", ["GPL-2.0-only"]),
+            ("/*\n * " + k["apache2-asf"] + "\n * " + k["apache2-copy"] + "\n *\n *   "
+             + k["apache2-url-https"] + "\n *\n * " + k["apache2-asis"] + "\n */", ["Apache-2.0"]),
+            ("Copyright (c) X\n\n" + k["bsd-grant"] + "\n\n1. " + k["bsd-source"] + "\n2. " + k["bsd-binary"]
+             + "\n3. " + k["bsd-names"] + "\n\n" + k["bsd-asis"] + " IN NO EVENT", ["BSD-3-Clause"])]
+    df = spark.createDataFrame(list(enumerate(texts + [t for t, _ in more])), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in lic.scan(df).collect()}
+    for i, licences in enumerate([[v] for v in want.values()] + [v for _, v in more]):
+        assert (got[i]["licences"], got[i]["unmatched"]) == (licences, []), texts[i] if i < len(texts) else more
+
 def test_licence_edge_cases(edge):
     assert lic.scan(edge).count() == edge.count()
     assert lic.scan(edge.limit(0)).count() == 0
