@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from robustq.llm import bpe_stream as _bpe
 from robustq.llm import chat_format as _chat
 from robustq.llm import decontaminate as _decon
+from robustq.llm import fim as _fim
 from robustq.llm import language_id as _lang
 from robustq.llm import license_scan as _licence
 from robustq.llm import line_dedup as _lines
@@ -200,3 +201,38 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _mil.score(docs, model, carry=["doc_id"])
     return d.select("doc_id", F.coalesce(part_of(5) == 0, F.lit(False)).alias("held_out"),
                     "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _fim.fill_in_middle(documents(spark, sf_dir).select("doc_id", "text"), carry=["doc_id"])
+    return d.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                    _sha("output").alias("output_sha256"),
+                    _sha(_fim.restore()).alias("restored_sha256"))
+
+
+ORACLE["op11_fill_in_middle"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS h,
+         regexp_extract_all(coalesce(text, ''),
+           '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+  FROM documents),
+g AS (
+  SELECT *, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+         ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+  FROM d),
+p AS (
+  SELECT doc_id, t, n,
+         array_to_string(u[1:least(h1 % (n + 1), h2 % (n + 1))], '') AS a,
+         array_to_string(u[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') AS b,
+         array_to_string(u[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:n], '') AS c,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM g)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a)::BIGINT END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(b)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b
+                        ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
