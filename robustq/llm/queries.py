@@ -13,6 +13,7 @@ from robustq.llm import language_id as _lang
 from robustq.llm import license_scan as _licence
 from robustq.llm import line_dedup as _lines
 from robustq.llm import mil_quality as _mil
+from robustq.llm import packing as _packing
 from robustq.llm import quality_llr as _llr
 from robustq.llm import simhash_dedup as _simhash
 from robustq.llm import suffix_dedup as _suffix
@@ -236,3 +237,10 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a)::BIGINT END AS
        sha256(t) AS restored_sha256
 FROM p
 """
+
+
+@_query
+def op13_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.json")
+    return _packing.pack(documents(spark, sf_dir), lambda: _packing.library_encoder(path),
+                         with_ids=False)
