@@ -17,6 +17,7 @@ from robustq.llm import packing as _packing
 from robustq.llm import quality_llr as _llr
 from robustq.llm import simhash_dedup as _simhash
 from robustq.llm import suffix_dedup as _suffix
+from robustq.llm import vector_codes as _codes
 from robustq.llm.common import documents
 
 QUERIES: dict = {}
@@ -244,3 +245,50 @@ def op13_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
     return _packing.pack(documents(spark, sf_dir), lambda: _packing.library_encoder(path),
                          with_ids=False)
+
+
+@_query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = _codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    d = _codes.with_label_error(coded)
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return d.select(F.col("id").alias("vec_id"), code.alias("code"), "error", "label_error",
+                    F.lit(_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
+def _vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds unrolled over (vector, part, position) rows."""
+    ctes = [f"""k AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 4096) AS BIGINT)) AS x,
+         len(embedding) // {parts} AS w, row_number() OVER (ORDER BY vec_id) AS r
+  FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+            """p AS MATERIALIZED (
+  SELECT vec_id, r, (i - 1) // w AS part, (i - 1) % w AS pos, x
+  FROM (SELECT vec_id, r, w, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM k) t)""",
+            f"b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, pos, x AS y FROM p WHERE r <= {entries})"]
+    for t in range(rounds + 1):
+        ctes.append(f"""a{t} AS MATERIALIZED (
+  SELECT vec_id, part, min(d * {entries} + entry)::BIGINT AS m
+  FROM (SELECT vec_id, part, entry, sum((x - y) * (x - y))::BIGINT AS d
+        FROM p JOIN b{t} USING (part, pos) GROUP BY vec_id, part, entry) t GROUP BY vec_id, part)""")
+        if t < rounds:
+            ctes.append(f"""b{t + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.pos, coalesce((s.s - ((s.s % s.n) + s.n) % s.n) // s.n, b.y)::BIGINT AS y
+  FROM b{t} b LEFT JOIN (
+    SELECT p.part, m % {entries} AS entry, pos, sum(x)::BIGINT AS s, count(*) AS n
+    FROM p JOIN a{t} USING (vec_id, part) GROUP BY p.part, m % {entries}, pos) s
+  USING (part, entry, pos))""")
+    return "WITH " + ",\n".join(ctes) + f""",
+c AS (
+  SELECT vec_id, string_agg(printf('%02x', m % {entries}), '' ORDER BY part) AS code,
+         sum(m // {entries})::BIGINT AS error
+  FROM a{rounds} GROUP BY vec_id),
+l AS (SELECT k.label, sum(error)::BIGINT AS label_error FROM c JOIN k USING (vec_id) GROUP BY k.label)
+SELECT c.vec_id, c.code, c.error, l.label_error,
+       (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM b{rounds})
+         AS codebooks_sha256
+FROM c JOIN k USING (vec_id) JOIN l ON l.label IS NOT DISTINCT FROM k.label"""
+
+
+ORACLE["op12_vector_codes"] = _vector_codes_sql()
