@@ -14,6 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from robustq.functions.bind import bind
+from robustq.functions.text import words
+
 # fixed values
 DELETE_SIZES = (3, 5, 7)
 DELETE_REPS = 10
@@ -35,6 +38,13 @@ def _hash_in(key: Sequence[str], *extra) -> Column:
     return F.md5(F.concat_ws(":", *parts))
 
 
+def _drawn_order(col: str | Column, key: Sequence[str], *extra) -> Column:
+    """Positions of an array in the order of their md5 draws. ``sort_array`` compares the structs
+    in compiled code; a lambda comparator would cost more than the hashes."""
+    drawn = F.transform(positions(col), lambda p: F.struct(_hash_in(key, *extra, p).alias("h"), p.alias("p")))
+    return F.transform(F.sort_array(drawn), lambda s: s["p"])
+
+
 def drop_positions(col: str, drop: Column) -> Column:
     """Tokens whose 0-based position is not in the int array ``drop`` (order kept)."""
     return F.filter(F.col(col), lambda t, i: ~F.array_contains(drop, i))
@@ -57,15 +67,14 @@ def delete_random(df: DataFrame, col: str = "tokens", key: Sequence[str] = ("see
     tokens: the variant is empty and n_del says how many were there."""
     d = (df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
          .withColumn("n_del", F.explode(F.array(*[F.lit(n) for n in ns]))))
-    order = F.transform(
-        F.array_sort(F.transform(positions(col), lambda p: F.struct(
-            _hash_in(key, F.col("rep"), F.col("n_del"), p).alias("h"), p.alias("p")))),
-        lambda s: s["p"])
-    d = d.withColumn("_drawn", F.slice(order, 1, F.col("n_del")))
-    return (d.withColumn(col, drop_positions(col, F.col("_drawn")))
-            .withColumn("del_idx", F.array_join(F.transform("_drawn", lambda p: p.cast("string")), "-"))
-            .withColumn("n_del", F.size("_drawn"))
-            .drop("_drawn"))
+    # the draws are used three times: bound, so that they are made once whatever is merged
+    d = d.withColumn("_v", bind(
+        F.slice(_drawn_order(col, key, F.col("rep"), F.col("n_del")), 1, F.col("n_del")),
+        lambda drawn: F.struct(drop_positions(col, drawn).alias("tokens"),
+                               F.array_join(F.transform(drawn, lambda p: p.cast("string")), "-").alias("idx"),
+                               F.size(drawn).alias("n"))))
+    return (d.withColumn(col, F.col("_v.tokens")).withColumn("del_idx", F.col("_v.idx"))
+            .withColumn("n_del", F.col("_v.n")).drop("_v"))
 
 
 def deletion_grid(df: DataFrame, col: str = "tokens", key: Sequence[str] = ("seed",),
@@ -83,11 +92,7 @@ def reorder_random(df: DataFrame, col: str = "tokens", key: Sequence[str] = ("se
                    reps: int = REORDER_REPS) -> DataFrame:
     """``reps`` hash-random permutations per row (identity and repeats allowed)."""
     d = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    perm = F.transform(
-        F.array_sort(F.transform(positions(col), lambda p: F.struct(
-            _hash_in(key, F.col("rep"), p).alias("h"), p.alias("p")))),
-        lambda s: s["p"])
-    return d.withColumn("_perm", perm) \
+    return d.withColumn("_perm", _drawn_order(col, key, F.col("rep"))) \
         .withColumn(col, F.transform("_perm", lambda p: F.get(F.col(col), p))) \
         .drop("_perm")
 
@@ -122,56 +127,62 @@ def _permutation_table() -> Column:
         for n in range(2, _TABLE_LEN + 1)])
 
 
+def _numbered(df: DataFrame, last: Column, out: str) -> DataFrame:
+    """``df`` with one row per number 1..``last`` (bigint; none below 1) in ``out``. Numbers come
+    in blocks, so that no row holds an array of all of them."""
+    none = F.array().cast("array<bigint>")
+    d = df.withColumn("_last", last)
+    blocks = F.when(F.col("_last") > 0, F.sequence(
+        F.lit(0).cast("bigint"), F.floor((F.col("_last") - 1) / _BLOCK).cast("bigint"))).otherwise(none)
+    d = d.select("*", F.explode(blocks).alias("_b"))
+    d = d.select("*", F.explode(F.sequence(
+        F.col("_b") * _BLOCK + 1, F.least((F.col("_b") + 1) * _BLOCK, F.col("_last")))).alias(out))
+    return d.drop("_b", "_last")
+
+
 def reorder_all(df: DataFrame, col: str = "tokens") -> DataFrame:
     """Every order except the original (n! - 1 variants; 5 for 3 tokens). ``perm_id``
     numbers the permutations in lexicographic order from 1; each is built from its number, so
-    no length is refused (n! rows come out as a stream, up to 20 tokens fit a 64-bit
-    number)."""
-    # rows of a few tokens take their orders from a literal table, row-local and cheap
-    short = F.size(col) <= _TABLE_LEN
-    few = df.filter(short).select("*", F.posexplode(F.element_at(
-        _permutation_table(), F.size(col) + 1)).alias("_i", "_perm"))
-    few = few.withColumn("perm_id", (F.col("_i") + 1).cast("bigint")) \
-        .withColumn(col, F.transform("_perm", lambda p: F.get(F.col(col), p))).drop("_perm", "_i")
-    df = df.filter(~short)
-    last = _factorial(F.size(col)) - 1
-    ids = F.when(last > 0, F.sequence(F.lit(1).cast("bigint"), F.least(last, F.lit(_BLOCK)))) \
-        .otherwise(F.array().cast("array<bigint>"))
-    # numbers come in blocks, so that no row holds an array of n! numbers
-    blocks = F.when(last > 0, F.sequence(F.lit(0).cast("bigint"), F.floor((last - 1) / _BLOCK).cast("bigint"))) \
-        .otherwise(F.array().cast("array<bigint>"))
-    d = df.select("*", F.explode(blocks).alias("_b")).select("*", F.explode(ids).alias("_i"))
-    d = d.withColumn("perm_id", F.col("_b") * _BLOCK + F.col("_i")).filter(F.col("perm_id") <= last)
-    d = d.withColumn("_perm", nth_permutation(col, F.col("perm_id")))
-    many = d.withColumn(col, F.transform("_perm", lambda p: F.get(F.col(col), p))) \
-        .drop("_perm", "_b", "_i")
-    return few.unionByName(many)
+    the rows come out as a stream. A row of more than 20 tokens, whose number of orders exceeds
+    64 bits, fails the job."""
+    n = F.size(col)
+    last = F.when(n > 20, F.raise_error(F.lit("reorder_all: more than 20 tokens in a row")).cast("bigint")) \
+        .otherwise(_factorial(n) - 1)
+    d = _numbered(df, last, "perm_id")
+    # rows of a few tokens take their orders from a literal table, the others from the number
+    perm = F.when(n <= _TABLE_LEN, F.get(F.element_at(_permutation_table(), n + 1),
+                                         (F.col("perm_id") - 1).cast("int"))) \
+        .otherwise(nth_permutation(col, F.col("perm_id")))
+    return d.withColumn("_perm", perm) \
+        .withColumn(col, F.transform("_perm", lambda p: F.get(F.col(col), p))).drop("_perm")
 
 
 def delete_subsets(df: DataFrame, col: str = "tokens") -> DataFrame:
     """Every non-empty subset of positions blanked (token -> ''; the slot stays), 2^n - 1
-    variants. del_idx = blanked positions ascending, joined by '-'."""
-    d = df.withColumn("_m", F.explode(F.when(F.size(col) > 0,
-                                             F.sequence(F.lit(1), F.pow(F.lit(2), F.size(col)).cast("int") - 1))
-                                      .otherwise(F.array().cast("array<int>"))))
+    variants. del_idx = blanked positions ascending, joined by '-'. The subsets are numbered by
+    64-bit masks; a row of more than 62 tokens fails the job."""
+    n = F.size(col)
+    last = F.when(n > 62, F.raise_error(F.lit("delete_subsets: more than 62 tokens in a row")).cast("bigint")) \
+        .otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.greatest(n, F.lit(0))) - 1)
+    d = _numbered(df, last, "_m")
     bit = lambda i: F.call_function("shiftright", F.col("_m"), i).bitwiseAND(F.lit(1)) != 0
-    d = d.withColumn("_blank", F.filter(positions(col), bit))
+    d = d.withColumn("_v", bind(F.filter(positions(col), bit), lambda blank: F.struct(
+        F.array_join(F.transform(blank, lambda p: p.cast("string")), "-").alias("idx"),
+        F.size(blank).alias("n"))))
     return (d.withColumn(col, F.transform(F.col(col), lambda t, i: F.when(bit(i), F.lit("")).otherwise(t)))
-            .withColumn("del_idx", F.array_join(F.transform("_blank", lambda p: p.cast("string")), "-"))
-            .withColumn("n_del", F.size("_blank"))
-            .drop("_m", "_blank"))
+            .withColumn("del_idx", F.col("_v.idx")).withColumn("n_del", F.col("_v.n"))
+            .drop("_m", "_v"))
 
 
 def chunk_tokens(df: DataFrame, text_col: str, size: int, out: str = "tokens") -> DataFrame:
     """Cut the whole word sequence of ``text_col`` into consecutive ``size``-word chunks
-    (the last one may be shorter); adds ``chunk`` (0-based) and ``out``."""
-    from robustq.functions.text import words
-    w = words(text_col)
-    n_chunks = F.floor((F.size(w) + (size - 1)) / size).cast("int")
-    chunks = F.transform(F.when(n_chunks > 0, F.sequence(F.lit(0), n_chunks - 1))
-                         .otherwise(F.array().cast("array<int>")),
-                         lambda c: F.slice(w, c * size + 1, size))
-    return df.select("*", F.posexplode(chunks).alias("chunk", out))
+    (the last one may be shorter); adds ``chunk`` (0-based) and ``out``. The words are split
+    once a row, whatever the number of chunks."""
+    def cut(w: Column) -> Column:
+        n = F.floor((F.size(w) + (size - 1)) / size).cast("int")
+        return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")),
+                           lambda c: F.slice(w, c * size + 1, size))
+    return df.select("*", F.posexplode(bind(words(text_col), cut)).alias("chunk", out))
 
 
 def pair_perturbed(orig: DataFrame, pert: DataFrame, on: Sequence[str], label: str = "label") -> DataFrame:

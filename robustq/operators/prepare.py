@@ -72,7 +72,7 @@ def split_facts(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def require_label(df: DataFrame, col: str = "label") -> DataFrame:
     """A null label is fatal: the job fails when such a row is read."""
-    bad = F.raise_error(F.concat(F.lit("Bad data: null label in "), F.to_json(F.struct(*df.columns))))
+    bad = F.raise_error(F.concat(F.lit("a row has no label: "), F.to_json(F.struct(*df.columns))))
     return df.withColumn(col, F.when(F.col(col).isNull(), bad).otherwise(F.col(col)).cast("string"))
 
 
@@ -190,15 +190,39 @@ def build_vocab(df: DataFrame, col: str = "text") -> DataFrame:
     return pos.select("token", (F.col("_p") + len(SPECIAL_IDS)).alias("token_id"), "freq")
 
 
-def encode_tokens(df: DataFrame, col: str, vocab: DataFrame, key: str = "ex_id", out: str = "ids") -> DataFrame:
-    """Words of ``col`` -> ids (unknown -> <unk>), in position order. The vocabulary grows
-    with the data, so the join is left to AQE (broadcast only when it is small)."""
-    e = df.select(key, F.posexplode_outer(words(col)).alias("pos", "token"))  # keeps word-less rows
-    j = e.join(vocab.select("token", "token_id"), "token", "left")
+HOT_SHARE = 1e-4  # parameter: share of all occurrences from which a word is looked up by broadcast
+
+
+def encode_tokens(df: DataFrame, col: str, vocab: DataFrame, key: str | Sequence[str] = "ex_id",
+                  out: str = "ids") -> DataFrame:
+    """Words of ``col`` -> ids (unknown -> <unk>), in position order; one row per input row, rows
+    that repeat a key included (they are told apart by their place in the scan, ``_row``, or by
+    the caller's own column of that name, which is then returned, too).
+
+    The vocabulary grows with the data, so the lookup is a join by word. Words that make up
+    ``HOT_SHARE`` of the vocabulary's occurrences or more, of which there can be 1 / ``HOT_SHARE``
+    at most, are looked up by broadcast first and take no part in the shuffle by word."""
+    keys = [key] if isinstance(key, str) else list(key)
+    own = "_row" in df.columns
+    d = df if own else df.withColumn("_row", F.monotonically_increasing_id())
+    e = d.select("_row", *keys, F.posexplode_outer(words(col)).alias("pos", "token"))  # keeps word-less rows
+    ids = vocab.select("token", F.col("token_id").alias("_cold"))
+    if "freq" in vocab.columns:
+        total = vocab.agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("n")).first()["n"]
+        hot = vocab.filter(F.col("freq") > F.lit(float(total) * HOT_SHARE)) \
+            .select(F.col("token").alias("_t"), F.col("token_id").alias("_hot"))
+        e = e.join(F.broadcast(hot), F.col("token") == F.col("_t"), "left").drop("_t")  # < 1 / HOT_SHARE rows
+        # found words go on under keys that match nothing and spread them evenly
+        away = F.concat(F.lit("\n"), F.pmod(F.xxhash64("_row", "pos"), F.lit(1 << 16)).cast("string"))
+        e = e.withColumn("token", F.when(F.col("_hot").isNull() & F.col("token").isNotNull(), F.col("token"))
+                         .otherwise(away))
+    else:
+        e = e.withColumn("_hot", F.lit(None).cast("bigint"))
+    j = e.join(ids, "token", "left")
     entry = F.when(F.col("pos").isNotNull(), F.struct(
-        "pos", F.coalesce(F.col("token_id"), F.lit(UNK_ID).cast("bigint")).alias("id")))
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_s"))  # NULLs are skipped
-    return g.select(key, F.transform("_s", lambda s: s["id"]).alias(out))
+        "pos", F.coalesce("_hot", "_cold", F.lit(UNK_ID).cast("bigint")).alias("id")))
+    g = j.groupBy("_row", *keys).agg(F.sort_array(F.collect_list(entry)).alias("_s"))  # NULLs are skipped
+    return g.select(*(["_row"] if own else []), *keys, F.transform("_s", lambda s: s["id"]).alias(out))
 
 
 # -- B11 ----------------------------------------------------------------------------

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from robustq.functions.bind import bind, bind2
+
 # fixed values
 AP_TEMPLATE = "<s> {sentence_A} [P] [T] {sentence_B} </s>"
 SLOT = "[T]"
@@ -29,19 +31,25 @@ def expand_slots(template, n) -> Column:
                      F.array_join(F.array_repeat(F.lit(SLOT), _c(n).cast("int")), " "))
 
 
+def _interleave(parts: Column, values: Column, missing) -> Column:
+    """parts[0] values[0] parts[1] values[1] ... parts[n]: the literal parts of a template around
+    its values; ``missing`` where there are fewer values than gaps. Both arrays are bound."""
+    def fill(ps: Column, vs: Column) -> Column:
+        n = F.size(ps)
+        return F.array_join(F.transform(ps, lambda p, i: F.concat(p, F.when(
+            i < n - 1, F.coalesce(F.get(vs, i), F.lit(missing))).otherwise(F.lit("")))), "")
+    return bind2(parts, values, fill)
+
+
 def fill_slots(template, tokens) -> Column:
     """Fill ``[T]`` slots left to right with ``tokens``; surplus tokens are ignored,
     surplus slots stay ``[T]``. Tokens are inserted literally (never re-scanned)."""
-    parts = F.split(_c(template), re.escape(SLOT), -1)
-    n = F.size(parts)
-    return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(
-        F.element_at(parts, i),
-        F.when(i < n, F.coalesce(F.try_element_at(_c(tokens), i), F.lit(SLOT))).otherwise(F.lit("")))), "")
+    return _interleave(F.split(_c(template), re.escape(SLOT), -1), _c(tokens), SLOT)
 
 
 def fill_prompt(template, tokens) -> Column:
     """C1 as used by the AP experiments: expand the slot to len(tokens), then fill."""
-    return fill_slots(expand_slots(template, F.size(_c(tokens))), tokens)
+    return bind(_c(tokens), lambda t: fill_slots(expand_slots(template, F.size(t)), t))
 
 
 def render_pairs(df: DataFrame, template: str, fields: dict[str, str] | None = None,
@@ -77,10 +85,7 @@ def render_manual(filled_template, text_a: str = "sentence_a", text_b: str = "se
                                  F.lit(r'\{"(?:placeholder":"(text_[ab])"|(mask)")\}'), 0)
     val = F.transform(kinds, lambda k: F.when(k.contains("text_b"), F.col(text_b))
                       .when(k.contains("text_a"), F.col(text_a)).otherwise(F.lit(MASK)))
-    n = F.size(parts)
-    return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(
-        F.element_at(parts, i),
-        F.when(i < n, F.coalesce(F.try_element_at(val, i), F.lit(""))).otherwise(F.lit("")))), "")
+    return _interleave(parts, val, "")
 
 
 def render_fields(template, fields: dict[str, str]) -> Column:
@@ -92,7 +97,4 @@ def render_fields(template, fields: dict[str, str]) -> Column:
     kinds = F.regexp_extract_all(t, F.lit("(" + alt + ")"), 1)
     val = F.transform(kinds, lambda k: F.coalesce(*[F.when(k == "{" + name + "}", F.col(c)) for name, c in fields.items()],
                                                   F.lit("")))
-    n = F.size(parts)
-    return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(
-        F.element_at(parts, i),
-        F.when(i < n, F.coalesce(F.try_element_at(val, i), F.lit(""))).otherwise(F.lit("")))), "")
+    return _interleave(parts, val, "")

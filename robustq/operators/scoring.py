@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from robustq.functions.bind import bind
 from robustq.functions.hashing import hkey
 from robustq.functions.text import split_pieces, words
 
@@ -238,24 +239,38 @@ def label_token_ids(n_labels: int = 10) -> Column:
     return F.array(*[F.array(*[F.lit(t) for t in ts]) for ts in owned])
 
 
+def log_sum_exp(values: Column) -> Column:
+    """ln of the sum of exponentials of an array, shifted by its maximum."""
+    return bind(values, lambda v: bind(F.array_max(v), lambda mx: mx + F.log(
+        F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.exp(x - mx)))))
+
+
+def _losses_of(labels: Column) -> Column:
+    """Losses (in order) of the token lists ``labels`` for the logits in ``embedding``: the logits
+    and their normaliser are evaluated once a row."""
+    logits = F.transform("embedding", lambda x: x.cast("double"))
+
+    def loss(lg: Column, lse: Column) -> Column:
+        return F.transform(labels, lambda toks: -log_sum_exp(F.transform(
+            toks, lambda t: F.when(t == 0, F.lit(MASKED)).otherwise(F.get(lg, t) - lse))))
+    return bind(logits, lambda lg: bind(log_sum_exp(lg), lambda lse: loss(lg, lse)))
+
+
 def class_losses(vectors: DataFrame, n_labels: int = 10) -> DataFrame:
     """(vec_id, gold, losses array<double>): E1 per class, row-local. The loss of a class is
     -logsumexp over its tokens of log_softmax(logits); the normaliser runs over all logits,
     and token 0 (the pad label) is masked to -1e32 only among the class's own tokens."""
-    lg = F.transform("embedding", lambda x: x.cast("double"))
-
-    def from_logits(lg: Column) -> Column:
-        mx = F.array_max(lg)
-        lse = mx + F.log(F.aggregate(lg, F.lit(0.0), lambda acc, x: acc + F.exp(x - mx)))
+    return vectors.select("vec_id", F.col("label").alias("gold"),
+                          _losses_of(label_token_ids(n_labels)).alias("losses"))
 
-        def loss(toks: Column) -> Column:
-            lp = F.transform(toks, lambda t: F.when(t == 0, F.lit(MASKED)).otherwise(F.get(lg, t) - lse))
-            m = F.array_max(lp)
-            return -(m + F.log(F.aggregate(lp, F.lit(0.0), lambda acc, x: acc + F.exp(x - m))))
-        return F.transform(label_token_ids(n_labels), loss)
 
-    return vectors.select("vec_id", F.col("label").alias("gold"),
-                          F.get(F.transform(F.array(lg), from_logits), 0).alias("losses"))
+def gold_losses(vectors: DataFrame, n_labels: int = 10) -> DataFrame:
+    """(vec_id, gold, cls, loss): E1 for the gold class only (rows whose gold class is not one
+    of the labels have no loss and are left out)."""
+    gold = F.array(F.get(label_token_ids(n_labels), F.col("label").cast("int")))
+    d = vectors.filter(F.col("label").between(0, n_labels - 1))
+    return d.select("vec_id", F.col("label").alias("gold"), F.col("label").cast("int").alias("cls"),
+                    F.get(_losses_of(gold), 0).alias("loss"))
 
 
 def label_loss(vectors: DataFrame, n_labels: int = 10) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from robustq.functions.bind import bind
 from robustq.functions.hashing import hkey, hnum
 
 
@@ -39,35 +40,52 @@ def _array(values) -> Column:
 
 def softmax(logits: Column) -> Column:
     """Softmax of an array (shifted by its maximum)."""
-    def scaled(lg: Column) -> Column:
-        e = F.transform(lg, lambda x: F.exp(x - F.array_max(lg)))
-        return F.transform(F.array(e), lambda v: F.transform(
-            v, lambda x: x / F.aggregate(v, F.lit(0.0), lambda a, y: a + y)))[0]
-    return F.transform(F.array(logits), scaled)[0]
+    def shifted(lg: Column) -> Column:
+        return bind(F.array_max(lg), lambda mx: F.transform(lg, lambda x: F.exp(x - mx)))
+
+    def shares(e: Column) -> Column:
+        return bind(F.aggregate(e, F.lit(0.0), lambda a, y: a + y),
+                    lambda total: F.transform(e, lambda x: x / total))
+    return bind(logits, lambda lg: bind(shifted(lg), shares))
 
 
 def fit_softmax(vectors: DataFrame, classes: Sequence[int], dims: int, steps: int, rate: float,
                 label: str = "label", emb: str = "embedding") -> list[list[float]]:
     """Multinomial logistic regression by ``steps`` full-batch gradient steps from zero:
-    classes x (dims + 1) numbers, the intercept last. Each step is one aggregation over all
-    rows (one partial sum per dimension and task); what reaches the driver is the gradient,
-    whose size is that of the model."""
-    k = len(classes)
-    weights = [[0.0] * (dims + 1) for _ in classes]
+    classes x (dims + 1) numbers, the intercept last. The rows are written once; each step is
+    one pass over them in Arrow batches, a partial gradient per task, and what reaches the driver
+    is the gradient, whose size is that of the model. Rows of other labels count as no class."""
+    import numpy as np
+    import pyarrow as pa
+
+    from robustq.functions.materialize import materialize
+    from robustq.operators.training import softmax_rows
+    k, width = len(classes), dims + 1
     x = F.concat(F.transform(F.col(emb), lambda v: v.cast("double")), F.array(F.lit(1.0)))
-    data = vectors.select(x.alias("x"), F.col(label).alias("y"))
+    data = materialize(vectors.select(x.alias("x"), F.col(label).alias("y")))
     n = data.count()
+    weights = np.zeros((k, width))
+
+    def gradient(w):
+        def run(batches):
+            total = np.zeros((k, width))
+            for rb in batches:
+                rows = np.asarray(rb.column(0).flatten()).reshape(rb.num_rows, -1)
+                y = np.array(rb.column(1).to_pylist(), dtype=object)
+                p = softmax_rows(rows @ w.T)
+                for i, c in enumerate(classes):
+                    p[:, i] -= y == c
+                total += p.T @ rows
+            yield pa.RecordBatch.from_arrays([pa.array(range(k * width), pa.int32()), pa.array(total.ravel())],
+                                             names=["at", "g"])
+        got = data.mapInArrow(run, "at int, g double").groupBy("at").agg(F.sum("g").alias("g")).collect()
+        out = np.zeros(k * width)
+        out[[r["at"] for r in got]] = [r["g"] for r in got]
+        return out.reshape(k, width)
+
     for _ in range(steps if n else 0):
-        lits = F.array(*[_array(w) for w in weights])
-        prob = softmax(F.transform(lits, lambda w: dot(w, F.col("x"))))
-        d = data.select("x", "y", prob.alias("p")).select("y", "p", F.posexplode("x").alias("d", "v"))
-        grad = d.groupBy("d").agg(*[
-            F.sum((F.get("p", i) - F.when(F.col("y") == c, 1.0).otherwise(0.0)) * F.col("v")).alias(f"g{i}")
-            for i, c in enumerate(classes)]).collect()
-        for r in grad:
-            for i in range(k):
-                weights[i][r["d"]] -= rate * r[f"g{i}"] / n
-    return weights
+        weights = weights - rate * gradient(weights) / n
+    return weights.tolist()
 
 
 def fit_projection(vectors: DataFrame, classes: Sequence[int], dims: int, steps: int = 100,
@@ -79,6 +97,17 @@ def fit_projection(vectors: DataFrame, classes: Sequence[int], dims: int, steps:
     return vectors.sparkSession.createDataFrame(rows, "cls int, weights array<double>, intercept double")
 
 
+def train_projection(vectors: DataFrame, classes: Sequence, dims: int, epochs: int, batch: int = 32,
+                     rate: float = 1e-2, label: str = "label", emb: str = "embedding", key: str = "vec_id",
+                     state_dir: str | None = None) -> DataFrame:
+    """G1 in mini-batches (:func:`robustq.operators.training.train_softmax`): the projection after
+    ``epochs`` epochs as (cls, weights array<double>, intercept double) rows."""
+    from robustq.operators.training import train_softmax
+    t = train_softmax(vectors, classes, dims, epochs, batch, rate, key=key, x=emb, y=label, state_dir=state_dir)
+    rows = [(int(c), w[:-1], w[-1]) for c, w in zip(classes, t.weights.tolist())]
+    return vectors.sparkSession.createDataFrame(rows, "cls int, weights array<double>, intercept double")
+
+
 # -- G2 -----------------------------------------------------------------------------
 def top_label_tokens(weights: DataFrame, vectors: DataFrame, k: int = 50, w_col: str = "centroid",
                      id_col: str = "vec_id", emb: str = "embedding") -> DataFrame:
@@ -189,23 +218,51 @@ def mean_pool(seq: DataFrame, emb: str = "embedding", skip_first: bool = True) -
 
 
 # -- G8 -----------------------------------------------------------------------------
+def pooled_rows(seq: DataFrame, dims: int, emb: str = "embedding") -> DataFrame:
+    """(ex, v, label): the mean vector of each sequence without its first token, and the label of
+    position 0, by one aggregation (no explode)."""
+    rest = F.col("pos") > 0
+    means = [F.avg(F.when(rest, F.get(F.col(emb), j).cast("double"))).alias(f"m{j}") for j in range(dims)]
+    d = seq.groupBy("ex").agg(F.max(F.when(F.col("pos") == 0, F.col("label"))).alias("label"), *means)
+    return d.where(F.col("label").isNotNull() & F.col("m0").isNotNull()) \
+        .select("ex", F.array(*[F.col(f"m{j}") for j in range(dims)]).alias("v"), "label")
+
+
+def _probe_split(rows: DataFrame, dev_fraction_mod: int, seed: int) -> DataFrame:
+    from robustq.functions.materialize import materialize
+    split = F.when(hnum(F.lit(str(seed)), "ex") % dev_fraction_mod == 0, "dev").otherwise("train")
+    return materialize(rows.withColumn("split", split))
+
+
+def _probe_counts(d: DataFrame, classes: Sequence[int], weights) -> DataFrame:
+    from robustq.operators.training import predicted_class
+    pred = F.get(F.array(*[F.lit(int(c)) for c in classes]), predicted_class(weights, "v"))
+    return (d.withColumn("ok", (pred == F.col("label")).cast("int"))
+            .groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("ok").alias("n_correct")))
+
+
 def linear_probe(pooled: DataFrame, labels: DataFrame, classes: Sequence[int], dims: int,
                  dev_fraction_mod: int = 5, seed: int = 0, steps: int = 100, rate: float = 1.0) -> DataFrame:
     """Frozen mean-pooled vectors -> multinomial logistic regression (:func:`fit_softmax`);
     (split, n, n_correct) on train and dev (dev = hash bucket 0 of ``dev_fraction_mod``)."""
-    from robustq.functions.materialize import materialize
     vec = pooled.groupBy("ex").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "value"))),
                                                lambda s: s["value"]).alias("v"))  # one vector per example
-    d = vec.join(labels, "ex").select("ex", "v", "label")
-    split = F.when(hnum(F.lit(str(seed)), "ex") % dev_fraction_mod == 0, "dev").otherwise("train")
-    d = materialize(d.withColumn("split", split))
+    d = _probe_split(vec.join(labels, "ex").select("ex", "v", "label"), dev_fraction_mod, seed)
     w = fit_softmax(d.filter(F.col("split") == "train"), classes, dims, steps, rate, "label", "v")
-    x = F.concat(F.col("v"), F.array(F.lit(1.0)))
-    logits = F.transform(F.array(*[_array(r) for r in w]), lambda r: dot(r, x))
-    pred = F.get(F.array(*[F.lit(int(c)) for c in classes]),
-                 (F.array_position("lg", F.array_max("lg")) - 1).cast("int"))
-    return (d.withColumn("lg", logits).withColumn("ok", (pred == F.col("label")).cast("int"))
-            .groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("ok").alias("n_correct")))
+    return _probe_counts(d, classes, w)
+
+
+def train_probe(rows: DataFrame, classes: Sequence[int], dims: int, epochs: int, batch: int = 32,
+                rate: float = 1e-2, decay: float = 1e-6, dev_fraction_mod: int = 5, seed: int = 0,
+                state_dir: str | None = None) -> DataFrame:
+    """G8 in mini-batches with weight decay: the weights of the epoch with the strictly best dev
+    accuracy; (split, n, n_correct) as :func:`linear_probe`."""
+    from robustq.operators.training import train_softmax
+    d = _probe_split(rows, dev_fraction_mod, seed)
+    train, dev = (d.filter(F.col("split") == s) for s in ("train", "dev"))
+    t = train_softmax(train, classes, dims, epochs, batch, rate, decay, dev, key="ex", x="v", y="label",
+                      state_dir=state_dir)
+    return _probe_counts(d, classes, t.best)
 
 
 # -- G7 -----------------------------------------------------------------------------
@@ -219,43 +276,64 @@ def search_space(fitted, allowed: DataFrame, seeds: Sequence[int], k: int) -> Da
     return known.unionByName(rest, allowMissingColumns=True).select("token", *[f"w_{s}" for s in seeds])
 
 
-def gradient_candidates(space: DataFrame, push: dict[int, list[int]], priors: dict[int, list[int]],
+def gradient_candidates(space: DataFrame, push: dict[int, list], priors: dict[int, list[int]],
                         k: int) -> DataFrame:
     """Per seed the k tokens with the largest first-order gain (seed, cand_rank, token).
 
-    The additive score of class y grows with w(token, y) at the flipped slot, so the gain is
-    the sum over classes of ``push`` (examples of the class minus examples predicted as it, at
-    the current trigger) times the token's weight; unseen tokens weigh the prior. Integer
-    sums; ties go to the smaller token."""
+    The additive score of class y grows with w(token, y) at the flipped slot, so the gain is the
+    sum over classes of ``push`` (minus the loss gradient of the class score at the current
+    trigger, :func:`loss_push`) times the token's weight; unseen tokens weigh the prior. Ties go
+    to the smaller token."""
     rows = []
     for s, g in sorted(push.items()):
         w = F.coalesce(F.col(f"w_{s}"), F.array(*[F.lit(x).cast("bigint") for x in priors[s]]))
-        gain = sum((F.get(w, i) * F.lit(g[i]) for i in range(1, len(g))), F.get(w, 0) * F.lit(g[0]))
-        rows.append(F.struct(F.lit(s).alias("seed"), gain.cast("bigint").alias("gain")))
+        term = lambda i: F.get(w, i).cast("double") * F.lit(float(g[i]))
+        gain = term(0)
+        for i in range(1, len(g)):
+            gain = gain + term(i)
+        rows.append(F.struct(F.lit(s).alias("seed"), gain.alias("gain")))
     d = space.select("token", F.explode(F.array(*rows)).alias("r")).select("token", "r.seed", "r.gain")
     w = Window.partitionBy("seed").orderBy(F.col("gain").desc(), F.col("token"))
     return (d.withColumn("cand_rank", F.row_number().over(w)).filter(F.col("cand_rank") <= k)
             .select("seed", "cand_rank", "token"))
 
 
+def loss_push(score: Column, gold: Column, n_labels: int, scale: float) -> Column:
+    """Minus the cross-entropy gradient of one example's class scores, 1[gold = y] - softmax(score
+    / scale)_y, in whole millionths, so that sums do not depend on their order."""
+    p = softmax(F.transform(score, lambda x: x / F.lit(scale)))
+    return F.transform(p, lambda x, i: F.when(gold == i, F.lit(1_000_000)).otherwise(F.lit(0)).cast("bigint")
+                       - F.round(x * 1_000_000).cast("bigint"))
+
+
+def flip_slot(seed: int, iteration: int, n: int) -> int:
+    """:func:`slot_for` on the driver."""
+    import hashlib
+    return int(hashlib.md5(f"{seed}:{iteration}".encode()).hexdigest()[:15], 16) % n
+
+
 def greedy_search(train: DataFrame, dev: DataFrame, triggers: DataFrame, allowed: DataFrame,
                   iters: int, scorer=None, n_tokens: int = 10, k: int = 10,
                   mask: str = "<mask>") -> DataFrame:
     """Greedy trigger search; the loop is on the driver, every step is Spark jobs.
 
-    Per iteration and seed: rank the allowed vocabulary by first-order gain at one hash-chosen
-    slot (:func:`gradient_candidates`), score the k best against the current trigger on the
-    training rows, accept the best only if strictly better; keep a trigger as best only if its
-    dev accuracy strictly improves. The first accepted flip always becomes best (the initial
-    dev metric is logged, not compared), and a trigger that still holds ``mask`` never does,
-    as in the reference.
+    Per iteration and seed: rank the allowed vocabulary by the loss gradient at one hash-chosen
+    slot (:func:`loss_push`, :func:`gradient_candidates`), score the k best against the current
+    trigger on the training rows, accept the best only if strictly better; keep a trigger as best
+    only if its dev accuracy strictly improves. The first accepted flip always becomes best (the
+    initial dev metric is logged, not compared), and a trigger that still holds ``mask`` never
+    does, as in the reference.
+
+    Candidates depend on the trigger and the slot alone, so a slot that was tried since the last
+    accepted flip cannot succeed: its iteration is logged without a job, and once all slots were
+    tried the rest of the search is known. The result is that of all ``iters`` iterations.
 
     Dev rows are scored in the same job as the training rows: dev accuracy depends only on the
     trigger, so the log is that of a separate dev evaluation after each accepted flip. What
     reaches the driver per step is one row per (seed, candidate). Example scores of both
     splits are written once, so lineage stays short."""
     from robustq.functions.materialize import materialize
-    from robustq.operators.scoring import AdditiveScorer, class_id, predict_from_scores
+    from robustq.operators.scoring import SCALE, AdditiveScorer, class_id, predict_from_scores
     scorer = scorer or AdditiveScorer()
     spark = train.sparkSession
     fitted = scorer.fit(train)
@@ -266,43 +344,65 @@ def greedy_search(train: DataFrame, dev: DataFrame, triggers: DataFrame, allowed
     space = materialize(search_space(fitted, allowed, scorer.seeds, k))
     current = {r["seed"]: list(r["tokens"]) for r in triggers.select("seed", "tokens").collect()}
     is_dev = F.col("split") == "dev"
+    right = F.col("correct").cast("int")
+    counts = [F.sum(F.when(~is_dev, right).otherwise(0)).alias("n_correct"),
+              (F.sum(F.when(is_dev, right).otherwise(0)) / (F.sum(is_dev.cast("int")) + F.lit(1e-13))).alias("dev_acc")]
 
-    def step(it: int, cands: list[tuple]) -> dict[int, list]:
-        """One job: the counts of the current trigger (rank 0) and of every candidate."""
-        trig = spark.createDataFrame(sorted(current.items()), "seed int, tokens array<string>")
+    def grid(it: int, seeds: list[int], cands: list[tuple]) -> DataFrame:
+        trig = spark.createDataFrame([(s, current[s]) for s in seeds], "seed int, tokens array<string>")
         cand = spark.createDataFrame(cands, "seed int, cand_rank int, token string")
         var = candidate_variants(trig, cand, it, n_tokens)
-        p = predict_from_scores(scorer.grid_from(scores, var, fitted, n_variants=len(current) + len(cands)))
-        c = F.col("correct").cast("int")
-        push = [F.sum(F.when(~is_dev, (class_id(F.col("gold"), scorer.labels) == i).cast("int")
-                             - (class_id(F.col("pred"), scorer.labels) == i).cast("int")).otherwise(0)).alias(f"g{i}")
-                for i in range(n_labels)]
+        return scorer.grid_from(scores, var, fitted, n_variants=len(seeds) + len(cands))
+
+    def assess(seeds: list[int]) -> dict:
+        """Counts and gradient of the current triggers, one job."""
+        g = grid(0, seeds, []).withColumn("push", loss_push(
+            F.col("score"), class_id(F.col("gold"), scorer.labels), n_labels, float(SCALE)))
+        push = [F.sum(F.when(~is_dev, F.get("push", i)).otherwise(0)).alias(f"g{i}") for i in range(n_labels)]
+        got = predict_from_scores(g).groupBy("seed").agg(*counts, *push).collect()
+        return {r["seed"]: r for r in got}
+
+    def ranked(states: dict) -> dict[int, list[tuple]]:
+        push = {s: [r[f"g{i}"] for i in range(n_labels)] for s, r in states.items()}
+        out: dict[int, list[tuple]] = {s: [] for s in push}
+        for r in gradient_candidates(space, push, fitted.priors, k).collect() if push else []:
+            out[r["seed"]].append((r["seed"], r["cand_rank"], r["token"]))
+        return out
+
+    def step(it: int, seeds: list[int]) -> dict[int, list]:
+        """One job: the counts of the current trigger (rank 0) and of every candidate."""
+        p = predict_from_scores(grid(it, seeds, [c for s in seeds for c in cands[s]]))
         out: dict[int, list] = {}
-        for r in p.groupBy("seed", "slot", "cand_rank", "token").agg(
-                F.sum(F.when(~is_dev, c).otherwise(0)).alias("n_correct"),
-                (F.sum(F.when(is_dev, c).otherwise(0)) / (F.sum(is_dev.cast("int")) + F.lit(1e-13)))
-                .alias("dev_acc"), *push).collect():
+        for r in p.groupBy("seed", "slot", "cand_rank", "token").agg(*counts).collect():
             out.setdefault(r["seed"], []).append(r)
         return {s: sorted(rs, key=lambda r: r["cand_rank"]) for s, rs in out.items()}
 
-    first = {s: rs[0] for s, rs in step(0, []).items()}
+    first = assess(sorted(current))
     log = [(s, -1, None, None, None, None, round(r["dev_acc"], 6), False) for s, r in sorted(first.items())]
-    push = {s: [r[f"g{i}"] for i in range(n_labels)] for s, r in first.items()}
-    best: dict[int, float | None] = {s: None for s in current}
+    cands = ranked(first)
+    best: dict[int, float | None] = {s: None for s in first}
+    tried: dict[int, set[int]] = {s: set() for s in first}
     for it in range(iters):
-        ranked = [tuple(r) for r in gradient_candidates(space, push, fitted.priors, k).collect()] if push else []
-        for s, rs in sorted(step(it, ranked).items()):
-            cur, others = rs[0], rs[1:]
+        slots = {s: flip_slot(s, it, n_tokens) for s in sorted(first)}
+        todo = [s for s, slot in slots.items() if slot not in tried[s]]
+        got = step(it, todo) if todo else {}
+        changed = []
+        for s, slot in slots.items():
+            tried[s].add(slot)
+            cur, *others = got.get(s) or [None]
             top = max(others, key=lambda r: (r["n_correct"], -r["cand_rank"]), default=None)
             if top is None or top["n_correct"] <= cur["n_correct"]:
-                log.append((s, it, cur["slot"], None, None, None, None, False))
+                log.append((s, it, slot, None, None, None, None, False))
                 continue
-            current[s][cur["slot"]] = top["token"]
-            push[s] = [top[f"g{i}"] for i in range(n_labels)]
+            current[s][slot] = top["token"]
+            changed.append(s)
+            tried[s] = set()
             improved = mask not in current[s] and (best[s] is None or top["dev_acc"] > best[s])
             if improved:
                 best[s] = top["dev_acc"]
-            log.append((s, it, cur["slot"], top["token"], int(cur["n_correct"]), int(top["n_correct"]),
+            log.append((s, it, slot, top["token"], int(cur["n_correct"]), int(top["n_correct"]),
                         round(top["dev_acc"], 6), improved))
+        if changed:
+            cands.update(ranked(assess(changed)))
     return spark.createDataFrame(log, "seed int, iter int, slot int, token string, cur_correct int, "
                                       "new_correct int, dev_acc double, new_best boolean")

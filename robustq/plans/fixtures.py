@@ -57,10 +57,12 @@ def docs_pairs(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataF
     return spread(out, source=scan)
 
 
-def docs_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V1t: (ex_id, text), the whole normalised text of every document."""
+def docs_texts(spark: SparkSession, sf_dir: str, rows: bool = False) -> DataFrame:
+    """V1t: (ex_id, text), the whole normalised text of every document. ``rows``: with ``_row``,
+    the row's place in the scan, which tells rows of one id apart."""
     scan = table(spark, sf_dir, "documents")
-    return spread(scan.select(F.col("doc_id").alias("ex_id"),
+    own = [F.monotonically_increasing_id().alias("_row")] if rows else []
+    return spread(scan.select(F.col("doc_id").alias("ex_id"), *own,
                               normalize(F.coalesce("text", F.lit(""))).alias("text")), source=scan)
 
 

@@ -156,15 +156,15 @@ def truncate_head(spark, sf):
 def batch_pad(spark, sf):
     """Encoded whole texts in hash-shuffled batches of 32, padded to the batch maximum."""
     from robustq.functions.materialize import concurrently
-    v1 = fx.docs_texts(spark, sf)
-    # the batch order depends on ex_id only: number the ids while the vocabulary is
-    # numbered (independent jobs), then join the positions to the encoded rows
-    ids = v1.select("ex_id", hkey(F.lit("0"), "ex_id").alias("_h"))
+    v1 = fx.docs_texts(spark, sf, rows=True)
+    # the batch order depends on the ids (and the rows of one id) only: number them while the
+    # vocabulary is numbered (independent jobs), then join the positions to the encoded rows
+    ids = v1.select("ex_id", "_row", hkey(F.lit("0"), "ex_id").alias("_h"))
     voc, pos = concurrently(lambda: fx.vocab(spark, sf),
-                            lambda: global_position(ids, ["_h", "ex_id"], "_p"))
+                            lambda: global_position(ids, ["_h", "ex_id", "_row"], "_p"))
     enc = pr.encode_tokens(v1, "text", voc)
-    b = (enc.join(pos.select("ex_id", "_p"), "ex_id")
-         .withColumn("batch", F.floor(F.col("_p") / 32).cast("int")).drop("_p"))
+    b = (enc.join(pos.select("_row", "_p"), "_row")
+         .withColumn("batch", F.floor(F.col("_p") / 32).cast("int")).drop("_p", "_row"))
     return pr.pad_batches(b, "ids", ["batch"]).select("batch", "ex_id", "ids", "attention_mask")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from robustq.functions.hashing import sql_hkey, sql_hnum
+from robustq.operators import gradient as gr
 from robustq.operators import prepare as pr
 from robustq.operators import search as se
 from robustq.operators.scoring import AdditiveScorer, label_token_ids, predict_from_scores
@@ -17,16 +18,53 @@ from robustq.plans.registry import register
 # fixed values
 BSZ = 16                     # gradient batches
 CLASSES, DIMS = list(range(10)), 64   # of the vector table
-FIT_STEPS, RATE = 3, 1.0     # full-batch steps of the fits that have SQL
+FIT_STEPS, RATE = 3, 1.0     # full-batch steps that the SQL of the tests unrolls
+EPOCHS = 100                 # epochs of the mini-batch fits
 N_CAND = 10                  # candidates per flip
 SPECIALS = fx.RESERVED
 
 SEQ = ("seq", "SELECT vec_id, embedding, label, vec_id // 10 AS ex, CAST(vec_id % 10 AS INTEGER) AS pos FROM v8")
-GRAD = ("grad", f"""SELECT CAST(pos AS INTEGER) AS slot, CAST(d AS INTEGER) AS d, sum(CAST(x AS DOUBLE))
+SUMS = ("sums", f"""SELECT CAST(pos AS INTEGER) AS slot, CAST(d AS INTEGER) AS d, sum(CAST(x AS DOUBLE))
            / (SELECT greatest(1, ceil(count(DISTINCT ex) / {BSZ})) FROM seq) AS g
     FROM (SELECT pos, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS d FROM seq) t GROUP BY pos, d""")
 
 
+CENT = ("cent", """SELECT cls, list(m ORDER BY d) AS centroid FROM (
+        SELECT label AS cls, d, avg(CAST(x AS DOUBLE)) AS m FROM (
+          SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS d FROM v8) t
+        GROUP BY label, d) u GROUP BY cls""")
+_GATE = f"(1 + 0.5 * cos(CAST(pos * (d + 1) AS DOUBLE))) / {fx.TRIGGER_LEN}"
+GRAD = [SEQ, CENT,
+        ("gp", f"""SELECT ex, list(s ORDER BY d) AS pooled FROM (
+            SELECT ex, d, sum(CAST(x AS DOUBLE) * {_GATE}) AS s FROM (
+              SELECT ex, pos, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS d FROM seq) t
+            GROUP BY ex, d) u GROUP BY ex"""),
+        ("gb", f"""SELECT ex, batch, count(*) OVER (PARTITION BY batch) AS size, max(batch) OVER () + 1 AS steps
+            FROM (SELECT ex, (row_number() OVER (ORDER BY {sql_hkey("'0'", 'ex')}, ex) - 1) // {BSZ} AS batch FROM gp) t"""),
+        ("gl", """SELECT ex, cls, centroid, exp(lg - max(lg) OVER (PARTITION BY ex)) AS e FROM (
+            SELECT p.ex, c.cls, c.centroid, list_sum(list_transform(range(len(p.pooled)),
+              lambda i: c.centroid[i + 1] * p.pooled[i + 1])) AS lg FROM gp p CROSS JOIN cent c) t"""),
+        ("gv", """SELECT d, sum(r * x) AS v FROM (
+            SELECT l.ex, unnest(l.centroid) AS x, generate_subscripts(l.centroid, 1) - 1 AS d,
+                   (l.share - CASE WHEN l.cls = s.label THEN 1 ELSE 0 END) / b.size / b.steps AS r
+            FROM (SELECT ex, cls, centroid, e / sum(e) OVER (PARTITION BY ex) AS share FROM gl) l
+            JOIN seq s ON s.ex = l.ex AND s.pos = 0 JOIN gb b ON b.ex = l.ex) t GROUP BY d"""),
+        ("grad", f"""SELECT CAST(pos AS INTEGER) AS slot, CAST(d AS INTEGER) AS d, v * {_GATE} AS g
+            FROM gv CROSS JOIN (SELECT unnest(range({fx.TRIGGER_LEN})) AS pos) s""")]
+
+
+def slot_gradients(spark, sf):
+    """The loss gradient per slot of the V8 sequences under a fixed model: gates of the fixture,
+    class centroids as weights."""
+    import numpy as np
+    v = fx.vectors(spark, sf)
+    cent = sorted((r["cls"], r["centroid"]) for r in se.class_centroids(v).collect())
+    gates = gr.wave_gates(fx.TRIGGER_LEN, DIMS)
+    model = gr.SlotModel(np.array([c for _, c in cent]), gates, np.zeros(len(cent)), tuple(c for c, _ in cent))
+    pooled = gr.pool_sequences(se.sequences(v), gates)
+    return gr.slot_gradients(gr.batch_weights(pooled, BSZ), model)
+
+
 def _softmax_fit(p: str, src: str) -> list[tuple[str, str]]:
     """CTEs of ``FIT_STEPS`` unrolled gradient steps over ``src`` (id, x[], y); the last one,
     ``{p}_w{FIT_STEPS}``, has one row with w, a list of class weight lists."""
@@ -54,23 +92,31 @@ _G1 = [("g1x", "SELECT list_concat(list_transform(embedding, lambda v: CAST(v AS
                "label AS y FROM v8"), *_softmax_fit("g1", "g1x")]
 
 
-@register("label_projection", with_views(["v8"], f"""
+PROJECTION_SQL = with_views(["v8"], f"""
     SELECT CAST(c AS INTEGER) AS cls, list_transform(list_slice(w[c + 1], 1, {DIMS}), lambda v: round(v, 6)) AS weights,
            round(w[c + 1][{DIMS + 1}], 6) AS intercept
-    FROM (SELECT w, unnest(range({len(CLASSES)})) AS c FROM g1_w{FIT_STEPS}) t""", _G1))
+    FROM (SELECT w, unnest(range({len(CLASSES)})) AS c FROM g1_w{FIT_STEPS}) t""", _G1)
+
+
+@register("label_projection")
 def label_projection(spark, sf):
-    """G1: multinomial logistic regression from V8 vectors to their labels, the first
-    ``FIT_STEPS`` full-batch gradient steps (what the SQL unrolls; see ``label_projection_full``)."""
-    return _projection(spark, sf, steps=FIT_STEPS)
+    """G1: multinomial logistic regression from V8 vectors to their labels, trained in mini-batches
+    to the end (``EPOCHS`` epochs of Adam). No SQL; the first full-batch steps are tested
+    against ``PROJECTION_SQL``."""
+    w = se.train_projection(fx.vectors(spark, sf), CLASSES, DIMS, EPOCHS)
+    return _rounded(w)
 
 
 def label_projection_full(spark, sf):
-    """G1 with the operator's own number of steps; no SQL."""
-    return _projection(spark, sf)
+    """G1 by full-batch steps, the operator's own number of them; no SQL."""
+    return projection_steps(spark, sf)
 
 
-def _projection(spark, sf, **steps):
-    w = se.fit_projection(fx.vectors(spark, sf), CLASSES, DIMS, rate=RATE, **steps)
+def projection_steps(spark, sf, **steps):
+    return _rounded(se.fit_projection(fx.vectors(spark, sf), CLASSES, DIMS, rate=RATE, **steps))
+
+
+def _rounded(w):
     return w.select("cls", F.transform("weights", lambda v: F.round(v, 6)).alias("weights"),
                     F.round("intercept", 6).alias("intercept"))
 
@@ -83,37 +129,60 @@ def _projection(spark, sf, **steps):
                      list_sum(list_transform(range(len(c.centroid)), lambda i: c.centroid[i + 1] * CAST(v.embedding[i + 1] AS DOUBLE))) AS logit
               FROM v8 v CROSS JOIN cent c) a0) a) b) c
     WHERE rank <= 50""",
-    [("cent", """SELECT cls, list(m ORDER BY d) AS centroid FROM (
-        SELECT label AS cls, d, avg(CAST(x AS DOUBLE)) AS m FROM (
-          SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS d FROM v8) t
-        GROUP BY label, d) u GROUP BY cls""")]))
+    [CENT]))
 def label_tokens_topk(spark, sf):
     """Class-centroid weights; per class the 50 tokens with the largest softmax score."""
     v = fx.vectors(spark, sf)
     return se.top_label_tokens(se.class_centroids(v), v, k=50).withColumn("score", F.round("score", 6))
 
 
-@register("mean_slot_gradient", with_views(["v8"], "SELECT slot, d, round(g, 6) AS g FROM grad", [SEQ, GRAD]))
+@register("mean_slot_gradient", with_views(["v8"], "SELECT slot, d, round(g, 6) AS g FROM grad", GRAD))
 def mean_slot_gradient(spark, sf):
-    """Per-slot vector sums over all batches of 16 sequences, divided by their number."""
+    """The loss gradient at every slot, the mean of each batch of 16 sequences summed over all
+    batches and divided by their number."""
+    return slot_gradients(spark, sf).withColumn("g", F.round("g", 6))
+
+
+@register("mean_slot_vectors", with_views(["v8"], "SELECT slot, d, round(g, 6) AS g FROM sums", [SEQ, SUMS]))
+def mean_slot_vectors(spark, sf):
+    """Per-slot vector sums over all batches of 16 sequences, divided by their number."""
     return se.mean_slot(se.sequences(fx.vectors(spark, sf)), BSZ).withColumn("g", F.round("g", 6))
 
 
+_EXCLUDED_SQL = f"(list_contains(flatten({OWNED_SQL}), vec_id) OR vec_id IN (0, 1, 2, 3, 4))"
+
+
+def excluded():
+    """Rows of V8 that stand for label and special tokens."""
+    return F.array_contains(F.array_union(F.flatten(label_token_ids()), F.sequence(F.lit(0), F.lit(4))),
+                            F.col("vec_id").cast("int"))
+
+
 @register("hotflip_topk", with_views(["v8"], f"""
     SELECT CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, round(score, 6) AS score
     FROM (SELECT e.vec_id, -sum(CAST(e.x AS DOUBLE) * g.g) AS score
           FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS d FROM v8
-                WHERE vec_id NOT IN (SELECT unnest(flatten({OWNED_SQL}))) AND vec_id NOT IN (0, 1, 2, 3, 4)) e
+                WHERE NOT {_EXCLUDED_SQL}) e
           JOIN grad g ON g.d = e.d AND g.slot = 0 GROUP BY e.vec_id) t
-    ORDER BY score DESC, vec_id LIMIT {N_CAND}""", [SEQ, GRAD]))
+    ORDER BY score DESC, vec_id LIMIT {N_CAND}""", GRAD))
 def hotflip_topk(spark, sf):
     """Top-10 replacement candidates for slot 0 by -(E . g), label/special ids excluded."""
-    v = fx.vectors(spark, sf)
-    g = se.mean_slot(se.sequences(v), BSZ).filter(F.col("slot") == 0)
-    excl = v.sparkSession.range(1).select(F.explode(F.array_union(
-        F.flatten(label_token_ids()), F.sequence(F.lit(0), F.lit(4)))).alias("vec_id")) \
-        .select(F.col("vec_id").cast("bigint"))
-    return se.hotflip(g, v, N_CAND, exclude=excl).select("rank", "vec_id", F.round("score", 6).alias("score"))
+    g = slot_gradients(spark, sf).filter(F.col("slot") == 0)
+    v = fx.vectors(spark, sf).filter(~excluded())
+    return se.hotflip(g, v, N_CAND).select("rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+@register("hotflip_all_slots", with_views(["v8"], f"""
+    SELECT slot, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM (
+      SELECT *, row_number() OVER (PARTITION BY slot ORDER BY score DESC, vec_id) AS rank FROM (
+        SELECT g.slot, e.vec_id, -sum(CAST(e.x AS DOUBLE) * g.g) AS score
+        FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS d FROM v8
+              WHERE NOT {_EXCLUDED_SQL}) e JOIN grad g ON g.d = e.d GROUP BY g.slot, e.vec_id) t) u
+    WHERE rank <= {N_CAND}""", GRAD))
+def hotflip_all_slots(spark, sf):
+    """G4 for all slots in one scan of the vector table."""
+    top = gr.hotflip_all(slot_gradients(spark, sf), fx.vectors(spark, sf), N_CAND, exclude=excluded())
+    return top.select("slot", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
 _ALLOWED = ("allowed", """SELECT token, token_id, freq FROM v4
@@ -191,7 +260,8 @@ def candidate_scores(spark, sf):
     return se.score_candidates(counts).select("seed", "cand_rank", "token", "n_correct", "cur_correct", "accepted")
 
 
-ITERS = 3
+ITERS = 300                  # fixed value: iterations of the search
+SQL_ITERS = 3                # iterations that the SQL of the tests unrolls
 HELD = f"""SELECT ex_id FROM (SELECT ex_id, row_number() OVER (ORDER BY {sql_hkey("'0'", 'ex_id')}, ex_id) AS r
            FROM v1) h WHERE r <= 50"""
 
@@ -200,8 +270,12 @@ def _search_sql() -> list[tuple[str, str]]:
     """The greedy search unrolled: per iteration the gains, the candidates, their counts and
     the accepted flips. ``gs{i}`` has the state after i iterations."""
     lab = "['entailment', 'contradiction', 'neutral']"
-    push = ", ".join(f"sum(CASE WHEN p.split = 'train' THEN CAST(p.gold = {lab}[{i}] AS INTEGER) "
-                     f"- CAST(p.pred = {lab}[{i}] AS INTEGER) ELSE 0 END) AS g{i}" for i in (1, 2, 3))
+    scaled = "(p.score[{i}] / CAST(1000000 AS DOUBLE))"
+    top = "list_max(list_transform(p.score, lambda x: x / CAST(1000000 AS DOUBLE)))"
+    total = "(" + " + ".join(f"exp({scaled.format(i=i)} - {top})" for i in (1, 2, 3)) + ")"
+    push = ", ".join(f"CAST(sum(CASE WHEN p.split = 'train' THEN CASE WHEN p.gold = {lab}[{i}] THEN 1000000 ELSE 0 END "
+                     f"- CAST(round(exp({scaled.format(i=i)} - {top}) / {total} * 1000000) AS BIGINT) ELSE 0 END) AS DOUBLE) AS g{i}"
+                     for i in (1, 2, 3))
     count = (f"count(*) FILTER (p.correct AND p.split = 'train') AS n_correct, "
              f"count(*) FILTER (p.correct AND p.split = 'dev') / (count(*) FILTER (p.split = 'dev') + 1e-13) AS dev, {push}")
 
@@ -217,10 +291,10 @@ def _search_sql() -> list[tuple[str, str]]:
                   any_value(c.g1) AS g1, any_value(c.g2) AS g2, any_value(c.g3) AS g3
                 FROM gi_v v JOIN (SELECT variant_id, {count} FROM gi_pr p GROUP BY variant_id) c
                   ON c.variant_id = v.variant_id GROUP BY v.seed""")]
-    for it in range(ITERS):
+    for it in range(SQL_ITERS):
         s, q = f"gs{it}", f"g{it}x"
         slot = f"CAST({sql_hnum('s.seed', chr(39) + str(it) + chr(39))} % 10 AS INTEGER)"
-        w = " + ".join(f"s.g{i} * coalesce(w.w[{i}], p.w0[{i}])" for i in (1, 2, 3))
+        w = " + ".join(f"CAST(coalesce(w.w[{i}], p.w0[{i}]) AS DOUBLE) * s.g{i}" for i in (1, 2, 3))
         out += [
             (f"{q}_c", f"""SELECT * FROM (SELECT seed, token, CAST(row_number() OVER (PARTITION BY seed
                       ORDER BY gain DESC, token) AS INTEGER) AS cand_rank
@@ -257,14 +331,22 @@ def _search_sql() -> list[tuple[str, str]]:
 _LOG = "SELECT seed, CAST(iter AS INTEGER) AS iter, slot, token, cur_correct, new_correct, dev_acc, new_best FROM "
 
 
-@register("greedy_trigger_search", with_views(
+SEARCH_SQL = with_views(
     ["v1", "v4", "v5l", "v5t", "seeds", "labels_c"],
-    " UNION ALL ".join(f"{_LOG} gs{i}" for i in range(ITERS + 1)), [_ALLOWED, *_search_sql()]))
+    " UNION ALL ".join(f"{_LOG} gs{i}" for i in range(SQL_ITERS + 1)), [_ALLOWED, *_search_sql()])
+
+
+@register("greedy_trigger_search")
 def greedy_trigger_search(spark, sf):
-    """Three greedy iterations per seed with gradient-ranked candidates."""
+    """The whole search, ``ITERS`` greedy iterations per seed with gradient-ranked candidates.
+    No SQL; the first iterations are tested against ``SEARCH_SQL``."""
+    return search_steps(spark, sf, ITERS)
+
+
+def search_steps(spark, sf, iters):
     v1, wc, lw, trig = search_inputs(spark, sf)
     train, dev = pr.holdout(v1, 50, seed=0)
-    return se.greedy_search(train, dev, trig, se.allowed_tokens(wc, lw, SPECIALS), iters=ITERS, k=N_CAND)
+    return se.greedy_search(train, dev, trig, se.allowed_tokens(wc, lw, SPECIALS), iters=iters, k=N_CAND)
 
 
 _PROBE = [SEQ, ("pool", """SELECT ex, list(m ORDER BY d) AS v FROM (
@@ -277,22 +359,27 @@ _PROBE = [SEQ, ("pool", """SELECT ex, list(m ORDER BY d) AS v FROM (
     ("prt", "SELECT x, y FROM prb WHERE split = 'train'"), *_softmax_fit("g8", "prt")]
 
 
-@register("linear_probe", with_views(["v8"], f"""
+PROBE_SQL = with_views(["v8"], f"""
     SELECT split, count(*) AS n, CAST(sum(CAST(list_position(lg, list_max(lg)) - 1 = y AS INTEGER)) AS BIGINT) AS n_correct
     FROM (SELECT split, y, list_transform(w, lambda c: list_sum(list_transform(range({DIMS + 1}),
-                   lambda i: c[i + 1] * x[i + 1]))) AS lg FROM prb, g8_w{FIT_STEPS}) t GROUP BY split""", _PROBE))
+                   lambda i: c[i + 1] * x[i + 1]))) AS lg FROM prb, g8_w{FIT_STEPS}) t GROUP BY split""", _PROBE)
+
+
+@register("linear_probe")
 def linear_probe(spark, sf):
-    """Mean-pooled sequences -> logistic regression of ``FIT_STEPS`` steps (what the SQL
-    unrolls; see ``linear_probe_full``); train/dev correct counts."""
-    return _probe(spark, sf, steps=FIT_STEPS)
+    """Mean-pooled sequences -> logistic regression trained in mini-batches, the weights of
+    the best of ``EPOCHS`` epochs on the dev rows; train/dev correct counts. No SQL; the
+    first full-batch steps are tested against ``PROBE_SQL``."""
+    rows = se.pooled_rows(se.sequences(fx.vectors(spark, sf)), DIMS)
+    return se.train_probe(rows, CLASSES, DIMS, EPOCHS)
 
 
 def linear_probe_full(spark, sf):
-    """G8 with the operator's own number of steps; no SQL."""
-    return _probe(spark, sf)
+    """G8 by full-batch steps, the operator's own number of them; no SQL."""
+    return probe_steps(spark, sf)
 
 
-def _probe(spark, sf, **steps):
+def probe_steps(spark, sf, **steps):
     seq = se.sequences(fx.vectors(spark, sf))
     labels = seq.filter(F.col("pos") == 0).select("ex", "label")
     return se.linear_probe(se.mean_pool(seq), labels, CLASSES, DIMS, rate=RATE, **steps)

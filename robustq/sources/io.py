@@ -155,5 +155,6 @@ def resolve_split(registry: DataFrame, family: str, task: str, eval_type: str) -
     rows = (registry.filter((F.col("family") == family) & (F.col("task") == task)
                             & (F.col("eval_type") == eval_type)).select("ds").distinct().limit(2).collect())
     if len(rows) != 1:
-        raise ValueError(f"eval_type:{eval_type}, args.task:{task} ({family}): {len(rows)} datasets")
+        found = "several datasets are" if rows else "no dataset is"
+        raise ValueError(f"{found} registered for the {family} evaluation {eval_type!r} of {task!r}")
     return rows[0]["ds"]

@@ -201,7 +201,7 @@ def test_bad_facts_and_null_labels(spark):
     assert {(r.sub_label, r.reason) for r in bad.collect()} == {("t", "no_evidences"), ("u", "no_evidences")}
     d = spark.createDataFrame([(1, "neutral"), (2, None)], "ex_id long, label string")
     assert prepare.require_label(d.filter("ex_id = 1")).first().label == "neutral"
-    with pytest.raises(Exception, match="Bad data"):
+    with pytest.raises(Exception, match="has no label"):
         prepare.require_label(d).collect()
 
 
