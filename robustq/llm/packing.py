@@ -3,10 +3,10 @@
 Every document is encoded, closed with an end id and laid into windows online: a partition
 keeps a fixed number of windows open, a piece goes where it leaves the least room, and when
 it fits nowhere the fullest window is filled with the head of the piece and emitted. What is
-still open at the end of a partition is merged by the same packer in groups of a fixed number of
-partitions, level by level, so no task ever sees more than ``fan_in`` times ``open_windows``
-windows. Only the last windows of the last level can stay unfilled; they are cut at powers of
-two, which need no padding.
+still open at the end of the partitions is merged by the same packer, ``fan_in`` partitions a task,
+so no task ever sees more than ``fan_in`` times ``open_windows`` windows. What a merging task has
+open at its end is laid out in a row and cut into full windows and, at last, powers of two, which
+need no padding.
 
 ``min_piece``: a cut leaves no piece below that many ids beside it; the fullest window is emitted
 with that little room (less than twice as much) instead.
@@ -23,15 +23,19 @@ inside a text (it becomes that token) is kept.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from robustq.llm.bpe_stream import CHAR_BYTE
 from robustq.llm.common import row_slices, saved
 
 # Parameters
@@ -39,8 +43,11 @@ WINDOW = 1024        # ids of a sequence
 OPEN_WINDOWS = 64    # windows a task keeps open
 FAN_IN = 32          # partitions whose open windows one merging task gets
 MIN_PIECE = 8        # ids
-# sequence ids: level, group of the level (at first a partition), running number
-_LEVEL_BITS, _GROUP_BITS = 58, 34
+SEEN = 20_000        # stretches with other characters a worker remembers
+# sequence ids: merged or not, partition (merged: group of partitions), running number
+_MERGED_BIT, _GROUP_BITS = 58, 34
+# fixed value: how byte-level BPE of this kind cuts a text before merging
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "sequence_id bigint, offset bigint, ids binary, open boolean")
@@ -125,7 +132,7 @@ _ARROW = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in (
     ("ids", pa.binary()), ("open", pa.bool_())])
 
 
-def _rows(windows: Iterator[tuple[int, list, bool]], level: int, keep_ids: bool
+def _rows(windows: Iterator[tuple[int, list, bool]], merged: int, keep_ids: bool
           ) -> Iterator[pa.RecordBatch]:
     """Arrow batches of the pieces of (group, window, still open); the windows of a group come
     together and are numbered from 0. Ids only where asked for or still needed."""
@@ -133,7 +140,7 @@ def _rows(windows: Iterator[tuple[int, list, bool]], level: int, keep_ids: bool
     held, now, k = 0, None, 0
     for group, w, is_open in windows:
         now, k = group, (k + 1 if group == now else 0)
-        number = (level << _LEVEL_BITS) + (group << _GROUP_BITS) + k
+        number = (merged << _MERGED_BIT) + (group << _GROUP_BITS) + k
         offset = 0
         for doc, start, total, ids in w:
             raw = ids.astype("<u4").tobytes()
@@ -154,33 +161,111 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
                                       schema=_ARROW)
 
 
-def library_encoder(path: str) -> Callable[[list[str]], list]:
-    """Ids of texts by the ``tokenizers`` library, without special tokens of its own, truncation
-    or padding. Loaded once per Python worker, which uses the one core of its task."""
-    import os
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-    tok = _LOADED.get(path)
-    if tok is None:
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
+# Letters whose class no Unicode version of the last twenty years has changed (Latin, Greek, Cyrillic,
+# Han), with ASCII: both libraries cut them alike.
+_LETTERS = ("\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u04ff"
+            "\u4e00-\u9fa5")
+OTHER = re.compile(f"[^\x00-\x7f{_LETTERS}]+")
+CUT = re.compile(f"(?<=[!-~{_LETTERS}]) (?=[!-~{_LETTERS}])")
+
+
+class ByteBpe:
+    """Ids of texts as the ``tokenizers`` library gives them, without special tokens of its own,
+    truncation or padding.
+
+    ASCII and common letters are encoded by ``tiktoken`` from the same vocabulary, which is several
+    times faster: both use the same classes for these characters, and the vocabulary's ids are the
+    ranks of its merges. Other characters, whose classes depend on a library's Unicode version, go
+    to ``tokenizers`` with their surroundings up to the next safe cut: a single space between two
+    characters that are no white space in any version always opens a new part of the pattern, so
+    what stands before it and what stands from it on are encoded apart. A text that names an
+    added token is encoded by ``tokenizers`` whole."""
+
+    def __init__(self, path: str):
+        import tiktoken
+        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has the core of its task
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.seen: dict[str, np.ndarray] = {}
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        ranks = {bytes(CHAR_BYTE[c] for c in t): i for t, i in spec["model"]["vocab"].items()
+                 if t not in self.added}
+        self.fast = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _plain(self, text: str) -> np.ndarray:
+        return self.fast.encode_to_numpy(text, disallowed_special=())
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _island(self, text: str) -> np.ndarray:
+        ids = self.seen.get(text)
+        if ids is None:
+            ids = self._whole(text)
+            if len(text) <= 64:
+                if len(self.seen) >= SEEN:
+                    self.seen.clear()
+                self.seen[text] = ids
+        return ids
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        return [self.encode(t) for t in texts]
+
+    def encode(self, text: str) -> np.ndarray:
+        if any(t in text for t in self.added):
+            return self._whole(text)
+        out, at = [], 0
+        for start, end in islands(text):
+            if at < start:
+                out.append(self._plain(text[at:start]))
+            out.append(self._island(text[start:end]))
+            at = end
+        if not out:
+            return self._plain(text)
+        if at < len(text):
+            out.append(self._plain(text[at:]))
+        return np.concatenate(out)
+
+
+def islands(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches of ``text`` between safe cuts that hold other characters than ASCII and common
+    letters; all else ends at safe cuts."""
+    end = 0
+    for m in OTHER.finditer(text):
+        if m.start() < end:
+            continue
+        start = text.rfind(" ", end, m.start())
+        while start > end and not CUT.match(text, start):
+            start = text.rfind(" ", end, start)
+        start = max(start, end)  # the stretch before ended at a safe cut (or is the text's start)
+        cut = CUT.search(text, m.end())
+        end = cut.start() if cut else len(text)
+        yield start, end
+
+
+def library_encoder(path: str) -> ByteBpe:
+    """One encoder per Python worker."""
+    if path not in _LOADED:
         _LOADED.clear()
-        _LOADED[path] = tok
-    return lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+        _LOADED[path] = ByteBpe(path)
+    return _LOADED[path]
 
 
 _LOADED: dict = {}
 
 
-def pack(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], list]], text: str = "text",
+def pack(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], Sequence]], text: str = "text",
          id_col: str = "doc_id", end_id: int = 0, size: int = WINDOW, keep: int = OPEN_WINDOWS,
          min_piece: int = MIN_PIECE, fan_in: int = FAN_IN, with_ids: bool = True) -> DataFrame:
     """One row per piece: ``doc_id``, ``start`` (ids of its document before it), ``length``,
     ``ids_crc32`` (of the ids as little-endian unsigned 32-bit numbers), ``doc_tokens``,
     ``sequence_id``, ``offset`` there and, with ``with_ids``, ``ids`` (those bytes).
 
-    ``encoder()`` is called in the task and returns a function from texts to lists of ids."""
+    ``encoder()`` is called in the task and returns a function from texts to their ids."""
     inp = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"),
                       F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
 
@@ -193,7 +278,8 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], list]], te
             for rb in row_slices(batches, "text"):
                 ids = encode(rb.column(1).to_pylist())
                 for doc, one in zip(rb.column(0).to_pylist(), ids):
-                    a = np.array([*one, end_id], np.uint32)
+                    a = np.empty(len(one) + 1, np.uint32)
+                    a[:-1], a[-1] = one, end_id
                     for w in packer.add(doc, 0, len(a), a):
                         yield part, w, False
             for w in packer.rest():
@@ -201,30 +287,19 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], list]], te
         yield from _rows(windows(), 0, with_ids)
 
     pieces = saved(inp.mapInArrow(lay, SCHEMA))
-    done = [pieces.where(~F.col("open"))]
-    left, groups, level = pieces.where("open"), pieces.rdd.getNumPartitions(), 0
-    while True:
-        level, groups = level + 1, -(-groups // fan_in)
-        merged = saved(_merge(left, groups, level, size, keep, min_piece, fan_in, with_ids))
-        done.append(merged.where(~F.col("open")))
-        if groups <= 1:
-            break
-        left = merged.where("open")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
+    merged = _merge(pieces.where("open"), pieces.rdd.getNumPartitions(), size, keep, min_piece, fan_in, with_ids)
+    out = pieces.where(~F.col("open")).unionByName(merged)
     return out.drop("open") if with_ids else out.drop("open", "ids")
 
 
-def _merge(left: DataFrame, groups: int, level: int, size: int, keep: int, min_piece: int,
-           fan_in: int, with_ids: bool) -> DataFrame:
-    """Lay the open windows of ``fan_in`` partitions of the level below into windows again, in one
-    task each; long pieces first. With one group left, nothing stays open."""
-    part = F.shiftright(F.col("sequence_id") % F.lit(1 << _LEVEL_BITS), _GROUP_BITS)
-    g = left.withColumn("_g", F.floor(part / fan_in).cast("bigint"))
-    g = g.repartitionByRange(groups, "_g") if groups > 1 else g.repartition(1)
+def _merge(left: DataFrame, parts: int, size: int, keep: int, min_piece: int, fan_in: int,
+           with_ids: bool) -> DataFrame:
+    """Lay the open windows of every ``fan_in`` partitions into windows again, in one task; long
+    pieces first. Nothing stays open."""
+    group = F.floor(F.shiftright("sequence_id", _GROUP_BITS) / fan_in).cast("bigint")
     # a task may get several groups or none: each is packed by itself, so that the result does
     # not depend on how they are dealt
+    g = left.withColumn("_g", group).repartitionByRange(max(1, -(-parts // fan_in)), "_g")
     order = ["_g", F.col("length").desc(), "sequence_id", "offset"]
     g = g.sortWithinPartitions(*order).select("doc_id", "start", "doc_tokens", "ids", "_g")
 
@@ -233,8 +308,6 @@ def _merge(left: DataFrame, groups: int, level: int, size: int, keep: int, min_p
             packer, now = Packer(size, keep, min_piece), 0
 
             def rest():
-                if groups > 1:
-                    return ((now, w, True) for w in packer.rest())
                 return ((now, w, False) for w in fill_exactly(packer.rest(), size))
 
             for rb in batches:
@@ -245,6 +318,6 @@ def _merge(left: DataFrame, groups: int, level: int, size: int, keep: int, min_p
                     for w in packer.add(doc, start, total, np.frombuffer(raw, "<u4")):
                         yield now, w, False
             yield from rest()
-        yield from _rows(windows(), level, with_ids)
+        yield from _rows(windows(), 1, with_ids)
 
     return g.mapInArrow(lay, SCHEMA)

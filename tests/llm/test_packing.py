@@ -93,7 +93,7 @@ def test_edge_rows(spark, edge):
     rows = [(r["doc_id"], r["text"]) for r in edge.select("doc_id", "text").collect()]
     enc = pk.library_encoder(q.tokenizer_path("byte_bpe_50k.json"))
     got = pk.pack(edge, lambda: pk.library_encoder(q.tokenizer_path("byte_bpe_50k.json"))).collect()
-    docs = [(d, enc([t or ""])[0]) for d, t in rows]
+    docs = [(d, enc([t or ""])[0].tolist()) for d, t in rows]
     assert any(50256 in ids for _, ids in docs)
     check(got, docs, 1024)
     assert pk.pack(edge.limit(0), letters).count() == 0
@@ -119,3 +119,28 @@ def test_partitioning_changes_windows_not_pieces_ids(spark, small):
         r = got.selectExpr("sum(length) n", "count(distinct doc_id) d").first()
         assert r["d"] == small.count()
         assert r["n"] == small.selectExpr("sum(length(coalesce(text, '')) + 1) n").first()["n"]
+
+
+def test_encoder_gives_the_library_ids():
+    from tokenizers import Tokenizer
+    path = q.tokenizer_path("byte_bpe_50k.json")
+    t, enc = Tokenizer.from_file(path), pk.ByteBpe(path)
+    rng = random.Random(8)
+    parts = ["word", "a", "I'll", "n't", "'s", " ", "  ", "\n", "\t", " \n ", "é", "漢字", "🙂", " ", " ",
+             "\x1c", "\x85", "́", "ⅷ", "٣", "1,234", "--", "...", "ABC", "᠎", "​", "ß", "<|end", "\x00",
+             "oftext|>", "\U0001e4d0", "x-y_z", "(", "'", "\"", "　", "Ωμ", "Жд", "×", "\u0301", "ﬁ"]
+    for _ in range(3000):
+        x = "".join(rng.choice(parts) for _ in range(rng.randrange(25)))
+        assert enc.encode(x).tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
+    for x in ("<|endoftext|>", "a <|endoftext|> é", "", "é", " é ", "a é b", "a b é", "é a b"):
+        assert enc.encode(x).tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
+
+
+def test_islands_hold_the_other_characters():
+    for x, want in (("abc dé 🙂 ghi jkl", [" dé 🙂 ghi"]), ("🙂", ["🙂"]), ("ab  🙂 c", ["ab  🙂 c"]), ("é b", []),
+                    ("", []), ("x y🙂\nz y z", [" y🙂\nz"]), ("a🙂 b🙂 c", ["a🙂 b🙂 c"]), ("q \u2003 r s", ["q \u2003 r"]),
+                    ("u🙂v w🙂x y", ["u🙂v", " w🙂x"])):
+        spans = list(pk.islands(x))
+        assert [x[a:b] for a, b in spans] == want, x
+        rest = "".join(x[a:b] for (_, a), (b, _) in zip([(0, 0), *spans], [*spans, (len(x), 0)]))
+        assert not pk.OTHER.search(rest)
