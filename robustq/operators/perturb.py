@@ -97,6 +97,50 @@ def reorder_random(df: DataFrame, col: str = "tokens", key: Sequence[str] = ("se
         .drop("_perm")
 
 
+def _keyed_digits(n: Column, number: Column, key: Sequence[str]) -> Column:
+    """A keyed bijection of 0 .. n! - 1 on the digits of the factorial number system (digit i is
+    below n - i), so that numbers never need to be formed: n! may exceed 64 bits.
+
+    ``number`` (below n!) is written in digits, the last ones first. Then three passes over the
+    digits add to each, modulo its base, a hash of all the others: a step that its own hash
+    undoes, so different numbers stay different."""
+    start = F.struct(F.array().cast("array<int>").alias("digits"), number.cast("bigint").alias("rest"))
+    # digit i from the end has base n - i: bases 1, 2, 3, ... from the back
+    written = F.aggregate(F.sequence(F.lit(1), n), start, lambda acc, base: F.struct(
+        F.concat(F.array((acc["rest"] % base).cast("int")), acc["digits"]).alias("digits"),
+        F.floor(acc["rest"] / base).cast("bigint").alias("rest")), lambda acc: acc["digits"])
+
+    def stir(digits: Column, step: Column) -> Column:
+        at = (step % n).cast("int")
+        others = F.array_join(F.transform(digits, lambda d, i: F.when(i == at, F.lit("")).otherwise(
+            d.cast("string"))), ",")
+        h = F.conv(F.substring(_hash_in(key, step, others), 1, 12), 16, 10).cast("bigint")
+        return F.transform(digits, lambda d, i: F.when(i == at, ((d + h) % (n - i)).cast("int")).otherwise(d))
+
+    return F.aggregate(F.sequence(F.lit(0), 3 * n - 1), written, stir)
+
+
+def _by_digits(digits: Column) -> Column:
+    """The permutation with these factorial digits: digit k picks among the positions left."""
+    start = F.struct(positions(digits).alias("left"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(digits, start, lambda acc, d: F.struct(
+        F.filter(acc["left"], lambda x, i: i != d).alias("left"),
+        F.concat(acc["out"], F.array(F.get(acc["left"], d))).alias("out")), lambda acc: acc["out"])
+
+
+def reorder_distinct(df: DataFrame, col: str = "tokens", key: Sequence[str] = ("seed",),
+                     reps: int = REORDER_REPS) -> DataFrame:
+    """D1 without repeats: ``reps`` hash-random orders per row, no two alike (all of them where
+    there are fewer; the identity is one of them). The rep-th order is that of the rep-th number
+    under a keyed bijection: nothing is enumerated, drawn again or compared."""
+    n = F.size(col)
+    most = F.when(n <= 12, _factorial(F.least(n, F.lit(12)))).otherwise(F.lit(reps).cast("bigint"))
+    last = (F.least(most, F.lit(reps).cast("bigint")) - 1).cast("int")
+    d = df.filter(n > 0).withColumn("rep", F.explode(F.sequence(F.lit(0), last)))
+    d = d.withColumn("_perm", bind(_keyed_digits(F.size(col), F.col("rep"), key), _by_digits))
+    return d.withColumn(col, F.transform("_perm", lambda p: F.get(F.col(col), p))).drop("_perm")
+
+
 def _factorial(n: Column) -> Column:
     return F.aggregate(F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>")),
                        F.lit(1).cast("bigint"), lambda a, x: a * x)

@@ -240,7 +240,7 @@ def train_softmax(rows: DataFrame, classes: Sequence, dims: int, epochs: int = 1
         todo = list(range(done, min(epochs, done - done % sync_every + sync_every)))
         got = _run_shards(data, state, todo, cfg)
         after = [Adam.of(got[e][0], k, width, got[e][2]) for e in todo]
-        out.losses += [got[e][1] for e in todo]
+        out.losses += [float(got[e][1]) for e in todo]
         if dev_rows is not None:
             for e, a, (ok, m) in zip(todo, after, accuracy_of(dev_rows, [a.w for a in after])):
                 out.accuracies.append(ok / (m + 1e-13))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from robustq.functions.hashing import hnum, sql_hnum
+from robustq.operators.prepare import split_valid
 from robustq.plans import experiments as ex
 from robustq.plans import fixtures as fx
 from robustq.plans import oracle_eval as oe
@@ -141,3 +143,84 @@ def label_token_sink(spark, sf):
     both = io.label_tokens(js, n=fx.LABEL_TOKENS_K).select("label", F.col("pos").cast("int").alias("pos"), "token")
     # rows are returned only if the folders and the JSON map agree on them
     return per.select("label", F.col("pos").cast("int").alias("pos"), "token").join(both, ["label", "pos", "token"])
+
+
+# -- B4 at read time --------------------------------------------------------------------
+def _broken(key: str, n: int = 20):
+    return hnum(F.lit("0"), key) % n
+
+
+def broken_pairs(spark, sf, path):
+    """V1 as TSV lines, some of them broken by the hash of their key: the last field missing, one
+    too many, a quote that is not closed, no label."""
+    quoted = [F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
+              for c in ("sentence_a", "sentence_b")]
+    kind = _broken("ex_id")
+    d = fx.docs_pairs(spark, sf)
+    whole = F.concat_ws("\t", "ex_id", *quoted, "label")
+    line = (F.when(kind == 0, F.concat_ws("\t", "ex_id", *quoted))
+            .when(kind == 1, F.concat_ws("\t", "ex_id", *quoted, "label", F.lit("more")))
+            .when(kind == 2, F.concat_ws("\t", "ex_id", quoted[0], F.concat(F.lit('"'), F.replace(
+                F.col("sentence_b"), F.lit('"'), F.lit(""))), "label"))
+            .when(kind == 3, F.concat_ws("\t", "ex_id", *quoted, F.lit(io.NULL_MARK))).otherwise(whole))
+    d.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def broken_facts(spark, sf, path):
+    """V3 as JSON lines, some cut short, of another kind, without evidences or with none."""
+    kind = _broken("ev_id")
+    ev = F.array(F.struct("obj_surface", "masked_sentence"))
+    none = F.array().cast(ev_type())
+    rec = F.to_json(F.struct("sub_label", "obj_label", F.when(kind == 2, none).otherwise(ev).alias("evidences")))
+    line = (F.when(kind == 0, F.substring(rec, F.lit(1), (F.length(rec) / 2).cast("int")))
+            .when(kind == 1, F.concat(F.lit("{evidences "), F.col("ev_id").cast("string"), F.lit("}")))
+            .when(kind == 3, F.to_json(F.struct("sub_label", "obj_label"))).otherwise(rec))
+    fx.facts(spark, sf).select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def ev_type() -> str:
+    return "array<struct<obj_surface:string,masked_sentence:string>>"
+
+
+def _kind_sql(key: str) -> str:
+    return f"{sql_hnum(chr(39) + '0' + chr(39), key)} % 20"
+
+
+@register("unreadable_rows", with_views(["v1", "v3"], f"""
+    SELECT 'pairs' AS source, CASE {_kind_sql('ex_id')} WHEN 0 THEN 'field_count' WHEN 1 THEN 'field_count'
+             WHEN 2 THEN 'open_quote' WHEN 3 THEN 'no_label' ELSE 'valid' END AS reason, count(*) AS n
+    FROM v1 GROUP BY 2
+    UNION ALL
+    SELECT 'facts', CASE {_kind_sql('ev_id')} WHEN 0 THEN 'cut_short' WHEN 1 THEN 'not_a_record'
+             WHEN 2 THEN 'no_evidences' WHEN 3 THEN 'no_evidences' ELSE 'valid' END, count(*)
+    FROM v3 GROUP BY 2"""))
+def unreadable_rows(spark, sf):
+    """B4 at read time: broken TSV and JSON lines are kept with the reason they were set aside for;
+    rows per source and reason."""
+    path = io.scratch_dir(spark, "broken")
+    broken_pairs(spark, sf, f"{path}/pairs")
+    broken_facts(spark, sf, f"{path}/facts")
+    pairs = io.read_pairs_checked(spark, f"{path}/pairs", names=io.PAIRS_SCHEMA.fieldNames())
+    parts = []
+    for source, (ok, bad) in {
+            "pairs": split_valid(pairs, io.unreadable_pairs()),
+            "facts": split_valid(io.read_facts_checked(spark, f"{path}/facts"), io.unreadable_facts())}.items():
+        both = ok.select(F.lit("valid").alias("reason")).unionByName(bad.select("reason"))
+        parts.append(both.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+                     .select(F.lit(source).alias("source"), "reason", "n"))
+    return parts[0].unionByName(parts[1])
+
+
+# -- A1 with line breaks in fields ------------------------------------------------------
+@register("tsv_multiline", """
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5
+    FROM documents""")
+def tsv_multiline(spark, sf):
+    """Whole texts, line breaks and quotes included, written as quoted TSV and read back by as many
+    tasks as the files have splits."""
+    from robustq.sources.quoted import read_quoted_pairs
+    path = io.scratch_dir(spark, "multiline")
+    docs = fx.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")
+    io.write_pairs(docs, path)
+    back = read_quoted_pairs(spark, path, docs.schema)
+    return back.select("doc_id", "lang", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from robustq.plans import experiments as ex
 from robustq.plans import fixtures as fx
 from robustq.plans.q_metrics import BASE, DEL
 from robustq.plans.oracle_views import with_views
 from robustq.plans.registry import register
 from robustq.sources.io import scratch_dir
-from robustq.streaming.accuracy import run_available
+from robustq.streaming.accuracy import TIMED_SCHEMA, run_available
 
 
 @register("stream_accuracy", with_views(BASE, "SELECT variant_id, acc, n_examples FROM d_acc", DEL))
@@ -24,3 +26,26 @@ def stream_accuracy(spark, sf):
     out = run_available(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", ["variant_id"],
                         files_per_batch=max(1, (n_files + 1) // 2))
     return out.select("variant_id", "acc", "n_examples")
+
+
+@register("stream_accuracy_once", with_views(BASE, "SELECT variant_id, acc, n_examples FROM d_acc", DEL))
+def stream_accuracy_once(spark, sf):
+    """H1 with event times: every prediction file is delivered twice, then once more with rows far
+    behind the watermark; each (variant, example) counts once, so the result equals F1."""
+    v1, trig = fx.grid_inputs(spark, sf)
+    preds = ex.predictions(v1, ex.ap_deletion_variants(trig), materialized=True)
+    at = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    rows = preds.select("variant_id", "ex_id", "correct", at.alias("event_time"))
+    base = scratch_dir(spark, "stream-once")
+
+    def run(batch):
+        batch.write.mode("append").parquet(f"{base}/in")
+        files = len(spark.read.parquet(f"{base}/in").inputFiles())
+        return run_available(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", ["variant_id"], TIMED_SCHEMA,
+                             files_per_batch=max(1, files), delay="1 hour")
+    run(rows)
+    run(rows)
+    # other answers for other examples, a day late
+    late = rows.select("variant_id", F.concat(F.lit("late-"), "ex_id").alias("ex_id"), (~F.col("correct")).alias("correct"),
+                       (F.col("event_time") - F.expr("INTERVAL 1 DAY")).alias("event_time"))
+    return run(late).select("variant_id", "acc", "n_examples")

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from robustq.session import ensure_checkpoint_dir
+from robustq.sources.committed import committed_paths, write_committed
 
 # fixed values: the TSV dialect of the shipped pair files. White space and empty strings stay
 # as they are (an empty string is written quoted, a null as ``NULL_MARK``).
@@ -91,6 +92,48 @@ def write_facts(flat: DataFrame, path: str, chunk: int = 64, id_col: str = "ev_i
     out.write.mode("overwrite").json(path)
 
 
+# -- B4: rows that cannot be read ------------------------------------------------------
+CORRUPT = "_unreadable"
+
+
+def read_pairs_checked(spark: SparkSession, path: str, schema: T.StructType = PAIRS_SCHEMA,
+                       names: list[str] | None = None) -> DataFrame:
+    """As :func:`read_pairs`, but a line that is no row of the file's columns is kept in
+    ``_unreadable`` (else null) instead of being bent to fit. The columns are those of the header,
+    or ``names`` for files without one."""
+    options = TSV_OPTIONS | {"header": names is None}
+    if names is None:
+        names = spark.read.options(**options).option("inferSchema", False).csv(path).columns
+    full = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField(CORRUPT, T.StringType())])
+    # without pruning: a parser that skips columns does not see how many fields a line has
+    raw = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, columnPruning=False) \
+        .schema(full).csv(path)
+    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields], CORRUPT)
+
+
+def unreadable_pairs(required: tuple[str, ...] = ("label",)) -> dict[str, Column]:
+    """Reject rules for :func:`robustq.operators.prepare.split_valid`: an odd number of quotes leaves
+    a field open; any other line that is no row has too few or too many fields."""
+    line = F.col(CORRUPT)
+    odd = (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
+    return {"open_quote": line.isNotNull() & odd, "field_count": line.isNotNull(),
+            **{f"no_{c}": F.col(c).isNull() for c in required}}
+
+
+def read_facts_checked(spark: SparkSession, path: str) -> DataFrame:
+    """Nested fact records; a line that is no such record is kept in ``_unreadable``."""
+    full = T.StructType([*FACTS_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
+    return spark.read.schema(full).option("mode", "PERMISSIVE") \
+        .option("columnNameOfCorruptRecord", CORRUPT).json(path)
+
+
+def unreadable_facts() -> dict[str, Column]:
+    line = F.col(CORRUPT)
+    cut = ~F.rtrim(line).endswith("}")
+    return {"cut_short": line.isNotNull() & cut, "not_a_record": line.isNotNull(),
+            "no_evidences": F.coalesce(F.size("evidences"), F.lit(-1)) <= 0}
+
+
 # fixed values: input suffix -> reader (A3 dispatch)
 READERS = {".tsv": "pairs", ".jsonl": "facts", ".json": "facts"}
 
@@ -122,29 +165,38 @@ def label_tokens(map_json: DataFrame, n: int = 3, col: str = "json") -> DataFram
     return e.select("label", F.posexplode(F.slice("tokens", 1, n)).alias("pos", "token"))
 
 
-def write_label_tokens(labelmap: DataFrame, path: str) -> None:
-    """One ranked token folder per class plus the combined JSON map."""
-    labelmap.write.mode("overwrite").partitionBy("label").parquet(f"{path}/per_label")
-    label_map_json(labelmap).write.mode("overwrite").text(f"{path}/label_map_json")
+def write_label_tokens(labelmap: DataFrame, path: str, run: str = "labels") -> None:
+    """One ranked token folder per class plus the combined JSON map, published together."""
+    def write(folder: str) -> None:
+        labelmap.write.partitionBy("label").parquet(f"{folder}/per_label")
+        label_map_json(labelmap).write.text(f"{folder}/label_map_json")
+    write_committed(labelmap.sparkSession, path, run, write)
 
 
 def read_label_tokens(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    per = spark.read.parquet(f"{path}/per_label").select("label", "pos", "token")
-    js = spark.read.text(f"{path}/label_map_json").withColumnRenamed("value", "json")
+    folders = committed_paths(spark, path)
+    per = spark.read.parquet(*[f"{f}/per_label" for f in folders]).select("label", "pos", "token")
+    js = spark.read.text([f"{f}/label_map_json" for f in folders]).withColumnRenamed("value", "json")
     return per, js
 
 
 # -- A5 -----------------------------------------------------------------------------
-def write_summary(results: DataFrame, path: str) -> None:
-    """Result rows as TSV with header, one folder per (task, model); NULL del_idx is written
-    as 'n/a' like the reference summaries."""
-    (results.write.mode("overwrite").partitionBy("task", "model")
-     .options(**TSV_OPTIONS | {"nullValue": NA}).csv(path))
+def write_summary(results: DataFrame, path: str, run: str = "results") -> None:
+    """Result rows as TSV with header, one folder per (task, model), published whole as ``run``
+    (written again, a run takes its own place; other runs of ``path`` stay). NULL del_idx is
+    written as 'n/a' like the reference summaries."""
+    write_committed(results.sparkSession, path, run, lambda folder: results.write.partitionBy("task", "model")
+                    .options(**TSV_OPTIONS | {"nullValue": NA}).csv(folder))
 
 
 def read_summary(spark: SparkSession, path: str, schema: T.StructType = SUMMARY_SCHEMA) -> DataFrame:
-    """Re-read summaries; 'n/a' becomes NULL (so the baseline drops out of del_idx groups)."""
-    raw = (spark.read.options(**TSV_OPTIONS | {"nullValue": NA}).option("inferSchema", False).csv(path))
+    """Re-read the published summaries of all runs; 'n/a' becomes NULL (so the baseline drops out
+    of del_idx groups)."""
+    read = spark.read.options(**TSV_OPTIONS | {"nullValue": NA}).option("inferSchema", False)
+    # every run is a table of its own with its partition folders
+    raw, *others = [read.csv(p) for p in committed_paths(spark, path)]
+    for other in others:
+        raw = raw.unionByName(other)
     return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 

@@ -6,6 +6,11 @@ folder ``epoch=<n>`` (complete mode through ``foreachBatch``): a failure while w
 earlier results as they are, and a repeated batch overwrites only its own folder. With
 ``availableNow`` the query processes what is there and stops, which is how tests and
 batch re-runs drive it; on a cluster the same query runs continuously.
+
+Predictions that carry an event time (:data:`TIMED_SCHEMA`) are counted once per (variant, example):
+the state keeps the pairs seen within the watermark's delay, so a file that is delivered again
+changes nothing, and rows older than the watermark are too late and dropped, so the state stays
+bounded by the delay.
 """
 
 from __future__ import annotations
@@ -17,6 +22,16 @@ from pyspark.sql import types as T
 PRED_SCHEMA = T.StructType([T.StructField("variant_id", T.StringType()),
                             T.StructField("correct", T.BooleanType())])
 
+TIMED_SCHEMA = T.StructType([T.StructField("variant_id", T.StringType()), T.StructField("ex_id", T.StringType()),
+                             T.StructField("correct", T.BooleanType()),
+                             T.StructField("event_time", T.TimestampType())])
+
+
+def first_predictions(stream: DataFrame, delay: str, key: tuple[str, ...] = ("variant_id", "ex_id"),
+                      time: str = "event_time") -> DataFrame:
+    """Each (variant, example) once: its first prediction that is not older than the watermark."""
+    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(key))
+
 
 def stream_accuracy(stream: DataFrame, by: list[str], eps: float = 1e-13) -> DataFrame:
     """Streaming aggregate: (by..., n_correct, n_examples, acc)."""
@@ -26,11 +41,13 @@ def stream_accuracy(stream: DataFrame, by: list[str], eps: float = 1e-13) -> Dat
 
 
 def run_available(spark: SparkSession, source: str, sink: str, checkpoint: str, by: list[str],
-                  schema: T.StructType = PRED_SCHEMA, files_per_batch: int = 1) -> DataFrame:
+                  schema: T.StructType = PRED_SCHEMA, files_per_batch: int = 1,
+                  delay: str | None = None) -> DataFrame:
     """Process every file present under ``source`` (one file per micro-batch) and return
-    the final result table."""
+    the final result table. With ``delay`` the predictions are timed and counted once
+    (:func:`first_predictions`)."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    agg = stream_accuracy(stream, by)
+    agg = stream_accuracy(first_predictions(stream, delay) if delay else stream, by)
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
