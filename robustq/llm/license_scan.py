@@ -7,7 +7,7 @@ sentence offers its line suffixes up to the length of the longest known one. Nor
 sentences are mapped to identifiers by a map of the known sentences (a parameter), and the
 identifiers of a document, in text order, are matched against ordered rules: each rule
 rewrites its identifier sequence to its licence, earlier rules first; what no rule takes is
-reported as it is.
+reported as it is. More than ``MAX_GAP`` unknown sentences between two known ones break a sequence.
 
 Everything is row-local DataFrame functions: no shuffle, no Python.
 
@@ -92,7 +92,7 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("MPL-2.0", ("mpl2",)),
 ]
 
-# more known sentences and rules of the operator; the SQL twin has the ones above only
+# more known sentences and rules of the operator
 _HOPE = ("This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
          "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.")
 _FREE = ("This {0} is free software{1} you can redistribute it and/or modify it under the terms of the "
@@ -139,6 +139,7 @@ MORE_RULES: list[tuple[str, tuple[str, ...]]] = [
                                       ("apache2-asf", "apache2-url"),
                                       ("apache2-asf", "apache2-url-https"))),
     ("Apache-2.0", ("apache2-asf",)),
+    ("Apache-2.0", ("apache2-grant",)),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-asis")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-asis")),
@@ -157,11 +158,12 @@ MORE_RULES: list[tuple[str, tuple[str, ...]]] = [
 ]
 ALL_SENTENCES = {**SENTENCES, **MORE_SENTENCES}
 ALL_RULES = [*RULES, *MORE_RULES]
+MAX_GAP = 5  # parameter: unknown sentences that a sequence may hold between two known ones
 
 # fixed values: how sentences are cut and normalised (valid for Java and RE2 alike)
 LEADER = r"(^|\n)[ \t\x0B\f\r]*(//+|--+|[*#;]+)?[ \t\x0B\f\r]*"  # white space and comment marks
-# not in the SQL twin: marks that open and close a block comment on the line of a sentence (the
-# closing one ends it), and SPDX lines, which end with their line
+# marks that open and close a block comment on the line of a sentence (the closing one ends it), and
+# SPDX lines, which end with their line
 SPDX_LINE = r"(SPDX-License-Identifier:[^\n]*)\n"
 OPENS = r"(^|\n)[ \t\x0B\f\r]*(/\*+|<!--+)"
 CLOSES = r"[ \t\x0B\f\r]*(\*+/|--+>)[ \t\x0B\f\r]*(\n|$)"
@@ -212,16 +214,17 @@ def _suffixes(sentence: Column, longest: int) -> Column:
 
 
 def _known_ids(text: Column, sentences: Mapping[str, str]) -> Column:
-    """Array of the identifiers of the known sentences of a text, in order. The known
-    sentences are a parameter of the call (a small map), so this is row-local."""
+    """Array of (id, at) of the known sentences of a text, in order; ``at`` is the number of the
+    text's sentence. The known sentences are a parameter of the call (a small map), so this is
+    row-local."""
     known = {normalise(s): i for i, s in sentences.items()}
     if not known:
-        return F.array().cast("array<string>")
+        return F.array().cast("array<struct<id:string,at:int>>")
     table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
     longest = max(map(len, known))
-    ids = F.flatten(F.transform(_sentences(text), lambda s: F.transform(
-        _suffixes(s, longest), lambda x: F.try_element_at(table, x))))
-    return F.filter(ids, lambda i: i.isNotNull())
+    ids = F.flatten(F.transform(_sentences(text), lambda s, i: F.transform(
+        _suffixes(s, longest), lambda x: F.struct(F.try_element_at(table, x).alias("id"), i.alias("at")))))
+    return F.filter(ids, lambda x: x["id"].isNotNull())
 
 
 def apply_rules(sequence: Column, rules: Sequence[tuple[str, tuple[str, ...]]]) -> Column:
@@ -234,18 +237,24 @@ def apply_rules(sequence: Column, rules: Sequence[tuple[str, tuple[str, ...]]])
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
          sentences: Mapping[str, str] = ALL_SENTENCES,
-         rules: Sequence[tuple[str, tuple[str, ...]]] = ALL_RULES) -> DataFrame:
+         rules: Sequence[tuple[str, tuple[str, ...]]] = ALL_RULES, max_gap: int = MAX_GAP) -> DataFrame:
     """One row per document row: id, n_sentences (known ones), sentence_ids (in text order),
     licences (sorted distinct), unmatched (identifiers that no rule took, in order)."""
     none = F.array().cast("array<string>")
 
-    def result(ids: Column) -> Column:
-        sequence = F.concat(F.lit("<"), F.array_join(ids, "><"), F.lit(">"))
-        return F.when(F.size(ids) > 0, let(apply_rules(sequence, rules), lambda done: F.struct(
-            F.size(ids).cast("bigint").alias("n_sentences"), ids.alias("sentence_ids"),
+    def marked(found: Column) -> Column:
+        """<id><id><~><id>: the identifiers, with a mark where too many unknown sentences lie."""
+        return F.array_join(F.transform(found, lambda x, j: F.concat(
+            F.when((j > 0) & (x["at"] - F.get(found, j - 1)["at"] > max_gap + 1), F.lit("<~>"))
+            .otherwise(F.lit("")), F.lit("<"), x["id"], F.lit(">"))), "")
+
+    def result(found: Column) -> Column:
+        return F.when(F.size(found) > 0, let(apply_rules(marked(found), rules), lambda done: F.struct(
+            F.size(found).cast("bigint").alias("n_sentences"),
+            F.transform(found, lambda x: x["id"]).alias("sentence_ids"),
             F.array_sort(F.array_distinct(F.regexp_extract_all(
                 done, F.lit(r"\{([^}]*)\}"), F.lit(1)))).alias("licences"),
-            F.regexp_extract_all(done, F.lit("<([^>]*)>"), F.lit(1)).alias("unmatched"))))
+            F.regexp_extract_all(done, F.lit("<([^>~]+)>"), F.lit(1)).alias("unmatched"))))
 
     text_col = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     d = docs.select(F.col(f"`{id_col}`"), let(_known_ids(text_col, sentences), result).alias("__r"))
@@ -254,45 +263,49 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         *[F.coalesce(f"__r.{c}", none).alias(c) for c in ("sentence_ids", "licences", "unmatched")])
 
 
-def oracle_sql(sentences: Mapping[str, str] = SENTENCES,
-               rules: Sequence[tuple[str, tuple[str, ...]]] = RULES) -> str:
-    """DuckDB twin of the op1 query. The known sentences are normalised in SQL."""
+def oracle_sql(sentences: Mapping[str, str] = ALL_SENTENCES,
+               rules: Sequence[tuple[str, tuple[str, ...]]] = ALL_RULES, max_gap: int = MAX_GAP) -> str:
+    """DuckDB twin of the op1 query, of all sentences and rules. The known sentences are
+    normalised in SQL."""
     def q(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({q(i)}, {q(s)})" for i, s in sentences.items())
     norm = (f"regexp_replace(regexp_replace(regexp_replace(translate(lower(regexp_replace({{x}}, "
             f"{q(LEADER)}, chr(10), 'g')), '*\"''`' || chr(1), ''), {q(SPACES)}, ' ', 'g'), "
             f"{q(PARAGRAPH)}, chr(1), 'g'), {q(LINES)}, chr(10), 'g')")
+    plain = (f"regexp_replace(regexp_replace(regexp_replace(text, {q(OPENS)}, '\\1', 'g'), {q(CLOSES)}, "
+             f"chr(10) || chr(10), 'g'), {q(SPDX_LINE)}, '\\1' || chr(10) || chr(10), 'g')")
     tidy = f"trim(regexp_replace({{x}}, {q(TAIL)}, ''), ' ' || chr(10))"
     done = "ids"
     for licence, seq in rules:
         done = f"replace({done}, {q(''.join(f'<{i}>' for i in seq))}, {q('{' + licence + '}')})"
-    cut = q(CUT)
     return f"""
 WITH known AS (
   SELECT id, replace({tidy.format(x="trim(" + norm.format(x="s") + ", ' ' || chr(10) || chr(1))")},
                      chr(10), ' ') AS norm
   FROM (VALUES {values}) v(id, s)),
-s AS (
-  SELECT doc_id, unnest(string_split(regexp_replace({norm.format(x="text")}, {cut},
-                        '\\1' || chr(1), 'g'), chr(1))) AS x,
-         generate_subscripts(string_split(regexp_replace({norm.format(x="text")}, {cut},
-                        '\\1' || chr(1), 'g'), chr(1)), 1) AS pos
+t AS (
+  SELECT doc_id, string_split(regexp_replace({norm.format(x=plain)}, {q(CUT)}, '\\1' || chr(1), 'g'), chr(1)) AS xs
   FROM documents),
+s AS (SELECT doc_id, unnest(xs) AS x, generate_subscripts(xs, 1) AS pos FROM t),
 l AS (
   SELECT doc_id, pos, string_split({tidy.format(x="x")}, chr(10)) AS lines FROM s),
 c AS (
-  SELECT doc_id, pos, array_to_string(lines[i:], ' ') AS norm
+  SELECT doc_id, pos, i, array_to_string(lines[i:], ' ') AS norm
   FROM l, unnest(range(1, len(lines) + 1)) AS u(i)),
+f AS (
+  SELECT doc_id, pos, i, id, pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos, i) > {max_gap + 1} AS far
+  FROM c JOIN known USING (norm)),
 h AS (
-  SELECT doc_id, string_agg('<' || id || '>', '' ORDER BY pos, id) AS ids, count(*) AS n
-  FROM c JOIN known USING (norm) GROUP BY doc_id),
+  SELECT doc_id, string_agg(CASE WHEN far THEN '<~>' ELSE '' END || '<' || id || '>', '' ORDER BY pos, i) AS ids,
+         count(*) AS n
+  FROM f GROUP BY doc_id),
 r AS (SELECT doc_id, n, ids, {done} AS done FROM h)
 SELECT d.doc_id, coalesce(r.n, 0)::BIGINT AS n_sentences,
-       coalesce(array_to_string(regexp_extract_all(r.ids, '<([^>]*)>', 1), ','), '')
+       coalesce(array_to_string(regexp_extract_all(r.ids, '<([^>~]+)>', 1), ','), '')
          AS sentence_ids,
        coalesce(array_to_string(list_sort(list_distinct(
          regexp_extract_all(r.done, '\\{{([^}}]*)\\}}', 1))), ','), '') AS licences,
-       coalesce(array_to_string(regexp_extract_all(r.done, '<([^>]*)>', 1), ','), '') AS unmatched
+       coalesce(array_to_string(regexp_extract_all(r.done, '<([^>~]+)>', 1), ','), '') AS unmatched
 FROM documents d LEFT JOIN r USING (doc_id)
 """
