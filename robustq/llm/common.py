@@ -6,6 +6,7 @@ lineage: a lost executor replays at most the stage it was in.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -21,6 +22,11 @@ from robustq.session import ensure_checkpoint_dir
 BROADCAST_BYTES = 48 << 20
 # Parameter: text bytes handled at a time inside a Python task (bounds its memory).
 CHUNK_BYTES = 1 << 20
+# Parameters: rows and bytes of the Arrow batches between the JVM and Python tasks, where the
+# session leaves Spark's defaults (10,000 rows, 64 MB a batch, held several times over).
+ARROW_ROWS, ARROW_BYTES = 2000, "4m"
+_ARROW = (("spark.sql.execution.arrow.maxRecordsPerBatch", ("10000",), str(ARROW_ROWS)),
+          ("spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64m", "64MB"), ARROW_BYTES))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +44,19 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of our own in the shared storage, wherever that is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small: whole texts are large rows."""
+    for key, defaults, ours in _ARROW:
+        if spark.conf.get(key) in defaults:
+            spark.conf.set(key, ours)
+
+
 def broadcast_if_bounded(df: DataFrame, width: Column | int,
                          limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` (already saved) marked for broadcast if the sum of ``width`` (bytes of a row)
@@ -47,6 +66,19 @@ def broadcast_if_bounded(df: DataFrame, width: Column | int,
     return F.broadcast(df) if total <= limit else df
 
 
+def join_by_any(df: DataFrame, one: DataFrame, on: Sequence[str], salt: Column, width: int,
+                salts: int = 32) -> DataFrame:
+    """Join ``df`` with ``one`` (saved, one row per key), whatever share of ``df`` one key holds:
+    ``one`` is broadcast within the checked size; beyond it the rows of a key are dealt over
+    ``salts`` tasks by ``salt`` and ``one`` is copied to each."""
+    small = broadcast_if_bounded(one, width)
+    if small is not one:
+        return df.join(small, list(on))
+    copies = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = df.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int"))
+    return dealt.join(copies, [*on, "__salt"]).drop("__salt")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once per row. A lambda body that names a
     column expression directly would have the optimizer inline and re-evaluate it for every
@@ -71,11 +103,22 @@ def row_slices(batches: Iterator[pa.RecordBatch], text: str,
             at = end
 
 
+def release_memory() -> None:
+    """Give memory that a Python worker has freed back to the system. Workers stay after a task, and a
+    busy executor has more of them than cores."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_texts(df: DataFrame, text: str, carry: Sequence[str], out: Sequence[tuple[str, str]],
               fn: Callable[[pa.Array], list]) -> DataFrame:
     """Row-local Arrow map: the ``carry`` columns followed by the columns ``out`` that
     ``fn`` computes from the text column (one value per row). A carried column that has the
     name of a new one is replaced by it."""
+    bounded_batches(df.sparkSession)
     names = [n for n, _ in out]
     carry = [c for c in carry if c not in names]
     # a carried text is sent to the task once
@@ -95,6 +138,7 @@ def map_texts(df: DataFrame, text: str, carry: Sequence[str], out: Sequence[tupl
             arrays += [a if isinstance(a, pa.Array) else pa.array(a, t)
                        for a, t in zip(new, types)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*carry, *names])
+        release_memory()
 
     return inp.mapInArrow(run, fields)
 

@@ -1,14 +1,18 @@
 """Language ID by cross-parsing entropy over suffix automata.
 
 For each language a bounded sample of labelled text (whole texts in hash order while they fit
-into ``sample_chars``) becomes a suffix automaton. A text is cross-parsed against every
+into ``sample_chars``; where a language has too few that fit, passages of its longer texts, cut at
+the end of a paragraph) becomes a suffix automaton. A text is cross-parsed against every
 language: from each phrase start the longest match in the sample is one phrase, an unseen
 character is a phrase of its own. The language with the fewest phrases per character wins
 (ties: the smallest name).
 
-Letters are lower-cased and mapped to classes, everything else between letters is one
-separator. Parsing restarts every ``block`` characters (a parameter; whole texts are parsed),
-so one chunk of texts is parsed as many lanes side by side: per step one table lookup for all
+Letters are lower-cased and every letter that any sample holds is a class of its own, whatever
+their number; letters that none holds are one class, everything else between letters is one
+separator. The transitions of all automata lie interleaved in one array (a state's row is shifted to
+where its entries meet free places), so the model grows with the samples, not with states
+times letters. Parsing restarts every ``block`` characters (a parameter; whole texts are parsed),
+so one chunk of texts is parsed as many lanes side by side: per step a few table lookups for all
 lanes and languages in numpy, no per-character Python.
 
 Defined cases: null texts and texts without a letter give `und` with score 0; without any
@@ -18,19 +22,19 @@ empty result.
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from robustq.llm.common import map_texts
 
 SAMPLE_CHARS = 32_768   # parameter: labelled characters per language
 SAMPLE_TEXTS = 64       # parameter: labelled texts looked at per language
-SALTS = 16              # parameter: shares a language's texts are ranked in first
-CLASSES = 96            # parameter: letter classes (more letters share classes)
+MARGIN = 4              # parameter: expected hashes below the first threshold, in SAMPLE_TEXTS
 BLOCK = 512             # parameter: characters after which the parse restarts
 
 
@@ -45,11 +49,15 @@ def code_points(text: str) -> np.ndarray:
 
 @dataclass
 class Model:
+    """A state is the place of its row in ``cells``: the cell at state + class holds (state << 32) +
+    next state if there is a transition by the class; if it holds another state's, the phrase ends.
+    ``opening[l, class]`` is the state of language l after the first character of a phrase."""
+
     langs: list[str]
     classes: np.ndarray   # code point -> 0 separator, 1.. letter classes
     letter: np.ndarray    # code point -> is a letter
-    table: np.ndarray     # (state, class) -> next state * 2 + 1 if a phrase ended there
-    roots: np.ndarray     # root state of each language
+    opening: np.ndarray
+    cells: np.ndarray
 
 
 def sequence(points: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -60,9 +68,8 @@ def sequence(points: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return c[keep]
 
 
-def suffix_automaton(seq: np.ndarray, n_classes: int) -> np.ndarray:
-    """Dense transition table (state, class) -> state, -1 where the sample has no such
-    continuation; state 0 is the root."""
+def suffix_automaton(seq: np.ndarray) -> list[dict[int, int]]:
+    """Transitions {class: state} of every state; state 0 is the root."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in seq.tolist():
@@ -88,14 +95,62 @@ def suffix_automaton(seq: np.ndarray, n_classes: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full((len(nxt), n_classes), -1, np.int64)
-    for s, m in enumerate(nxt):
-        for c, t in m.items():
-            table[s, c] = t
-    return table
+    return nxt
+
 
+def interleave(rows: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of every row, cells) of sparse rows over ``width`` classes: rows of several entries,
+    the longest first, go to the next place where all their cells are free; rows of one entry
+    fill most of the cells that are left. No two rows have one place, but rows without entries
+    share the last one, which no cell names."""
+    size = 2 * width + 2 * sum(map(len, rows)) + 1024
+    owner = np.full(size, -1, np.int64)   # row of each cell
+    taken = np.zeros(size, bool)          # places of rows
+    place = np.full(len(rows), -1, np.int64)
+    low = width  # cells below are never used, so that no place is negative
+    for i in sorted((i for i, r in enumerate(rows) if len(r) > 1), key=lambda i: -len(rows[i])):
+        cs = np.array(sorted(rows[i]), np.int64)
+        while owner[low] >= 0:
+            low += 1
+        at, look = low, 64
+        while place[i] < 0:
+            if at + look + width >= len(owner):
+                owner = np.concatenate((owner, np.full(size, -1, np.int64)))
+                taken = np.concatenate((taken, np.zeros(size, bool)))
+            d = np.arange(at, at + look)[owner[at:at + look] < 0] - cs[0]
+            fits = (owner[d[:, None] + cs] < 0).all(axis=1) & ~taken[d]
+            if fits.any():
+                place[i] = d[fits.argmax()]
+            else:  # a crowded stretch: later rows need not look there
+                at, low = at + look, at + look
+        owner[place[i] + cs] = i
+        taken[place[i]] = True
+    singles = [(i, next(iter(r))) for i, r in enumerate(rows) if len(r) == 1]
+    more = 4 * len(singles) + width
+    owner = np.concatenate((owner, np.full(more, -1, np.int64)))
+    taken = np.concatenate((taken, np.zeros(more, bool)))
+    free = iter((width + np.flatnonzero(owner[width:] < 0)).tolist())
+    used, left = taken.tolist(), deque(maxlen=16)  # free cells that did not suit an earlier row
+    for i, c in singles:
+        f = next((f for f in left if not used[f - c]), None)
+        if f is not None:
+            left.remove(f)
+        else:
+            f = next(free)
+            while used[f - c]:
+                left.append(f)
+                f = next(free)
+        place[i], owner[f], used[f - c] = f - c, i, True
+    last = int(max(place.max(initial=0), np.flatnonzero(owner >= 0).max(initial=0))) + 1
+    place[place < 0] = last
+    cells = np.full(last + width, -1, np.int64)
+    for i, r in enumerate(rows):
+        for c, t in r.items():
+            cells[place[i] + c] = (int(place[i]) << 32) + int(place[t])
+    return place, cells
 
-def build(samples: dict[str, list[str]], n_classes: int = CLASSES) -> Model:
+
+def build(samples: dict[str, list[str]]) -> Model:
     """Model of whole sample texts per language."""
     letter = letters()
     langs = sorted(x for x, texts in samples.items()
@@ -103,57 +158,89 @@ def build(samples: dict[str, list[str]], n_classes: int = CLASSES) -> Model:
     lowered = {lang: code_points("\n".join(samples[lang]).lower()) for lang in langs}
     seen = np.unique(np.concatenate([p[letter[p]] for p in lowered.values()])) if langs \
         else np.zeros(0, np.uint32)
-    classes = np.zeros(0x110000, np.uint8)
+    # a class per letter, one for letters never seen
+    of_low = np.full(0x110000, len(seen) + 1, np.int32)
+    of_low[seen] = np.arange(1, len(seen) + 1)
     every = np.flatnonzero(letter)
     low = np.fromiter((ord(chr(i).lower()[0]) for i in every.tolist()), np.int64, len(every))
-    if len(seen) <= n_classes - 2:  # a class per letter, one for letters never seen
-        of = {c: i + 1 for i, c in enumerate(seen.tolist())}
-        classes[every] = [of.get(c, n_classes - 1) for c in low.tolist()]
-    else:                           # large alphabets share classes
-        classes[every] = 1 + low % (n_classes - 1)
-    used = int(classes.max()) + 1 if len(seen) > n_classes - 2 else len(seen) + 2
-    classes = np.where(classes == n_classes - 1, used - 1, classes).astype(np.uint8)
-    parts, roots, at = [], [], 0
-    for lang in langs:
-        t = suffix_automaton(sequence(lowered[lang], classes), used)
-        # one more state: after an unseen character, where any character opens a phrase
-        unseen = len(t)
-        opening = np.where(t[0] < 0, unseen, t[0])
-        dead = np.vstack((t < 0, np.ones((1, used), bool)))
-        dead[0] = False  # the root is only left by a lane's first character
-        t = np.where(np.vstack((t, t[:1])) < 0, opening[None, :], np.vstack((t, t[:1]))) + at
-        parts.append((t * 2 + dead).astype(np.int32))
-        roots.append(at)
-        at += len(t)
-    table = np.concatenate(parts) if parts else np.zeros((0, used), np.int32)
-    return Model(langs, classes, letter, table, np.array(roots, np.int64))
+    classes = np.zeros(0x110000, np.int32)
+    classes[every] = of_low[low]
+    width = len(seen) + 2
+    rows: list[dict[int, int]] = []
+    opening = np.zeros((len(langs), width), np.int64)
+    for k, lang in enumerate(langs):
+        at = len(rows)
+        nxt = suffix_automaton(sequence(lowered[lang], classes))
+        # state 0, the root, is never looked up: it stands for the state after an unseen
+        # character, where any character opens a phrase
+        opening[k] = at
+        for c, t in nxt[0].items():
+            opening[k, c] = at + t
+        rows.append({})
+        rows += [{c: at + t for c, t in r.items()} for r in nxt[1:]]
+    place, cells = interleave(rows, width)
+    return Model(langs, classes, letter, place[opening] if langs else opening, cells)
+
+
+def passage(text: Column, limit: int) -> Column:
+    """The text if it has at most ``limit`` characters, otherwise its first paragraphs that fit (the
+    first words, or characters, where no paragraph ends in time)."""
+    head = F.substring(text, 1, limit)
+    line = F.length(head) - F.instr(F.reverse(head), "\n") + 1
+    word = F.length(head) - F.instr(F.reverse(head), " ") + 1
+    end = F.when(F.instr(head, "\n") > 1, line).when(F.instr(head, " ") > 1, word).otherwise(F.lit(limit))
+    return F.when(F.length(text) <= limit, text).otherwise(F.substring(head, F.lit(1), end))
+
+
+def _smallest(rows: DataFrame, n: int) -> dict[str, list[tuple[bool, int]]]:
+    """Per language the (long, hash) pairs of its ``n`` first texts, fitting ones before long
+    ones and by hash within them. Hashes are spread evenly, so a threshold for about ``MARGIN``
+    times ``n`` of them comes from the counted distinct hashes; only what lies below is grouped
+    (pre-aggregated in each task) and looked at, again with a higher threshold where too few do."""
+    first: dict[tuple, float] = {}
+    for r in rows.groupBy("lang", "long").agg(F.approx_count_distinct("h").alias("d")).collect():
+        first[r["lang"], r["long"]] = min(1.0, MARGIN * n / max(r["d"], 1))
+    found: dict[tuple, list[int]] = {}
+    todo = dict(first)
+    while todo:
+        share = F.create_map(*[F.lit(x) for key, t in todo.items() for x in (f"{int(key[1])}{key[0]}", t)])
+        limit = F.try_element_at(share, F.concat(F.col("long").cast("int").cast("string"), F.col("lang")))
+        below = rows.where((F.col("h").cast("double") + 2.0 ** 63) / 2.0 ** 64 <= limit)
+        got: dict[tuple, list[int]] = {}
+        # a few times n hashes a language
+        for r in below.groupBy("lang", "long", "h").agg(F.count(F.lit(1)).alias("c")).collect():
+            got.setdefault((r["lang"], r["long"]), []).append(r["h"])
+        again = {}
+        for key, t in todo.items():
+            found[key] = sorted(got.get(key, []))[:n]
+            if len(found[key]) < n and t < 1.0:
+                again[key] = min(1.0, 8 * t)
+        todo = again
+    out: dict[str, list[tuple[bool, int]]] = {}
+    for lang, long in sorted(found, key=lambda k: (k[0], k[1])):
+        out.setdefault(lang, []).extend((long, h) for h in found[lang, long])
+    return {lang: pairs[:n] for lang, pairs in out.items()}
 
 
 def fit(docs: DataFrame, train: Column, lang: str = "lang", text: str = "text",
         id_col: str = "doc_id", sample_chars: int = SAMPLE_CHARS) -> Model:
     """Learn from the rows where ``train`` holds and the label is known. The sample is at most
-    ``SAMPLE_TEXTS`` texts per language, each at most ``sample_chars`` long, in the order of
-    a hash of their text (equal texts count once)."""
-    rows = (docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull()
-                       & (F.length(text) <= sample_chars) & (F.length(text) > 0))
+    ``SAMPLE_TEXTS`` texts and ``sample_chars`` characters per language, in the order of a hash
+    of the text (equal texts count once); texts longer than that come after all others, as
+    passages."""
+    rows = (docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
             .select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"),
-                    F.xxhash64(F.col(text)).alias("h")))
-    # hashes first: the texts of the chosen few are fetched by a second, filtered scan. The
-    # first ones of a language are among the first ones of each of its ``SALTS`` shares, so no
-    # task meets more of a frequent language than its share
-    salt = F.pmod("h", F.lit(SALTS))
-    share = Window.partitionBy("lang", salt).orderBy("h")
-    w = Window.partitionBy("lang").orderBy("h")
-    chosen = rows.select("lang", "h").groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n"))
-    for part in (share, w):
-        chosen = (chosen.withColumn("rn", F.row_number().over(part))
-                  .where(F.col("rn") <= SAMPLE_TEXTS).drop("rn"))
-    chosen = chosen.select("lang", "h")
-    picked = (rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h")
-              .agg(F.min("text").alias("text")).collect())  # SAMPLE_TEXTS a language at most
+                    (F.length(text) > sample_chars).alias("long"), F.xxhash64(F.col(text)).alias("h")))
+    # hashes first: the texts of the chosen few are fetched by a second, filtered scan
+    chosen = [(x, long, h) for x, pairs in _smallest(rows.select("lang", "long", "h"), SAMPLE_TEXTS).items()
+              for long, h in pairs]
+    few = docs.sparkSession.createDataFrame(chosen, "lang string, long boolean, h bigint")
+    picked = (rows.join(F.broadcast(few), ["lang", "long", "h"])  # SAMPLE_TEXTS a language at most
+              .select("lang", "long", "h", passage(F.col("text"), sample_chars).alias("text"))
+              .groupBy("lang", "long", "h").agg(F.min("text").alias("text")).collect())
     samples: dict[str, list[str]] = {}
     left: dict[str, int] = {}
-    for r in sorted(picked, key=lambda r: (r["lang"], r["h"])):
+    for r in sorted(picked, key=lambda r: (r["lang"], r["long"], r["h"])):
         room = left.setdefault(r["lang"], sample_chars)
         if len(r["text"]) <= room:
             samples.setdefault(r["lang"], []).append(r["text"])
@@ -186,20 +273,20 @@ def phrases(model: Model, texts: list[str | None], block: int = BLOCK) -> tuple:
     lens = np.array([len(x) for x in lanes])
     order = np.argsort(-lens, kind="stable")
     lens = lens[order]
-    grid = np.zeros((len(lanes), int(lens[0])), np.uint8)
+    grid = np.zeros((len(lanes), int(lens[0])), np.int32)
     for row, j in enumerate(order.tolist()):
         grid[row, :lens[row]] = lanes[j]
     grid = np.ascontiguousarray(grid.T)
     active = len(lens) - np.searchsorted(lens[::-1], np.arange(grid.shape[0]), side="right")
-    width = model.table.shape[1]
-    flat = model.table.reshape(-1)
-    state = np.repeat(model.roots[:, None], len(lens), axis=1)
+    state = model.opening[:, grid[0]]  # a lane's first character opens its first phrase
     found = np.ones((k, len(lens)), np.int64)
-    for step in range(grid.shape[0]):
+    for step in range(1, grid.shape[0]):
         a = int(active[step])
-        v = flat[state[:, :a] * width + grid[step, :a]]
-        found[:, :a] += v & 1
-        state[:, :a] = v >> 1
+        c, now = grid[step, :a], state[:, :a]
+        cell = model.cells[now + c]
+        on = (cell >> 32) == now
+        found[:, :a] += ~on
+        state[:, :a] = np.where(on, cell & 0xFFFFFFFF, model.opening[:, c])
     np.add.at(counts, np.array(owner)[order], found.T)
     return counts, chars, has
 
