@@ -194,8 +194,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     top = [rated.where(F.col("__y") == y).orderBy("__h", id_col).limit(2 * SAMPLE_PER_CLASS)
            for y in (0, 1)]
     chosen = saved(top[0].unionByName(top[1]))
-    picked = texts.join(broadcast_if_bounded(chosen, 40), id_col) \
-        .dropDuplicates([id_col])
+    # of the texts of a repeated id the one with the smallest hash
+    picked = texts.join(broadcast_if_bounded(chosen, 40), id_col).groupBy(id_col, "__h", "__y") \
+        .agg(F.min_by("__x", F.struct(F.xxhash64("__x"), F.col("__x"))).alias("__x"))
     picked = picked.withColumn("rn", F.row_number().over(w)) \
         .where(F.col("rn") <= SAMPLE_PER_CLASS).select("__h", "__y", "__x")
     encoded = map_texts(picked, "__x", ["__h", "__y"], [("x", "array<float>")], _encoded)
