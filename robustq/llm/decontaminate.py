@@ -18,6 +18,8 @@ an empty benchmark leaves every document clean.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -109,10 +111,12 @@ def _bitmap(prints: DataFrame) -> np.ndarray:
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
                   text: str = "text", item_id: str = "item_id", item_text: str = "text",
-                  window: int = 10) -> DataFrame:
-    """One row per document row: id, n_words, spans (array of start/end word positions that
-    occur in the benchmark, merged), n_hit, items (sorted distinct item ids as strings)."""
+                  window: int = 10, carry: Sequence[str] | None = None) -> DataFrame:
+    """One row per document row: the ``carry`` columns (default: the id), n_words, spans (array of
+    start/end word positions that occur in the benchmark, merged), n_hit, items (sorted distinct
+    item ids as strings)."""
     spark = docs.sparkSession
+    carry = [id_col] if carry is None else list(carry)
     item_words = saved(map_texts(
         items, item_text, [item_id], [("n_words", "bigint"), ("cand", _CAND)],
         lambda col: _candidates(col, window, list(range(1, window)), None, True)))
@@ -128,7 +132,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     bitmap = spark.sparkContext.broadcast(_bitmap(contexts.select("h")))
 
     base = saved(map_texts(
-        docs, text, [id_col], [("n_words", "bigint"), ("cand", _CAND)],
+        docs, text, carry, [("n_words", "bigint"), ("cand", _CAND)],
         lambda col: _candidates(col, window, short, bitmap.value, False))
         .withColumn("_row", F.monotonically_increasing_id()))
     cand = base.select("_row", F.explode("cand").alias("c")).select("_row", "c.*")
@@ -155,8 +159,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     named = (hits.select("_row", "ctx").distinct()
              .join(grams.select("ctx", "item").distinct(), "ctx")
              .groupBy("_row").agg(F.array_sort(F.collect_set("item")).alias("items")))
-    return (base.select("_row", id_col, "n_words")
+    return (base.select("_row", *carry, "n_words")
             .join(runs, "_row", "left").join(named, "_row", "left")
-            .select(id_col, "n_words", "spans", F.coalesce("n_hit", F.lit(0)).cast("bigint")
+            .select(*carry, "n_words", "spans", F.coalesce("n_hit", F.lit(0)).cast("bigint")
                     .alias("n_hit"),
                     F.coalesce("items", F.array().cast("array<string>")).alias("items")))

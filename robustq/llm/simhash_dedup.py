@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from robustq.llm.common import broadcast_if_bounded, map_texts, saved
+from robustq.llm.common import broadcast_if_bounded, join_by_any, map_texts, saved
 from robustq.llm.graph import connected_components
 
 SEED = 42          # fixed value of the contract
@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
              .withColumn("root", F.coalesce("component", "fp")))
     root = named.groupBy("root").agg(F.min("first").alias("component_id"))
     cls = saved(named.select("fp", "root").join(root, "root").select("fp", "component_id"))
-    return fp.join(cls, "fp").select(id_col, "fp", "component_id")
+    return join_by_any(fp, cls, ["fp"], F.col(id_col), 32).select(id_col, "fp", "component_id")
 
 
 def hex_fp(fp: str = "fp") -> Column:
