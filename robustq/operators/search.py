@@ -278,7 +278,7 @@ def search_space(fitted, allowed: DataFrame, seeds: Sequence[int], k: int) -> Da
 
 def gradient_candidates(space: DataFrame, push: dict[int, list], priors: dict[int, list[int]],
                         k: int) -> DataFrame:
-    """Per seed the k tokens with the largest first-order gain (seed, cand_rank, token).
+    """Per seed the k tokens with the largest first-order gain (seed, cand_rank, token, w).
 
     The additive score of class y grows with w(token, y) at the flipped slot, so the gain is the
     sum over classes of ``push`` (minus the loss gradient of the class score at the current
@@ -291,11 +291,11 @@ def gradient_candidates(space: DataFrame, push: dict[int, list], priors: dict[in
         gain = term(0)
         for i in range(1, len(g)):
             gain = gain + term(i)
-        rows.append(F.struct(F.lit(s).alias("seed"), gain.alias("gain")))
-    d = space.select("token", F.explode(F.array(*rows)).alias("r")).select("token", "r.seed", "r.gain")
+        rows.append(F.struct(F.lit(s).alias("seed"), gain.alias("gain"), w.alias("w")))
+    d = space.select("token", F.explode(F.array(*rows)).alias("r")).select("token", "r.*")
     w = Window.partitionBy("seed").orderBy(F.col("gain").desc(), F.col("token"))
     return (d.withColumn("cand_rank", F.row_number().over(w)).filter(F.col("cand_rank") <= k)
-            .select("seed", "cand_rank", "token"))
+            .select("seed", "cand_rank", "token", "w"))
 
 
 def loss_push(score: Column, gold: Column, n_labels: int, scale: float) -> Column:
@@ -330,10 +330,11 @@ def greedy_search(train: DataFrame, dev: DataFrame, triggers: DataFrame, allowed
 
     Dev rows are scored in the same job as the training rows: dev accuracy depends only on the
     trigger, so the log is that of a separate dev evaluation after each accepted flip. What
-    reaches the driver per step is one row per (seed, candidate). Example scores of both
-    splits are written once, so lineage stays short."""
+    reaches the driver per step is one row per (seed, candidate); the scores of the few variants
+    are sums of token weights that it already has. Example scores of both splits are written
+    once, so lineage stays short and a step is one pass over them."""
     from robustq.functions.materialize import materialize
-    from robustq.operators.scoring import SCALE, AdditiveScorer, class_id, predict_from_scores
+    from robustq.operators.scoring import SCALE, AdditiveScorer, class_id, grid_join, predict_from_scores
     scorer = scorer or AdditiveScorer()
     spark = train.sparkSession
     fitted = scorer.fit(train)
@@ -348,15 +349,33 @@ def greedy_search(train: DataFrame, dev: DataFrame, triggers: DataFrame, allowed
     counts = [F.sum(F.when(~is_dev, right).otherwise(0)).alias("n_correct"),
               (F.sum(F.when(is_dev, right).otherwise(0)) / (F.sum(is_dev.cast("int")) + F.lit(1e-13))).alias("dev_acc")]
 
-    def grid(it: int, seeds: list[int], cands: list[tuple]) -> DataFrame:
-        trig = spark.createDataFrame([(s, current[s]) for s in seeds], "seed int, tokens array<string>")
-        cand = spark.createDataFrame(cands, "seed int, cand_rank int, token string")
-        var = candidate_variants(trig, cand, it, n_tokens)
-        return scorer.grid_from(scores, var, fitted, n_variants=len(seeds) + len(cands))
+    # weights of the tokens that triggers hold: those at the start, then the accepted candidates
+    held = sorted({t for ts in current.values() for t in ts if t})
+    known = {(s, r["token"]): r[f"w_{s}"] for r in fitted.weights.filter(F.col("token").isin(held)).collect()
+             for s in current}
+
+    def variant(seed: int, tokens: list[str]) -> list[int]:
+        """Class scores of a trigger (:meth:`AdditiveScorer.variant_scores`)."""
+        out, n = [0] * n_labels, len(tokens)
+        for i, t in enumerate(tokens):
+            for y, w in enumerate((known.get((seed, t)) or fitted.priors[seed]) if t else ()):
+                out[y] += (n - i) * w
+        return out
+
+    def grid(slots: dict[int, int], cands: list[tuple]) -> DataFrame:
+        """The current trigger of each seed (rank 0) and its candidates, over all examples."""
+        rows = [(s, slot, 0, None, variant(s, current[s])) for s, slot in slots.items()]
+        for s, rank, token, w in cands:
+            known[s, token] = w
+            rows.append((s, slots[s], rank, token, variant(
+                s, [token if i == slots[s] else t for i, t in enumerate(current[s])])))
+        var = spark.createDataFrame(rows, "seed int, slot int, cand_rank int, token string, t array<bigint>")
+        g = grid_join(scores, var, ["seed"], len(rows), max(len(rows), scorer.variant_rows))
+        return g.withColumn("score", F.zip_with("s", "t", lambda a, b: a + b)).drop("s", "t")
 
     def assess(seeds: list[int]) -> dict:
         """Counts and gradient of the current triggers, one job."""
-        g = grid(0, seeds, []).withColumn("push", loss_push(
+        g = grid({s: 0 for s in seeds}, []).withColumn("push", loss_push(
             F.col("score"), class_id(F.col("gold"), scorer.labels), n_labels, float(SCALE)))
         push = [F.sum(F.when(~is_dev, F.get("push", i)).otherwise(0)).alias(f"g{i}") for i in range(n_labels)]
         got = predict_from_scores(g).groupBy("seed").agg(*counts, *push).collect()
@@ -366,12 +385,12 @@ def greedy_search(train: DataFrame, dev: DataFrame, triggers: DataFrame, allowed
         push = {s: [r[f"g{i}"] for i in range(n_labels)] for s, r in states.items()}
         out: dict[int, list[tuple]] = {s: [] for s in push}
         for r in gradient_candidates(space, push, fitted.priors, k).collect() if push else []:
-            out[r["seed"]].append((r["seed"], r["cand_rank"], r["token"]))
+            out[r["seed"]].append((r["seed"], r["cand_rank"], r["token"], list(r["w"])))
         return out
 
-    def step(it: int, seeds: list[int]) -> dict[int, list]:
+    def step(slots: dict[int, int]) -> dict[int, list]:
         """One job: the counts of the current trigger (rank 0) and of every candidate."""
-        p = predict_from_scores(grid(it, seeds, [c for s in seeds for c in cands[s]]))
+        p = predict_from_scores(grid(slots, [c for s in slots for c in cands[s]]))
         out: dict[int, list] = {}
         for r in p.groupBy("seed", "slot", "cand_rank", "token").agg(*counts).collect():
             out.setdefault(r["seed"], []).append(r)
@@ -384,8 +403,8 @@ def greedy_search(train: DataFrame, dev: DataFrame, triggers: DataFrame, allowed
     tried: dict[int, set[int]] = {s: set() for s in first}
     for it in range(iters):
         slots = {s: flip_slot(s, it, n_tokens) for s in sorted(first)}
-        todo = [s for s, slot in slots.items() if slot not in tried[s]]
-        got = step(it, todo) if todo else {}
+        todo = {s: slot for s, slot in slots.items() if slot not in tried[s]}
+        got = step(todo) if todo else {}
         changed = []
         for s, slot in slots.items():
             tried[s].add(slot)
