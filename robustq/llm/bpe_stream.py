@@ -29,10 +29,11 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 
 from robustq.llm.common import map_texts
@@ -43,7 +44,8 @@ BYTE_CHAR = {b: chr(b) for b in _PRINT}
 BYTE_CHAR |= {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINT)}
 CHAR_BYTE = {c: b for b, c in BYTE_CHAR.items()}
 
-CACHE_ENTRIES = 150_000  # parameter: chunks per cache generation
+CACHE_ENTRIES = 120_000  # parameter: chunks per cache generation
+WORD_ENTRIES = 30_000    # parameter: words whose ids are kept
 SEGMENT_CHARS = 1 << 19   # parameter: characters normalised and cut into chunks at a time
 SPACE = regex.compile(r"\s+")
 
@@ -65,6 +67,35 @@ class Vocabulary:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern: str = split["pattern"]["Regex"]
         self.lookahead = sufficient_lookahead(pairs, self.suffix)
+        self._number(pairs)
+        self.names = {i: str(i) for i in self.tokens}
+        # what the decoding machine reads of an id: its bytes, and whether a word ends there
+        self.bytes: dict[int, bytes] = {}
+        self.ends: set[int] = set()
+        for t, i in self.ids.items():
+            if self.suffix and t.endswith(self.suffix):
+                self.ends.add(i)
+                t = t[:-len(self.suffix)]
+            self.bytes[i] = bytes(CHAR_BYTE[c] for c in t if c in CHAR_BYTE)
+        self.plain = set(self.added.values())
+        self.closing = self.ends | self.plain
+
+
+    def _number(self, pairs: list[tuple[str, str]]) -> None:
+        """Symbols as numbers, for ordinary words: a pair is one number, its rank and what it becomes
+        are looked up without building strings."""
+        number: dict[str, int] = {}
+        def of(x: str) -> int:
+            return number.setdefault(x, len(number))
+        self.first = [of(BYTE_CHAR[b]) for b in range(256)]
+        self.last = [of(BYTE_CHAR[b] + self.suffix) for b in range(256)]
+        joins = [(of(x), of(y), of(x + y)) for x, y in pairs]
+        self.width = len(number)
+        self.joins: dict[int, int] = {}
+        for rank, (x, y, _) in enumerate(joins):
+            self.joins.setdefault(x * self.width + y, rank)
+        self.made = [z for _, _, z in joins]
+        self.id_of = [self.ids.get(x, -1) for x in number]
 
 
 def sufficient_lookahead(merges: Iterable[tuple[str, str]], suffix: str = "") -> int:
@@ -92,6 +123,8 @@ class Encoder:
             regex.escape(t) for t in sorted(vocab.added, key=len, reverse=True)) or r"(?!)")
         self.buffer = buffer or max(256, 4 * vocab.lookahead)
         self.cache = _Cache(self.encode_chunk)
+        self.words: dict[str, list[int]] = {}
+        self.machine = TextDecoder(vocab)
 
     # -- merging ---------------------------------------------------------------------
     def _merge_short(self, sym: list[str]) -> list[str]:
@@ -162,8 +195,32 @@ class Encoder:
             yield from self._merge([*held, ahead + self.v.suffix])
 
     # -- text ------------------------------------------------------------------------
+    def _ordinary(self, data: bytes) -> list[int]:
+        """Ids of a short word: the best pair first, leftmost first among equals, on numbers."""
+        v = self.v
+        first, made, width, get, none = v.first, v.made, v.width, v.joins.get, len(v.made)
+        sym = [first[b] for b in data]
+        sym[-1] = v.last[data[-1]]
+        r = [get(a * width + b, none) for a, b in zip(sym, sym[1:])]
+        while r:
+            low = min(r)
+            if low == none:
+                break
+            i = r.index(low)
+            sym[i] = made[low]
+            del sym[i + 1], r[i]
+            if i:
+                r[i - 1] = get(sym[i - 1] * width + sym[i], none)
+            if i < len(r):
+                r[i] = get(sym[i] * width + sym[i + 1], none)
+        id_of = v.id_of
+        return [id_of[x] for x in sym if id_of[x] >= 0]
+
     def _word(self, word: str) -> list[int]:
-        ids, chars = self.v.ids, [BYTE_CHAR[b] for b in word.encode("utf-8", "surrogatepass")]
+        data = word.encode("utf-8", "surrogatepass")
+        if len(data) < 48:
+            return self._ordinary(data)
+        ids, chars = self.v.ids, [BYTE_CHAR[b] for b in data]
         if len(chars) <= self.buffer:
             chars[-1] += self.v.suffix
             tokens = self._merge(chars)
@@ -171,13 +228,32 @@ class Encoder:
             tokens = self.stream(chars)
         return [ids[t] for t in tokens if t in ids]
 
-    def encode_chunk(self, chunk: str) -> tuple[int, str, str]:
-        """(number of ids, ids joined by spaces, their tokens joined by spaces) of a chunk
-        without white space."""
+    def encode_chunk(self, chunk: str) -> tuple[int, str, str, str | None]:
+        """(number of ids, ids joined by spaces, their tokens joined by spaces, the text that the
+        decoding machine makes of them) of a chunk without white space. The machine is fed the ids
+        from its starting state; the text is None if it does not end between two words, where
+        the machine has no memory."""
         ids: list[int] = []
-        for m in self.piece.finditer(chunk):
-            ids += self._word(m.group())
-        return len(ids), " ".join(map(str, ids)), decode(self.v, ids)
+        known = self.words
+        # letters of ASCII alone are one part of the pattern
+        whole = chunk.isascii() and chunk.isalpha()
+        for word in (chunk,) if whole else self.piece.findall(chunk):
+            got = known.get(word)
+            if got is None:
+                got = self._word(word)
+                if len(word) <= 32:
+                    if len(known) >= WORD_ENTRIES:
+                        known.clear()
+                    known[word] = got
+            ids += got
+        machine = self.machine
+        text = machine.feed_all(ids)
+        if not machine.between_words():
+            text = None
+        machine.reset()
+        names, tokens = self.v.names, self.v.tokens
+        return (len(ids), " ".join([names[i] for i in ids]), " ".join([tokens[i] for i in ids]),
+                chunk if text == chunk else text)
 
     def normalised(self, text: str) -> list[str]:
         """Chunks between white space of NFC, lower-cased text (character by character)."""
@@ -187,17 +263,17 @@ class Encoder:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         return SPACE.split(text) if _odd(text) else text.split()
 
-    def parts(self, text: str | None) -> Iterator[list[tuple[int, str, str]]]:
+    def parts(self, text: str | None) -> Iterator[list[tuple[int, str, str, str | None]]]:
         """Lists of encoded chunks, in order; added tokens come as chunks of their own."""
         text, at = text or "", 0
         if "<" in text:
             for m in self.special.finditer(text):
                 yield from self._segments(text[at:m.start()])
-                yield [(1, str(self.v.added[m.group()]), m.group())]
+                yield [(1, str(self.v.added[m.group()]), m.group(), m.group())]
                 at = m.end()
         yield from self._segments(text[at:] if at else text)
 
-    def _segments(self, text: str) -> Iterator[list[tuple[int, str, str]]]:
+    def _segments(self, text: str) -> Iterator[list[tuple[int, str, str, str | None]]]:
         """Encode in segments cut before white space, so that no long list is held."""
         at = 0
         while at < len(text):
@@ -245,26 +321,60 @@ def decode(vocab: Vocabulary, ids: Iterable[int]) -> str:
 
 
 class TextDecoder:
-    """Incremental byte-to-text machine: feed ids one at a time, get the text that is final.
-    The state is the open part of one UTF-8 sequence and whether a word just ended."""
+    """Incremental byte-to-text machine: feed ids, get the text that is final. The state is the open
+    part of one UTF-8 sequence and whether a word just ended."""
 
     def __init__(self, vocab: Vocabulary):
         self.v = vocab
         self.machine = codecs.getincrementaldecoder("utf-8")(errors="replace")
         self.gap = False
-        self.plain = set(vocab.added.values())
+
+    def reset(self) -> None:
+        self.machine.reset()
+        self.gap = False
 
     def feed(self, i: int) -> str:
-        token = self.v.tokens.get(i, "")
-        out = ""
-        if self.gap:
-            out, self.gap = " ", False
-        if i in self.plain:
-            self.gap = True
-            return out + self.machine.decode(b"", True) + token
-        if self.v.suffix and token.endswith(self.v.suffix):
-            token, self.gap = token[:-len(self.v.suffix)], True
-        return out + self.machine.decode(bytes(CHAR_BYTE[c] for c in token if c in CHAR_BYTE))
+        return self.feed_all((i,))
+
+    def feed_all(self, ids: Sequence[int]) -> str:
+        """The ids one after the other; the bytes of one word are decoded together."""
+        v = self.v
+        if not self.gap and ids and ids[-1] in v.ends and v.closing.isdisjoint(ids[:-1]) \
+                and not self.machine.getstate()[0]:
+            try:  # one whole word from a clean state: the usual case
+                text = b"".join([v.bytes[i] for i in ids]).decode()
+                self.gap = True
+                return text
+            except UnicodeDecodeError:  # it ends within a character, or has none
+                pass
+        out, data = [], []
+        for i in ids:
+            if self.gap:
+                out.append(" ")
+                self.gap = False
+            if i in v.plain:
+                out.append(self.machine.decode(b"".join(data)) + self.machine.decode(b"", True) + v.tokens[i])
+                data, self.gap = [], True
+                continue
+            data.append(v.bytes.get(i, b""))
+            if i in v.ends:
+                out.append(self.machine.decode(b"".join(data)))
+                data, self.gap = [], True
+        if data:
+            out.append(self.machine.decode(b"".join(data)))
+        return "".join(out)
+
+    def between_words(self) -> bool:
+        """A word just ended and no character is open: what follows is read as from the start,
+        behind one space."""
+        return self.gap and not self.machine.getstate()[0]
+
+    def join(self, texts: Sequence[str]) -> str:
+        """Feed chunks by the texts they have from the starting state. Only at the start or
+        between words."""
+        out = " ".join(texts)
+        out, self.gap = (" " + out if self.gap else out), True
+        return out
 
     def close(self) -> str:
         return self.machine.decode(b"", True)
@@ -297,28 +407,44 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id",
 
 def bpe_digest(docs: DataFrame, path: str, carry: list[str] | None = None,
                text: str = "text") -> DataFrame:
-    """The ``carry`` columns (default: all), n_tokens, ids_sha256 and decoded_sha256: the
-    encoding of every text hashed while it streams, so that no text's ids are held at once."""
+    """The ``carry`` columns (default: all), n_tokens, ids_sha256, decoded_sha256 (the tokens joined
+    by spaces, which is what the library returns for a file without a decoder) and text_xxh64
+    (of the text that the byte-to-text machine makes of the ids): the encoding of every text hashed
+    while it streams, so that no text's ids are held at once."""
     vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
     def fn(col):
         enc = encoder(vocab)
         rows = [digest(enc, t) for t in col.to_pylist()]
-        return [list(x) for x in zip(*rows)] if rows else [[], [], []]
+        return [list(x) for x in zip(*rows)] if rows else [[], [], [], []]
     carry = list(docs.columns) if carry is None else carry
     return map_texts(docs, text, carry, [("n_tokens", "bigint"), ("ids_sha256", "string"),
-                                          ("decoded_sha256", "string")], fn)
+                                          ("decoded_sha256", "string"), ("text_xxh64", "string")], fn)
 
 
-def digest(enc: Encoder, text: str | None) -> tuple[int, str, str]:
-    """(number of tokens, sha256 of the ids, sha256 of the decoded text), hashed as they come."""
+def digest(enc: Encoder, text: str | None) -> tuple[int, str, str, str]:
+    """(number of tokens, sha256 of the ids and of the tokens joined by spaces, XXH64 of the text that
+    the decoding machine makes of the ids), hashed as they come."""
     n, hashes, first = 0, (hashlib.sha256(), hashlib.sha256()), True
+    machine, out = TextDecoder(enc.v), xxhash.xxh64()
+    start = True  # the machine is in its starting state
     for part in enc.parts(text):
-        counts, ids, tokens = zip(*part)
+        counts, ids, tokens, texts = zip(*part)
         n += sum(counts)
         for h, held in zip(hashes, (ids, tokens)):
             if not first:
                 h.update(b" ")
             h.update(" ".join(held).encode())
-        first = False
-    return n, hashes[0].hexdigest(), hashes[1].hexdigest()
+        if None not in texts and (start or machine.between_words()):
+            out.update(machine.join(texts).encode("utf-8", "surrogatepass"))
+        else:
+            for i, known in zip(ids, texts):
+                if known is not None and (start or machine.between_words()):
+                    piece = machine.join([known])
+                else:
+                    piece = machine.feed_all([int(x) for x in i.split(" ")])
+                out.update(piece.encode("utf-8", "surrogatepass"))
+                start = False
+        first = start = False
+    out.update(machine.close().encode("utf-8", "surrogatepass"))
+    return n, hashes[0].hexdigest(), hashes[1].hexdigest(), out.hexdigest()
