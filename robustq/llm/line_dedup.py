@@ -30,13 +30,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from robustq.llm.common import broadcast_if_bounded, saved, shared_folder
+from robustq.llm.common import broadcast_if_bounded, delete_folder, saved, shared_folder
 
 # fixed value of the contract: characters stripped at both ends of a line
 STRIP = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RUN_SCHEMA = "h1 bigint, h2 bigint, n_docs bigint, owner bigint"
 SALTS = 16  # parameter: copies of the frequent keys when they are joined by a shuffle
+CORE_ROWS = 1 << 18  # parameter: (line, document) keys of a batch for each core of the cluster
 
 
 def line_key(line: Column) -> Column:
@@ -56,7 +57,7 @@ def _hash_struct(line: Column, min_chars: int) -> Column:
 class LineRuns:
     """Levelled runs of line hashes. ``add`` takes (h1, h2, n_docs, owner) per new key."""
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = 4):
+    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = 3):
         self.spark = spark
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.fanout = fanout
@@ -108,15 +109,18 @@ class LineRuns:
             F.sum("n_docs").alias("n_docs"), F.max("owner").alias("owner"))
 
     def close(self) -> None:
-        """Forget the tables (the files stay in the checkpoint folder for running readers)."""
+        """Forget the tables and delete their files. What was read from them must be written."""
         for t in self.tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+        self.tables = []
+        delete_folder(self.spark, self.folder)
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
-                   min_chars: int = 40, min_docs: int = 5, batches: int = 3,
-                   fanout: int = 4) -> DataFrame:
-    """(id, drop): per document the hashes of the lines it loses."""
+                   min_chars: int = 40, min_docs: int = 5, batches: int | None = None,
+                   fanout: int = 3) -> DataFrame:
+    """(id, drop): per document the hashes of the lines it loses. Without ``batches`` a batch holds
+    about ``CORE_ROWS`` keys a core, so their number grows with the input."""
     spark = docs.sparkSession
     lines = F.array_distinct(F.filter(
         F.transform(F.split(F.col(text), "\n"), lambda x: _hash_struct(x, min_chars)),
@@ -124,25 +128,29 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     keys = saved(docs.where(F.col(id_col).isNotNull() & (F.length(text) >= min_chars))
                  .select(F.col(id_col).alias("id"), F.explode(lines).alias("k"))
                  .select("id", F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2")))
+    if batches is None:
+        batches = max(1, -(-keys.count() // (CORE_ROWS * spark.sparkContext.defaultParallelism)))
     # descending id ranges of about equal size; any cut gives the same result
     cuts = [i / batches for i in range(batches - 1, 0, -1)]
     at = keys.agg(F.percentile_approx("id", cuts, 1000).alias("c")).first()["c"] if cuts else []
     edges = sorted(set(at or []), reverse=True)
     runs = LineRuns(spark, fanout=fanout)
-    high = None
-    for low in [*edges, None]:
-        part = keys
-        if high is not None:
-            part = part.where(F.col("id") < high)
-        if low is not None:
-            part = part.where(F.col("id") >= low)
-        # (key, document) pairs are distinct within a row; repeated rows of one id are not
-        per_key = part.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one")) \
-            .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("owner"))
-        runs.add(per_key)
-        high = low
-    frequent = saved(runs.merged().where(F.col("n_docs") >= min_docs).select("h1", "h2", "owner"))
-    runs.close()
+    try:
+        high = None
+        for low in [*edges, None]:
+            part = keys
+            if high is not None:
+                part = part.where(F.col("id") < high)
+            if low is not None:
+                part = part.where(F.col("id") >= low)
+            # (key, document) pairs are distinct within a row; repeated rows of one id are not
+            per_key = part.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one")) \
+                .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("owner"))
+            runs.add(per_key)
+            high = low
+        frequent = saved(runs.merged().where(F.col("n_docs") >= min_docs).select("h1", "h2", "owner"))
+    finally:
+        runs.close()
     small = broadcast_if_bounded(frequent, 40)
     if small is frequent:  # too large to broadcast: salt, so that no line's rows meet in a task
         salted = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -155,7 +163,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
-                        min_chars: int = 40, min_docs: int = 5, batches: int = 3) -> DataFrame:
+                        min_chars: int = 40, min_docs: int = 5, batches: int | None = None) -> DataFrame:
     """Input columns with the text cleaned, plus ``n_lines`` and ``n_dropped``. Texts that
     lose nothing stay as they are (a null text stays null)."""
     drop = saved(repeated_lines(docs, id_col, text, min_chars, min_docs, batches))
