@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from robustq.llm import decontaminate as dc
 from robustq.llm import graph
@@ -24,6 +25,15 @@ def test_simhash_matches_brute_force(small, small_rows):
     assert got == {d: (f, comp[d]) for d, f in fps}
 
 
+def test_components_agree_beyond_the_broadcast_limit(spark, small, monkeypatch):
+    docs = small.select("doc_id", "text").limit(60).unionByName(
+        spark.range(40).select((F.col("id") + 1_000_000).alias("doc_id"), F.lit("one text of many copies").alias("text")))
+    want = sorted(map(tuple, sd.near_duplicates(docs).collect()))
+    from robustq.llm import common
+    monkeypatch.setattr(common, "broadcast_if_bounded", lambda d, *a: d)
+    assert sorted(map(tuple, sd.near_duplicates(docs).collect())) == want
+
+
 def _signed(x):
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -230,3 +240,43 @@ def test_selected_fingerprints_cover_every_window():
     for a, b in zip(w.first, w.first[1:]):
         for p in range(int(a), int(b) - 9):
             assert picked & set(range(p, p + 6))
+
+
+def test_batches_grow_with_the_keys_and_runs_are_deleted(spark, monkeypatch):
+    """More keys than a batch holds: several runs, compacted by level, and no table or file is left."""
+    from pathlib import Path
+    seen = []
+    class Runs(ld.LineRuns):
+        def _write(self, df):
+            name = super()._write(df)
+            seen.append((self.folder, name))
+            return name
+    monkeypatch.setattr(ld, "LineRuns", Runs)
+    monkeypatch.setattr(ld, "CORE_ROWS", 4)
+    rng = random.Random(3)
+    lines = [f"line number {i} of more than forty characters in all" for i in range(40)]
+    rows = [(d, "\n".join(rng.sample(lines, 5))) for d in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in ld.drop_repeated_lines(docs).collect()}
+    assert got == {d: b[2] for (d, _), b in zip(rows, brute.line_dedup(rows))}
+    batches = -(-300 // (4 * spark.sparkContext.defaultParallelism))
+    assert len(seen) > batches > 4  # every batch a run, every full level one more
+    assert not Path(seen[0][0].removeprefix("file:")).exists()
+    assert not any(spark.catalog.tableExists(n) for _, n in seen)
+
+    class Dies(Runs):
+        def add(self, batch):
+            super().add(batch)
+            raise RuntimeError("killed")
+    monkeypatch.setattr(ld, "LineRuns", Dies)
+    seen.clear()
+    with pytest.raises(RuntimeError, match="killed"):
+        ld.drop_repeated_lines(docs)
+    assert not spark.catalog.tableExists(seen[0][1]) and not Path(seen[0][0].removeprefix("file:")).exists()
+
+
+def test_line_plans_have_no_python(spark):
+    docs = spark.createDataFrame([(i, "the same line of more than forty characters, repeated\nx") for i in range(9)],
+                                 "doc_id bigint, text string")
+    plan = ld.drop_repeated_lines(docs)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))

@@ -40,3 +40,29 @@ def test_stages_keep_the_columns(spark, edge, small):
             assert out.count() <= docs.count(), name
     assert [n for n, _ in cp.STAGES] == ["language_id", "line_dedup", "simhash_near_dedup",
                                          "benchmark_decontamination", "bpe_encode_decode"]
+
+
+def test_null_and_repeated_ids_go_through_row_by_row(spark, small, tmp_path):
+    """A contaminated row goes whatever its id; a clean row that shares its id stays."""
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(q.tokenizer_path())
+    item = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").orderBy("item_id").first()["text"]
+    bad = "Some words before it. " + item + " Some words after it."
+    clean = [f"plain words number {w} of a text about {w} and nothing that is known elsewhere in {w}"
+             for w in ("apples", "rivers", "mountains", "letters")]
+    rows = [(None, bad), (None, clean[0]), (5, bad + " again"), (5, clean[1]), (6, clean[2]), (6, clean[2]),
+            (7, None), (8, "12 !"), (9, clean[3]), (10, clean[3]), (None, None)]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x or "")) for i, x in rows], small.schema)
+    for i, (_, stage) in enumerate(cp.STAGES):
+        stage(spark, docs, SF_SMALL).write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+    got = sorted(((r["doc_id"], r["text"], r["n_tokens"]) for r in docs.collect()), key=repr)
+    want = [(None, clean[0]), (5, clean[1]), (6, clean[2]), (6, clean[2]), (9, clean[3])]
+    assert got == sorted(((d, x, len(t.encode(x, add_special_tokens=False).ids)) for d, x in want), key=repr)
+
+
+def test_earlier_tables_are_deleted(spark):
+    from pathlib import Path
+    out = cp.run(spark, SF_SMALL)
+    files = [Path(f.removeprefix("file:")) for f in out.inputFiles()]
+    assert {p.name for p in files[0].parent.parent.iterdir()} == {"4_bpe_encode_decode"}
