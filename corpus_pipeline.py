@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from robustq.llm.bpe_stream import bpe_digest
-from robustq.llm.common import broadcast_if_bounded, documents, saved, shared_folder
+from robustq.llm.common import broadcast_if_bounded, delete_folder, documents, saved, shared_folder
 from robustq.llm.decontaminate import decontaminate
 from robustq.llm.language_id import identify
 from robustq.llm.line_dedup import drop_repeated_lines
@@ -39,10 +39,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = saved(found.where("n_hit > 0").select("doc_id").distinct())
-    return docs.join(broadcast_if_bounded(bad, 16), "doc_id", "left_anti").select(*docs.columns)
+    """Contaminated documents go. The text alone decides, so rows are told by two hashes of it:
+    a null or repeated id neither keeps a contaminated row nor drops a clean one."""
+    h1, h2 = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
+    keyed = docs.select("text", h1.alias("h1"), h2.alias("h2"))
+    found = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=["h1", "h2"])
+    bad = saved(found.where("n_hit > 0").select("h1", "h2").distinct())
+    small = broadcast_if_bounded(bad, 24)
+    return docs.join(small, (h1 == small["h1"]) & (h2 == small["h2"]), "left_anti").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +62,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that the last stage wrote; the tables of earlier stages are deleted when the next
+    one is written."""
     docs = documents(spark, sf_dir)
     folder = shared_folder(spark, "pipeline")
+    before = None
     for i, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{i}_{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before:
+            delete_folder(spark, before)
+        before = out
     return docs
