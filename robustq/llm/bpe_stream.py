@@ -384,7 +384,8 @@ _ENCODERS: dict = {}
 
 
 def encoder(vocab_broadcast) -> Encoder:
-    """One encoder (and cache) per Python worker."""
+    """One encoder (and cache) per Python worker while a task runs: workers stay after their task, and
+    an executor has more of them than cores, so what they keep is dropped with the task."""
     key = id(vocab_broadcast.value)
     if key not in _ENCODERS:
         _ENCODERS.clear()
@@ -392,6 +393,10 @@ def encoder(vocab_broadcast) -> Encoder:
     return _ENCODERS[key]
 
 
+def _drop() -> None:
+    _ENCODERS.clear()
+
+
 def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id",
                text: str = "text") -> DataFrame:
     """DataFrame (id, ids array<int>, decoded string) of every text."""
@@ -402,7 +407,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id",
         ids = [enc.ids(t) for t in col.to_pylist()]
         return [pa.array(ids, pa.list_(pa.int32())),
                 pa.array([decode(enc.v, i) for i in ids], pa.string())]
-    return map_texts(docs, text, [id_col], [("ids", "array<int>"), ("decoded", "string")], fn)
+    return map_texts(docs, text, [id_col], [("ids", "array<int>"), ("decoded", "string")], fn, _drop)
 
 
 def bpe_digest(docs: DataFrame, path: str, carry: list[str] | None = None,
@@ -419,7 +424,7 @@ def bpe_digest(docs: DataFrame, path: str, carry: list[str] | None = None,
         return [list(x) for x in zip(*rows)] if rows else [[], [], [], []]
     carry = list(docs.columns) if carry is None else carry
     return map_texts(docs, text, carry, [("n_tokens", "bigint"), ("ids_sha256", "string"),
-                                          ("decoded_sha256", "string"), ("text_xxh64", "string")], fn)
+                                          ("decoded_sha256", "string"), ("text_xxh64", "string")], fn, _drop)
 
 
 def digest(enc: Encoder, text: str | None) -> tuple[int, str, str, str]:

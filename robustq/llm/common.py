@@ -114,10 +114,11 @@ def release_memory() -> None:
 
 
 def map_texts(df: DataFrame, text: str, carry: Sequence[str], out: Sequence[tuple[str, str]],
-              fn: Callable[[pa.Array], list]) -> DataFrame:
+              fn: Callable[[pa.Array], list], done: Callable[[], None] | None = None) -> DataFrame:
     """Row-local Arrow map: the ``carry`` columns followed by the columns ``out`` that
     ``fn`` computes from the text column (one value per row). A carried column that has the
-    name of a new one is replaced by it."""
+    name of a new one is replaced by it. ``done`` is called in the worker when a task ends, to drop
+    what ``fn`` keeps."""
     bounded_batches(df.sparkSession)
     names = [n for n, _ in out]
     carry = [c for c in carry if c not in names]
@@ -138,6 +139,8 @@ def map_texts(df: DataFrame, text: str, carry: Sequence[str], out: Sequence[tupl
             arrays += [a if isinstance(a, pa.Array) else pa.array(a, t)
                        for a, t in zip(new, types)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*carry, *names])
+        if done is not None:
+            done()
         release_memory()
 
     return inp.mapInArrow(run, fields)
