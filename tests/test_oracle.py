@@ -16,14 +16,13 @@ QUERIES = dict(registry.QUERIES)
 
 # fits and searches to their end, models, and what SQL is too slow for: tested in test_training.py
 # (the first steps of the fits and the search against SQL) and test_sources_streams.py
-NO_SQL = {"label_projection", "linear_probe", "greedy_trigger_search", "score_model", "near_pairs",
-          "reorder_distinct"}
+NO_SQL = {"label_projection", "linear_probe", "greedy_trigger_search", "score_model", "reorder_distinct"}
 
 
 def test_every_query_has_an_entry():
     assert set(ORACLE) <= set(QUERIES)
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
-    assert len(QUERIES) == 73
+    assert len(QUERIES) == 72
     assert set(QUERIES) - set(ORACLE) == NO_SQL
 
 
