@@ -10,7 +10,9 @@ batch re-runs drive it; on a cluster the same query runs continuously.
 Predictions that carry an event time (:data:`TIMED_SCHEMA`) are counted once per (variant, example):
 the state keeps the pairs seen within the watermark's delay, so a file that is delivered again
 changes nothing, and rows older than the watermark are too late and dropped, so the state stays
-bounded by the delay.
+bounded by the delay. Where all variants of an example and seed arrive together, they are delivered
+as one row (:data:`ANSWERS_SCHEMA`, :func:`pack_answers`): files, shuffles and state then hold a key
+per example and seed, not one per variant of it.
 """
 
 from __future__ import annotations
@@ -26,6 +28,11 @@ TIMED_SCHEMA = T.StructType([T.StructField("variant_id", T.StringType()), T.Stru
                              T.StructField("correct", T.BooleanType()),
                              T.StructField("event_time", T.TimestampType())])
 
+# the answers of one example to all variants of a seed, scored together, as one event
+ANSWERS_SCHEMA = T.StructType([T.StructField("seed", T.IntegerType()), T.StructField("ex_id", T.StringType()),
+                               T.StructField("answers", T.ArrayType(PRED_SCHEMA)),
+                               T.StructField("event_time", T.TimestampType())])
+
 
 def first_predictions(stream: DataFrame, delay: str, key: tuple[str, ...] = ("variant_id", "ex_id"),
                       time: str = "event_time") -> DataFrame:
@@ -33,6 +40,13 @@ def first_predictions(stream: DataFrame, delay: str, key: tuple[str, ...] = ("va
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(key))
 
 
+def pack_answers(preds: DataFrame, *carry) -> DataFrame:
+    """One row per (seed, example) with the answers to all its variants. Predictions come out of the
+    scorer grouped by example and gold label, so that no shuffle is needed."""
+    packed = preds.groupBy("ex_id", "gold", "seed").agg(F.collect_list(F.struct("variant_id", "correct")).alias("answers"))
+    return packed.select("seed", "ex_id", "answers", *carry)
+
+
 def stream_accuracy(stream: DataFrame, by: list[str], eps: float = 1e-13) -> DataFrame:
     """Streaming aggregate: (by..., n_correct, n_examples, acc)."""
     agg = stream.groupBy(*by).agg(F.sum(F.col("correct").cast("long")).alias("n_correct"),
@@ -45,9 +59,14 @@ def run_available(spark: SparkSession, source: str, sink: str, checkpoint: str,
                   delay: str | None = None) -> DataFrame:
     """Process every file present under ``source`` (one file per micro-batch) and return
     the final result table. With ``delay`` the predictions are timed and counted once
-    (:func:`first_predictions`)."""
+    (:func:`first_predictions`), those of :data:`ANSWERS_SCHEMA` per seed and example."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    agg = stream_accuracy(first_predictions(stream, delay) if delay else stream, by)
+    packed = "answers" in schema.fieldNames()
+    if delay:
+        stream = first_predictions(stream, delay, ("seed", "ex_id") if packed else ("variant_id", "ex_id"))
+    if packed:
+        stream = stream.select(F.explode("answers").alias("_a")).select("_a.*")
+    agg = stream_accuracy(stream, by)
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
