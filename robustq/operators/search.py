@@ -334,7 +334,7 @@ def greedy_search(train: DataFrame, dev: DataFrame, triggers: DataFrame, allowed
     are sums of token weights that it already has. Example scores of both splits are written
     once, so lineage stays short and a step is one pass over them."""
     from robustq.functions.materialize import materialize
-    from robustq.operators.scoring import SCALE, AdditiveScorer, class_id, grid_join, predict_from_scores
+    from robustq.operators.scoring import SCALE, AdditiveScorer, class_id, grid_join, predict_from_scores, summed
     scorer = scorer or AdditiveScorer()
     spark = train.sparkSession
     fitted = scorer.fit(train)
@@ -371,7 +371,7 @@ def greedy_search(train: DataFrame, dev: DataFrame, triggers: DataFrame, allowed
                 s, [token if i == slots[s] else t for i, t in enumerate(current[s])])))
         var = spark.createDataFrame(rows, "seed int, slot int, cand_rank int, token string, t array<bigint>")
         g = grid_join(scores, var, ["seed"], len(rows), max(len(rows), scorer.variant_rows))
-        return g.withColumn("score", F.zip_with("s", "t", lambda a, b: a + b)).drop("s", "t")
+        return g.withColumn("score", summed("s", "t", n_labels)).drop("s", "t")
 
     def assess(seeds: list[int]) -> dict:
         """Counts and gradient of the current triggers, one job."""
