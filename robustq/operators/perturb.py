@@ -226,12 +226,16 @@ def delete_subsets(df: DataFrame, col: str = "tokens") -> DataFrame:
         .otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.greatest(n, F.lit(0))) - 1)
     d = _numbered(df, last, "_m")
     bit = lambda i: F.call_function("shiftright", F.col("_m"), i).bitwiseAND(F.lit(1)) != 0
-    d = d.withColumn("_v", bind(F.filter(positions(col), bit), lambda blank: F.struct(
-        F.array_join(F.transform(blank, lambda p: p.cast("string")), "-").alias("idx"),
-        F.size(blank).alias("n"))))
-    return (d.withColumn(col, F.transform(F.col(col), lambda t, i: F.when(bit(i), F.lit("")).otherwise(t)))
-            .withColumn("del_idx", F.col("_v.idx")).withColumn("n_del", F.col("_v.n"))
-            .drop("_m", "_v"))
+    # rows of a few tokens are written out in compiled code, the others by lambdas
+    few, m = n <= _TABLE_LEN, F.col("_m").cast("int")
+    names = F.array(*[F.lit("-".join(str(i) for i in range(_TABLE_LEN) if x >> i & 1)) for x in range(1 << _TABLE_LEN)])
+    short = F.slice(F.array(*[F.when(m.bitwiseAND(F.lit(1 << i)) != 0, F.lit("")).otherwise(F.get(F.col(col), i))
+                              for i in range(_TABLE_LEN)]), F.lit(1), n)
+    long = F.transform(F.col(col), lambda t, i: F.when(bit(i), F.lit("")).otherwise(t))
+    idx = F.array_join(F.transform(F.filter(positions(col), bit), lambda p: p.cast("string")), "-")
+    return d.withColumn("del_idx", F.when(few, F.get(names, m)).otherwise(idx)) \
+        .withColumn("n_del", F.bit_count("_m")) \
+        .withColumn(col, F.when(few, short).otherwise(long)).drop("_m")
 
 
 def chunk_tokens(df: DataFrame, text_col: str, size: int, out: str = "tokens") -> DataFrame:
