@@ -38,15 +38,25 @@ def worker_model(name: str, load: Callable[[], Callable]) -> Callable:
 def length_batches(lengths: np.ndarray, batch_ids: int) -> Iterator[np.ndarray]:
     """Row numbers in batches by ascending length whose padded size is within ``batch_ids``."""
     order = np.argsort(lengths, kind="stable")
+    sizes = np.maximum(lengths[order], 1).tolist()
     at = 0
     while at < len(order):
         end = at + 1
-        while end < len(order) and (end + 1 - at) * max(1, int(lengths[order[end]])) <= batch_ids:
+        while end < len(order) and (end + 1 - at) * sizes[end] <= batch_ids:
             end += 1
         yield order[at:end]
         at = end
 
 
+def padded_rows(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pad: int = PAD) -> np.ndarray:
+    """The rows ``flat[start:start + length]`` as one padded matrix, filled at once."""
+    out = np.full((len(starts), int(lengths.max(initial=0))), pad, np.int64)
+    ends = np.cumsum(lengths)
+    take = np.arange(int(lengths.sum())) + np.repeat(starts - (ends - lengths), lengths)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = flat[take]
+    return out
+
+
 def padded(ids: Sequence[np.ndarray], pad: int = PAD) -> np.ndarray:
     out = np.full((len(ids), max((len(x) for x in ids), default=0)), pad, np.int64)
     for i, x in enumerate(ids):
@@ -68,9 +78,9 @@ def infer(rows: DataFrame, load: Callable[[], Callable], name: str, n_out: int,
         for rb in batches:
             col = rb.column(len(carry))
             flat, offs = np.asarray(col.values), np.asarray(col.offsets)
-            scores = np.zeros((rb.num_rows, n_out))
-            for b in length_batches(np.diff(offs), batch_ids):
-                scores[b] = model(padded([flat[offs[i]:offs[i + 1]] for i in b], pad))
+            scores, lengths = np.zeros((rb.num_rows, n_out)), np.diff(offs).astype(np.int64)
+            for b in length_batches(lengths, batch_ids):
+                scores[b] = model(padded_rows(flat, offs[b], lengths[b], pad))
             lists = pa.ListArray.from_arrays(np.arange(0, scores.size + 1, n_out, dtype=np.int32),
                                              pa.array(scores.ravel()))
             yield pa.RecordBatch.from_arrays([*rb.columns[:len(carry)], lists], names=[*carry, out])
@@ -87,12 +97,13 @@ class HashedBag:
     """Scores are the mean of the class weights of a row's word buckets, plus the intercepts."""
 
     def __init__(self, weights: np.ndarray):
-        self.table, self.bias = weights[:, :-1].T.copy(), weights[:, -1]
+        # the padding reads a last row of zeros
+        self.table = np.vstack([weights[:, :-1].T, np.zeros((1, len(weights)))])
+        self.bias = weights[:, -1]
 
     def __call__(self, ids: np.ndarray) -> np.ndarray:
-        mask = ids != PAD
-        total = (self.table[np.where(mask, ids, 0)] * mask[:, :, None]).sum(1)
-        return total / np.maximum(mask.sum(1), 1)[:, None] + self.bias
+        total = self.table[ids].sum(1)
+        return total / np.maximum((ids != PAD).sum(1), 1)[:, None] + self.bias
 
 
 def bag_features(rows: DataFrame, carry: Sequence[str], ids: str = "ids", buckets: int = BUCKETS) -> DataFrame:
