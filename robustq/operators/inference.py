@@ -57,13 +57,6 @@ def padded_rows(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pad:
     return out
 
 
-def padded(ids: Sequence[np.ndarray], pad: int = PAD) -> np.ndarray:
-    out = np.full((len(ids), max((len(x) for x in ids), default=0)), pad, np.int64)
-    for i, x in enumerate(ids):
-        out[i, :len(x)] = x
-    return out
-
-
 def infer(rows: DataFrame, load: Callable[[], Callable], name: str, n_out: int, ids: str = "ids",
           carry: Sequence[str] = (), out: str = "logits", batch_ids: int = BATCH_IDS, pad: int = PAD) -> DataFrame:
     """The ``carry`` columns and ``out``, the ``n_out`` scores of the model for each row's ids (a
