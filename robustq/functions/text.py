@@ -36,8 +36,8 @@ def split_pieces(c) -> Column:
 
 
 def normalize(c) -> Column:
-    """Words joined by single spaces."""
-    return F.array_join(words(c), " ")
+    """Words joined by single spaces: only separators other than one space are rewritten."""
+    return F.btrim(F.regexp_replace(_col(c), r"[\t\n\r][ \t\n\r]*| [ \t\n\r]+", " "), F.lit(" "))
 
 
 def line(c, n: int) -> Column:

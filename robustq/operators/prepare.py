@@ -8,8 +8,11 @@ global numbering in :mod:`robustq.functions.ranking`.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -190,39 +193,109 @@ def build_vocab(df: DataFrame, col: str = "text") -> DataFrame:
     return pos.select("token", (F.col("_p") + len(SPECIAL_IDS)).alias("token_id"), "freq")
 
 
-HOT_SHARE = 1e-4  # parameter: share of all occurrences from which a word is looked up by broadcast
+DICTIONARY_WORDS = 300_000  # parameter: most words of the dictionary that every task holds
+HOT_CHARS = 64    # parameter: longest word of the dictionary
+CHUNK_BYTES = 1 << 20  # parameter: text bytes of the rows that a task encodes at a time
+
+
+def _dictionary(vocab: DataFrame) -> dict[str, int]:
+    """Ids of the most frequent words, ``DICTIONARY_WORDS`` at most (without frequencies: none)."""
+    if "freq" not in vocab.columns:
+        return {}
+    # n occurrences have less than sqrt(2 n) different frequencies
+    of_freq = vocab.where("freq is not null").groupBy("freq").agg(F.count(F.lit(1)).alias("n")).collect()
+    least, room = None, DICTIONARY_WORDS
+    for r in sorted(of_freq, reverse=True):
+        room -= r["n"]
+        if room < 0:
+            break
+        least = r["freq"]
+    if least is None:
+        return {}
+    hot = vocab.where((F.col("freq") >= least) & (F.length("token") <= HOT_CHARS) & F.col("token_id").isNotNull())
+    return {r["token"]: r["token_id"] for r in hot.select("token", "token_id").collect()}
+
+
+def _word_list(text: str | None) -> list[str]:
+    """Python's form of :func:`words` (null: none)."""
+    text = (text or "").replace("\t", " ").replace("\n", " ").replace("\r", " ")
+    return list(filter(None, text.split(" ")))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into slices of about ``CHUNK_BYTES`` of ``_text`` (a row is never cut)."""
+    for rb in batches:
+        size = pc.fill_null(pc.binary_length(rb["_text"]), 0).to_numpy(zero_copy_only=False)
+        chunk = size.cumsum(dtype="int64") // CHUNK_BYTES
+        ends = [*(chunk[1:] != chunk[:-1]).nonzero()[0] + 1, rb.num_rows]
+        for at, end in zip([0, *ends], ends):
+            yield rb.slice(at, end - at)
+
+
+def _rare_words(d: DataFrame, hot: Broadcast) -> DataFrame:
+    """(_row, token): each row's different words that the dictionary does not have."""
+    def run(batches):
+        for rb in _slices(batches):
+            rows, tokens = [], []
+            for row, text in zip(rb["_row"].to_pylist(), rb["_text"].to_pylist()):
+                rare = set(_word_list(text)).difference(hot.value)
+                rows += [row] * len(rare)
+                tokens += rare
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(tokens, pa.string())],
+                                             names=["_row", "token"])
+    return d.select("_row", "_text").mapInArrow(run, "_row bigint, token string")
+
+
+class _Ids(dict):
+    """The dictionary, then the words of one row, then <unk>."""
+
+    def __missing__(self, word: str) -> int:
+        return self.row.get(word, UNK_ID)
+
+
+def _looked_up(d: DataFrame, hot: Broadcast, out: str) -> DataFrame:
+    """``out``, the ids of ``_text``, in the place of ``_text`` and the row's own words ``_tokens``
+    and their ids ``_found`` (null: none)."""
+    kept = [c for c in d.columns if c not in ("_text", "_tokens", "_found")]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.select(*kept).schema.fields)
+
+    def run(batches):
+        ids = _Ids(hot.value)
+        for rb in _slices(batches):
+            flat, ends = [], [0]
+            for text, tokens, found in zip(*(rb[c].to_pylist() for c in ("_text", "_tokens", "_found"))):
+                ids.row = dict(zip(tokens or (), found or ()))
+                flat += map(ids.__getitem__, _word_list(text))
+                ends.append(len(flat))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(rb[c] for c in kept), lists], names=[*kept, out])
+    return d.mapInArrow(run, f"{fields}, `{out}` array<bigint>")
 
 
 def encode_tokens(df: DataFrame, col: str, vocab: DataFrame, key: str | Sequence[str] = "ex_id",
                   out: str = "ids") -> DataFrame:
     """Words of ``col`` -> ids (unknown -> <unk>), in position order; one row per input row, rows
-    that repeat a key included (they are told apart by their place in the scan, ``_row``, or by
-    the caller's own column of that name, which is then returned, too).
+    that repeat a key included. They are told apart by ``_row``: the caller's own column of that name,
+    which must be the same however often ``df`` is read and is then returned, too; without it ``df`` is
+    written once, numbered.
 
-    The vocabulary grows with the data, so the lookup is a join by word. Words that make up
-    ``HOT_SHARE`` of the vocabulary's occurrences or more, of which there can be 1 / ``HOT_SHARE``
-    at most, are looked up by broadcast first and take no part in the shuffle by word."""
+    The vocabulary grows with the data, so the lookup is a join by word. The ``DICTIONARY_WORDS``
+    most frequent words are looked up in a broadcast dictionary where the text is. Only the others
+    are shuffled, once for each row that has them, and come back to the row's text with their ids."""
     keys = [key] if isinstance(key, str) else list(key)
     own = "_row" in df.columns
     d = df if own else df.withColumn("_row", F.monotonically_increasing_id())
-    e = d.select("_row", *keys, F.posexplode_outer(words(col)).alias("pos", "token"))  # keeps word-less rows
-    ids = vocab.select("token", F.col("token_id").alias("_cold"))
-    if "freq" in vocab.columns:
-        total = vocab.agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("n")).first()["n"]
-        hot = vocab.filter(F.col("freq") > F.lit(float(total) * HOT_SHARE)) \
-            .select(F.col("token").alias("_t"), F.col("token_id").alias("_hot"))
-        e = e.join(F.broadcast(hot), F.col("token") == F.col("_t"), "left").drop("_t")  # < 1 / HOT_SHARE rows
-        # found words go on under keys that match nothing and spread them evenly
-        away = F.concat(F.lit("\n"), F.pmod(F.xxhash64("_row", "pos"), F.lit(1 << 16)).cast("string"))
-        e = e.withColumn("token", F.when(F.col("_hot").isNull() & F.col("token").isNotNull(), F.col("token"))
-                         .otherwise(away))
-    else:
-        e = e.withColumn("_hot", F.lit(None).cast("bigint"))
-    j = e.join(ids, "token", "left")
-    entry = F.when(F.col("pos").isNotNull(), F.struct(
-        "pos", F.coalesce("_hot", "_cold", F.lit(UNK_ID).cast("bigint")).alias("id")))
-    g = j.groupBy("_row", *keys).agg(F.sort_array(F.collect_list(entry)).alias("_s"))  # NULLs are skipped
-    return g.select(*(["_row"] if own else []), *keys, F.transform("_s", lambda s: s["id"]).alias(out))
+    d = d.select("_row", *keys, F.make_valid_utf8(F.col(col).cast("string")).alias("_text"))
+    if not own:
+        from robustq.functions.materialize import materialize
+        d = materialize(d)
+    hot = df.sparkSession.sparkContext.broadcast(_dictionary(vocab))
+    found = _rare_words(d, hot).join(vocab.select("token", F.col("token_id").cast("bigint")), "token") \
+        .where(F.col("token_id").isNotNull()) \
+        .groupBy("_row").agg(F.collect_list(F.struct("token", "token_id")).alias("_f")) \
+        .select(F.col("_row").alias("_r"), F.col("_f.token").alias("_tokens"), F.col("_f.token_id").alias("_found"))
+    e = d.join(found, F.col("_row") == F.col("_r"), "left").drop("_r")
+    return _looked_up(e, hot, out).select(*(["_row"] if own else []), *keys, out)
 
 
 # -- B11 ----------------------------------------------------------------------------

@@ -123,7 +123,7 @@ def augment_facts(spark, sf):
         LEFT JOIN v4 ON v4.token = w.token) j GROUP BY ex_id) e ON e.ex_id = v.ex_id"""))
 def vocab_encode(spark, sf):
     """Words of every whole text -> ids of the document vocabulary (unknown -> 3)."""
-    return pr.encode_tokens(fx.docs_texts(spark, sf), "text", fx.vocab(spark, sf))
+    return pr.encode_tokens(fx.docs_texts(spark, sf, rows=True), "text", fx.vocab(spark, sf)).select("ex_id", "ids")
 
 
 _WAB = sql_words("sentence_a || ' ' || sentence_b")

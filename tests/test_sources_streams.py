@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from robustq.functions.bind import bind, bind2
+from robustq.functions import text as tx
 from robustq.operators import nearpair as npair
 from robustq.operators import perturb
 from robustq.operators import prepare as pr
@@ -199,6 +200,29 @@ def test_repeated_ids_stay_rows_of_their_own(spark):
     assert plain == got
 
 
+def test_only_words_outside_the_dictionary_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(pr, "DICTIONARY_WORDS", 2)
+    df = spark.createDataFrame([(1, "a", "x  y\tz z\nz\rq"), (2, "a", "x x"), (3, None, None), (4, "b", " w x z ")],
+                               "_row bigint, ex_id string, text string")
+    voc = spark.createDataFrame([("x", 5, 9), ("y", 6, 7), ("z", 7, 2), ("w", 8, 2)],
+                                "token string, token_id bigint, freq bigint")
+    assert pr._dictionary(voc) == {"x": 5, "y": 6}
+    hot = spark.sparkContext.broadcast(pr._dictionary(voc))
+    rare = pr._rare_words(df.withColumn("_text", df["text"]), hot).collect()
+    assert sorted(map(tuple, rare)) == [(1, "q"), (1, "z"), (4, "w"), (4, "z")]
+    got = pr.encode_tokens(df, "text", voc)
+    assert sorted(map(tuple, got.collect())) == [(1, "a", [5, 6, 7, 7, 7, 3]), (2, "a", [5, 5]), (3, None, []),
+                                                 (4, "b", [8, 5, 7])]
+    assert "Generate" not in got._jdf.queryExecution().toString()
+
+
+def test_normalized_texts_are_their_words(spark):
+    texts = ["", " ", "a", " a ", "\t\na  b\r\n c \x0b d\n", "a b c", "\n", None, "a \t", "\u00a0 x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(tx.normalize("t").alias("n"), F.array_join(tx.words("t"), " ").alias("w")).collect()
+    assert all(r["n"] == r["w"] for r in rows)
+
+
 # -- near pairs -------------------------------------------------------------------------
 def _distance(a, b):
     row = list(range(len(b) + 1))
