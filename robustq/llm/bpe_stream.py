@@ -25,6 +25,8 @@ the raw text, longest and leftmost first; characters without a vocabulary entry
 from __future__ import annotations
 
 import codecs
+import contextlib
+import gc
 import hashlib
 import heapq
 import json
@@ -95,6 +97,9 @@ class Vocabulary:
         for rank, (x, y, _) in enumerate(joins):
             self.joins.setdefault(x * self.width + y, rank)
         self.made = [z for _, _, z in joins]
+        # ranks of two bytes that are not the last ones of their word: where every merge starts
+        get, none = self.joins.get, len(joins)
+        self.pairs = [[get(x * self.width + y, none) for y in self.first] for x in self.first]
         self.id_of = [self.ids.get(x, -1) for x in number]
 
 
@@ -199,9 +204,12 @@ class Encoder:
         """Ids of a short word: the best pair first, leftmost first among equals, on numbers."""
         v = self.v
         first, made, width, get, none = v.first, v.made, v.width, v.joins.get, len(v.made)
+        pairs = v.pairs
         sym = [first[b] for b in data]
         sym[-1] = v.last[data[-1]]
-        r = [get(a * width + b, none) for a, b in zip(sym, sym[1:])]
+        r = [pairs[a][b] for a, b in zip(data, data[1:])]
+        if r:
+            r[-1] = get(sym[-2] * width + sym[-1], none)
         while r:
             low = min(r)
             if low == none:
@@ -237,7 +245,9 @@ class Encoder:
         known = self.words
         # letters of ASCII alone are one part of the pattern
         whole = chunk.isascii() and chunk.isalpha()
-        for word in (chunk,) if whole else self.piece.findall(chunk):
+        if whole and len(chunk) < 48:  # kept as a chunk, not as a word as well
+            ids = self._ordinary(chunk.encode())
+        for word in () if ids else (chunk,) if whole else self.piece.findall(chunk):
             got = known.get(word)
             if got is None:
                 got = self._word(word)
@@ -397,6 +407,19 @@ def _drop() -> None:
     _ENCODERS.clear()
 
 
+@contextlib.contextmanager
+def uncollected() -> Iterator[None]:
+    """No search for reference cycles: encodings have none, and every chunk that is kept would be
+    looked through again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id",
                text: str = "text") -> DataFrame:
     """DataFrame (id, ids array<int>, decoded string) of every text."""
@@ -404,7 +427,8 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id",
 
     def fn(col):
         enc = encoder(vocab)
-        ids = [enc.ids(t) for t in col.to_pylist()]
+        with uncollected():
+            ids = [enc.ids(t) for t in col.to_pylist()]
         return [pa.array(ids, pa.list_(pa.int32())),
                 pa.array([decode(enc.v, i) for i in ids], pa.string())]
     return map_texts(docs, text, [id_col], [("ids", "array<int>"), ("decoded", "string")], fn, _drop)
@@ -420,7 +444,8 @@ def bpe_digest(docs: DataFrame, path: str, carry: list[str] | None = None,
 
     def fn(col):
         enc = encoder(vocab)
-        rows = [digest(enc, t) for t in col.to_pylist()]
+        with uncollected():
+            rows = [digest(enc, t) for t in col.to_pylist()]
         return [list(x) for x in zip(*rows)] if rows else [[], [], [], []]
     carry = list(docs.columns) if carry is None else carry
     return map_texts(docs, text, carry, [("n_tokens", "bigint"), ("ids_sha256", "string"),

@@ -642,3 +642,34 @@ def test_classifier_edge_cases(spark, edge):
     assert mil.score(edge.limit(0), model).count() == 0
     none = mil.fit(edge, labels.limit(0), F.lit(True))
     assert {r["score"] for r in mil.score(edge, none).collect()} == {0.5}
+
+
+def test_bpe_looks_for_no_cycles_while_it_encodes(spark, monkeypatch):
+    """What is kept of a chunk has no cycles; the collector is on again afterwards, errors included."""
+    import gc
+
+    from robustq.llm import bpe_stream as bpe
+    with bpe.uncollected():
+        assert not gc.isenabled()
+    assert gc.isenabled()
+    try:
+        with bpe.uncollected():
+            raise ValueError
+    except ValueError:
+        pass
+    assert gc.isenabled()
+
+
+def test_bpe_ordinary_words_start_from_byte_pairs():
+    """Ids of short words equal the merges on strings, one-byte words included."""
+    from robustq.llm import bpe_stream as bpe
+    from robustq.llm.queries import tokenizer_path
+    v = bpe.Vocabulary(tokenizer_path())
+    e = bpe.Encoder(v)
+    assert len(v.pairs) == 256
+    for word in ("a", "ab", "the", "streaming", "zzzzqqq", "\u00e9t\u00e9", "antidisestablishmentarianism"):
+        sym = [bpe.BYTE_CHAR[b] for b in word.encode()]
+        sym[-1] += v.suffix
+        want = [v.ids[t] for t in e._merge(sym) if t in v.ids]
+        assert e._ordinary(word.encode()) == want
+        assert e.ids(word) == want
