@@ -673,3 +673,19 @@ def test_bpe_ordinary_words_start_from_byte_pairs():
         want = [v.ids[t] for t in e._merge(sym) if t in v.ids]
         assert e._ordinary(word.encode()) == want
         assert e.ids(word) == want
+
+
+def test_repeated_halves_alone_are_no_repeated_window(spark):
+    """Four or seven words found twice count nothing, eight do; whole windows are made only where a half
+    repeats."""
+    from robustq.llm import quality_llr as llr
+    a, b = [f"a{i}" for i in range(8)], [f"b{i}" for i in range(30)]
+    texts = {0: b, 1: a[:4] + b + a[:4], 2: a[:7] + b + a[:7], 3: a + b + a, 4: a[4:] + b + a + a[:4],
+             5: ["x"] * 8, 6: ["x"] * 9, 7: []}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "i int, text string")
+    got = {r["i"]: r["n"] for r in df.select("i", llr.base_counts(F.col("text"))["w"]["n_repeat_words"].alias("n")).collect()}
+    want = {}
+    for i, w in texts.items():
+        windows = [tuple(w[p:p + 8]) for p in range(len(w) - 7)]
+        want[i] = len({q for p, x in enumerate(windows) if windows.count(x) > 1 for q in range(p, p + 8)})
+    assert got == want and got[3] == 16 and got[2] == 0
