@@ -77,3 +77,18 @@ def test_draws_run_in_arrow_batches(spark):
     for f in (perturb.reorder_random, perturb.reorder_distinct, perturb.delete_random):
         plan = f(df)._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" in plan and "lambdafunction" not in plan
+
+
+def test_copies_of_a_row_leave_together(spark):
+    """All deletions of a row follow each other, whatever their sizes, so that a file packs them against
+    each other (sizes apart, its texts were written anew for every size)."""
+    rows = [(i, 0, [f"w{i}x{j}" for j in range(n)]) for i, n in enumerate([10, 4, 10, 0, 2, 10, 7])]
+    df = spark.createDataFrame(rows, "id int, chunk int, tokens array<string>").coalesce(1)
+    got = [r["id"] for r in perturb.delete_random(df, key=("id", "chunk")).collect()]
+    assert len(got) == 30 * len(rows)
+    assert all(len(set(got[i:i + 30])) == 1 for i in range(0, len(got), 30))
+
+
+def test_no_deletions_asked(spark):
+    df = spark.createDataFrame([(0, ["a", "b"])], "seed int, tokens array<string>")
+    assert perturb.delete_random(df, ns=()).collect() == []
