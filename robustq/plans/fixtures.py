@@ -32,12 +32,13 @@ def label_case(toxic: str = "toxic", quality: str = "quality"):
             .when(F.col(quality) == 1, "entailment").otherwise("neutral"))
 
 
-def docs_lines(spark: SparkSession, sf_dir: str, scan: DataFrame | None = None) -> DataFrame:
-    """(doc_id, lines): the non-empty whitespace-normalised lines of every document."""
+def docs_lines(spark: SparkSession, sf_dir: str, scan: DataFrame | None = None, *carry: str) -> DataFrame:
+    """(doc_id, lines): the non-empty whitespace-normalised lines of every document. ``carry``: further
+    columns of ``scan`` to keep."""
     d = scan if scan is not None else table(spark, sf_dir, "documents")
     lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), normalize),
                      lambda x: x != "")
-    return d.select("doc_id", lines.alias("lines"))
+    return d.select("doc_id", *carry, lines.alias("lines"))
 
 
 def docs_pairs(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:
@@ -46,15 +47,13 @@ def docs_pairs(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataF
     without a label (label NULL) for the operators that need none."""
     scan = table(spark, sf_dir, "documents")
     lab = table(spark, sf_dir, "labels").select("doc_id", label_case().alias("label"))
-    # the label is joined to the lines before they are fanned out to pairs
-    j = docs_lines(spark, sf_dir, scan).filter(F.size("lines") > 1) \
-        .join(lab, "doc_id", "inner" if labelled else "left")
-    out = j.select("doc_id", "label", "lines", F.explode(F.sequence(
-        F.lit(0), F.size("lines") - 2)).alias("pos")) \
+    # texts get their label and are spread as they are: their pairs hold every line twice
+    texts = spread(scan.select("doc_id", "text").join(lab, "doc_id", "inner" if labelled else "left"), source=scan)
+    return docs_lines(spark, sf_dir, texts, "label").filter(F.size("lines") > 1) \
+        .select("doc_id", "label", "lines", F.explode(F.sequence(F.lit(0), F.size("lines") - 2)).alias("pos")) \
         .select(F.concat_ws(":", "doc_id", "pos").alias("ex_id"),
                 F.get("lines", F.col("pos")).alias("sentence_a"),
                 F.get("lines", F.col("pos") + 1).alias("sentence_b"), "label")
-    return spread(out, source=scan)
 
 
 def docs_texts(spark: SparkSession, sf_dir: str, rows: bool = False) -> DataFrame:
@@ -143,9 +142,12 @@ def triggers(spark: SparkSession, sf_dir: str, wc: DataFrame | None = None) -> D
     return materialize(triggers_plan(spark, sf_dir, wc))
 
 
-def grid_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def grid_inputs(spark: SparkSession, sf_dir: str, keep: bool = True) -> tuple[DataFrame, DataFrame]:
     """(V1, triggers), both materialised, at the same time: the V1 scan and the corpus
-    word count behind the triggers are independent jobs."""
+    word count behind the triggers are independent jobs. ``keep=False``: V1, which holds every line
+    twice, is not written; its readers read the documents again."""
+    if not keep:
+        return docs_pairs(spark, sf_dir), triggers(spark, sf_dir)
     v1, trig = materialize_all(docs_pairs(spark, sf_dir), triggers_plan(spark, sf_dir))
     return v1, trig
 

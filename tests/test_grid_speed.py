@@ -4,11 +4,13 @@ import datetime as dt
 import itertools
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from robustq.operators import inference as inf
 from robustq.operators import perturb, scoring
 from robustq.plans import q_prompts
+from robustq.streaming import accuracy as sa
 from robustq.streaming.accuracy import ANSWERS_SCHEMA, pack_answers, run_available
 
 
@@ -70,3 +72,37 @@ def test_answers_travel_as_one_event_per_example(spark, tmp_path):
     for v, _, _, _, c in rows:
         want[v] = tuple(map(sum, zip(want.get(v, (0, 0)), (int(c), 1))))
     assert {r["variant_id"]: (r["n_correct"], r["n_examples"]) for r in out.collect()} == want
+
+
+def test_answers_are_bits_and_no_lists(spark):
+    """130 variants a seed (three numbers of 64 bits), some not asked, names with quotes and line breaks."""
+    rows = [(f'{s}"{v}\n', s, f"e{e}", None if e == 2 else "neutral", (v * 7 + e + s) % 3 == 0)
+            for s in (0, 1) for v in range(130) for e in range(4) if (v + e) % 5]
+    preds = spark.createDataFrame(rows, "variant_id string, seed int, ex_id string, gold string, correct boolean")
+    packed = pack_answers(preds, F.lit(dt.datetime(2024, 1, 2)).alias("event_time"))
+    # lists of answers were sorted, and spilt, by the examples x variants
+    assert "collect_list" not in plan(packed) and "ObjectHashAggregate" not in packed._jdf.queryExecution().executedPlan().toString()
+    assert packed.schema.names == ANSWERS_SCHEMA.names
+    assert packed.count() == 8 and {len(r["asked"]) for r in packed.collect()} == {3}
+    lists = sa.variant_lists(packed)
+    stream = packed.withColumn("list", F.xxhash64("variants")).drop("variants")
+    got = stream.select("ex_id", "list", "asked", "correct")
+    out = sorted((e, r["variant_id"], r["correct"]) for e in ("e0", "e1", "e2", "e3")
+                 for r in sa.unpack_answers(got.where(F.col("ex_id") == e), lists).collect())
+    assert out == sorted((e, v, c) for v, _, e, _, c in rows)
+    with pytest.raises(Exception, match="unknown list of variants"):
+        sa.unpack_answers(got, lists.limit(0)).collect()
+
+
+def test_stream_shuffles_no_names(spark, tmp_path, monkeypatch):
+    """What is told apart holds the hash of the list of variants, not the list."""
+    seen = []
+    first = sa.first_predictions
+    monkeypatch.setattr(sa, "first_predictions", lambda s, *a: seen.append(s.columns) or first(s, *a))
+    preds = spark.createDataFrame([("v", 0, "e", "neutral", True), ("w", 0, "e", "neutral", False)],
+                                  "variant_id string, seed int, ex_id string, gold string, correct boolean")
+    pack_answers(preds, F.lit(dt.datetime(2024, 1, 2)).alias("event_time")).write.parquet(str(tmp_path / "in"))
+    out = run_available(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt"), ["variant_id"],
+                        ANSWERS_SCHEMA, files_per_batch=9, delay="1 hour")
+    assert sorted((r["variant_id"], r["n_correct"], r["n_examples"]) for r in out.collect()) == [("v", 1, 1), ("w", 0, 1)]
+    assert seen == [["seed", "ex_id", "asked", "correct", "event_time", "list"]]
