@@ -80,3 +80,27 @@ def test_grid_buckets_only_past_the_limit(spark):
     forced = ex.predictions(v1, var, scorer=AdditiveScorer(broadcast_max_rows=10), materialized=True)
     assert "xxhash64" not in plan(normal)
     assert "xxhash64" in plan(forced)
+
+
+def test_large_label_tables_move_no_texts(spark, monkeypatch):
+    """Labels are broadcast by their count, whatever the session's limit for files; beyond it the join
+    shuffles and gives the same rows. The pairs themselves are not written: they hold every line twice."""
+    from robustq.plans import fixtures as fx
+    from robustq.plans import q_scoring
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for labelled in (True, False):
+            d = fx.docs_pairs(spark, SF_SMALL, labelled)
+            assert "SortMergeJoin" not in plan(d) and "BroadcastHashJoin" in plan(d)
+            want = sorted(map(str, d.collect()))
+            with monkeypatch.context() as m:
+                m.setattr(fx, "rows_within", lambda row_bytes: 0)
+                d = fx.docs_pairs(spark, SF_SMALL, labelled)
+                assert "SortMergeJoin" in plan(d)
+                assert sorted(map(str, d.collect())) == want
+        grid = plan(q_scoring._grid(spark, SF_SMALL))
+        assert "documents.parquet" in grid and "SortMergeJoin [doc_id" not in grid
+        assert "Scan ExistingRDD[ex_id" not in grid
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
